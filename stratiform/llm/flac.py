@@ -311,7 +311,7 @@ def _subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, depth: np.ndarray) ->
         s[deep + j, on] = bits.signed(at[on] + j * depth[on], depth[on])
     at = at + order * depth
     coefficients, shift = np.zeros((deep, rows), np.int64), np.zeros(rows, np.int64)
-    for o in range(1, 5):
+    for o in range(1, min(deep, 4) + 1):
         on = fixed & (order == o)
         for j, c in enumerate(FIXED_COEFFICIENTS[o]):
             coefficients[deep - 1 - j, on] = c
