@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 50_000
 #: Chunks at least, so that small inputs spread over the executors too.
 MIN_CHUNKS = 256
+#: Shuffle files of a query go when it ends: what it made is in the table by then.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratiform-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,6 +75,42 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def grouped(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about `limit` bytes of text; a longer text has a batch to itself."""
+    held, size = [], 0
+    for batch in batches:
+        for lo, hi in slices(utf8(batch.column(text_at))[1], limit):
+            part = batch.slice(lo, hi - lo)
+            own = int(utf8(part.column(text_at))[1][-1])
+            if held and size + own > limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield from table.to_batches()
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The `width` low bytes of each number, all first bytes first: equal high bytes then compress to nothing."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(raw: memoryview, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted keys differs from the one before it."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
 def size_of(text: str | Column) -> Column:
     """UTF-8 bytes; 0 for null."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
