@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import bpe, flac, packing, sharding, simhash, suffixes
+from stratiform.llm import bpe, flac, lines, packing, sharding, simhash, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
@@ -39,12 +43,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_suffix_array, op6_simhash, op8_flac, op9_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_winnowing, op5_suffix_array, op6_simhash, op8_flac, op9_byte_bpe, op10_sharding)}
 
 
 def queries() -> dict:
     return dict(QUERIES)
 
 
+ORACLE_SQL = {"op4_winnowing": lines.ORACLE_SQL}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE_SQL)
