@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import bpe, flac, lines, packing, sharding, simhash, suffixes, toxicity
+from stratiform.llm import bpe, flac, lines, packing, quality, sharding, simhash, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
@@ -47,14 +51,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_winnowing, op5_suffix_array, op6_simhash, op8_flac, op9_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_winnowing, op5_suffix_array, op6_simhash, op7_quality_rules, op8_flac, op9_byte_bpe, op10_sharding)}
 
 
 def queries() -> dict:
     return dict(QUERIES)
 
 
-ORACLE_SQL = {"op4_winnowing": lines.ORACLE_SQL}
+ORACLE_SQL = {"op4_winnowing": lines.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ block's cosines, visits blocks from the best bound down, and stops at the first
 best so far, so the neighbours are exact. Their similarity-weighted votes, with the weight of their class, are
 turned into a rate by an isotonic fit over the examples' own leave-one-out votes.
 
-The sample is bounded: at most `PER_CLASS` labelled rows of each class, those of least hash. Nothing else is.
+The sample is bounded: at most `PER_CLASS` labelled rows of class 0 and of class 1, those of least hash. Nothing else is.
 
 Defined results: a text without terms of the vocabulary (also a null, blank or empty one) gets the rate of such
 examples; ties between neighbours go to the one that comes first in the index; repeated rows get equal scores;
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from stratiform.llm.common import written
 
-PER_CLASS = 4000
+PER_CLASS = (12_000, 4000)
 PREFIXES = (4, 5, 6, 7)
-#: Least share ratio, least z value, fewest texts of a vocabulary term; most terms.
-LIFT, LEAST_Z, LEAST_TEXTS, MAX_TERMS = 4.0, 3.0, 4, 4096
+#: Least balanced precision, least z value, fewest texts of a vocabulary term; most terms.
+PRECISION, LEAST_Z, LEAST_TEXTS, MAX_TERMS = 0.95, 4.5, 4, 4096
 BLOCK, NEIGHBOURS = 64, 15
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -150,8 +150,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str) -> tuple[DataFrame,
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("label"))
     known = written(known, "labels")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64(id_col), id_col).limit(PER_CLASS) for c in (0, 1)]
-    weights = np.array([max(1.0, sizes.get(c, 0) / PER_CLASS) for c in (0, 1)])
+    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64(id_col), id_col).limit(PER_CLASS[c]) for c in (0, 1)]
+    weights = np.array([max(1.0, sizes.get(c, 0) / PER_CLASS[c]) for c in (0, 1)])
     return written(parts[0].union(parts[1]), "sample"), weights
 
 
@@ -178,8 +178,8 @@ def vocabulary(sample_texts: DataFrame) -> list[str]:
         return []
     base, n, pos = total["pos"] / total["n"], F.col("n"), F.col("pos")
     z = (pos - n * base) / F.sqrt(n * base * (1 - base))
-    lift = ((pos + 0.5) / total["pos"]) / ((n - pos + 0.5) / (total["n"] - total["pos"]))
-    best = counts.where("term <> ''").withColumn("z", z).where((F.col("z") >= LEAST_Z) & (lift >= LIFT)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+    ours, theirs = pos / total["pos"], (n - pos + 0.5) / (total["n"] - total["pos"])
+    best = counts.where("term <> ''").withColumn("z", z).where((F.col("z") >= LEAST_Z) & (ours >= PRECISION * (ours + theirs))).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
     return [r["term"] for r in best.select("term").collect()]  # bounded by MAX_TERMS
 
 
@@ -227,13 +227,13 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     sample, class_weights = _sample(docs, labels, id_col)
     chosen = sample.withColumnRenamed(id_col, "__id")
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # 2 * PER_CLASS rows at most
+    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # bounded by PER_CLASS
     terms = vocabulary(texts)
     table = written(_vectors(docs, terms, id_col, text_col), "vectors")
     n_docs = table.count()
     seen = {r["t"]: r["n"] for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by MAX_TERMS
     idf = np.log((1 + n_docs) / (1 + np.array([seen.get(i, 0) for i in range(len(terms))], np.float64))) + 1
-    rows = table.join(F.broadcast(chosen), F.col("id") == F.col("__id")).dropDuplicates(["id"]).select("id", "terms", "counts", "label").collect()  # 2 * PER_CLASS rows at most
+    rows = table.join(F.broadcast(chosen), F.col("id") == F.col("__id")).dropDuplicates(["id"]).select("id", "terms", "counts", "label").collect()  # bounded by PER_CLASS
     rows.sort(key=lambda r: str(r["id"]))
     index = Index([weigh(r["terms"], r["counts"], idf) for r in rows], np.array([r["label"] for r in rows], np.int64), [r["id"] for r in rows], class_weights, len(terms))
     index.calibrate()
