@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import bpe, flac, lines, packing, quality, sharding, simhash, suffixes, toxicity
+from stratiform.llm import bpe, flac, lines, packing, quality, sharding, simhash, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("tag")
 
@@ -51,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_toxicity, op4_winnowing, op5_suffix_array, op6_simhash, op7_quality_rules, op8_flac, op9_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_toxicity, op4_winnowing, op5_suffix_array, op6_simhash, op7_quality_rules, op8_flac, op9_byte_bpe, op10_sharding)}
 
 
 def queries() -> dict:
