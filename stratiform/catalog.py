@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from stratiform.operators import rollup  # noqa: F401
+from stratiform.registry import REGISTRY
+
 FLAGSHIP = "agg_district_hourly"
 
 
 def queries() -> dict:
-    return {}
+    return {name: function for name, (function, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
