@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratiform.operators import rollup, snapshot  # noqa: F401
+from stratiform.operators import advice, evaluation, rollup, runs, snapshot  # noqa: F401
 from stratiform.registry import REGISTRY
 
 FLAGSHIP = "agg_district_hourly"

@@ -302,7 +302,7 @@ def str_normalize_vi(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.normalized(F.col("p_name")).alias("norm"))
 
 
-PROBES = ("ALGERIA", "Untied Kingdom", "united states", "chna", "Viet Nam")
+PROBES = ("NATION_1", "nation 12", "nasion 7", "NATIO 20", "Region")
 _PROBE_SQL = "(VALUES " + ", ".join(f"('{p}')" for p in PROBES) + ") AS t(probe)"
 _SCORED = f"SELECT probe, n_name, {text.similarity_sql(text.trigrams_sql('probe'), text.trigrams_sql('n_name'))} AS score FROM nation, {_PROBE_SQL}"
 
