@@ -5,8 +5,9 @@ sample's terms those whose share of toxic texts is at least `LIFT` times their s
 chance does not give. Document frequencies of these terms are counted over all texts. The labelled sample forms an
 inverted index whose blocks of `BLOCK` examples store each term's greatest weight; a query adds these up to bound a
 block's cosines, visits blocks from the best bound down, and stops at the first that cannot reach its `NEIGHBOURS`
-best so far, so the neighbours are exact. Their similarity-weighted votes, with the weight of their class, are
-turned into a rate by an isotonic fit over the examples' own leave-one-out votes.
+best so far, so the neighbours are exact. Their similarity-weighted votes, with the weight of their class and a
+prior of `PRIOR` similarity, are turned into a rate by an isotonic fit over the leave-one-out votes of examples. One
+example in `PARTS` is kept from the choice of terms, and the fit is on these, which the choice cannot flatter.
 
 The sample is bounded: at most `PER_CLASS` labelled rows of class 0 and of class 1, those of least hash. Nothing else is.
 
@@ -35,7 +36,8 @@ PER_CLASS = (12_000, 4000)
 PREFIXES = (4, 5, 6, 7)
 #: Least balanced precision, least z value, fewest texts of a vocabulary term; most terms.
 PRECISION, LEAST_Z, LEAST_TEXTS, MAX_TERMS = 0.95, 4.5, 4, 4096
-BLOCK, NEIGHBOURS = 64, 15
+BLOCK, NEIGHBOURS, PRIOR = 64, 15, 2.0
+PARTS = 3
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -56,11 +58,13 @@ def held_out(id_col: str) -> Column:
 class Index:
     """Block-max inverted index over unit vectors; the examples come as (terms, weights) with labels and ids."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, class_weights: np.ndarray, n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, class_weights: np.ndarray, n_terms: int, fresh: list[bool]):
         order = sorted(range(len(vectors)), key=lambda i: (tuple(vectors[i][0].tolist()), tuple(vectors[i][1].tolist())))
         self.labels = labels[order]
         self.ids = [ids[i] for i in order]
         self.vote = class_weights[self.labels]
+        self.fresh = np.array([fresh[i] for i in order], bool)
+        self.base = float(self.vote @ self.labels / self.vote.sum()) if len(vectors) else 0.0
         vectors = [vectors[i] for i in order]
         self.vectors, self.n_terms = vectors, n_terms
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
@@ -73,7 +77,7 @@ class Index:
         self.starts = np.searchsorted(cell, np.arange(n_terms * max(self.blocks, 1) + 1)).tolist()
         most = np.zeros(n_terms * max(self.blocks, 1))
         np.maximum.at(most, cell, self.weight)
-        self.most = most.reshape(n_terms, -1)
+        self.most = most.reshape(n_terms, max(self.blocks, 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first; `skip` is left out."""
@@ -97,12 +101,15 @@ class Index:
 
     def votes(self, found: np.ndarray, sims: np.ndarray) -> float:
         weight = sims * self.vote[found]
-        return float((weight * self.labels[found]).sum() / weight.sum()) if len(found) else 0.0
+        prior = PRIOR * self.vote[found].mean()
+        return float(((weight * self.labels[found]).sum() + prior * self.base) / (weight.sum() + prior))
 
     def calibrate(self) -> None:
         """The isotonic fit of labels on leave-one-out votes, and the rate of examples without terms."""
         raw, label, weight, none = [], [], [], [0.0, 0.0]
         for i, (terms, weights) in enumerate(self.vectors):
+            if not self.fresh[i]:
+                continue
             found, sims = self.nearest(terms, weights, NEIGHBOURS, i) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
             if len(found):
                 raw.append(self.votes(found, sims))
@@ -170,6 +177,11 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sum(total), *texts.values()]), pa.array([total[1], *(toxic[t] for t in texts)])], ["term", "n", "pos"])
 
 
+def _fresh(id_col: str) -> Column:
+    """Whether an example is kept from the choice of terms."""
+    return F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(PARTS)) == 0
+
+
 def vocabulary(sample_texts: DataFrame) -> list[str]:
     """The terms that mark toxic texts, at most MAX_TERMS, from (label, text) rows."""
     counts = written(sample_texts.select("label", "text").mapInArrow(_term_counts, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_TEXTS), "terms")
@@ -228,14 +240,14 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample, class_weights = _sample(docs, labels, id_col)
     chosen = sample.withColumnRenamed(id_col, "__id")
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # bounded by PER_CLASS
-    terms = vocabulary(texts)
+    terms = vocabulary(texts.where(~_fresh("__id")))
     table = written(_vectors(docs, terms, id_col, text_col), "vectors")
     n_docs = table.count()
     seen = {r["t"]: r["n"] for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by MAX_TERMS
     idf = np.log((1 + n_docs) / (1 + np.array([seen.get(i, 0) for i in range(len(terms))], np.float64))) + 1
-    rows = table.join(F.broadcast(chosen), F.col("id") == F.col("__id")).dropDuplicates(["id"]).select("id", "terms", "counts", "label").collect()  # bounded by PER_CLASS
+    rows = table.join(F.broadcast(chosen), F.col("id") == F.col("__id")).dropDuplicates(["id"]).select("id", "terms", "counts", "label", _fresh("id").alias("fresh")).collect()  # bounded by PER_CLASS
     rows.sort(key=lambda r: str(r["id"]))
-    index = Index([weigh(r["terms"], r["counts"], idf) for r in rows], np.array([r["label"] for r in rows], np.int64), [r["id"] for r in rows], class_weights, len(terms))
+    index = Index([weigh(r["terms"], r["counts"], idf) for r in rows], np.array([r["label"] for r in rows], np.int64), [r["id"] for r in rows], class_weights, len(terms), [r["fresh"] for r in rows])
     index.calibrate()
     sent = spark.sparkContext.broadcast(cloudpickle.dumps((index, idf)))  # bounded as the sample and the vocabulary are
 
