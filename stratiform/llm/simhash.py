@@ -185,7 +185,8 @@ def near_duplicates(df: DataFrame, bits: int = MAX_BITS, id_col: str = "doc_id",
     in_tree = trees.join(each, trees.node == each.fp).select("fp", "root", "first")
     least = in_tree.groupBy("root").agg(F.min("first").alias("least"))
     named = in_tree.join(least, "root").select(F.col("fp").alias("__fp"), "least")
-    labels = each.join(named, F.col("fp") == F.col("__fp"), "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # Written, so that the last join has plain tables on both sides and a fingerprint of very many copies can be split.
+    labels = written(each.join(named, F.col("fp") == F.col("__fp"), "left").select("fp", F.coalesce("least", "first").alias("component_id")), "labels")
     return docs.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
