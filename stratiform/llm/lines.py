@@ -84,6 +84,13 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
 
 
+def _firsts(places: DataFrame, key: str) -> DataFrame:
+    """(key, first): the first place of each key that has several. Written, so that the join with it has plain tables
+    on both sides and a hot key can be split."""
+    found = places.groupBy(key).agg(F.min(F.expr(_PLACE)).alias("first"), F.count(F.lit(1)).alias("n"))
+    return written(found.where("n > 1").select(key, "first"), "firsts")
+
+
 def repeats(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, tag, starts array<int>): the windows of each text that also start earlier in the corpus."""
 
@@ -102,12 +109,10 @@ def repeats(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
 
     texts = _keyed(df, id_col, text_col)
     found = written(texts.mapInArrow(parse, "doc long, tag long, at int, key long, windows array<long>"), "stretches")
-    first = found.groupBy("key").agg(F.min(F.expr(_PLACE)).alias("first"))
-    judged = written(found.join(first, "key").withColumn("again", F.expr(f"{_PLACE} > first")).select("doc", "tag", "at", "windows", "again"), "judged")
+    judged = written(found.join(_firsts(found, "key"), "key", "left").withColumn("again", F.coalesce(F.expr(f"{_PLACE} > first"), F.lit(False))).select("doc", "tag", "at", "windows", "again"), "judged")
     whole = judged.where("again").select("doc", "tag", F.explode(F.expr("sequence(at, at + size(windows) - 1)")).alias("start"))
     single = judged.where("not again").select("doc", "tag", "at", F.posexplode("windows").alias("step", "window")).select("doc", "tag", (F.col("at") + F.col("step")).alias("at"), "window")
-    earliest = single.groupBy("window").agg(F.min(F.expr(_PLACE)).alias("first"))
-    parts = single.join(earliest, "window").where(F.expr(f"{_PLACE} > first")).select("doc", "tag", F.col("at").alias("start"))
+    parts = single.join(_firsts(single, "window"), "window").where(F.expr(f"{_PLACE} > first")).select("doc", "tag", F.col("at").alias("start"))
     return whole.union(parts).groupBy("doc", "tag").agg(F.collect_set("start").alias("starts"))
 
 
