@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from stratiform.operators import advice, evaluation, rollup, runs, snapshot  # noqa: F401
+from stratiform.operators import advice, evaluation, rollup, runs, scalars, snapshot  # noqa: F401
+from stratiform.plans import tools  # noqa: F401
 from stratiform.registry import REGISTRY
 
 FLAGSHIP = "agg_district_hourly"

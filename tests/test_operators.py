@@ -76,3 +76,23 @@ def test_priority_sink_takes_late_data_by_rank(spark, tmp_path):
     for _ in range(2):  # a batch that is written again changes nothing
         sink(spark.createDataFrame([(1, "forecast", 2), (2, "forecast", 2)], schema), 1)
     assert {tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / "version=1")).collect()} == {(1, "history", 1), (2, "forecast", 2)}
+
+
+def test_files(spark, tmp_path):
+    from stratiform.sources import files
+
+    (tmp_path / "a.csv").write_text("﻿k,name\n1,Hồ\n2,Đống\n", encoding="utf-8")
+    assert [tuple(r) for r in files.csv_dimension(spark, str(tmp_path / "a.csv"), "k int, name string").collect()] == [(1, "Hồ"), (2, "Đống")]
+    (tmp_path / "runs").mkdir()
+    (tmp_path / "runs" / "c1_1.jsonl").write_text('{"k": 1}\n\nbroken\n{"k": 2}\n')
+    (tmp_path / "runs" / "c1_2.jsonl").write_text('{"k": 3}\n')
+    rows = files.json_lines(spark, str(tmp_path / "runs"), "k int", pattern="c1_*.jsonl")
+    assert sorted(r["k"] for r in rows.collect()) == [1, 2, 3] and [r["k"] for r in files.newest(rows).collect()] == [3]
+    out = str(tmp_path / "out")
+    files.append_new(spark.range(3), out, "id")
+    files.append_new(spark.range(5), out, "id")
+    assert sorted(r["id"] for r in spark.read.json(out).collect()) == [0, 1, 2, 3, 4]
+    files.append_log(spark.createDataFrame([("x" * 900,)], "t string"), str(tmp_path / "log"), "t")
+    assert len(spark.read.option("header", True).csv(str(tmp_path / "log")).first()["t"]) == 500
+    assert files.violations(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"]).count() == 1
+    assert files.conform(spark.range(1), spark.createDataFrame([], "id int, more string").schema).dtypes == [("id", "int"), ("more", "string")]
