@@ -67,7 +67,7 @@ def fn_compare_now(spark, sf_dir):
     a, b = (lambda c: F.max(F.when(F.col("district_id") == 0, F.col(c)))), (lambda c: F.max(F.when(F.col("district_id") == 1, F.col(c))))
     gap = a("avg_temp") - b("avg_temp")
     rows = latest_groups(spark, sf_dir).where("district_id IN (0, 1)")
-    return rows.agg(rounded(gap, 1).alias("temp_delta"), rounded(a("avg_humidity") - b("avg_humidity"), 1).alias("humidity_delta"), F.when(F.abs(gap) < 2, "similar").when(gap > 0, "warmer").otherwise("colder").alias("verdict"))
+    return rows.agg(rounded(gap, 1).alias("temp_delta"), rounded(a("avg_humidity") - b("avg_humidity"), 1).alias("humidity_delta"), F.when(F.abs(gap) < 2, "similar").when(gap > 0, "warmer").otherwise("colder").alias("verdict")).where("temp_delta IS NOT NULL")
 
 
 @query(SERIES_SQL + "SELECT city_id, ts_utc, CASE WHEN abs(avg_clouds - lag(avg_clouds) OVER w) >= 10 THEN 'clouds' WHEN abs(avg_rain_1h - lag(avg_rain_1h) OVER w) >= 0.1 THEN 'rain' WHEN abs(avg_wind_speed - lag(avg_wind_speed) OVER w) >= 1 THEN 'wind' ELSE 'none' END AS change FROM series WINDOW w AS (PARTITION BY city_id ORDER BY ts_utc)")
