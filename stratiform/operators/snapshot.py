@@ -113,12 +113,11 @@ _SIDES = " UNION ALL ".join(f"SELECT district_name, '{m}' AS metric, {c}::DOUBLE
 @query(_LATEST_CTE + f"SELECT district_name, max(value) FILTER (WHERE metric = 'nhiet_do') AS nhiet_do, max(value) FILTER (WHERE metric = 'do_am') AS do_am, max(value) FILTER (WHERE metric = 'gio') AS gio FROM ({_SIDES}) GROUP BY district_name")
 def top_multi_compare(spark, sf_dir):
     """The best and the worst three groups of each metric, a row for each group."""
-    latest, names = latest_groups(spark, sf_dir), list(METRICS)[:3]
-    sides = None
-    for metric in names:
-        for descending in (True, False):
-            side = ranking(latest, metric, descending, 3).select("district_name", F.lit(metric).alias("metric"), F.col("value").cast("double").alias("value"))
-            sides = side if sides is None else sides.union(side)
+    names = list(METRICS)[:3]
+    wide = latest_groups(spark, sf_dir).select("district_name", *[F.col(METRICS[m]).cast("double").alias(m) for m in names])
+    values = wide.unpivot("district_name", names, "metric", "value").where("value IS NOT NULL")
+    place = lambda *order: F.row_number().over(Window.partitionBy("metric").orderBy(*order, "district_name"))
+    sides = values.withColumns({"best": place(F.desc("value")), "worst": place(F.asc("value"))}).where("best <= 3 OR worst <= 3")
     return sides.groupBy("district_name").pivot("metric", names).agg(F.max("value"))
 
 
