@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from stratiform.llm import graph, lines, registry, simhash, suffixes
+import corpus_pipeline
+from stratiform.llm import graph, lines, registry, shingles, simhash, suffixes
 from tests import oracle
 from tests.llm import cases
 
@@ -102,3 +103,61 @@ def test_components_of_a_long_chain_and_a_star(spark):
     star = [(1000, i) for i in range(1001, 1100)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(chain + star + [(5, 5)], "u long, v long")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(1000, 1100)} == {1000}
+
+
+def _similar(pairs):
+    """{id: least id of its component} at a five-word Jaccard similarity of 0.8 or more, pair by pair."""
+    sets = []
+    for d, t in pairs:
+        words = (t or "").lower().split()
+        sets.append((d, {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}))
+    least = {d: d for d, _ in sets}
+    changed = True
+    near = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 5 * len(x & y) >= 4 * len(x | y)]
+    while changed:
+        changed = False
+        for a, b in near:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    return least
+
+
+def _near_texts():
+    rng = random.Random(5)
+    out = []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 30, 120, 600]))]
+        out.append(words)
+        # Changed words take up to five shingles each: similarities on both sides of 0.8, and chains of copies of copies.
+        for _ in range(3):
+            words = list(words)
+            for k in rng.sample(range(len(words)), max(1, len(words) * rng.choice([1, 2, 3, 5]) // 100)):
+                words[k] = f"x{rng.randrange(5000)}"
+            out.append(words)
+    rng.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_near_copies_match_brute_force(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    for df in (documents, spark.createDataFrame(_near_texts(), "doc_id long, text string").repartition(4)):
+        want = _similar(pairs(df))
+        assert len(set(want.values())) < len(want)
+        assert {r["doc_id"]: r["component_id"] for r in shingles.near_copies(df).collect()} == want
+
+
+def test_pipeline_drops_texts_that_share_four_fifths_of_their_shingles(spark):
+    words = [f"w{i}" for i in range(204)]
+    texts = [words, [*words[:50], "x", *words[51:120], "y", *words[121:]], [w if i % 20 else f"z{i}" for i, w in enumerate(words)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()) == [0, 2]
+
+
+def test_near_copies_on_awkward_rows(spark):
+    df = cases.table(spark)
+    kept = shingles.dedup(df)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == df.columns and ids.count(None) == 2 and 3 in ids and 4 not in ids and 5 not in ids and 18 in ids and 19 not in ids
+    assert 12 in ids and 13 not in ids and 1 in ids and 2 not in ids and 6 not in ids
+    assert shingles.dedup(cases.empty(spark)).count() == 0
