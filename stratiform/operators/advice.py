@@ -184,6 +184,20 @@ def top_best_hours(spark, sf_dir):
     return activity_scores(spark, sf_dir).where("activity IN ('chay_bo', 'picnic')").withColumn("nth", nth).where("nth <= 5").select("ward_id", "activity", "ts_utc", "score")
 
 
+
+@query(_SCORED_SQL + """SELECT ward_id, activity, side, ts_utc, score
+FROM (SELECT *, row_number() OVER (PARTITION BY activity, ward_id ORDER BY score DESC, ts_utc) AS nth, count(*) OVER (PARTITION BY activity, ward_id) AS n FROM scored), (VALUES ('best'), ('worst')) AS v(side)
+WHERE (side = 'best' AND nth <= 5) OR (side = 'worst' AND n > 3 AND nth > n - 3)""")
+def top_best_worst_hours(spark, sf_dir):
+    """The five best hours of each activity, and the three worst where there are more than three."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("activity", "ward_id")
+    ranked = activity_scores(spark, sf_dir).withColumn("nth", F.row_number().over(own.orderBy(F.desc("score"), "ts_utc"))).withColumn("n", F.count(F.lit(1)).over(own))
+    sides = F.array_compact(F.array(F.when(F.col("nth") <= 5, "best"), F.when((F.col("n") > 3) & (F.col("nth") > F.col("n") - 3), "worst")))
+    return ranked.select("ward_id", "activity", F.explode(sides).alias("side"), "ts_utc", "score")
+
+
 #: An activity profile: issue, severity (1 warning, 2 danger) and condition.
 RUNNING = (
     ("heat", 2, "temp >= 32"), ("warm", 1, "temp >= 28 AND temp < 32"), ("uv_danger", 2, "uvi >= 8"), ("uv", 1, "uvi >= 5 AND uvi < 8"), ("humid", 1, "humidity >= 80"),

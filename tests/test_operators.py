@@ -96,3 +96,16 @@ def test_files(spark, tmp_path):
     assert len(spark.read.option("header", True).csv(str(tmp_path / "log")).first()["t"]) == 500
     assert files.violations(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"]).count() == 1
     assert files.conform(spark.range(1), spark.createDataFrame([], "id int, more string").schema).dtypes == [("id", "int"), ("more", "string")]
+
+
+def test_best_and_worst_hours_of_every_activity(spark):
+    from stratiform import catalog
+    from stratiform.operators.advice import ACTIVITIES
+
+    rows = catalog.queries()["top_best_worst_hours"](spark, "/root/testdata/sf0.001").collect()
+    sides = {}
+    for r in rows:
+        sides.setdefault((r["activity"], r["ward_id"]), []).append(r["side"])
+    assert {a for a, _ in sides} == {a[0] for a in ACTIVITIES}
+    assert any(s.count("worst") == 3 for s in sides.values())
+    assert all(s.count("worst") == (3 if s.count("best") > 3 else 0) for s in sides.values())
