@@ -1,20 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their prefixes of `PREFIXES` characters. The vocabulary is learned: of the labelled
-sample's terms those whose share of toxic texts is at least `LIFT` times their share of others, by a margin that
-chance does not give. Document frequencies of these terms are counted over all texts. The labelled sample forms an
-inverted index whose blocks of `BLOCK` examples store each term's greatest weight; a query adds these up to bound a
-block's cosines, visits blocks from the best bound down, and stops at the first that cannot reach its `NEIGHBOURS`
-best so far, so the neighbours are exact. Their similarity-weighted votes, with the weight of their class and a
-prior of `PRIOR` similarity, are turned into a rate by an isotonic fit over the leave-one-out votes of examples. One
-example in `PARTS` is kept from the choice of terms, and the fit is on these, which the choice cannot flatter.
+Terms are the lower-cased words of the labelled sample, all of them; document frequencies are counted over all texts.
+A term weighs (1 + ln tf) * idf * relevance. The relevance is 1 for a term that both classes share or that few examples
+hold, and grows with the lower confidence bound of the log of its rates in toxic and other examples: without it, the
+thousands of rare words of a text drown the few that tell the classes apart. The sample forms an inverted index whose
+blocks of `BLOCK` examples store each term's greatest weight; a query adds these up to bound a block's cosines, visits
+blocks from the best bound down, and stops at the first that cannot reach its `NEIGHBOURS` best so far, so the
+neighbours are exact. An example is never its own neighbour. Similarity-weighted votes, with the weight of each class,
+become a rate by an isotonic fit over the votes of examples. One example in `PARTS` is kept from the choice of
+relevances, and the fit is on these, which the choice cannot flatter.
 
 The sample is bounded: at most `PER_CLASS` labelled rows of class 0 and of class 1, those of least hash. Nothing else is.
 
-Defined results: a text without terms of the vocabulary (also a null, blank or empty one) gets the rate of such
-examples; ties between neighbours go to the one that comes first in the index; repeated rows get equal scores;
-labels other than 0 and 1, and labels without a document, are not learned from, and of several labels of an id the
-greatest counts; without labelled rows all scores are 0; an empty table gives an empty result.
+Defined results: a text that shares no term with an example (also a null, blank or empty one) gets the rate of such
+examples; ties between neighbours go to the one that comes first in the index; repeated rows get equal scores, unless
+one of them is an example; of several texts of a labelled id the one of least hash is the example; labels other than 0
+and 1, and labels without a document, are not learned from, and of several labels of an id the greatest counts; without
+labelled rows all scores are 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,20 +34,15 @@ from pyspark.sql import functions as F
 
 from stratiform.llm.common import written
 
-PER_CLASS = (12_000, 4000)
-PREFIXES = (4, 5, 6, 7)
-#: Least balanced precision, least z value, fewest texts of a vocabulary term; most terms.
-PRECISION, LEAST_Z, LEAST_TEXTS, MAX_TERMS = 0.95, 4.5, 4, 4096
-BLOCK, NEIGHBOURS, PRIOR = 64, 15, 2.0
+PER_CLASS = (4000, 4000)
+#: Standard errors taken off a term's log rate ratio, and the relevance that each unit above 0 adds.
+CAUTION, RELEVANCE = 2.0, 2.0
+BLOCK, NEIGHBOURS = 64, 15
 PARTS = 3
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, *(word[:k] + "*" for k in PREFIXES if len(word) > k))
-
-
 def words_of(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
@@ -55,79 +52,94 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, stop), one range after the other."""
+    sizes = stops - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 class Index:
     """Block-max inverted index over unit vectors; the examples come as (terms, weights) with labels and ids."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, class_weights: np.ndarray, n_terms: int, fresh: list[bool]):
-        order = sorted(range(len(vectors)), key=lambda i: (tuple(vectors[i][0].tolist()), tuple(vectors[i][1].tolist())))
+        # Examples whose heaviest terms are the same share blocks, which keeps the bounds of other blocks low.
+        order = sorted(range(len(vectors)), key=lambda i: (_heaviest(*vectors[i]), len(vectors[i][0]), vectors[i][0].tolist(), vectors[i][1].tolist()))
         self.labels = labels[order]
         self.ids = [ids[i] for i in order]
+        self.place = {x: i for i, x in enumerate(self.ids)}
         self.vote = class_weights[self.labels]
         self.fresh = np.array([fresh[i] for i in order], bool)
-        self.base = float(self.vote @ self.labels / self.vote.sum()) if len(vectors) else 0.0
+        self.none, self.steps = 0.0, (np.zeros(0), np.zeros(0))
         vectors = [vectors[i] for i in order]
-        self.vectors, self.n_terms = vectors, n_terms
+        self.vectors = vectors
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
         by_term = np.lexsort((example, term))
         self.example, self.weight = example[by_term], weight[by_term]
-        self.blocks = -(-len(vectors) // BLOCK)
-        cell = term[by_term] * max(self.blocks, 1) + self.example // BLOCK
-        self.starts = np.searchsorted(cell, np.arange(n_terms * max(self.blocks, 1) + 1)).tolist()
-        most = np.zeros(n_terms * max(self.blocks, 1))
-        np.maximum.at(most, cell, self.weight)
-        self.most = most.reshape(n_terms, max(self.blocks, 1))
+        self.blocks = max(1, -(-len(vectors) // BLOCK))
+        # A cell is the part of a term's list that lies in one block.
+        cell = term[by_term] * self.blocks + self.example // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.first, self.last = first, np.append(first[1:], len(cell)).astype(np.int64)
+        self.block = cell[first] % self.blocks
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first; `skip` is left out."""
-        bounds = weights @ self.most[terms] * (1 + 1e-12) + 1e-12
-        found, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 2e-12 or (len(found) >= k and bounds[b] < least):
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                a, z = self.starts[t * self.blocks + b], self.starts[t * self.blocks + b + 1]
-                if z > a:
-                    scores[self.example[a:z] - b * BLOCK] += w * self.weight[a:z]
+        a, z = self.cells[terms], self.cells[terms + 1]
+        own, times = _ranges(a, z), np.repeat(weights, z - a)
+        block = self.block[own]
+        bounds = np.bincount(block, times * self.most[own], self.blocks) * (1 + 1e-12) + 1e-12
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 2e-12]
+        found, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order) and (len(found) < k or bounds[order[at]] >= sims[-1]):
+            some = order[at : at + step]
+            if len(found) >= k:
+                some = some[bounds[some] >= sims[-1]]
+            at, step = at + step, 2 * step
+            wanted = np.zeros(self.blocks, bool)
+            wanted[some] = True
+            chosen = np.flatnonzero(wanted[block])
+            lo, hi = self.first[own[chosen]], self.last[own[chosen]]
+            rows = _ranges(lo, hi)
+            scores = np.bincount(self.example[rows], self.weight[rows] * np.repeat(times[chosen], hi - lo), len(self.labels))
+            if skip >= 0:
+                scores[skip] = 0
             hit = np.flatnonzero(scores > 0)
-            hit = hit[hit + b * BLOCK != skip]
-            found, sims = np.append(found, hit + b * BLOCK), np.append(sims, scores[hit])
+            found, sims = np.append(found, hit), np.append(sims, scores[hit])
+            if len(sims) > k:
+                able = np.flatnonzero(sims >= np.partition(sims, -k)[-k] - 1e-9)
+                found, sims = found[able], sims[able]
             best = np.lexsort((found, -np.round(sims, 12)))[:k]
             found, sims = found[best], sims[best]
-            least = sims[-1] if len(sims) else 0.0
         return found, sims
 
-    def votes(self, found: np.ndarray, sims: np.ndarray) -> float:
+    def vote_of(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
+        """(weighted share of toxic neighbours, the neighbours, their cosines); no share without neighbours."""
+        found, sims = self.nearest(terms, weights, NEIGHBOURS, skip)
         weight = sims * self.vote[found]
-        prior = PRIOR * self.vote[found].mean()
-        return float(((weight * self.labels[found]).sum() + prior * self.base) / (weight.sum() + prior))
-
-    def calibrate(self) -> None:
-        """The isotonic fit of labels on leave-one-out votes, and the rate of examples without terms."""
-        raw, label, weight, none = [], [], [], [0.0, 0.0]
-        for i, (terms, weights) in enumerate(self.vectors):
-            if not self.fresh[i]:
-                continue
-            found, sims = self.nearest(terms, weights, NEIGHBOURS, i) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-            if len(found):
-                raw.append(self.votes(found, sims))
-                label.append(float(self.labels[i]))
-                weight.append(float(self.vote[i]))
-            else:
-                none[0] += self.vote[i] * self.labels[i]
-                none[1] += self.vote[i]
-        self.none = none[0] / none[1] if none[1] else 0.0
-        self.steps = isotonic(np.array(raw), np.array(label), np.array(weight))
-
-    def score(self, terms: np.ndarray, weights: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
-        found, sims = self.nearest(terms, weights, NEIGHBOURS) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(found):
+        return (float((weight * self.labels[found]).sum() / weight.sum()) if len(found) else None), found, sims
+
+    def calibrate(self, places: np.ndarray, shares: list[float | None]) -> None:
+        """The isotonic fit of labels on the shares of the examples at `places`, and the rate of those without any."""
+        known = np.array([s is not None for s in shares], bool)
+        label, weight = self.labels[places].astype(np.float64), self.vote[places]
+        self.none = float((label * weight)[~known].sum() / weight[~known].sum()) if (~known).any() else 0.0
+        self.steps = isotonic(np.array([s for s in shares if s is not None], np.float64), label[known], weight[known])
+
+    def score(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, list[tuple[int, float]]]:
+        share, found, sims = self.vote_of(terms, weights, skip)
+        if share is None:
             return self.none, []
         at, rate = self.steps
-        raw = self.votes(found, sims)
-        return (float(np.interp(raw, at, rate)) if len(at) else raw), list(zip(found.tolist(), sims.tolist(), strict=True))
+        return (float(np.interp(share, at, rate)) if len(at) else share), list(zip(found.tolist(), sims.tolist(), strict=True))
+
+
+def _heaviest(terms: np.ndarray, weights: np.ndarray) -> int:
+    return int(terms[weights.argmax()]) if len(terms) else -1
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,113 +175,130 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str) -> tuple[DataFrame,
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, toxic, total = Counter(), Counter(), [0, 0]
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = {t for word in words_of(text.as_py()) for t in terms_of(word)}
-            texts.update(own)
-            total[label] += 1
-            if label:
-                toxic.update(own)
-    if sum(total):
-        # The empty term counts the texts themselves.
-        names = ["", *texts]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sum(total), *texts.values()]), pa.array([total[1], *(toxic[t] for t in texts)])], ["term", "n", "pos"])
-
-
-def _fresh(id_col: str) -> Column:
-    """Whether an example is kept from the choice of terms."""
-    return F.pmod(F.xxhash64(id_col, F.lit("part")), F.lit(PARTS)) == 0
-
-
-def vocabulary(sample_texts: DataFrame) -> list[str]:
-    """The terms that mark toxic texts, at most MAX_TERMS, from (label, text) rows."""
-    counts = written(sample_texts.select("label", "text").mapInArrow(_term_counts, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_TEXTS), "terms")
-    total = counts.where("term = ''").first()
-    if not total or not total["pos"] or total["pos"] == total["n"]:
-        return []
-    base, n, pos = total["pos"] / total["n"], F.col("n"), F.col("pos")
-    z = (pos - n * base) / F.sqrt(n * base * (1 - base))
-    ours, theirs = pos / total["pos"], (n - pos + 0.5) / (total["n"] - total["pos"])
-    best = counts.where("term <> ''").withColumn("z", z).where((F.col("z") >= LEAST_Z) & (ours >= PRECISION * (ours + theirs))).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    return [r["term"] for r in best.select("term").collect()]  # bounded by MAX_TERMS
+        own = [sorted(words_of(text.as_py()).items()) for text in batch.column(3)]
+        terms, counts = [[t for t, _ in pairs] for pairs in own], [[n for _, n in pairs] for pairs in own]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["id", "label", "fresh", "terms", "counts"])
 
 
 def _vectors(texts: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """(id, tag, terms array<int>, counts array<int>) of each row."""
-    known = texts.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})  # bounded by MAX_TERMS
+    known = texts.sparkSession.sparkContext.broadcast(terms)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, memo = known.value, {}
+        names = {t: i for i, t in enumerate(known.value)}
         for batch in batches:
-            found, counts = [], []
+            found, counts, sizes = [], [], [0]
             for text in batch.column(2):
-                own: Counter = Counter()
-                for word, n in words_of(text.as_py()).items():
-                    hits = memo.get(word)
-                    if hits is None:
-                        hits = tuple(names[t] for t in terms_of(word) if t in names)
-                        if len(memo) >= 500_000:
-                            memo.clear()
-                        if len(word) <= 64:
-                            memo[word] = hits
-                    for t in hits:
-                        own[t] += n
-                pairs = sorted(own.items())
-                found.append([t for t, _ in pairs])
-                counts.append([n for _, n in pairs])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "tag", "terms", "counts"])
+                pairs = sorted((names[w], n) for w, n in words_of(text.as_py()).items() if w in names)
+                found += [t for t, _ in pairs]
+                counts += [n for _, n in pairs]
+                sizes.append(len(found))
+            lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x, pa.int32())) for x in (found, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "tag", "terms", "counts"])
 
     kind = texts.schema[id_col].dataType.simpleString()
     return texts.select(id_col, F.xxhash64(text_col).alias("tag"), text_col).mapInArrow(run, f"id {kind}, tag long, terms array<int>, counts array<int>")
 
 
-def weigh(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights): (1 + ln tf) idf, as a unit vector."""
+def relevances(term: np.ndarray, label: np.ndarray, n_terms: int, sizes: np.ndarray) -> np.ndarray:
+    """The relevance of each term, at least 1: `term` and `label` by posting, `sizes` the examples of both classes."""
+    toxic, other = (np.bincount(term[label == c], minlength=n_terms) + 0.5 for c in (1, 0))
+    ratio = np.log(toxic / (sizes[1] + 1) / (other / (sizes[0] + 1)))
+    return 1 + RELEVANCE * np.maximum(ratio - CAUTION * np.sqrt(1 / toxic + 1 / other), 0)
+
+
+def weigh(terms: np.ndarray, counts: np.ndarray, importance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights): (1 + ln tf) times the term's importance, as a unit vector."""
     t = np.asarray(terms, np.int64)
-    w = (1 + np.log(np.asarray(counts, np.float64))) * idf[t]
+    w = (1 + np.log(np.asarray(counts, np.float64))) * importance[t]
     return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
 
+def _lists(batch: pa.RecordBatch | pa.Table, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edges, terms, counts) of the list columns `at` and `at + 1`."""
+    columns = [batch.column(k) for k in (at, at + 1)]
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    edges = columns[0].offsets.to_numpy().astype(np.int64)
+    return edges - edges[0], columns[0].flatten().to_numpy(zero_copy_only=False), columns[1].flatten().to_numpy(zero_copy_only=False)
+
+
+def _rows(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    edges, terms, counts = _lists(batch, at)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield terms[a:b], counts[a:b]
+
+
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, held_out, score, predicted, evidence) for each row; `tag` is the text's xxhash64.
 
     `evidence` holds the three nearest examples: id, similarity, label.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
     sample, class_weights = _sample(docs, labels, id_col)
     chosen = sample.withColumnRenamed(id_col, "__id")
-    texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))  # bounded by PER_CLASS
-    terms = vocabulary(texts.where(~_fresh("__id")))
-    table = written(_vectors(docs, terms, id_col, text_col), "vectors")
-    n_docs = table.count()
-    seen = {r["t"]: r["n"] for r in table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by MAX_TERMS
-    idf = np.log((1 + n_docs) / (1 + np.array([seen.get(i, 0) for i in range(len(terms))], np.float64))) + 1
-    rows = table.join(F.broadcast(chosen), F.col("id") == F.col("__id")).dropDuplicates(["id"]).select("id", "terms", "counts", "label", _fresh("id").alias("fresh")).collect()  # bounded by PER_CLASS
-    rows.sort(key=lambda r: str(r["id"]))
-    index = Index([weigh(r["terms"], r["counts"], idf) for r in rows], np.array([r["label"] for r in rows], np.int64), [r["id"] for r in rows], class_weights, len(terms), [r["fresh"] for r in rows])
-    index.calibrate()
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps((index, idf)))  # bounded as the sample and the vocabulary are
+    named = docs.select(F.col(id_col).alias("id"), F.struct(F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")).alias("own"))
+    texts = named.join(F.broadcast(chosen), F.col("id") == F.col("__id")).groupBy("id", "label").agg(F.min("own").alias("own"))  # bounded by PER_CLASS
+    fresh = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)) == 0
+    examples = texts.select("id", "label", fresh.alias("fresh"), "own.text").mapInArrow(_term_counts, f"id {kind}, label int, fresh boolean, terms array<string>, counts array<int>").toArrow()  # bounded by PER_CLASS
+    examples = examples.take(pa.array(np.argsort(np.array([str(x) for x in examples.column(0).to_pylist()]), kind="stable")))
+    words = pa.chunked_array([c.flatten() for c in examples.column(3).chunks], pa.string()).combine_chunks().dictionary_encode()
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    vocabulary, term = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+    edges, _, counts = _lists(examples, 3)
+    label, new = examples.column(1).to_numpy().astype(np.int64), examples.column(2).to_numpy(zero_copy_only=False).astype(bool)
+    table = written(_vectors(docs, vocabulary, id_col, text_col), "vectors")
+    n_docs, seen = table.count(), np.zeros(len(vocabulary))
+    found = table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()  # bounded by the sample's terms
+    seen[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    old = np.repeat(~new, np.diff(edges))
+    sizes = np.bincount(label[~new], minlength=2)
+    importance = (np.log((1 + n_docs) / (1 + seen)) + 1) * relevances(term[old], np.repeat(label, np.diff(edges))[old], len(vocabulary), sizes)
+    vectors = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        order = a + np.argsort(term[a:b])
+        vectors.append(weigh(term[order], counts[order], importance))
+    ids = examples.column(0).to_pylist()
+    index = Index(vectors, label, ids, class_weights, len(vocabulary), new.tolist())
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, _ = pickle.loads(first.value)
+        for batch in batches:
+            own = [index.place[x] for x in batch.column(0).to_pylist()]
+            got = [index.vote_of(*index.vectors[i], skip=i)[0] for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(got, pa.float64())], ["place", "share"])
+
+    first = spark.sparkContext.broadcast(cloudpickle.dumps((index, importance)))  # bounded as the sample is
+    pieces = 4 * spark.sparkContext.defaultParallelism
+    tested = chosen.withColumnRenamed("__id", "id").where(fresh).join(texts.select("id"), "id", "left_semi")
+    tested = sorted(map(tuple, tested.select("id").repartition(pieces, "id").mapInArrow(shares, "place long, share double").collect()))  # bounded by PER_CLASS
+    index.calibrate(np.array([p for p, _ in tested], np.int64), [s for _, s in tested])
+    index.vectors = []
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps((index, importance)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf = pickle.loads(sent.value)
+        index, importance = pickle.loads(sent.value)
         memo: dict[tuple, tuple] = {}
-        kind = pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+        shape = pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
             out, evidence = [], []
-            for t, n in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                key = (tuple(t), tuple(n))
+            for x, (t, n) in zip(batch.column(0).to_pylist(), _rows(batch, 3), strict=True):
+                own = index.place.get(x, -1)
+                key = (own, t.tobytes(), n.tobytes())
                 if key not in memo:
-                    if len(memo) >= 20_000:
+                    if len(memo) >= 5000:
                         memo.clear()
-                    memo[key] = index.score(*weigh(t, n, idf))
+                    memo[key] = index.score(*weigh(t, n, importance), own)
                 score, near = memo[key]
                 out.append(score)
                 evidence.append([{"id": str(index.ids[i]), "similarity": s, "toxic": int(index.labels[i])} for i, s in near[:3]])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64()), pa.array(evidence, kind)], ["id", "tag", "held_out", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64()), pa.array(evidence, shape)], ["id", "tag", "held_out", "score", "evidence"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = table.select("id", "tag", held_out("id").alias("held_out"), "terms", "counts").mapInArrow(run, f"id {kind}, tag long, held_out boolean, score double, evidence array<struct<id:string,similarity:double,toxic:int>>")
+    rows = table.select("id", "tag", held_out("id").alias("held_out"), "terms", "counts")
+    if rows.rdd.getNumPartitions() < pieces:
+        rows = rows.repartition(pieces, "id", "tag")
+    scored = rows.mapInArrow(run, f"id {kind}, tag long, held_out boolean, score double, evidence array<struct<id:string,similarity:double,toxic:int>>")
     return scored.select(F.col("id").alias(id_col), "tag", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 
 
