@@ -1,18 +1,23 @@
 """Line dedup by winnowing over line hashes.
 
-A text's lines are split at line feeds and compared without the white space at their ends. Each `RUN`-line window
-selects the line of least hash, the leftmost of equal ones, as its fingerprint: windows that repeat select the same
-fingerprint at the same place, so a repeated run of `RUN` lines is never missed. A fingerprint's stretch is the
-windows that selected it; extended both ways, the stretch covers all the lines of those windows.
-
-Fingerprints are joined by their stretch first: of equal stretches only the first in corpus order, by (id, line), is
-looked at again, and the others go whole. The windows of first stretches are then joined one by one, which finds
-matches that reach only part of a stretch. Both joins are partial aggregates of the first position, so a line that a
-third of the corpus shares is combined before it is dealt. A line goes if a window that covers it also starts
-earlier; overlapping windows extend the match, and the earliest run stays.
+A text's lines are split at line feeds and compared without the white space at their ends. Lines in turn that stand
+earlier in the corpus too, by (id, line), are a repeated run and go if they are `RUN` lines or more, not all blank, or
+have `LONG` bytes or more together; the earliest run stays.
+
+1. Winnowing. A window is `RUN` lines in turn, or fewer with `LONG` bytes together. Each selects its line of least hash, the
+   leftmost of equal ones, as its fingerprint: windows that repeat select the same fingerprint at the same place, so a
+   repeated run is never missed.
+2. Positions are joined by fingerprint: those whose line stands at one place only have no match and end here.
+3. Extension. From each other fingerprint the lines to its left and right are compared, in the windows that selected
+   it: of equal windows the first in corpus order stays and the others match it. Every window of a run is compared, so
+   the union of matched windows is the run extended both ways as far as any earlier place goes.
+
+Windows are compared by 128-bit hashes of their lines: at 10^13 windows the chance that any two different ones agree
+is below 10^-12. All joins are with partial aggregates (the count or the first place of a key), so a line that a third
+of the corpus shares is combined before it is dealt.
 
 Defined results: blank lines count as lines, but a window of blank lines only is no match; a null text stays null;
-texts of fewer than `RUN` lines stay; rows with the same id are told apart by their text, and rows equal in both
+ids may be of any type that has an order; rows with the same id are told apart by their text, and rows equal in both
 are one place in the corpus order, so they stay or lose lines alike; a null id comes last; other columns are not
 touched; an empty table gives an empty result.
 """
@@ -27,20 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.common import written
-
-#: Lines of the shortest run that counts as repeated.
-RUN = 3
-BLANKS = " \t\n\x0b\f\r"
-_LAST_ID = (1 << 63) - 1
-_PLACE = "named_struct('doc', doc, 'tag', tag, 'at', at)"
+from stratiform.llm.common import utf8, written
 
-
-def line_hashes(text: str, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each line, whether the line is blank)."""
-    lines = [line.strip(BLANKS) for line in text.split("\n")]
-    hashes = np.array([xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass")) for line in lines], np.uint64)
-    return hashes, np.array([not line for line in lines])
+#: Lines of the shortest run that counts as repeated, and bytes from which fewer lines count too.
+RUN, LONG = 3, 50
+BLANKS = b" \t\n\x0b\f\r"
+_PLACE = "named_struct('last', doc IS NULL, 'doc', doc, 'tag', tag, 'at', at)"
 
 
 def winnow(hashes: np.ndarray, run: int) -> np.ndarray:
@@ -57,63 +54,63 @@ def _fold(parts: list[np.ndarray], start: int) -> np.ndarray:
     return out
 
 
-def _window_hashes(hashes: np.ndarray, run: int) -> np.ndarray:
-    n = len(hashes) - run + 1
-    return _fold([hashes[k : n + k] for k in range(run)], 0x165667B19E3779F9)
-
-
-def stretches(text: str, run: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(first window, hash, window hashes) of each fingerprint's stretch."""
-    hashes, blank = line_hashes(text, run)
-    if len(hashes) < run:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), []
-    chosen, windows = winnow(hashes, run), _window_hashes(hashes, run)
-    empty = np.lib.stride_tricks.sliding_window_view(blank, run).all(1)
-    new = np.ones(len(chosen), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (empty[1:] != empty[:-1])
-    first = np.flatnonzero(new & ~empty)
-    ends = np.append(np.flatnonzero(new), len(chosen))
-    stop = ends[np.searchsorted(ends, first, "right")]
-    parts = [windows[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-    # Windows overlap, so equal window hashes in turn mean equal lines.
-    keys = np.array([_fold([w[None] for w in part], len(part))[0] for part in parts], np.uint64)
-    return first, keys, parts
-
-
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
-
+def _lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines of each text, 128-bit hashes of all lines as pairs of numbers, their bytes); ends are stripped."""
+    raw, offsets = utf8(column)
+    body, own, counts = raw.tobytes(), [], []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        lines = body[a:b].split(b"\n")
+        counts.append(len(lines))
+        own += [line.strip(BLANKS) for line in lines]
+    digest = xxhash.xxh3_128_digest
+    hashes = np.frombuffer(b"".join([digest(line) for line in own]), np.uint64).reshape(-1, 2)
+    return np.array(counts, np.int64), hashes, np.array([len(line) for line in own], np.int64)
+
+
+def windows(counts: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
+    """(first line, lines, fingerprint, hash, second hash) of the windows of texts with `counts` lines."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    before = np.append(0, np.cumsum(sizes))
+    found = []
+    for k in range(1, run + 1):
+        n = len(owner) - k + 1
+        if n < 1:
+            break
+        bytes_ = before[k:] - before[:n]
+        at = np.flatnonzero((owner[k - 1 :] == owner[:n]) & (bytes_ >= (1 if k == run else LONG)))
+        keys = [_fold([np.full(len(at), k, np.uint64), *(hashes[at + j, c] for j in range(k))], 0x165667B19E3779F9) for c in (0, 1)]
+        found.append((at, np.full(len(at), k), winnow(hashes[:, 0], k)[at], *keys))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5))
+
+
+def _fingerprints(run: int):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, hashes, sizes = _lines(batch.column(2))
+            first, length, chosen, a, b = windows(counts, hashes, sizes, run)
+            order = np.lexsort((length, first, chosen))
+            first, length, chosen, a, b = (x[order] for x in (first, length, chosen, a, b))
+            new = np.flatnonzero(np.diff(chosen, prepend=-1))
+            owner = np.repeat(np.arange(len(counts)), counts)[chosen[new]]
+            at = first - (np.cumsum(counts) - counts)[np.repeat(owner, np.diff(np.append(new, len(chosen))))]
+            structs = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["at", "size", "a", "b"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(chosen)).astype(np.int32)), structs)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in (0, 1)), pa.array(hashes[chosen[new], 0].view(np.int64)), lists], ["doc", "tag", "line", "windows"])
 
-def _firsts(places: DataFrame, key: str) -> DataFrame:
-    """(key, first): the first place of each key that has several. Written, so that the join with it has plain tables
-    on both sides and a hot key can be split."""
-    found = places.groupBy(key).agg(F.min(F.expr(_PLACE)).alias("first"), F.count(F.lit(1)).alias("n"))
-    return written(found.where("n > 1").select(key, "first"), "firsts")
+    return parse
 
 
 def repeats(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, starts array<int>): the windows of each text that also start earlier in the corpus."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tag, at, key, windows = [], [], [], [], []
-            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                first, keys, parts = stretches(text.as_py() or "", run)
-                doc += [d] * len(first)
-                tag += [t] * len(first)
-                at.append(first)
-                key.append(keys)
-                windows += [p.view(np.int64) for p in parts]
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(key).view(np.int64)), pa.array(windows, pa.list_(pa.int64()))], ["doc", "tag", "at", "key", "windows"])
-
-    texts = _keyed(df, id_col, text_col)
-    found = written(texts.mapInArrow(parse, "doc long, tag long, at int, key long, windows array<long>"), "stretches")
-    judged = written(found.join(_firsts(found, "key"), "key", "left").withColumn("again", F.coalesce(F.expr(f"{_PLACE} > first"), F.lit(False))).select("doc", "tag", "at", "windows", "again"), "judged")
-    whole = judged.where("again").select("doc", "tag", F.explode(F.expr("sequence(at, at + size(windows) - 1)")).alias("start"))
-    single = judged.where("not again").select("doc", "tag", "at", F.posexplode("windows").alias("step", "window")).select("doc", "tag", (F.col("at") + F.col("step")).alias("at"), "window")
-    parts = single.join(_firsts(single, "window"), "window").where(F.expr(f"{_PLACE} > first")).select("doc", "tag", F.col("at").alias("start"))
-    return whole.union(parts).groupBy("doc", "tag").agg(F.collect_set("start").alias("starts"))
+    """(doc, tag, matches array<struct<at, size>>): the windows of each text that also start earlier in the corpus."""
+    kind = df.schema[id_col].dataType.simpleString()
+    texts = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    found = written(texts.mapInArrow(_fingerprints(run), f"doc {kind}, tag long, line long, windows array<struct<at:int,size:int,a:long,b:long>>"), "fingerprints")
+    # Written, so that both joins have plain tables on both sides and a hot key can be split.
+    several = written(found.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line"), "several")
+    single = written(found.join(several, "line").select("doc", "tag", F.inline("windows")), "windows")
+    firsts = single.groupBy("a", "b").agg(F.min(F.expr(_PLACE)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
+    matches = single.join(written(firsts, "firsts"), ["a", "b"]).where(F.expr(f"{_PLACE} > first"))
+    return matches.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "size")).alias("matches"))
 
 
 def dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,47 +125,47 @@ def digests(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
 
 
 def _cut(df: DataFrame, run: int, id_col: str, text_col: str) -> DataFrame:
-    found = repeats(df, run, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"))
+    found = repeats(df, run, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("matches").alias("__matches"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for text, starts in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
-                text, starts = text.as_py(), starts.as_py()
+            for text, matches in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+                text, matches = text.as_py(), matches.as_py()
                 lines = (text or "").split("\n")
-                if starts:
-                    drop = {s + k for s in starts for k in range(run)}
+                drop = {m["at"] + k for m in matches or () for k in range(m["size"])}
+                if drop:
                     text = "\n".join(line for i, line in enumerate(lines) if i not in drop)
-                    gone.append(len(drop))
-                else:
-                    gone.append(0)
+                gone.append(len(drop))
                 texts.append(text)
                 counts.append(len(lines))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*batch.schema.names[:-2], "__kept", "__n_lines", "__n_removed"])
 
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
-    both = df.join(found, (doc == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__tag")), "left")
+    both = df.join(found, F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__tag")), "left")
     others = [f for f in df.schema if f.name != text_col]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in others]
-    out = both.select(*[f.name for f in others], text_col, "__starts").mapInArrow(cut, ", ".join([*fields, "__kept string, __n_lines long, __n_removed long"])).withColumnRenamed("__kept", text_col)
+    out = both.select(*[f.name for f in others], text_col, "__matches").mapInArrow(cut, ", ".join([*fields, "__kept string, __n_lines long, __n_removed long"])).withColumnRenamed("__kept", text_col)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns, "__n_lines", "__n_removed")
 
 
-ORACLE_SQL = f"""
+ORACLE_SQL = """
 WITH lines AS (
   SELECT doc_id, line, i - 1 AS pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
 windows AS (
-  SELECT doc_id, pos, count(*) OVER w AS n, list(bare) OVER w AS lines
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING)),
-placed AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY lines ORDER BY doc_id, pos) AS place
-  FROM windows WHERE n = {RUN} AND len(list_filter(lines, lambda x: x <> '')) > 0),
-gone AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM placed, range({RUN}) AS r(k) WHERE place > 1)
+  SELECT doc_id, pos, 1 AS size, [bare] AS lines FROM lines WHERE strlen(bare) >= 50
+  UNION ALL
+  SELECT doc_id, pos, 2, [bare, next] FROM (SELECT *, lead(bare) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM lines)
+  WHERE strlen(bare) + strlen(next) >= 50
+  UNION ALL
+  SELECT doc_id, pos, 3, [bare, next, third]
+  FROM (SELECT *, lead(bare) OVER w AS next, lead(bare, 2) OVER w AS third FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+  WHERE strlen(bare) + strlen(next) + strlen(third) > 0),
+placed AS (SELECT doc_id, pos, size, row_number() OVER (PARTITION BY lines ORDER BY doc_id, pos) AS place FROM windows),
+gone AS (SELECT DISTINCT doc_id, pos + unnest(range(size)) AS pos FROM placed WHERE place > 1)
 SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
        md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_md5
 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos

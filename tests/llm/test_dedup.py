@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratiform.llm import graph, lines, registry, shingles, simhash, suffixes
@@ -51,6 +53,48 @@ def test_lines_on_awkward_rows(spark):
     assert lines.dedup(cases.empty(spark)).count() == 0
 
 
+def _line_runs(pairs):
+    """{(id, text): kept text} from the definition: every window against all earlier places."""
+    order = lambda d: (d is None, d or 0)
+    texts = sorted({(d, t) for d, t in pairs}, key=lambda x: (order(x[0]), xxhash64(x[1])))
+    seen, out = set(), {}
+    for d, t in texts:
+        own = [line.strip(" \t\n\x0b\f\r") for line in (t or "").split("\n")]
+        gone = set()
+        for i in range(len(own)):
+            for k in (1, 2, 3):
+                window = tuple(own[i : i + k])
+                if len(window) == k and sum(len(x.encode()) for x in window) >= (1 if k == 3 else 50):
+                    if window in seen:
+                        gone |= set(range(i, i + k))
+                    seen.add(window)
+        out[d, t] = t if not gone else "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in gone)
+    return out
+
+
+def xxhash64(text):
+    """Spark's signed hash of a text; 42 for null."""
+    x = xxhash.xxh64_intdigest(text.encode(), 42) if text is not None else 42
+    return x - (x >> 63 << 64)
+
+
+def test_lines_match_brute_force(spark):
+    rng = random.Random(4)
+    short, long_ = ["a", "b", "", "c c", "  "], ["one line that is long enough to count by itself, " + x for x in "xy"] + ["thirty bytes or so of a line " + x for x in "uv"]
+    texts = [(rng.randrange(90) or None, "\n".join(rng.choice(short if rng.random() < 0.6 else long_) for _ in range(rng.randrange(1, 12)))) for _ in range(150)]
+    for df in (spark.createDataFrame(texts, "doc_id long, text string").repartition(4), cases.table(spark).where("doc_id is null or doc_id not in (12, 13)")):
+        want = _line_runs(pairs(df))
+        assert Counter(pairs(lines.dedup(df))) == Counter((d, want[d, t]) for d, t in pairs(df))
+    named = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert lines.dedup(named).count() == df.count()
+
+
+def test_lines_of_a_long_text(spark):
+    body = "\n".join(f"line {i % 70_000} of a text of several megabytes" for i in range(100_000))
+    got = lines.digests(spark.createDataFrame([(1, body), (2, body)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == {1: (100_000, 30_000), 2: (100_000, 100_000)}
+
+
 def test_winnowing_never_misses_a_run():
     rng = np.random.default_rng(1)
     for _ in range(200):
