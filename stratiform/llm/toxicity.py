@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,23 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
+@dataclass(frozen=True)
+class Rates:
+    """Toxic rates: of texts without neighbours, and of those whose neighbours' share is `at`."""
+
+    none: float
+    at: np.ndarray
+    rate: np.ndarray
+
+
+def calibrated(rows: list[tuple[int, float, float | None]]) -> Rates:
+    """The rates of (label, weight, share) rows; the share is None where there are no neighbours."""
+    known, alone = [r for r in sorted(rows, key=str) if r[2] is not None], [r for r in rows if r[2] is None]
+    none = sum(y * w for y, w, _ in alone) / sum(w for _, w, _ in alone) if alone else 0.0
+    label, weight, share = (np.array([r[k] for r in known], np.float64) for k in range(3))
+    return Rates(none, *isotonic(share, label, weight))
+
+
 class Index:
     """Block-max inverted index over unit vectors; the examples come as (terms, weights) with labels and ids."""
 
@@ -69,7 +88,6 @@ class Index:
         self.place = {x: i for i, x in enumerate(self.ids)}
         self.vote = class_weights[self.labels]
         self.fresh = np.array([fresh[i] for i in order], bool)
-        self.none, self.steps = 0.0, (np.zeros(0), np.zeros(0))
         vectors = [vectors[i] for i in order]
         self.vectors = vectors
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
@@ -123,19 +141,11 @@ class Index:
         weight = sims * self.vote[found]
         return (float((weight * self.labels[found]).sum() / weight.sum()) if len(found) else None), found, sims
 
-    def calibrate(self, places: np.ndarray, shares: list[float | None]) -> None:
-        """The isotonic fit of labels on the shares of the examples at `places`, and the rate of those without any."""
-        known = np.array([s is not None for s in shares], bool)
-        label, weight = self.labels[places].astype(np.float64), self.vote[places]
-        self.none = float((label * weight)[~known].sum() / weight[~known].sum()) if (~known).any() else 0.0
-        self.steps = isotonic(np.array([s for s in shares if s is not None], np.float64), label[known], weight[known])
-
-    def score(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, list[tuple[int, float]]]:
+    def score(self, rates: Rates, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, list[tuple[int, float]]]:
         share, found, sims = self.vote_of(terms, weights, skip)
         if share is None:
-            return self.none, []
-        at, rate = self.steps
-        return (float(np.interp(share, at, rate)) if len(at) else share), list(zip(found.tolist(), sims.tolist(), strict=True))
+            return rates.none, []
+        return (float(np.interp(share, rates.at, rates.rate)) if len(rates.at) else share), list(zip(found.tolist(), sims.tolist(), strict=True))
 
 
 def _heaviest(terms: np.ndarray, weights: np.ndarray) -> int:
@@ -183,10 +193,10 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(texts: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """(id, tag, terms array<int>, counts array<int>) of each row."""
-    known = texts.sparkSession.sparkContext.broadcast(terms)  # bounded by the sample
+    known = texts.sparkSession.sparkContext.broadcast(zlib.compress("\n".join(terms).encode(), 1))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = {t: i for i, t in enumerate(known.value)}
+        names = {t: i for i, t in enumerate(zlib.decompress(known.value).decode().split("\n"))}
         for batch in batches:
             found, counts, sizes = [], [], [0]
             for text in batch.column(2):
@@ -215,6 +225,18 @@ def weigh(terms: np.ndarray, counts: np.ndarray, importance: np.ndarray) -> tupl
     return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
 
+def _held(sent: Broadcast) -> tuple[Index, np.ndarray]:
+    """(the index, the importance of terms) that a broadcast stands for, made once for each worker."""
+    if not hasattr(sent, "made"):
+        edges, term, counts, label, ids, class_weights, importance, fresh = pickle.loads(zlib.decompress(sent.value))
+        vectors = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            order = a + np.argsort(term[a:b])
+            vectors.append(weigh(term[order], counts[order], importance))
+        sent.made = Index(vectors, label, ids, class_weights, len(importance), fresh.tolist()), importance
+    return sent.made
+
+
 def _lists(batch: pa.RecordBatch | pa.Table, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(edges, terms, counts) of the list columns `at` and `at + 1`."""
     columns = [batch.column(k) for k in (at, at + 1)]
@@ -255,30 +277,22 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     old = np.repeat(~new, np.diff(edges))
     sizes = np.bincount(label[~new], minlength=2)
     importance = (np.log((1 + n_docs) / (1 + seen)) + 1) * relevances(term[old], np.repeat(label, np.diff(edges))[old], len(vocabulary), sizes)
-    vectors = []
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        order = a + np.argsort(term[a:b])
-        vectors.append(weigh(term[order], counts[order], importance))
-    ids = examples.column(0).to_pylist()
-    index = Index(vectors, label, ids, class_weights, len(vocabulary), new.tolist())
+    state = (edges, term.astype(np.int32), counts, label, examples.column(0).to_pylist(), class_weights, importance, new)
+    sent = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(state), 1))  # bounded as the sample is
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, _ = pickle.loads(first.value)
+        index, _ = _held(sent)
         for batch in batches:
             own = [index.place[x] for x in batch.column(0).to_pylist()]
             got = [index.vote_of(*index.vectors[i], skip=i)[0] for i in own]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(got, pa.float64())], ["place", "share"])
+            yield pa.RecordBatch.from_arrays([pa.array(index.labels[own]), pa.array(index.vote[own]), pa.array(got, pa.float64())], ["label", "weight", "share"])
 
-    first = spark.sparkContext.broadcast(cloudpickle.dumps((index, importance)))  # bounded as the sample is
     pieces = 4 * spark.sparkContext.defaultParallelism
     tested = chosen.withColumnRenamed("__id", "id").where(fresh).join(texts.select("id"), "id", "left_semi")
-    tested = sorted(map(tuple, tested.select("id").repartition(pieces, "id").mapInArrow(shares, "place long, share double").collect()))  # bounded by PER_CLASS
-    index.calibrate(np.array([p for p, _ in tested], np.int64), [s for _, s in tested])
-    index.vectors = []
-    sent = spark.sparkContext.broadcast(cloudpickle.dumps((index, importance)))
+    rates = calibrated([tuple(r) for r in tested.select("id").repartition(pieces, "id").mapInArrow(shares, "label long, weight double, share double").collect()])  # bounded by PER_CLASS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, importance = pickle.loads(sent.value)
+        index, importance = _held(sent)
         memo: dict[tuple, tuple] = {}
         shape = pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
@@ -289,7 +303,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 if key not in memo:
                     if len(memo) >= 5000:
                         memo.clear()
-                    memo[key] = index.score(*weigh(t, n, importance), own)
+                    memo[key] = index.score(rates, *weigh(t, n, importance), own)
                 score, near = memo[key]
                 out.append(score)
                 evidence.append([{"id": str(index.ids[i]), "similarity": s, "toxic": int(index.labels[i])} for i, s in near[:3]])
