@@ -1,11 +1,11 @@
 """Packing into length buckets that minimise padding.
 
-A global histogram of lengths is folded into at most a few thousand cells, whatever the input: one for each
-length up to `EXACT_LENGTHS`, beyond that cells whose width is 1/64 of their length. Dynamic programming over the
-cells chooses the bucket boundaries with the least padding: `best[k][i] = min over j of best[k-1][j] + cost(j, i)`,
-where the cost of padding cells j..i to the longest text in them is a line in that length, so each layer is a
-lower envelope of lines, found in linear time. Inside a bucket, batches take as many texts as fit the token
-budget at the bucket's padded length.
+The global histogram has a cell for each different length. Dynamic programming over all of them chooses the bucket
+boundaries with the least padding: `best[k][i] = min over j of best[k-1][j] + cost(j, i)`, where the cost of padding
+lengths j..i to the longest of them is a line in that length, so each layer is a lower envelope of lines, found in
+linear time. The histogram is bounded: n different lengths take n(n - 1)/2 words of text at least, so a corpus of 10^13
+words has fewer than 4.5 million of them. Inside a bucket, batches take as many texts as fit the token budget at the
+bucket's padded length.
 
 Defined results: a null or blank text has no tokens and falls into the first bucket; a text longer than the budget
 has a batch to itself; ties are broken by id and then by a hash of the text, and rows equal in both are
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from stratiform.llm.common import ranked, written
 
-#: Lengths up to here have a histogram cell each; longer ones share cells of 1/64 relative width.
-EXACT_LENGTHS = 4096
 BUCKETS = 8
 #: Tokens of a batch, padding included.
 BATCH_TOKENS = 65_536
@@ -32,12 +30,6 @@ def token_count(text: str | Column) -> Column:
     return words.cast("long")
 
 
-def cell_of(length: Column) -> Column:
-    """The histogram cell of a length: the least value of those that share the cell."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6).cast("long")
-    return F.when(length <= EXACT_LENGTHS, length).otherwise(length - length % F.greatest(step, F.lit(1))).cast("long")
-
-
 def boundaries(counts: list[int], sums: list[int], tops: list[int], buckets: int) -> list[int]:
     """The padded lengths of at most `buckets` buckets with the least total padding.
 
@@ -91,10 +83,10 @@ def pack(df: DataFrame, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS
     numbers the batches of the bucket and `slot` the texts of the batch.
     """
     narrow = written(df.select(F.col(id_col).alias("__id"), token_count(text_col).alias("n_tokens"), F.xxhash64(text_col).alias("__hash")), "lengths")
-    histogram = narrow.groupBy(cell_of(F.col("n_tokens")).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s"), F.max("n_tokens").alias("top"))
-    cells = sorted(map(tuple, histogram.collect()))  # bounded: a cell for each length to 4096, 64 for each power of two beyond
-    tops = boundaries([c[1] for c in cells], [c[2] for c in cells], [c[3] for c in cells], buckets)
-    n_rows = sum(c[1] for c in cells)
+    histogram = narrow.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("n_tokens")  # bounded: see above
+    lengths, counts = histogram.column(0).to_pylist(), histogram.column(1).to_pylist()
+    tops = boundaries(counts, [x * n for x, n in zip(lengths, counts, strict=True)], lengths, buckets)
+    n_rows = sum(counts)
     length = F.col("n_tokens")
     bucket = sum((F.when(length > top, 1).otherwise(0) for top in tops[:-1]), F.lit(0)).cast("int")
     padded = F.lit(tops[-1] if tops else 0)
