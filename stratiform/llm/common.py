@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,10 +22,18 @@ MIN_CHUNKS = 256
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Folders of the tables that `written` made.
+_TABLES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or one of our own where that is unset."""
+    """The folder that all executors share: `spark.checkpoint.dir`. On a local master, and only there, one of our own
+    where that is unset: the executors of a cluster would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         base = tempfile.mkdtemp(prefix="stratiform-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -33,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again: cuts the lineage, and survives lost executors.
 
-    The table goes when the driver ends.
+    The table goes with `release`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratiform-{uuid.uuid4().hex}/{name}"
@@ -43,13 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    atexit.register(_delete, spark, path.rpartition("/")[0])
+    if not _TABLES:
+        atexit.register(release, spark)
+    _TABLES.append(path.rpartition("/")[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def release(spark: SparkSession) -> None:
+    """Deletes the tables of all results so far, which can be read no more: a long session calls it between queries."""
+    while _TABLES and spark.sparkContext._jsc is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,9 +11,10 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratiform.llm import bpe, flac, packing, sharding
+from stratiform.llm import bpe, common, flac, packing, sharding
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +35,39 @@ def test_boundaries_are_optimal(seed):
     assert len(tops) <= buckets and padding(tuple(tops)) == best
 
 
+def test_boundaries_over_thousands_of_lengths_are_optimal():
+    rng = np.random.default_rng(6)
+    lengths = np.sort(rng.choice(30_000, 5000, replace=False) + 1)
+    counts = rng.integers(1, 50, len(lengths))
+    n_before, s_before = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts * lengths))
+    best = np.concatenate([[0], np.full(len(lengths), 2**60)])
+    for _ in range(8):
+        layer = best.copy()
+        for i in range(1, len(lengths) + 1):
+            layer[i] = (best[:i] + lengths[i - 1] * (n_before[i] - n_before[:i]) - (s_before[i] - s_before[:i])).min()
+        best = layer
+    tops = np.array(packing.boundaries(counts.tolist(), (counts * lengths).tolist(), lengths.tolist(), 8))
+    assert (counts * (tops[np.searchsorted(tops, lengths)] - lengths)).sum() == best[-1]
+
+
+def test_packing_matches_brute_force(spark):
+    """The whole result: buckets of least padding, budgets, and places by (chunk, id, hash) within each bucket."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lengths = {r["doc_id"]: len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w]) for r in df.collect()}
+    got = {r["doc_id"]: r for r in packing.pack(df, buckets=3).collect()}
+    each = sorted(set(lengths.values()))
+    pad = lambda tops: sum(min(t for t in tops if t >= x) - x for x in lengths.values())
+    best = min(pad((*c, each[-1])) for c in itertools.combinations(each[:-1], 2))
+    assert sum(r["padded_tokens"] - r["n_tokens"] for r in got.values()) == best
+    tops = sorted({r["padded_tokens"] for r in got.values()})
+    for d, x in lengths.items():
+        assert (got[d]["n_tokens"], got[d]["padded_tokens"], got[d]["bucket"]) == (x, min(t for t in tops if t >= x), sum(t < x for t in tops))
+    for k, top in enumerate(tops):
+        own = [(r["batch"], r["slot"]) for r in got.values() if r["bucket"] == k]
+        per = max(1, packing.BATCH_TOKENS // max(top, 1))
+        assert sorted(own) == [(i // per, i % per) for i in range(len(own))]
+
+
 def test_packing_places_every_row_once(spark):
     for df in (cases.table(spark), spark.read.parquet(f"{SF}/documents.parquet")):
         got = packing.pack(df).collect()
@@ -59,6 +94,53 @@ def test_minimax_capacity_is_least(seed):
     assert max(sum(sizes[a:b]) for a, b in itertools.pairwise([0, *ends])) <= capacity
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_refined_ranges_give_the_least_capacity_over_groups(spark, monkeypatch, seed):
+    monkeypatch.setattr(sharding, "CELL_BITS", 4)
+    monkeypatch.setattr(sharding, "SPLIT_BITS", 2)
+    rng = np.random.default_rng(seed)
+    hashes = np.unique(rng.integers(-(2**63), 2**63, 400))
+    if seed % 2:  # hashes that only their last bits tell apart
+        hashes = np.unique(np.concatenate([hashes[:50], hashes[7] + np.arange(200)]))
+    sizes = rng.integers(1, 1000, len(hashes))
+    if seed >= 2:
+        sizes[len(sizes) // 3] = sizes.sum() // 2
+    groups = spark.createDataFrame(list(zip(hashes.tolist(), sizes.tolist(), strict=True)), "hash long, bytes long")
+    capacity, firsts = sharding.cuts_of(groups, 7)
+    assert capacity == sharding.minimax(sizes, 7)[0]
+    at = [0, *np.searchsorted(hashes, firsts).tolist(), len(hashes)]
+    assert at == sorted(at) and max(int(sizes[a:b].sum()) for a, b in itertools.pairwise(at)) <= capacity
+
+
+def test_shards_match_brute_force(spark):
+    """Sizes, checksums and shards of all rows against the definition over whole groups; slots are gapless."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
+    rows = sorted(df.collect(), key=lambda r: r["h"])
+    order = [list(own) for _, own in itertools.groupby(rows, key=lambda r: r["h"])]
+    sizes = [sum(len((r["text"] or "").encode()) + 1 for r in own) for own in order]
+    _, cuts = sharding.minimax(sizes, 16)
+    want = {r["doc_id"]: (len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), sum(i >= c for c in cuts)) for i, own in enumerate(order) for r in own}
+    got = sharding.shard(df.drop("h")).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"]) for r in got} == want and len(got) == len(rows)
+    for k in range(16):
+        own = sorted(r["slot"] for r in got if r["shard"] == k)
+        assert own == list(range(len(own)))
+
+
+def test_tables_need_a_shared_folder_and_can_be_released(spark, monkeypatch):
+    kept = common.written(spark.range(3), "kept")
+    common.release(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        kept.collect()
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+
+
 def test_shards_keep_equal_texts_together(spark):
     for df in (cases.table(spark), spark.read.parquet(f"{SF}/documents.parquet")):
         got = sharding.shard(df).collect()
