@@ -5,6 +5,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from stratiform.llm import quality, registry, toxicity, urls
 from tests import oracle
@@ -81,6 +83,48 @@ def test_url_rules(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def _area(scores, labels):
+    """The chance that a blocked URL has a higher score than an allowed one; ties count half."""
+    pos, neg = ([x for x, y in zip(scores, labels, strict=True) if y == k] for k in (1, 0))
+    return np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg])
+
+
+def test_url_model_on_hosts_that_it_has_not_seen(spark):
+    pages = urls.parsed(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is not null")
+    verdicts = {h + p: v for h, p, v in urls.RULES}
+    labelled = pages.withColumn("blocked", F.col("rule").isin([r for r, v in verdicts.items() if v == "block"]).cast("int"))
+    held = F.pmod(F.xxhash64("host"), F.lit(4)) == 0
+    model = urls.train(labelled.where(~held))
+    got = urls.scored(labelled.where(held), model).collect()
+    assert len(got) > 100 and _area([r["score"] for r in got], [verdicts[r["rule"]] == "block" for r in got]) > 0.8
+
+
+def test_url_features():
+    url = ["https://www.Ex-a.example.org/de/p1//x.html?a=1&b=2#top", "", "http://h/"]
+    host, path, query = ["www.ex-a.example.org", "", "h"], ["/de/p1//x.html", "", "/"], ["a=1&b=2", "", ""]
+    got = urls.features(*(pa.array(x) for x in (url, host, path, query)))
+    entropy = lambda t: -sum(t.count(c) / len(t) * math.log2(t.count(c) / len(t)) for c in set(t))
+    u = url[0]
+    want = [len(u), 20, 14, 7, 4, 7, 3, 6, 3 / len(u), sum(c.isalpha() for c in u) / len(u), 1 / len(u), 1, 0, 0, entropy(host[0]), entropy(path[0]), 2, 1, 1]
+    assert np.allclose(got[0], want) and not got[1].any()
+    assert np.allclose(got[2], [9, 1, 1, 0, 1, 1, 0, 0, 0, 5 / 9, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+
+
+def test_suffix_statistics_cover_all_and_leave_the_own_host_out(spark):
+    rows = [(i, f"http://h{i % 7}.s{i}.t{i % 3}/p{i}.e{i % 5}") for i in range(60)]
+    known = urls.parsed(spark.createDataFrame(rows, "page_id long, url string")).withColumn("blocked", (F.col("id") % 2).cast("int"))
+    model = urls.train(known)
+    got = {r["key"]: (r["total"], r["hosts"]) for r in model.suffixes.collect()}
+    assert got["1:t0"] == (10, 20) and got["2:s5.t2"] == (1, 1) and got["e:e3"] == (6, 12) and len(got) == 3 + 60 + 5 + 60
+    assert model.base == 0.5 and {r["blocked"] for r in known.collect()} == {0, 1}
+
+
+def test_url_models_of_one_class_or_none(spark):
+    df = spark.createDataFrame([(1, "http://a.net/"), (2, "http://b.io/"), (3, None)], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(df).collect()} == {1: "block", 2: "block", 3: "block"}
+    assert {r["verdict"] for r in urls.judge(df.where("page_id > 1")).collect()} == {"allow"}
+
+
 def test_trees_learn():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 4))
