@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiform.functions import bands
-from stratiform.registry import query
-from stratiform.sources.roles import AS_OF, HOURLY_SQL, hourly, placed, rounded, shown
+from stratiform.registry import REGISTRY, query
+from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_DAY, NEXT_HOUR, hourly, rounded, shown, wards
 
 TS = "strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc"
 _WET = "('Rain', 'Drizzle', 'Thunderstorm')"
@@ -136,17 +136,24 @@ def alerts(facts: DataFrame) -> DataFrame:
     return facts.where(_NEXT).select("district_id", "ward_id", shown("ts_utc").alias("ts_utc"), F.explode(hits).alias("alert"))
 
 
-_ALERTS_SQL = " UNION ALL ".join(f"SELECT district_id, ward_id, {TS}, '{n}' AS alert FROM placed WHERE {c} AND {_NEXT.replace('ts_utc', 'placed.ts_utc')}" for n, c in ALERTS)
+_ALERTS_SQL = ", next AS (SELECT * FROM placed WHERE data_kind = 'forecast' AND ts_utc > TIMESTAMP '2024-01-20 06:00:00' AND ts_utc < TIMESTAMP '2024-01-21 06:00:00' AND ward_id IN (SELECT min(c_custkey) FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_nationkey)), found AS (" + " UNION ALL ".join(f"SELECT district_id, ward_id, {TS}, '{n}' AS alert FROM next WHERE {c}" for n, c in (("wind", "wind_gust > 20"), ("cold", "temp < 13"), ("heat", "temp > 39"), ("thunderstorm", "weather_main = 'Thunderstorm'"))) + ")\n"
 
 
-@query(HOURLY_SQL + _ALERTS_SQL)
+def representative_facts(spark, sf_dir) -> DataFrame:
+    """The forecast of the next day of each group's representative leaf, the one of least id."""
+    chosen = wards(spark, sf_dir).where("district_id IS NOT NULL").groupBy("district_id").agg(F.min("ward_id").alias("ward_id"))
+    facts = hourly(spark, sf_dir, NEXT_HOUR, NEXT_DAY).where("data_kind = 'forecast'").join(F.broadcast(chosen), "ward_id")  # a leaf for each of a few dozen groups
+    return facts
+
+
+@query(HOURLY_SQL + _ALERTS_SQL + "SELECT * FROM found")
 def fn_alert_rules(spark, sf_dir):
-    return alerts(placed(spark, sf_dir))
+    return alerts(representative_facts(spark, sf_dir))
 
 
-@query(HOURLY_SQL + f"SELECT district_id, alert, count(*) AS n_alerts, count(DISTINCT ward_id) AS n_wards, min(ts_utc) AS first_ts FROM ({_ALERTS_SQL}) GROUP BY ALL")
+@query(HOURLY_SQL + _ALERTS_SQL + "SELECT district_id, alert, count(*) AS n_alerts, count(DISTINCT ward_id) AS n_wards, min(ts_utc) AS first_ts FROM found GROUP BY ALL")
 def fn_alerts_grouped(spark, sf_dir):
-    return alerts(placed(spark, sf_dir)).groupBy("district_id", "alert").agg(F.count(F.lit(1)).alias("n_alerts"), F.count_distinct("ward_id").alias("n_wards"), F.min("ts_utc").alias("first_ts"))
+    return alerts(representative_facts(spark, sf_dir)).groupBy("district_id", "alert").agg(F.count(F.lit(1)).alias("n_alerts"), F.count_distinct("ward_id").alias("n_wards"), F.min("ts_utc").alias("first_ts"))
 
 
 # Activity, temperature range, most chance of rain, UV, wind, humidity (null: no limit).
@@ -159,14 +166,14 @@ _ACTIVITY_SQL = "(VALUES " + ", ".join("('%s', %s, %s, %s, %s, %s, %s)" % tuple(
 _SCORE = """greatest(0, round_even(round(100 - CASE WHEN temp < low THEN least(30, (low - temp) * 5) WHEN temp > high THEN least(30, (temp - high) * 5) ELSE 0 END
  - CASE WHEN pop > pop_max THEN least(40, pop * 50) ELSE 0 END - CASE WHEN uvi > uv_max THEN least(20, (uvi - uv_max) * 5) ELSE 0 END
  - CASE WHEN wind_speed > wind_max THEN least(20, (wind_speed - wind_max) * 5) ELSE 0 END - CASE WHEN humidity > humidity_max THEN least(15, (humidity - humidity_max) * 0.5) ELSE 0 END, 6), 0))"""
-_SCORED_SQL = HOURLY_SQL + f", f AS (SELECT * FROM hourly WHERE ts_utc > TIMESTAMP '{AS_OF}'), scored AS (SELECT activity, ward_id, {TS}, {_SCORE}::DOUBLE AS score FROM f, {_ACTIVITY_SQL})\n"
+_SCORED_SQL = HOURLY_SQL + f", f AS (SELECT * FROM hourly WHERE ts_utc > TIMESTAMP '{AS_OF}' AND temp IS NOT NULL), scored AS (SELECT activity, ward_id, {TS}, {_SCORE}::DOUBLE AS score FROM f, {_ACTIVITY_SQL})\n"
 
 
 def activity_scores(spark, sf_dir) -> DataFrame:
     """A score from 100 down for each activity in each forecast hour; the fifteen activities are an array on the row."""
     number = lambda v: F.lit(None if v is None else float(v)).cast("double")
     rules = F.array(*[F.struct(F.lit(a[0]).alias("activity"), *[number(v).alias(k) for k, v in zip(("low", "high", "pop_max", "uv_max", "wind_max", "humidity_max"), a[1:], strict=True)]) for a in ACTIVITIES])
-    rows = hourly(spark, sf_dir).where(f"ts_utc > TIMESTAMP '{AS_OF}'").withColumn("rule", F.explode(rules)).select("ward_id", "ts_utc", "temp", "pop", "uvi", "wind_speed", "humidity", "rule.*")
+    rows = hourly(spark, sf_dir, NEXT_HOUR).where("temp IS NOT NULL").withColumn("rule", F.explode(rules)).select("ward_id", "ts_utc", "temp", "pop", "uvi", "wind_speed", "humidity", "rule.*")
     score = F.expr(_SCORE.replace("round_even(", "bround(").replace("ELSE 0 END", "ELSE 0D END").replace("0.5", "0.5D"))
     return rows.select("activity", "ward_id", shown("ts_utc").alias("ts_utc"), score.cast("double").alias("score"))
 
@@ -176,28 +183,20 @@ def fn_activity_score(spark, sf_dir):
     return activity_scores(spark, sf_dir)
 
 
-@query(_SCORED_SQL + "SELECT ward_id, activity, ts_utc, score FROM scored WHERE activity IN ('chay_bo', 'picnic') QUALIFY row_number() OVER (PARTITION BY activity, ward_id ORDER BY score DESC, ts_utc) <= 5")
-def top_best_hours(spark, sf_dir):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("activity", "ward_id").orderBy(F.desc("score"), "ts_utc"))
-    return activity_scores(spark, sf_dir).where("activity IN ('chay_bo', 'picnic')").withColumn("nth", nth).where("nth <= 5").select("ward_id", "activity", "ts_utc", "score")
-
-
-
 @query(_SCORED_SQL + """SELECT ward_id, activity, side, ts_utc, score
 FROM (SELECT *, row_number() OVER (PARTITION BY activity, ward_id ORDER BY score DESC, ts_utc) AS nth, count(*) OVER (PARTITION BY activity, ward_id) AS n FROM scored), (VALUES ('best'), ('worst')) AS v(side)
 WHERE (side = 'best' AND nth <= 5) OR (side = 'worst' AND n > 3 AND nth > n - 3)""")
-def top_best_worst_hours(spark, sf_dir):
+def top_best_hours(spark, sf_dir):
     """The five best hours of each activity, and the three worst where there are more than three."""
-    from pyspark.sql import Window
-
     own = Window.partitionBy("activity", "ward_id")
     ranked = activity_scores(spark, sf_dir).withColumn("nth", F.row_number().over(own.orderBy(F.desc("score"), "ts_utc"))).withColumn("n", F.count(F.lit(1)).over(own))
     sides = F.array_compact(F.array(F.when(F.col("nth") <= 5, "best"), F.when((F.col("n") > 3) & (F.col("nth") > F.col("n") - 3), "worst")))
     return ranked.select("ward_id", "activity", F.explode(sides).alias("side"), "ts_utc", "score")
 
 
+#: The same query under a second name that earlier callers use.
+REGISTRY["top_best_worst_hours"] = REGISTRY["top_best_hours"]
+
 #: An activity profile: issue, severity (1 warning, 2 danger) and condition.
 RUNNING = (
     ("heat", 2, "temp >= 32"), ("warm", 1, "temp >= 28 AND temp < 32"), ("uv_danger", 2, "uvi >= 8"), ("uv", 1, "uvi >= 5 AND uvi < 8"), ("humid", 1, "humidity >= 80"),

@@ -128,9 +128,9 @@ def fn_reliability_diagram(spark, sf_dir):
 
 @query(_ROWS + "SELECT conf AS tier, count(*) AS n, round(avg(ok::INT) + 1e-9, 4) AS accuracy, round(abs(avg(ok::INT) - conf) + 1e-9, 4) AS gap FROM rows GROUP BY conf")
 def fn_tier_calibration(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy(F.col("conf").alias("tier")).agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.col("ok").cast("int")), 4).alias("accuracy")).join(
-        rows(spark, sf_dir).groupBy(F.col("conf").alias("tier")).agg(rounded(F.abs(F.avg(F.col("ok").cast("int")) - F.first("conf")), 4).alias("gap")), "tier"
-    )
+    accuracy = F.avg(F.col("ok").cast("int"))
+    by = rows(spark, sf_dir).groupBy(F.col("conf").alias("tier")).agg(F.count(F.lit(1)).alias("n"), accuracy.alias("__accuracy"))
+    return by.select("tier", "n", rounded(F.col("__accuracy"), 4).alias("accuracy"), rounded(F.abs(F.col("__accuracy") - F.col("tier")), 4).alias("gap"))
 
 
 _SWEEP = _ROWS + """, t AS (SELECT intent, tau, count(*) FILTER (WHERE ok AND conf >= tau - 1e-9) AS tp, count(*) FILTER (WHERE conf >= tau - 1e-9) AS said, count(*) AS wanted

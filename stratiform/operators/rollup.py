@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.sources.roles import CIVIL_HOURS, HOURLY_SQL, civil, hourly, placed, rounded, shown
+from stratiform.sources.roles import AS_OF, CIVIL_HOURS, HOURLY_SQL, NEXT_DAY, NEXT_HOUR, civil, hourly, placed, rounded, shown
 from stratiform.registry import query
 
 #: Rain of an hour and of a day from which a leaf counts as rainy (mm).
@@ -27,44 +27,71 @@ def mode_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias(value))
 
 
-def hourly_rollup(facts: DataFrame, key: str) -> DataFrame:
-    keys = [key, "ts_utc"]
-    sums = facts.groupBy(*keys).agg(
-        rounded(F.avg("temp"), 2).alias("avg_temp"), rounded(F.min("temp"), 2).alias("min_temp"), rounded(F.max("temp"), 2).alias("max_temp"),
-        rounded(F.avg("humidity"), 1).alias("avg_humidity"), rounded(F.avg("wind_speed"), 2).alias("avg_wind_speed"), rounded(F.avg("pressure"), 1).alias("avg_pressure"),
-        rounded(F.avg("clouds"), 1).alias("avg_clouds"), rounded(F.avg("pop"), 2).alias("avg_pop"), rounded(F.avg("rain_1h"), 2).alias("avg_rain_1h"),
-        F.max("rain_1h").alias("max_rain_1h"), F.max("pop").alias("max_pop"), F.count_if(F.col("rain_1h") > RAINY_HOUR).alias("rainy_ward_count"),
-        circular_mean("wind_deg").alias("avg_wind_deg"), F.max("wind_gust").alias("max_wind_gust"), F.max("uvi").alias("max_uvi"), F.count_distinct("ward_id").alias("ward_count"),
+def rolled(facts: DataFrame, keys: list[str], means: dict[str, tuple[str, int]], least: dict[str, str], most: dict[str, str], rainy: Column) -> DataFrame:
+    """Means, extremes, mode of the condition, mean direction and extent of each key, from one pass over `facts`.
+
+    `facts` has a row for each leaf and instant. Counts and sums are taken by key and condition first; the few rows
+    that a key then has give its means and, by `mode_of`'s rule, its mode. Both steps combine before they shuffle.
+    `means` maps a result to its reading and digits, `least` and `most` a result to its reading.
+    """
+    angle, columns = F.radians("wind_deg"), sorted({c for c, _ in means.values()})
+    parts = facts.groupBy(*keys, "weather_main").agg(
+        F.count(F.lit(1)).alias("__n"), F.count("ward_id").alias("__wards"), F.count_if(rainy).alias("__rainy"),
+        F.sum(F.sin(angle)).alias("__sin"), F.sum(F.cos(angle)).alias("__cos"), F.count("wind_deg").alias("__angles"),
+        *[F.sum(c).alias(f"__sum_{c}") for c in columns], *[F.count(c).alias(f"__count_{c}") for c in columns],
+        *[F.min(c).alias(name) for name, c in least.items()], *[F.max(c).alias(name) for name, c in most.items()],
+    )
+    direction = F.degrees(F.atan2(F.sum("__sin") / F.sum("__angles"), F.sum("__cos") / F.sum("__angles")))
+    return parts.groupBy(*keys).agg(
+        *[rounded(F.sum(f"__sum_{c}") / F.sum(f"__count_{c}"), n).alias(name) for name, (c, n) in means.items()],
+        *[F.min(name).alias(name) for name in least], *[F.max(name).alias(name) for name in most],
+        F.sum("__rainy").alias("rainy_ward_count"), F.sum("__wards").alias("ward_count"), F.pmod(rounded(direction + 360, 1), F.lit(360.0)).alias("avg_wind_deg"),
+        F.min_by("weather_main", F.struct((-F.col("__n")).alias("n"), F.col("weather_main").alias("v"))).alias("weather_main"),
     )
-    return sums.join(mode_of(facts, keys, "weather_main"), keys)
+
+
+HOURLY_MEANS = {
+    "avg_temp": ("temp", 2), "avg_humidity": ("humidity", 1), "avg_wind_speed": ("wind_speed", 2), "avg_dew_point": ("dew_point", 2), "avg_pressure": ("pressure", 1), "avg_clouds": ("clouds", 1),
+    "avg_visibility": ("visibility", 0), "avg_uvi": ("uvi", 2), "avg_pop": ("pop", 3), "avg_rain_1h": ("rain_1h", 2),
+}
+
+
+def hourly_rollup(facts: DataFrame, key: str) -> DataFrame:
+    most = {"max_temp": "temp", "max_rain_1h": "rain_1h", "max_pop": "pop", "max_wind_gust": "wind_gust", "max_uvi": "uvi"}
+    return rolled(facts, [key, "ts_utc"], HOURLY_MEANS, {"min_temp": "temp"}, most, F.col("rain_1h") > RAINY_HOUR)
 
 
 def _hourly_sql(key: str, where: str = "TRUE") -> str:
     return HOURLY_SQL + f""", modes AS (
   SELECT {key}, ts_utc, weather_main FROM placed WHERE {where} GROUP BY {key}, ts_utc, weather_main
   QUALIFY row_number() OVER (PARTITION BY {key}, ts_utc ORDER BY count(*) DESC, weather_main) = 1)
-SELECT {key}, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, round(avg(temp) + 1e-9, 2) AS avg_temp, round(min(temp) + 1e-9, 2) AS min_temp, round(max(temp) + 1e-9, 2) AS max_temp,
-  round(avg(humidity) + 1e-9, 1) AS avg_humidity, round(avg(wind_speed) + 1e-9, 2) AS avg_wind_speed, round(avg(pressure) + 1e-9, 1) AS avg_pressure,
-  round(avg(clouds) + 1e-9, 1) AS avg_clouds, round(avg(pop) + 1e-9, 2) AS avg_pop, round(avg(rain_1h) + 1e-9, 2) AS avg_rain_1h,
+SELECT {key}, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, round(avg(temp) + 1e-9, 2) AS avg_temp, min(temp) AS min_temp, max(temp) AS max_temp,
+  round(avg(humidity) + 1e-9, 1) AS avg_humidity, round(avg(wind_speed) + 1e-9, 2) AS avg_wind_speed, round(avg(dew_point) + 1e-9, 2) AS avg_dew_point, round(avg(pressure) + 1e-9, 1) AS avg_pressure,
+  round(avg(clouds) + 1e-9, 1) AS avg_clouds, round(avg(visibility) + 1e-9, 0) AS avg_visibility, round(avg(uvi) + 1e-9, 2) AS avg_uvi, round(avg(pop) + 1e-9, 3) AS avg_pop, round(avg(rain_1h) + 1e-9, 2) AS avg_rain_1h,
   max(rain_1h) AS max_rain_1h, max(pop) AS max_pop, count(*) FILTER (WHERE rain_1h > 0.5) AS rainy_ward_count,
   round(degrees(atan2(avg(sin(radians(wind_deg))), avg(cos(radians(wind_deg))))) + 360 + 1e-9, 1) % 360.0::DOUBLE AS avg_wind_deg,
   max(wind_gust) AS max_wind_gust, max(uvi) AS max_uvi, count(DISTINCT ward_id) AS ward_count, any_value(m.weather_main) AS weather_main
 FROM placed p JOIN modes m USING ({key}, ts_utc) WHERE {where} GROUP BY {key}, ts_utc"""
 
 
+def group_hours(spark, sf_dir, key: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The hourly roll-up by group or region; the bounds reach the scan, and instants are shown as text at the end."""
+    return hourly_rollup(placed(spark, sf_dir, since, until), key).withColumn("ts_utc", shown("ts_utc"))
+
+
 @query(_hourly_sql("district_id"))
 def agg_district_hourly(spark, sf_dir):
-    return hourly_rollup(placed(spark, sf_dir), "district_id").withColumn("ts_utc", shown("ts_utc"))
+    return group_hours(spark, sf_dir, "district_id")
 
 
 @query(_hourly_sql("city_id"))
 def agg_city_hourly(spark, sf_dir):
-    return hourly_rollup(placed(spark, sf_dir), "city_id").withColumn("ts_utc", shown("ts_utc"))
+    return group_hours(spark, sf_dir, "city_id")
 
 
 @query(_hourly_sql("city_id", "data_kind = 'forecast'"))
 def agg_city_hourly_forecast(spark, sf_dir):
-    return hourly_rollup(placed(spark, sf_dir).where("data_kind = 'forecast'"), "city_id").withColumn("ts_utc", shown("ts_utc"))
+    return hourly_rollup(placed(spark, sf_dir, since=AS_OF).where("data_kind = 'forecast'"), "city_id").withColumn("ts_utc", shown("ts_utc"))
 
 
 def daily(facts: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -93,19 +120,19 @@ def agg_history_to_daily(spark, sf_dir):
     return daily(hourly(spark, sf_dir).where("data_kind = 'history'")).withColumn("date", F.col("date").cast("string"))
 
 
+DAILY_MEANS = {
+    "avg_temp": ("temp_avg", 2), "avg_humidity": ("humidity", 1), "avg_pop": ("pop", 2), "total_rain": ("rain_total", 2), "avg_dew_point": ("dew_point", 2), "avg_pressure": ("pressure", 1), "avg_clouds": ("clouds", 1),
+    "avg_wind_speed": ("wind_speed", 2),
+}
+
+
 def daily_rollup(days: DataFrame, key: str) -> DataFrame:
-    keys = [key, "date"]
-    sums = days.groupBy(*keys).agg(
-        rounded(F.avg("temp_avg"), 2).alias("avg_temp"), F.min("temp_min").alias("temp_min"), F.max("temp_max").alias("temp_max"), rounded(F.avg("humidity"), 1).alias("avg_humidity"),
-        rounded(F.avg("pop"), 2).alias("avg_pop"), F.max("pop").alias("max_pop"), rounded(F.avg("rain_total"), 2).alias("total_rain"), F.max("rain_total").alias("max_rain_total"),
-        F.count_if(F.col("rain_total") > RAINY_DAY).alias("rainy_ward_count"), rounded(F.avg("wind_speed"), 2).alias("avg_wind_speed"), circular_mean("wind_deg").alias("avg_wind_deg"),
-        F.max("wind_gust").alias("max_wind_gust"), F.max("uvi").alias("max_uvi"), F.count_distinct("ward_id").alias("ward_count"),
-    )
-    return sums.join(mode_of(days, keys, "weather_main"), keys)
+    most = {"temp_max": "temp_max", "max_pop": "pop", "max_rain_total": "rain_total", "max_wind_gust": "wind_gust", "max_uvi": "uvi"}
+    return rolled(days, [key, "date"], DAILY_MEANS, {"temp_min": "temp_min"}, most, F.col("rain_total") > RAINY_DAY)
 
 
-def days_of(spark, sf_dir) -> DataFrame:
-    return daily(placed(spark, sf_dir), ["ward_id", "district_id", "city_id"])
+def days_of(spark, sf_dir, since: str | None = None, until: str | None = None) -> DataFrame:
+    return daily(placed(spark, sf_dir, since, until), ["ward_id", "district_id", "city_id"])
 
 
 def _daily_sql(key: str) -> str:
@@ -113,6 +140,7 @@ def _daily_sql(key: str) -> str:
   SELECT {key}, date, weather_main FROM daily GROUP BY {key}, date, weather_main QUALIFY row_number() OVER (PARTITION BY {key}, date ORDER BY count(*) DESC, weather_main) = 1)
 SELECT {key}, date::VARCHAR AS date, round(avg(temp_avg) + 1e-9, 2) AS avg_temp, min(temp_min) AS temp_min, max(temp_max) AS temp_max, round(avg(humidity) + 1e-9, 1) AS avg_humidity,
   round(avg(pop) + 1e-9, 2) AS avg_pop, max(pop) AS max_pop, round(avg(rain_total) + 1e-9, 2) AS total_rain, max(rain_total) AS max_rain_total,
+  round(avg(dew_point) + 1e-9, 2) AS avg_dew_point, round(avg(pressure) + 1e-9, 1) AS avg_pressure, round(avg(clouds) + 1e-9, 1) AS avg_clouds,
   count(*) FILTER (WHERE rain_total > 1.0) AS rainy_ward_count, round(avg(wind_speed) + 1e-9, 2) AS avg_wind_speed,
   round(degrees(atan2(avg(sin(radians(wind_deg))), avg(cos(radians(wind_deg))))) + 360 + 1e-9, 1) % 360.0::DOUBLE AS avg_wind_deg,
   max(wind_gust) AS max_wind_gust, max(uvi) AS max_uvi, count(DISTINCT ward_id) AS ward_count, any_value(m.weather_main) AS weather_main
@@ -186,11 +214,11 @@ def agg_grouping_sets(spark, sf_dir):
 
 @query(HOURLY_SQL + "SELECT city_id, round(avg(humidity) + 1e-9, 1) AS avg_humidity, min(humidity) AS min_humidity, max(humidity) AS max_humidity, round(avg(dew_point) + 1e-9, 1) AS avg_dew_point FROM placed WHERE data_kind = 'forecast' GROUP BY city_id")
 def agg_humidity_stats(spark, sf_dir):
-    return placed(spark, sf_dir).where("data_kind = 'forecast'").groupBy("city_id").agg(rounded(F.avg("humidity"), 1).alias("avg_humidity"), F.min("humidity").alias("min_humidity"), F.max("humidity").alias("max_humidity"), rounded(F.avg("dew_point"), 1).alias("avg_dew_point"))
+    return placed(spark, sf_dir, since=AS_OF).where("data_kind = 'forecast'").groupBy("city_id").agg(rounded(F.avg("humidity"), 1).alias("avg_humidity"), F.min("humidity").alias("min_humidity"), F.max("humidity").alias("max_humidity"), rounded(F.avg("dew_point"), 1).alias("avg_dew_point"))
 
 
 @query(HOURLY_SQL + """SELECT ward_id, round(avg(temp) + 1e-9, 1) AS temp, round(avg(humidity) + 1e-9, 0) AS humidity, max(pop) AS pop, max(rain_1h) AS rain_1h, max(uvi) AS uvi, max(wind_speed) AS wind_speed, arg_min(weather_main, ts_utc) AS weather_main
 FROM hourly WHERE ts_utc > TIMESTAMP '2024-01-20 06:00:00' AND ts_utc <= TIMESTAMP '2024-01-21 06:00:00' GROUP BY ward_id""")
 def agg_forecast_repr(spark, sf_dir):
-    rows = hourly(spark, sf_dir).where("ts_utc > TIMESTAMP '2024-01-20 06:00:00' AND ts_utc <= TIMESTAMP '2024-01-21 06:00:00'")
+    rows = hourly(spark, sf_dir, NEXT_HOUR, NEXT_DAY[:11] + "07:00:00")
     return rows.groupBy("ward_id").agg(rounded(F.avg("temp"), 1).alias("temp"), rounded(F.avg("humidity"), 0).alias("humidity"), F.max("pop").alias("pop"), F.max("rain_1h").alias("rain_1h"), F.max("uvi").alias("uvi"), F.max("wind_speed").alias("wind_speed"), F.min_by("weather_main", "ts_utc").alias("weather_main"))

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratiform.operators.rollup import _daily_sql, _hourly_sql, agg_city_daily, agg_city_hourly
+from stratiform.operators.rollup import _daily_sql, _hourly_sql, agg_city_daily, agg_city_hourly, group_hours
 from stratiform.registry import query
-from stratiform.sources.roles import AS_OF, WET, rounded
+from stratiform.sources.roles import AS_OF, NEXT_HOUR, WET, rounded
 
 SERIES_SQL = _hourly_sql("city_id").replace("\nSELECT city_id, strftime", "\n, series AS (SELECT city_id, strftime", 1) + ")\n"
 DAYS_SQL = _daily_sql("city_id").replace("\nSELECT city_id, date::VARCHAR", "\n, days AS (SELECT city_id, date::VARCHAR", 1) + ")\n"
@@ -25,7 +25,7 @@ def _order():
 def forecast_series(spark, sf_dir, hours: int = 48) -> DataFrame:
     """The first `hours` rows of each region after the reference instant."""
     nth = F.row_number().over(_order())
-    return agg_city_hourly(spark, sf_dir).where(F.col("ts_utc") > AS_OF).withColumn("nth", nth).where(F.col("nth") <= hours).drop("nth")
+    return group_hours(spark, sf_dir, "city_id", NEXT_HOUR).withColumn("nth", nth).where(F.col("nth") <= hours).drop("nth")
 
 
 FORECAST_SQL = SERIES_SQL + f", f AS (SELECT * FROM series WHERE ts_utc > '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY ts_utc) <= 48)\n"
@@ -80,15 +80,47 @@ def win_next_rain_clear(spark, sf_dir):
     return rows.groupBy("city_id").agg(F.first("next_rain").alias("next_rain"), F.min(F.when(clear, F.col("ts_utc"))).alias("next_clear"))
 
 
-@query(FORECAST_SQL + runs_sql("(SELECT * FROM f WHERE max_uvi IS NOT NULL)", "max_uvi <= 5", ", max(max_uvi) AS peak_uvi"))
+def kinds(rows: DataFrame, holds: Column, yes: str, no: str) -> DataFrame:
+    """`rows` in runs of those for which `holds` and of the others, with the run's `kind`."""
+    window = Window.partitionBy("city_id").orderBy("ts_utc")
+    marked = rows.withColumn("kind", F.when(F.coalesce(holds, F.lit(False)), yes).otherwise(no))
+    begins = ~F.col("kind").eqNullSafe(F.lag("kind").over(window))
+    return marked.withColumn("__begins", begins.cast("int")).withColumn("run", F.sum("__begins").over(window)).drop("__begins")
+
+
+def kinds_sql(source: str, holds: str, yes: str, no: str, columns: str) -> str:
+    return f""", marked AS (SELECT *, CASE WHEN coalesce({holds}, false) THEN '{yes}' ELSE '{no}' END AS kind FROM {source}),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY city_id ORDER BY ts_utc)::BIGINT AS run FROM (SELECT *, (kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY city_id ORDER BY ts_utc))::INT AS begins FROM marked)),
+found AS (SELECT city_id, run, kind, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, count(*) AS n_rows{columns} FROM numbered GROUP BY city_id, run, kind)"""
+
+
+@query(FORECAST_SQL + kinds_sql("(SELECT * FROM f WHERE max_uvi IS NOT NULL)", "max_uvi <= 5", "safe", "danger", ", min(max_uvi) AS min_uvi, max(max_uvi) AS max_uvi") + """
+SELECT w.*, p.peak_uvi, p.peak_ts FROM found w JOIN (SELECT city_id, max(max_uvi) AS peak_uvi, CASE WHEN max(max_uvi) > 0 THEN arg_min(ts_utc, (-max_uvi, ts_utc)) END AS peak_ts FROM f WHERE max_uvi IS NOT NULL GROUP BY city_id) p USING (city_id)""")
 def win_uv_windows(spark, sf_dir):
-    return summary(runs(forecast_series(spark, sf_dir).where("max_uvi IS NOT NULL"), F.col("max_uvi") <= 5), F.max("max_uvi").alias("peak_uvi"))
+    return uv_windows(forecast_series(spark, sf_dir))
+
+
+def uv_windows(rows: DataFrame, limit: float = 5) -> DataFrame:
+    """Runs of hours with a UV index up to `limit` and above it, with the peak of the whole series and its first hour."""
+    found = kinds(rows.where("max_uvi IS NOT NULL"), F.col("max_uvi") <= limit, "safe", "danger")
+    own = found.groupBy("city_id", "run", "kind").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), F.min("max_uvi").alias("min_uvi"), F.max("max_uvi").alias("max_uvi"), F.min(F.struct((-F.col("max_uvi")).alias("k"), "ts_utc")).alias("__peak"))
+    peak = F.min("__peak").over(Window.partitionBy("city_id"))
+    return own.withColumn("__peak", peak).withColumns({"peak_uvi": -F.col("__peak.k"), "peak_ts": F.when(F.col("__peak.k") < 0, F.col("__peak.ts_utc"))}).drop("__peak")
 
 
-@query(FORECAST_SQL + runs_sql("(SELECT * FROM f WHERE avg_clouds IS NOT NULL)", f"avg_clouds < 40 AND avg_pop < 0.3 AND weather_main NOT IN {_WET}", ", min(avg_clouds) AS min_clouds"))
+@query(FORECAST_SQL + kinds_sql("(SELECT * FROM f WHERE avg_clouds IS NOT NULL)", f"avg_clouds < 40 AND coalesce(avg_pop, 0) < 0.3 AND coalesce(weather_main, '') NOT IN {_WET}", "sunny", "cloudy", ", round(avg(avg_clouds) + 1e-9, 0) AS mean_clouds, max(max_uvi) AS peak_uvi") + """
+SELECT *, kind = 'sunny' AND row_number() OVER (PARTITION BY city_id, kind ORDER BY n_rows DESC, run) = 1 AS best FROM found""")
 def win_sunny_windows(spark, sf_dir):
-    sunny = (F.col("avg_clouds") < 40) & (F.col("avg_pop") < 0.3) & ~F.col("weather_main").isin(*WET)
-    return summary(runs(forecast_series(spark, sf_dir).where("avg_clouds IS NOT NULL"), sunny), F.min("avg_clouds").alias("min_clouds"))
+    return sunny_windows(forecast_series(spark, sf_dir))
+
+
+def sunny_windows(rows: DataFrame) -> DataFrame:
+    """Sunny and cloudy runs; the longest sunny one, the first of equal ones, is the best."""
+    sunny = (F.col("avg_clouds") < 40) & (F.coalesce("avg_pop", F.lit(0.0)) < 0.3) & ~F.coalesce("weather_main", F.lit("")).isin(*WET)
+    found = kinds(rows.where("avg_clouds IS NOT NULL"), sunny, "sunny", "cloudy")
+    own = found.groupBy("city_id", "run", "kind").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), rounded(F.avg("avg_clouds"), 0).alias("mean_clouds"), F.max("max_uvi").alias("peak_uvi"))
+    nth = F.row_number().over(Window.partitionBy("city_id", "kind").orderBy(F.desc("n_rows"), "run"))
+    return own.withColumn("best", (F.col("kind") == "sunny") & (nth == 1))
 
 
 @query(SERIES_SQL + runs_sql("series", "avg_humidity >= 85", ", max(avg_humidity) AS max_humidity"))
@@ -96,24 +128,33 @@ def win_damp_windows(spark, sf_dir):
     return summary(runs(agg_city_hourly(spark, sf_dir), F.col("avg_humidity") >= 85), F.max("avg_humidity").alias("max_humidity"))
 
 
-@query(SERIES_SQL + runs_sql("(SELECT * FROM series WHERE month(ts_utc::TIMESTAMP) IN (1, 2, 3, 4))", "avg_humidity >= 85 AND avg_clouds >= 50", ""))
+@query(SERIES_SQL + runs_sql("(SELECT *, month(ts_utc::TIMESTAMP) AS m FROM series)", "m IN (2, 3, 4) AND avg_humidity >= 85 AND avg_temp - avg_dew_point <= 2", ", max(avg_humidity) AS max_humidity, round(min(avg_temp - avg_dew_point) + 1e-9, 2) AS least_spread"))
 def win_nom_am_periods(spark, sf_dir):
-    """Damp and overcast stretches of the spring months."""
-    rows = agg_city_hourly(spark, sf_dir).where(F.month(F.col("ts_utc").cast("timestamp")).isin(1, 2, 3, 4))
-    return summary(runs(rows, (F.col("avg_humidity") >= 85) & (F.col("avg_clouds") >= 50)))
+    return nom_am(agg_city_hourly(spark, sf_dir))
+
 
+def nom_am(rows: DataFrame) -> DataFrame:
+    """Damp stretches: in February to April, hours of 85 % humidity or more within two degrees of the dew point."""
+    spread = F.col("avg_temp") - F.col("avg_dew_point")
+    damp = F.month(F.col("ts_utc").cast("timestamp")).isin(2, 3, 4) & (F.col("avg_humidity") >= 85) & (spread <= 2)
+    return summary(runs(rows, damp), F.max("avg_humidity").alias("max_humidity"), rounded(F.min(spread), 2).alias("least_spread"))
 
-@query(FORECAST_SQL + """, d AS (SELECT city_id, ts_utc, avg_pressure, lag(avg_pressure, 3) OVER (PARTITION BY city_id ORDER BY ts_utc) - avg_pressure AS fall FROM f WHERE avg_pressure IS NOT NULL)
-SELECT city_id, round(arg_max(avg_pressure, ts_utc) - arg_min(avg_pressure, ts_utc) + 1e-9, 1) AS total_change,
+
+@query(FORECAST_SQL + """, d AS (SELECT city_id, ts_utc, avg_pressure, lag(avg_pressure, 3) OVER (PARTITION BY city_id ORDER BY ts_utc) - avg_pressure AS fall FROM f WHERE avg_pressure IS NOT NULL),
+covered AS (SELECT city_id, round(count(avg_pressure) * 100.0::DOUBLE / count(*) + 1e-9, 0) AS coverage FROM f GROUP BY city_id)
+SELECT city_id, any_value(coverage) AS coverage, any_value(coverage) >= 70 AS enough, round(arg_max(avg_pressure, ts_utc) - arg_min(avg_pressure, ts_utc) + 1e-9, 1) AS total_change,
   CASE WHEN arg_max(avg_pressure, ts_utc) - arg_min(avg_pressure, ts_utc) > 3 THEN 'rising' WHEN arg_max(avg_pressure, ts_utc) - arg_min(avg_pressure, ts_utc) < -3 THEN 'falling' ELSE 'stable' END AS trend,
   round(greatest(coalesce(max(fall), 0), 0) + 1e-9, 1) AS max_fall, CASE WHEN max(fall) > 0 THEN arg_min(ts_utc, (-fall, ts_utc)) FILTER (WHERE fall IS NOT NULL) END AS fall_ts,
-  CASE WHEN max(fall) >= 6 THEN 'storm' WHEN max(fall) >= 3 THEN 'front' END AS warning FROM d GROUP BY city_id""")
+  CASE WHEN max(fall) >= 6 THEN 'storm' WHEN max(fall) >= 3 THEN 'front' END AS warning FROM d JOIN covered USING (city_id) GROUP BY city_id""")
 def win_pressure_drop_3h(spark, sf_dir):
-    rows = forecast_series(spark, sf_dir).where("avg_pressure IS NOT NULL").withColumn("fall", F.lag("avg_pressure", 3).over(_order()) - F.col("avg_pressure"))
+    """Change and steepest three-hour fall; with readings in under 70 % of the hours it is not `enough` to warn by."""
+    by = Window.partitionBy("city_id")
+    covered = rounded(F.count("avg_pressure").over(by) * 100.0 / F.count(F.lit(1)).over(by), 0)
+    rows = forecast_series(spark, sf_dir).withColumn("coverage", covered).where("avg_pressure IS NOT NULL").withColumn("fall", F.lag("avg_pressure", 3).over(_order()) - F.col("avg_pressure"))
     change, fall = F.max_by("avg_pressure", "ts_utc") - F.min_by("avg_pressure", "ts_utc"), F.max("fall")
     at = F.min_by("ts_utc", F.when(F.col("fall").isNotNull(), F.struct((-F.col("fall")).alias("f"), "ts_utc")))
     return rows.groupBy("city_id").agg(
-        rounded(change, 1).alias("total_change"), F.when(change > 3, "rising").when(change < -3, "falling").otherwise("stable").alias("trend"),
+        F.first("coverage").alias("coverage"), (F.first("coverage") >= 70).alias("enough"), rounded(change, 1).alias("total_change"), F.when(change > 3, "rising").when(change < -3, "falling").otherwise("stable").alias("trend"),
         rounded(F.greatest(F.coalesce(fall, F.lit(0.0)), F.lit(0.0)), 1).alias("max_fall"), F.when(fall > 0, at).alias("fall_ts"), F.when(fall >= 6, "storm").when(fall >= 3, "front").alias("warning"),
     )
 
@@ -134,11 +175,12 @@ def win_temp_trend(spark, sf_dir):
 
 
 @query(DAYS_SQL + """SELECT city_id, date, round(avg_temp - lag(avg_temp) OVER w + 1e-9, 2) AS temp_delta, round(total_rain - lag(total_rain) OVER w + 1e-9, 2) AS rain_delta,
-  CASE WHEN avg_temp - lag(avg_temp) OVER w >= 2 THEN 'warmer' WHEN avg_temp - lag(avg_temp) OVER w <= -2 THEN 'colder' ELSE 'same' END AS flag FROM days WINDOW w AS (PARTITION BY city_id ORDER BY date)""")
+  CASE WHEN avg_temp - lag(avg_temp) OVER w >= 2 THEN 'warmer' WHEN avg_temp - lag(avg_temp) OVER w <= -2 THEN 'colder' ELSE 'same' END AS flag,
+  CASE WHEN total_rain - lag(total_rain) OVER w >= 5 THEN 'wetter' WHEN total_rain - lag(total_rain) OVER w <= -5 THEN 'drier' ELSE 'same' END AS rain_flag FROM days WINDOW w AS (PARTITION BY city_id ORDER BY date)""")
 def win_day_over_day(spark, sf_dir):
     window = Window.partitionBy("city_id").orderBy("date")
     temp, rain = (F.col(c) - F.lag(c).over(window) for c in ("avg_temp", "total_rain"))
-    return agg_city_daily(spark, sf_dir).select("city_id", "date", rounded(temp, 2).alias("temp_delta"), rounded(rain, 2).alias("rain_delta"), F.when(temp >= 2, "warmer").when(temp <= -2, "colder").otherwise("same").alias("flag"))
+    return agg_city_daily(spark, sf_dir).select("city_id", "date", rounded(temp, 2).alias("temp_delta"), rounded(rain, 2).alias("rain_delta"), F.when(temp >= 2, "warmer").when(temp <= -2, "colder").otherwise("same").alias("flag"), F.when(rain >= 5, "wetter").when(rain <= -5, "drier").otherwise("same").alias("rain_flag"))
 
 
 _CHANGES = (

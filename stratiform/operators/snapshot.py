@@ -6,32 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiform.functions import text
-from stratiform.operators.rollup import agg_city_daily, agg_district_hourly
-from stratiform.operators.rollup import _daily_sql, _hourly_sql
+from stratiform.operators.rollup import _daily_sql, _hourly_sql, agg_city_daily, group_hours
 from stratiform.registry import REGISTRY, query
-from stratiform.sources.roles import AS_OF, HOURLY_SQL, as_of, cities, civil, districts, hourly, latest_of, observations, placed, rounded, shown, table, wards
+from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_DAY, NEXT_HOUR, TWO_HOURS_AGO, as_of, cities, civil, districts, hourly, latest_of, observations, placed, rounded, shown, table, wards
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 TS = "strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc"
 
 
-def _filtered(name: str, condition: str, sql_condition: str | None = None) -> None:
-    """Registers a filter of the hourly facts; the condition is SQL in both engines."""
+def _filtered(name: str, condition: str, sql_condition: str | None = None, since: str | None = None, until: str | None = None) -> None:
+    """Registers a filter of the hourly facts; the condition is SQL in both engines, the bounds what it implies for the scan."""
 
     def run(spark, sf_dir):
-        return hourly(spark, sf_dir).where(condition).select("ward_id", shown("ts_utc").alias("ts_utc"), "temp", "data_kind", "weather_main")
+        return hourly(spark, sf_dir, since, until).where(condition).select("ward_id", shown("ts_utc").alias("ts_utc"), "temp", "data_kind", "weather_main")
 
     run.__name__, run.__doc__ = name, f"Hourly facts where {condition}."
     query(HOURLY_SQL + f"SELECT ward_id, {TS}, temp, data_kind, weather_main FROM hourly WHERE {sql_condition or condition}")(run)
 
 
-_filtered("flt_eq", "ward_id = 7 AND data_kind = 'forecast'")
-_filtered("flt_fresh_2h", f"ts_utc > {NOW} - INTERVAL 2 HOURS AND ts_utc <= {NOW} + INTERVAL 30 MINUTES")
-_filtered("flt_next24h", f"ts_utc > {NOW} AND ts_utc < {NOW} + INTERVAL 24 HOURS")
-_filtered("flt_between_dates", "CAST(ts_utc AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'")
+_filtered("flt_eq", "ward_id = 7 AND data_kind = 'forecast'", since=AS_OF)
+_filtered("flt_fresh_2h", f"ts_utc > {NOW} - INTERVAL 2 HOURS AND ts_utc <= {NOW} + INTERVAL 30 MINUTES", since=TWO_HOURS_AGO, until=NEXT_HOUR)
+_filtered("flt_next24h", f"ts_utc > {NOW} AND ts_utc < {NOW} + INTERVAL 24 HOURS", since=NEXT_HOUR, until=NEXT_DAY)
+_filtered("flt_between_dates", "CAST(ts_utc AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'", since="2024-01-10 00:00:00", until="2024-01-13 00:00:00")
 _filtered("flt_in_list", "data_kind IN ('forecast', 'history') AND ward_id IN (1, 2, 3, 5, 8)")
-_filtered("flt_not_null", "temp IS NOT NULL AND weather_main IS NOT NULL AND data_kind = 'current'")
-_filtered("flt_civil_day", "to_date(ts_utc + INTERVAL 7 HOURS) = DATE '2024-01-20'", "(ts_utc + INTERVAL 7 HOURS)::DATE = DATE '2024-01-20'")
+_filtered("flt_not_null", "temp IS NOT NULL AND weather_main IS NOT NULL AND data_kind = 'current'", since="2024-01-19 06:00:00", until=NEXT_HOUR)
+_filtered("flt_civil_day", "to_date(ts_utc + INTERVAL 7 HOURS) = DATE '2024-01-20'", "(ts_utc + INTERVAL 7 HOURS)::DATE = DATE '2024-01-20'", since="2024-01-19 17:00:00", until="2024-01-20 17:00:00")
 
 
 def future(facts: DataFrame, key: str, n: int, cap: int = 48) -> DataFrame:
@@ -43,13 +42,13 @@ def future(facts: DataFrame, key: str, n: int, cap: int = 48) -> DataFrame:
 
 @query(HOURLY_SQL + f"SELECT ward_id, {TS}, temp, weather_main, row_number() OVER (PARTITION BY ward_id ORDER BY hourly.ts_utc)::INT AS nth FROM hourly WHERE hourly.ts_utc > {NOW} QUALIFY nth <= 5")
 def flt_future(spark, sf_dir):
-    return future(hourly(spark, sf_dir), "ward_id", 5).select("ward_id", shown("ts_utc").alias("ts_utc"), "temp", "weather_main", F.col("nth").cast("int").alias("nth"))
+    return future(hourly(spark, sf_dir, NEXT_HOUR), "ward_id", 5).select("ward_id", shown("ts_utc").alias("ts_utc"), "temp", "weather_main", F.col("nth").cast("int").alias("nth"))
 
 
 @query(HOURLY_SQL + f"SELECT ward_id, {TS}, temp, row_number() OVER (PARTITION BY ward_id ORDER BY hourly.ts_utc)::INT AS nth FROM hourly WHERE hourly.ts_utc > {NOW} QUALIFY nth <= 48")
 def flt_clamp(spark, sf_dir):
     """Asked for 1000 hours, gives the cap."""
-    return future(hourly(spark, sf_dir), "ward_id", 1000).select("ward_id", shown("ts_utc").alias("ts_utc"), "temp", F.col("nth").cast("int").alias("nth"))
+    return future(hourly(spark, sf_dir, NEXT_HOUR), "ward_id", 1000).select("ward_id", shown("ts_utc").alias("ts_utc"), "temp", F.col("nth").cast("int").alias("nth"))
 
 
 @query("SELECT c_custkey AS ward_id, c_name AS ward_name FROM customer WHERE c_name = '000000042' OR c_name LIKE '%#000000042'")
@@ -67,7 +66,7 @@ def win_distinct_on_latest(spark, sf_dir):
 @query(HOURLY_SQL + f"""SELECT ward_id, {TS}, temp, data_kind, hourly.ts_utc > {NOW} - INTERVAL 2 HOUR AS fresh FROM hourly WHERE hourly.ts_utc <= {NOW} + INTERVAL 30 MINUTE
 QUALIFY row_number() OVER (PARTITION BY ward_id ORDER BY (hourly.ts_utc > {NOW} - INTERVAL 2 HOUR) DESC, hourly.ts_utc DESC) = 1""")
 def top_latest_1(spark, sf_dir):
-    rows = hourly(spark, sf_dir).where(f"ts_utc <= {NOW} + INTERVAL 30 MINUTES").withColumn("fresh", F.expr(f"ts_utc > {NOW} - INTERVAL 2 HOURS"))
+    rows = hourly(spark, sf_dir, until=NEXT_HOUR).withColumn("fresh", F.expr(f"ts_utc > {NOW} - INTERVAL 2 HOURS"))
     return latest_of(rows.select("ward_id", "fresh", "ts_utc", "temp", "data_kind"), ["ward_id"], ["fresh", "ts_utc"]).withColumn("ts_utc", shown("ts_utc"))
 
 
@@ -80,26 +79,46 @@ def top_noon_nearest(spark, sf_dir):
 
 
 #: Ranking metrics: name and column of the group roll-up.
-METRICS = {"nhiet_do": "avg_temp", "do_am": "avg_humidity", "gio": "avg_wind_speed", "mua": "avg_rain_1h", "uvi": "max_uvi", "ap_suat": "avg_pressure", "may": "avg_clouds", "gio_giat": "max_wind_gust"}
+METRICS = {"nhiet_do": "avg_temp", "do_am": "avg_humidity", "gio": "avg_wind_speed", "mua": "avg_rain_1h", "uvi": "max_uvi", "ap_suat": "avg_pressure", "diem_suong": "avg_dew_point", "may": "avg_clouds"}
+#: Ranking metrics of leaves.
+WARD_METRICS = {"nhiet_do": "temp", "do_am": "humidity", "gio": "wind_speed", "uvi": "uvi"}
 _ROLLUP_CTE = _hourly_sql("district_id").replace("\nSELECT district_id, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc", "\n, r AS (SELECT district_id, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc", 1) + ")"
-_LATEST_CTE = _ROLLUP_CTE + ", latest AS (SELECT r.*, n_name AS district_name FROM r JOIN nation ON n_nationkey = district_id WHERE ts_utc <= '2024-01-20 06:00:00' QUALIFY row_number() OVER (PARTITION BY district_id ORDER BY ts_utc DESC) = 1)\n"
+_LATEST_CTE = _ROLLUP_CTE + ", latest AS (SELECT r.*, n_name AS district_name FROM r JOIN nation ON n_nationkey = district_id WHERE ts_utc = (SELECT max(ts_utc) FROM r WHERE ts_utc > '2024-01-20 04:00:00' AND ts_utc <= '2024-01-20 06:00:00'))\n"
 
 
 def latest_groups(spark, sf_dir) -> DataFrame:
-    """Each group's latest roll-up row up to the reference instant, with the group's name."""
-    rows = agg_district_hourly(spark, sf_dir).where(F.col("ts_utc") <= AS_OF)
-    return latest_of(rows, ["district_id"], ["ts_utc"]).join(F.broadcast(districts(spark, sf_dir).drop("city_id")), "district_id")  # groups number a few dozen
+    """The roll-up of one instant, the latest of the two hours up to the reference instant, with the groups' names."""
+    rows = group_hours(spark, sf_dir, "district_id", TWO_HOURS_AGO, NEXT_HOUR).where(F.col("ts_utc") > TWO_HOURS_AGO)
+    instant = F.max("ts_utc").over(Window.partitionBy(F.lit(0)))  # a few dozen groups, two instants each
+    return rows.withColumn("__at", instant).where("ts_utc = __at").drop("__at").join(F.broadcast(districts(spark, sf_dir).drop("city_id")), "district_id")
 
 
 def ranking(rows: DataFrame, metric: str, descending: bool, limit: int) -> DataFrame:
+    """The first `limit` (1 to 30) groups by a metric."""
+    if metric not in METRICS:
+        raise ValueError(f"{metric} is none of {', '.join(METRICS)}")
     value = F.col(METRICS[metric])
-    top = rows.where(value.isNotNull()).orderBy(value.desc() if descending else value.asc(), "district_name").limit(max(1, min(limit, 30)))
-    return top.select("district_name", value.alias("value"), F.row_number().over(Window.partitionBy(F.lit(metric)).orderBy(value.desc() if descending else value.asc(), "district_name")).alias("rank"))
+    order = [value.desc() if descending else value.asc(), F.col("district_name")]
+    top = rows.where(value.isNotNull()).orderBy(*order).limit(max(1, min(limit, 30)))
+    return top.select("district_name", value.cast("double").alias("value"), "ward_count", F.row_number().over(Window.partitionBy(F.lit(metric)).orderBy(*order)).alias("rank"))
 
 
-@query(_LATEST_CTE + "SELECT district_name, avg_temp AS value, row_number() OVER (ORDER BY avg_temp DESC, district_name)::INT AS rank FROM latest QUALIFY rank <= 5")
+@query(_LATEST_CTE + ", long AS (SELECT district_name, ward_count, unnest(['nhiet_do', 'do_am', 'gio', 'mua', 'uvi', 'ap_suat', 'diem_suong', 'may']) AS metric, unnest([avg_temp, avg_humidity, avg_wind_speed, avg_rain_1h, max_uvi, avg_pressure, avg_dew_point, avg_clouds]::DOUBLE[]) AS value FROM latest)\n" + """
+SELECT metric, 'cao_nhat' AS "order", district_name, value, ward_count, row_number() OVER (PARTITION BY metric ORDER BY value DESC, district_name)::INT AS rank FROM long QUALIFY rank <= 5
+UNION ALL SELECT metric, 'thap_nhat', district_name, value, ward_count, row_number() OVER (PARTITION BY metric ORDER BY value, district_name)::INT AS rank FROM long QUALIFY rank <= 5""")
 def top_district_ranking(spark, sf_dir):
-    return ranking(latest_groups(spark, sf_dir), "nhiet_do", True, 5)
+    """The five first groups of each metric, from the top and from the bottom."""
+    wide = latest_groups(spark, sf_dir).select("district_name", "ward_count", *[F.col(c).cast("double").alias(m) for m, c in METRICS.items()])
+    return _both_sides(wide.unpivot(["district_name", "ward_count"], list(METRICS), "metric", "value"), ["metric"], "district_name", 5)
+
+
+def _both_sides(values: DataFrame, keys: list[str], name: str, limit: int) -> DataFrame:
+    """The first `limit` rows of each key by value in both orders; `rank` counts within the order."""
+    place = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order, name))
+    ranked = values.where("value IS NOT NULL").withColumns({"__best": place(F.desc("value")), "__worst": place(F.asc("value"))})
+    side = lambda order, rank: F.when(F.col(rank) <= limit, F.struct(F.lit(order).alias("order"), F.col(rank).alias("rank")))
+    sides = F.explode(F.array_compact(F.array(side("cao_nhat", "__best"), side("thap_nhat", "__worst")))).alias("side")
+    return ranked.select("*", sides).select(*[c for c in values.columns], "side.order", "side.rank")
 
 
 @query(_LATEST_CTE + "SELECT district_id, district_name, ts_utc, avg_temp, avg_humidity, weather_main FROM latest")
@@ -107,25 +126,37 @@ def top_all_districts(spark, sf_dir):
     return latest_groups(spark, sf_dir).select("district_id", "district_name", "ts_utc", "avg_temp", "avg_humidity", "weather_main").orderBy(F.desc_nulls_last("avg_temp"), "district_name")
 
 
-_SIDES = " UNION ALL ".join(f"SELECT district_name, '{m}' AS metric, {c}::DOUBLE AS value FROM latest QUALIFY row_number() OVER (ORDER BY {c} {d}, district_name) <= 3" for m, c in list(METRICS.items())[:3] for d in ("DESC", "ASC"))
+_SIDES = " UNION ALL ".join(f"SELECT district_name, '{m}' AS metric, {c}::DOUBLE AS value FROM latest QUALIFY row_number() OVER (ORDER BY {c} {d}, district_name) <= 5" for m, c in (("nhiet_do", "avg_temp"), ("do_am", "avg_humidity"), ("uvi", "max_uvi")) for d in ("DESC", "ASC"))
 
 
-@query(_LATEST_CTE + f"SELECT district_name, max(value) FILTER (WHERE metric = 'nhiet_do') AS nhiet_do, max(value) FILTER (WHERE metric = 'do_am') AS do_am, max(value) FILTER (WHERE metric = 'gio') AS gio FROM ({_SIDES}) GROUP BY district_name")
+@query(_LATEST_CTE + f"SELECT district_name, max(value) FILTER (WHERE metric = 'nhiet_do') AS nhiet_do, max(value) FILTER (WHERE metric = 'do_am') AS do_am, max(value) FILTER (WHERE metric = 'uvi') AS uvi FROM ({_SIDES}) GROUP BY district_name")
 def top_multi_compare(spark, sf_dir):
-    """The best and the worst three groups of each metric, a row for each group."""
-    names = list(METRICS)[:3]
+    return multi_compare(spark, sf_dir)
+
+
+def multi_compare(spark, sf_dir, metrics: str = "nhiet_do,do_am,uvi", limit: int = 5) -> DataFrame:
+    """The best and the worst `limit` groups of each metric, a row for each group; unknown metrics are left out."""
+    names = [m for m in dict.fromkeys(x.strip() for x in metrics.split(",")) if m in METRICS]
+    if not names:
+        raise ValueError(f"no metric of {', '.join(METRICS)} in {metrics!r}")
     wide = latest_groups(spark, sf_dir).select("district_name", *[F.col(METRICS[m]).cast("double").alias(m) for m in names])
-    values = wide.unpivot("district_name", names, "metric", "value").where("value IS NOT NULL")
-    place = lambda *order: F.row_number().over(Window.partitionBy("metric").orderBy(*order, "district_name"))
-    sides = values.withColumns({"best": place(F.desc("value")), "worst": place(F.asc("value"))}).where("best <= 3 OR worst <= 3")
+    sides = _both_sides(wide.unpivot("district_name", names, "metric", "value"), ["metric"], "district_name", max(1, min(limit, 30)))
     return sides.groupBy("district_name").pivot("metric", names).agg(F.max("value"))
 
 
-@query(HOURLY_SQL + f"SELECT ward_id, district_id, temp, row_number() OVER (PARTITION BY district_id ORDER BY temp DESC, ward_id)::INT AS rank FROM (SELECT * FROM placed WHERE data_kind = 'current' QUALIFY row_number() OVER (PARTITION BY ward_id ORDER BY ts_utc DESC) = 1) QUALIFY rank <= 10")
+_WARD_CTE = HOURLY_SQL + """, recent AS (SELECT ward_id, district_id, ts_utc, unnest(['nhiet_do', 'do_am', 'gio', 'uvi']) AS metric, unnest([temp, humidity, wind_speed, uvi]::DOUBLE[]) AS value
+  FROM placed WHERE data_kind = 'current' AND ts_utc > TIMESTAMP '2024-01-20 04:00:00')
+"""
+
+
+@query(_WARD_CTE + """SELECT ward_id, district_id, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, metric, value, 'cao_nhat' AS "order", row_number() OVER (PARTITION BY district_id, metric ORDER BY value DESC, ward_id, recent.ts_utc)::INT AS rank FROM recent QUALIFY rank <= 10
+UNION ALL SELECT ward_id, district_id, strftime(ts_utc, '%Y-%m-%d %H:%M:%S'), metric, value, 'thap_nhat', row_number() OVER (PARTITION BY district_id, metric ORDER BY value, ward_id, recent.ts_utc)::INT AS rank FROM recent QUALIFY rank <= 10""")
 def top_ward_ranking(spark, sf_dir):
-    rows = placed(spark, sf_dir).where("data_kind = 'current'").select("ward_id", "ts_utc", "district_id", "temp")
-    nth = F.row_number().over(Window.partitionBy("district_id").orderBy(F.desc("temp"), "ward_id"))
-    return latest_of(rows, ["ward_id"], ["ts_utc"]).withColumn("rank", nth).where("rank <= 10").select("ward_id", "district_id", "temp", "rank")
+    """The ten first leaves of each group by each metric, in both orders, among the readings of the last two hours."""
+    rows = placed(spark, sf_dir, TWO_HOURS_AGO, NEXT_HOUR).where(f"data_kind = 'current' AND ts_utc > TIMESTAMP '{TWO_HOURS_AGO}'")
+    wide = rows.select("ward_id", "district_id", shown("ts_utc").alias("ts_utc"), *[F.col(c).cast("double").alias(m) for m, c in WARD_METRICS.items()])
+    values = wide.unpivot(["ward_id", "district_id", "ts_utc"], list(WARD_METRICS), "metric", "value").withColumn("__name", F.struct("ward_id", "ts_utc"))
+    return _both_sides(values, ["district_id", "metric"], "__name", 10).drop("__name")
 
 
 @query(HOURLY_SQL + "SELECT city_id, date_trunc('day', ts_utc)::DATE::VARCHAR AS date, arg_max(data_kind, (CASE data_kind WHEN 'history' THEN 2 WHEN 'current' THEN 1 ELSE 0 END, ts_utc, ward_id)) AS data_kind, arg_max(temp, (CASE data_kind WHEN 'history' THEN 2 WHEN 'current' THEN 1 ELSE 0 END, ts_utc, ward_id)) AS temp FROM placed GROUP BY ALL")
@@ -146,7 +177,7 @@ def join_semi_rep(spark, sf_dir):
 
 @query(HOURLY_SQL + f"SELECT ward_id, c_name AS ward_name, {TS}, temp FROM hourly JOIN customer ON c_custkey = ward_id WHERE data_kind = 'current'")
 def join_inner_ward(spark, sf_dir):
-    return hourly(spark, sf_dir).where("data_kind = 'current'").join(wards(spark, sf_dir), "ward_id").select("ward_id", "ward_name", shown("ts_utc").alias("ts_utc"), "temp")
+    return hourly(spark, sf_dir, "2024-01-19 06:00:00", NEXT_HOUR).where("data_kind = 'current'").join(wards(spark, sf_dir), "ward_id").select("ward_id", "ward_name", shown("ts_utc").alias("ts_utc"), "temp")
 
 
 @query(HOURLY_SQL + "SELECT city_id, district_id, count(*) AS n_rows, count(DISTINCT ward_id) AS n_wards FROM placed GROUP BY ALL")

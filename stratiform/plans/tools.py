@@ -24,7 +24,7 @@ TOOLS = (
     ("compare_weather_forecast", "join_common_dates", "date BETWEEN '2024-01-20' AND '2024-01-21'"),
     ("compare_with_yesterday", "win_day_over_day", "city_id = 0 AND date = '2024-01-20'"),
     ("get_seasonal_comparison", "fn_seasonal_compare", "ward_id = 7"),
-    ("get_district_ranking", "top_district_ranking", "rank <= 3"),
+    ("get_district_ranking", "top_district_ranking", "TRUE"),
     ("get_ward_ranking_in_district", "top_ward_ranking", "district_id = 3"),
     ("detect_phenomena", "fn_phenomena", "ward_id = 7"),
     ("get_temperature_trend", "win_temp_trend", "city_id = 0"),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The instant that stands for "now" in every query.
 AS_OF = "2024-01-20 06:00:00"
+#: The hours before and after it, as bounds of scans.
+NEXT_HOUR, TWO_HOURS_AGO, NEXT_DAY = "2024-01-20 07:00:00", "2024-01-20 04:00:00", "2024-01-21 06:00:00"
 #: Hours from UTC to civil time (no daylight saving).
 CIVIL_HOURS = 7
 #: Event types as conditions.
@@ -41,9 +43,16 @@ def rounded(value: Column, digits: int) -> Column:
     return F.round(value + F.lit(1e-9), digits)
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each event, with readings; (ward_id, ts_utc) is not unique yet."""
+def observations(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row for each event, with readings; (ward_id, ts_utc) is not unique yet.
+
+    `since` and `until`, both on the hour, bound the scan itself: the filter is on the stored column, so it reaches
+    the Parquet statistics, which a filter on the hour computed from it does not. `until` is not included.
+    """
     e = table(spark, sf_dir, "events")
+    stored = e.schema["ts"].dataType
+    e = e.where(F.col("ts") >= F.lit(since).cast(stored)) if since else e
+    e = e.where(F.col("ts") < F.lit(until).cast(stored)) if until else e
     n = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
     main = F.lit(None).cast("string")
@@ -72,9 +81,9 @@ def latest_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return best.select(*keys, *[F.col(f"best.{c}").alias(c) for c in order], *[F.col(f"best.row.{c}").alias(c) for c in rest])
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each (ward_id, ts_utc): the latest observation."""
-    return latest_of(observations(spark, sf_dir), ["ward_id", "ts_utc"], ["arrived", "event_id"])
+def hourly(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row for each (ward_id, ts_utc), from `since` up to before `until`: the latest observation."""
+    return latest_of(observations(spark, sf_dir, since, until), ["ward_id", "ts_utc"], ["arrived", "event_id"])
 
 
 def wards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,10 +98,10 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("city_id"), F.col("r_name").alias("city_name"))
 
 
-def placed(spark: SparkSession, sf_dir: str, facts: DataFrame | None = None) -> DataFrame:
+def placed(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None, facts: DataFrame | None = None) -> DataFrame:
     """Hourly facts with their group and region. Groups number a few dozen; leaves may be many, so that join is left
     to the optimizer, which broadcasts them only below its size limit."""
-    facts = hourly(spark, sf_dir) if facts is None else facts
+    facts = hourly(spark, sf_dir, since, until) if facts is None else facts
     return facts.join(wards(spark, sf_dir).drop("ward_name"), "ward_id").join(F.broadcast(districts(spark, sf_dir).drop("district_name")), "district_id")
 
 

@@ -102,7 +102,7 @@ def test_best_and_worst_hours_of_every_activity(spark):
     from stratiform import catalog
     from stratiform.operators.advice import ACTIVITIES
 
-    rows = catalog.queries()["top_best_worst_hours"](spark, "/root/testdata/sf0.001").collect()
+    rows = catalog.queries()["top_best_hours"](spark, "/root/testdata/sf0.001").collect()
     sides = {}
     for r in rows:
         sides.setdefault((r["activity"], r["ward_id"]), []).append(r["side"])
