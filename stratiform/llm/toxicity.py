@@ -1,19 +1,21 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are the lower-cased words of the labelled sample, all of them; document frequencies are counted over all texts.
-A term weighs (1 + ln tf) * idf * relevance. The relevance is 1 for a term that both classes share or that few examples
+A term weighs (1 + ln tf) * ln(texts / texts with it) * relevance. The relevance is 1 for a term that both classes share or that few examples
 hold, and grows with the lower confidence bound of the log of its rates in toxic and other examples: without it, the
 thousands of rare words of a text drown the few that tell the classes apart. The sample forms an inverted index whose
 blocks of `BLOCK` examples store each term's greatest weight; a query adds these up to bound a block's cosines, visits
-blocks from the best bound down, and stops at the first that cannot reach its `NEIGHBOURS` best so far, so the
-neighbours are exact. An example is never its own neighbour. Similarity-weighted votes, with the weight of each class,
+blocks from the best bound down, and stops at the first that cannot reach its `NEIGHBOURS` best so far. Terms of more
+than one in `COMMON` examples, which weigh little and whose lists are most of the index, are bounded together: by the
+lengths of the query's and the example's part in them, of which a block stores the greatest. Only examples that their
+rare terms and this bound leave in the race have their common terms added up, so the neighbours are exact. An example is never its own neighbour. Similarity-weighted votes, with the weight of each class,
 become a rate by an isotonic fit over the votes of examples. One example in `PARTS` is kept from the choice of
 relevances, and the fit is on these, which the choice cannot flatter.
 
 The sample is bounded: at most `PER_CLASS` labelled rows of class 0 and of class 1, those of least hash. Nothing else is.
 
-Defined results: a text that shares no term with an example (also a null, blank or empty one) gets the rate of such
-examples; ties between neighbours go to the one that comes first in the index; repeated rows get equal scores, unless
+Defined results: a text that shares no term with an example, or only such as all texts have (also a null, blank or
+empty one), gets the rate of such examples; ties between neighbours go to the one that comes first in the index; repeated rows get equal scores, unless
 one of them is an example; of several texts of a labelled id the one of least hash is the example; labels other than 0
 and 1, and labels without a document, are not learned from, and of several labels of an id the greatest counts; without
 labelled rows all scores are 0; an empty table gives an empty result.
@@ -39,7 +41,9 @@ from stratiform.llm.common import written
 PER_CLASS = (4000, 4000)
 #: Standard errors taken off a term's log rate ratio, and the relevance that each unit above 0 adds.
 CAUTION, RELEVANCE = 2.0, 2.0
-BLOCK, NEIGHBOURS = 64, 15
+BLOCK, NEIGHBOURS, COMMON = 64, 15, 8
+#: Examples whose common terms are added up before the rest is held against the best so far.
+FIRST = 32
 PARTS = 3
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,9 +97,18 @@ class Index:
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        self.blocks = max(1, -(-len(vectors) // BLOCK))
+        often = np.bincount(term, minlength=n_terms) * COMMON > len(vectors)
+        # Common terms have numbers of their own, all others -1, and stay in the order of examples.
+        self.number, self.commons = np.where(often, np.cumsum(often) - 1, -1), int(often.sum())
+        on = often[term]
+        self.common, self.common_weight = self.number[term[on]], weight[on]
+        self.edges = np.searchsorted(example[on], np.arange(len(vectors) + 1))
+        self.length = np.sqrt(np.bincount(example[on], weight[on] ** 2, len(vectors)))
+        self.longest = np.pad(self.length, (0, self.blocks * BLOCK - len(self.length))).reshape(-1, BLOCK).max(1)
+        term, weight, example = term[~on], weight[~on], example[~on]
         by_term = np.lexsort((example, term))
         self.example, self.weight = example[by_term], weight[by_term]
-        self.blocks = max(1, -(-len(vectors) // BLOCK))
         # A cell is the part of a term's list that lies in one block.
         cell = term[by_term] * self.blocks + self.example // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
@@ -106,10 +119,15 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first; `skip` is left out."""
+        n, number = len(self.labels), self.number[terms]
+        query = np.zeros(self.commons)
+        query[number[number >= 0]] = weights[number >= 0]
+        length = np.sqrt((query * query).sum())
+        terms, weights = terms[number < 0], weights[number < 0]
         a, z = self.cells[terms], self.cells[terms + 1]
         own, times = _ranges(a, z), np.repeat(weights, z - a)
         block = self.block[own]
-        bounds = np.bincount(block, times * self.most[own], self.blocks) * (1 + 1e-12) + 1e-12
+        bounds = (np.bincount(block, times * self.most[own], self.blocks) + length * self.longest) * (1 + 1e-12) + 1e-12
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 2e-12]
         found, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
@@ -123,16 +141,21 @@ class Index:
             chosen = np.flatnonzero(wanted[block])
             lo, hi = self.first[own[chosen]], self.last[own[chosen]]
             rows = _ranges(lo, hi)
-            scores = np.bincount(self.example[rows], self.weight[rows] * np.repeat(times[chosen], hi - lo), len(self.labels))
-            if skip >= 0:
-                scores[skip] = 0
-            hit = np.flatnonzero(scores > 0)
-            found, sims = np.append(found, hit), np.append(sims, scores[hit])
-            if len(sims) > k:
-                able = np.flatnonzero(sims >= np.partition(sims, -k)[-k] - 1e-9)
-                found, sims = found[able], sims[able]
-            best = np.lexsort((found, -np.round(sims, 12)))[:k]
-            found, sims = found[best], sims[best]
+            rare = np.bincount(self.example[rows], self.weight[rows] * np.repeat(times[chosen], hi - lo), n)
+            able = (rare + length * self.length) * (1 + 1e-12) + 1e-12
+            left = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            left = left[(left < n) & (left != skip)]
+            left = left[np.argsort(-able[left], kind="stable")]
+            for part in (left[:FIRST], left[FIRST:]):
+                if len(found) >= k:
+                    part = part[able[part] >= sims[-1]]
+                spots = _ranges(self.edges[part], self.edges[part + 1])
+                owner = np.repeat(np.arange(len(part)), self.edges[part + 1] - self.edges[part])
+                scores = rare[part] + np.bincount(owner, self.common_weight[spots] * query[self.common[spots]], len(part))
+                hit = np.flatnonzero(scores > 0)
+                found, sims = np.append(found, part[hit]), np.append(sims, scores[hit])
+                best = np.lexsort((found, -np.round(sims, 12)))[:k]
+                found, sims = found[best], sims[best]
         return found, sims
 
     def vote_of(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
@@ -222,7 +245,8 @@ def weigh(terms: np.ndarray, counts: np.ndarray, importance: np.ndarray) -> tupl
     """(terms, weights): (1 + ln tf) times the term's importance, as a unit vector."""
     t = np.asarray(terms, np.int64)
     w = (1 + np.log(np.asarray(counts, np.float64))) * importance[t]
-    return t, w / np.sqrt((w * w).sum()) if len(t) else w
+    size = np.sqrt((w * w).sum())
+    return t, w / size if size else w
 
 
 def _held(sent: Broadcast) -> tuple[Index, np.ndarray]:
@@ -276,7 +300,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen[found.column(0).to_numpy()] = found.column(1).to_numpy()
     old = np.repeat(~new, np.diff(edges))
     sizes = np.bincount(label[~new], minlength=2)
-    importance = (np.log((1 + n_docs) / (1 + seen)) + 1) * relevances(term[old], np.repeat(label, np.diff(edges))[old], len(vocabulary), sizes)
+    importance = np.log((1 + n_docs) / (1 + seen)) * relevances(term[old], np.repeat(label, np.diff(edges))[old], len(vocabulary), sizes)
     state = (edges, term.astype(np.int32), counts, label, examples.column(0).to_pylist(), class_weights, importance, new)
     sent = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(state), 1))  # bounded as the sample is
 

@@ -34,6 +34,30 @@ def test_nearest_examples_equal_brute_force():
         assert found.tolist() == best.tolist() and np.allclose(sims, all_sims[best])
 
 
+def test_nearest_examples_by_rare_and_common_terms_equal_brute_force():
+    rng = np.random.default_rng(9)
+    chances = 1 / np.arange(1, 3001)
+    vectors = []
+    for _ in range(900):
+        t = np.unique(rng.choice(3000, rng.integers(1, 60), p=chances / chances.sum()))
+        w = rng.random(len(t)) * np.log(t + 2)
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    index = toxicity.Index(vectors[:800], rng.integers(0, 2, 800), list(range(800)), np.ones(2), 3000, [True] * 800)
+    assert len(index.weight) > 1000 and len(index.common) > 1000
+    dense = np.zeros((800, 3000))
+    for i, (t, w) in enumerate(index.vectors):
+        dense[i, t] = w
+    for j, (t, w) in enumerate(vectors[700:]):
+        skip = j % 3 * 5 - 1
+        found, sims = index.nearest(t, w, 15, skip)
+        want = dense[:, t] @ w
+        if skip >= 0:
+            want[skip] = 0
+        best = np.lexsort((np.arange(800), -np.round(want, 12)))[:15]
+        best = best[want[best] > 0]
+        assert found.tolist() == best.tolist() and np.allclose(sims, want[best])
+
+
 def test_isotonic_rates_rise():
     x, rate = toxicity.isotonic(np.array([0.0, 0.1, 0.1, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]), np.ones(5))
     assert (np.diff(rate) >= 0).all() and rate[0] == 0 and rate[-1] == 1 and len(x) == len(rate)
@@ -198,7 +222,7 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         seen = sum(t in toxicity.words_of(text) for _, text in rows)
         a, c = (sum(t in counts[d] and toxic[d] == k for d in old) + 0.5 for k in (1, 0))
         ratio = math.log(a / (sum(toxic[d] for d in old) + 1) / (c / (sum(1 - toxic[d] for d in old) + 1)))
-        return (math.log((1 + len(rows)) / (1 + seen)) + 1) * (1 + 2 * max(0.0, ratio - 2 * math.sqrt(1 / a + 1 / c)))
+        return math.log((1 + len(rows)) / (1 + seen)) * (1 + 2 * max(0.0, ratio - 2 * math.sqrt(1 / a + 1 / c)))
 
     heavy = {t: importance(t) for t in known}
 
