@@ -42,8 +42,8 @@ PER_CLASS = (4000, 4000)
 #: Standard errors taken off a term's log rate ratio, and the relevance that each unit above 0 adds.
 CAUTION, RELEVANCE = 2.0, 2.0
 BLOCK, NEIGHBOURS, COMMON = 64, 15, 8
-#: Examples whose common terms are added up before the rest is held against the best so far.
-FIRST = 32
+#: Blocks visited, and examples of them whose common terms are added up, before the rest is held against the best so far.
+LEAD, FIRST = 8, 32
 PARTS = 3
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -130,34 +130,52 @@ class Index:
         bounds = (np.bincount(block, times * self.most[own], self.blocks) + length * self.longest) * (1 + 1e-12) + 1e-12
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 2e-12]
-        found, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        found, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, LEAD
         while at < len(order) and (len(found) < k or bounds[order[at]] >= sims[-1]):
             some = order[at : at + step]
             if len(found) >= k:
                 some = some[bounds[some] >= sims[-1]]
-            at, step = at + step, 2 * step
-            wanted = np.zeros(self.blocks, bool)
-            wanted[some] = True
-            chosen = np.flatnonzero(wanted[block])
-            lo, hi = self.first[own[chosen]], self.last[own[chosen]]
+            at, step = at + step, len(order)
+            if len(some) < self.blocks:
+                wanted = np.zeros(self.blocks, bool)
+                wanted[some] = True
+                chosen = np.flatnonzero(wanted[block])
+                lo, hi, weight = self.first[own[chosen]], self.last[own[chosen]], times[chosen]
+            else:
+                lo, hi, weight = self.first[own], self.last[own], times
             rows = _ranges(lo, hi)
-            rare = np.bincount(self.example[rows], self.weight[rows] * np.repeat(times[chosen], hi - lo), n)
-            able = (rare + length * self.length) * (1 + 1e-12) + 1e-12
+            rare = np.bincount(self.example[rows], self.weight[rows] * np.repeat(weight, hi - lo), n)
             left = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             left = left[(left < n) & (left != skip)]
-            left = left[np.argsort(-able[left], kind="stable")]
-            for part in (left[:FIRST], left[FIRST:]):
-                if len(found) >= k:
-                    part = part[able[part] >= sims[-1]]
-                spots = _ranges(self.edges[part], self.edges[part + 1])
-                owner = np.repeat(np.arange(len(part)), self.edges[part + 1] - self.edges[part])
-                scores = rare[part] + np.bincount(owner, self.common_weight[spots] * query[self.common[spots]], len(part))
-                hit = np.flatnonzero(scores > 0)
-                found, sims = np.append(found, part[hit]), np.append(sims, scores[hit])
-                best = np.lexsort((found, -np.round(sims, 12)))[:k]
-                found, sims = found[best], sims[best]
+            able = (rare[left] + length * self.length[left]) * (1 + 1e-12) + 1e-12
+            if len(found) >= k:
+                left, able = left[able >= sims[-1]], able[able >= sims[-1]]
+            # The best few first; what they leave in the race then, from the best bound down.
+            lead = np.argpartition(-able, FIRST)[:FIRST] if len(able) > FIRST else np.arange(len(able))
+            found, sims = self._best(found, sims, left[lead], rare, query, k)
+            rest = np.ones(len(left), bool)
+            rest[lead] = False
+            if len(found) >= k:
+                rest &= able >= sims[-1]
+            left, able = left[rest], able[rest]
+            falling = np.argsort(-able, kind="stable")
+            left, able = left[falling], able[falling]
+            for lo in range(0, len(left), 2 * FIRST):
+                if len(found) >= k and able[lo] < sims[-1]:
+                    break
+                found, sims = self._best(found, sims, left[lo : lo + 2 * FIRST], rare, query, k)
         return found, sims
 
+    def _best(self, found: np.ndarray, sims: np.ndarray, part: np.ndarray, rare: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of what is found and of the examples `part`, whose common terms are added up here."""
+        spots = _ranges(self.edges[part], self.edges[part + 1])
+        owner = np.repeat(np.arange(len(part)), self.edges[part + 1] - self.edges[part])
+        scores = rare[part] + np.bincount(owner, self.common_weight[spots] * query[self.common[spots]], len(part))
+        hit = np.flatnonzero(scores > 0)
+        found, sims = np.append(found, part[hit]), np.append(sims, scores[hit])
+        best = np.lexsort((found, -np.round(sims, 12)))[:k]
+        return found[best], sims[best]
+
     def vote_of(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
         """(weighted share of toxic neighbours, the neighbours, their cosines); no share without neighbours."""
         found, sims = self.nearest(terms, weights, NEIGHBOURS, skip)
