@@ -5,10 +5,10 @@ A term weighs (1 + ln tf) * ln(texts / texts with it) * relevance. The relevance
 hold, and grows with the lower confidence bound of the log of its rates in toxic and other examples: without it, the
 thousands of rare words of a text drown the few that tell the classes apart. The sample forms an inverted index whose
 blocks of `BLOCK` examples store each term's greatest weight; a query adds these up to bound a block's cosines, visits
-blocks from the best bound down, and stops at the first that cannot reach its `NEIGHBOURS` best so far. Terms of more
-than one in `COMMON` examples, which weigh little and whose lists are most of the index, are bounded together: by the
-lengths of the query's and the example's part in them, of which a block stores the greatest. Only examples that their
-rare terms and this bound leave in the race have their common terms added up, so the neighbours are exact. An example is never its own neighbour. Similarity-weighted votes, with the weight of each class,
+those of the best bounds first and then the others that can still reach its `NEIGHBOURS` best. Terms of more than one in
+`COMMON` examples, whose lists are most of the index, are held as a matrix instead and multiplied for `TOGETHER` queries
+at once, so a block's bound has their sums exactly. The cosines of all that may be among the best are then computed in
+full precision, so the neighbours are exact. An example is never its own neighbour. Similarity-weighted votes, with the weight of each class,
 become a rate by an isotonic fit over the votes of examples. One example in `PARTS` is kept from the choice of
 relevances, and the fit is on these, which the choice cannot flatter.
 
@@ -41,9 +41,13 @@ from stratiform.llm.common import written
 PER_CLASS = (4000, 4000)
 #: Standard errors taken off a term's log rate ratio, and the relevance that each unit above 0 adds.
 CAUTION, RELEVANCE = 2.0, 2.0
-BLOCK, NEIGHBOURS, COMMON = 64, 15, 8
-#: Blocks visited, and examples of them whose common terms are added up, before the rest is held against the best so far.
-LEAD, FIRST = 8, 32
+BLOCK, NEIGHBOURS, COMMON = 64, 15, 32
+#: Blocks that each query visits before the rest is held against its best so far, and queries that go together.
+LEAD, TOGETHER = 16, 64
+#: Words that are counted together.
+WORDS = 1_000_000
+#: More than the error of the common terms' sums, which are in single precision; cosines are not.
+SLACK = 1e-5
 PARTS = 3
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -72,6 +76,11 @@ class Rates:
     at: np.ndarray
     rate: np.ndarray
 
+    def of(self, share: float | None) -> float:
+        if share is None:
+            return self.none
+        return float(np.interp(share, self.at, self.rate)) if len(self.at) else share
+
 
 def calibrated(rows: list[tuple[int, float, float | None]]) -> Rates:
     """The rates of (label, weight, share) rows; the share is None where there are no neighbours."""
@@ -99,13 +108,13 @@ class Index:
         example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         often = np.bincount(term, minlength=n_terms) * COMMON > len(vectors)
-        # Common terms have numbers of their own, all others -1, and stay in the order of examples.
-        self.number, self.commons = np.where(often, np.cumsum(often) - 1, -1), int(often.sum())
+        # The whole vectors, for exact cosines, and the common terms' weights as a matrix of terms by examples.
+        self.edges = np.searchsorted(example, np.arange(len(vectors) + 1))
+        self.terms, self.weights, self.scratch = term, weight, np.zeros(n_terms)
+        self.number = np.where(often, np.cumsum(often) - 1, -1)
         on = often[term]
-        self.common, self.common_weight = self.number[term[on]], weight[on]
-        self.edges = np.searchsorted(example[on], np.arange(len(vectors) + 1))
-        self.length = np.sqrt(np.bincount(example[on], weight[on] ** 2, len(vectors)))
-        self.longest = np.pad(self.length, (0, self.blocks * BLOCK - len(self.length))).reshape(-1, BLOCK).max(1)
+        self.common = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
+        self.common[self.number[term[on]], example[on]] = weight[on]
         term, weight, example = term[~on], weight[~on], example[~on]
         by_term = np.lexsort((example, term))
         self.example, self.weight = example[by_term], weight[by_term]
@@ -119,74 +128,66 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first; `skip` is left out."""
-        n, number = len(self.labels), self.number[terms]
-        query = np.zeros(self.commons)
-        query[number[number >= 0]] = weights[number >= 0]
-        length = np.sqrt((query * query).sum())
-        terms, weights = terms[number < 0], weights[number < 0]
+        return next(self.nearest_of([(terms, weights)], k, [skip]))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What `nearest` gives for each of the queries, which go through the index together."""
+        m, width = len(queries), self.blocks * BLOCK
+        owner = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = (np.concatenate([q[i] for q in queries]) for i in (0, 1))
+        number = self.number[terms]
+        on = number >= 0
+        dense = np.zeros((m, len(self.common)), np.float32)
+        dense[owner[on], number[on]] = weights[on]
+        scores = (dense @ self.common).astype(np.float64)
+        owner, terms, weights = owner[~on], terms[~on], weights[~on]
         a, z = self.cells[terms], self.cells[terms + 1]
-        own, times = _ranges(a, z), np.repeat(weights, z - a)
-        block = self.block[own]
-        bounds = (np.bincount(block, times * self.most[own], self.blocks) + length * self.longest) * (1 + 1e-12) + 1e-12
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 2e-12]
-        found, sims, at, step = np.zeros(0, np.int64), np.zeros(0), 0, LEAD
-        while at < len(order) and (len(found) < k or bounds[order[at]] >= sims[-1]):
-            some = order[at : at + step]
-            if len(found) >= k:
-                some = some[bounds[some] >= sims[-1]]
-            at, step = at + step, len(order)
-            if len(some) < self.blocks:
-                wanted = np.zeros(self.blocks, bool)
-                wanted[some] = True
-                chosen = np.flatnonzero(wanted[block])
-                lo, hi, weight = self.first[own[chosen]], self.last[own[chosen]], times[chosen]
-            else:
-                lo, hi, weight = self.first[own], self.last[own], times
+        own, times, owner = _ranges(a, z), np.repeat(weights, z - a), np.repeat(owner, z - a)
+        spot = owner * self.blocks + self.block[own]
+        bounds = scores.reshape(m, self.blocks, BLOCK).max(2) + np.bincount(spot, times * self.most[own], m * self.blocks).reshape(m, self.blocks) + SLACK
+        visited = np.zeros((m, self.blocks), bool)
+        lead = np.argpartition(-bounds, LEAD, 1)[:, :LEAD] if self.blocks > LEAD else np.broadcast_to(np.arange(self.blocks), (m, self.blocks))
+        now = np.zeros_like(visited)
+        np.put_along_axis(now, lead, True, 1)
+        scores[:, len(self.labels) :] = -1
+        for i, skip in enumerate(skips):
+            if skip >= 0:
+                scores[i, skip] = -1
+        for last in (False, True):
+            # The rare terms of the blocks that are visited now.
+            chosen = np.flatnonzero(now.ravel()[spot])
+            lo, hi = self.first[own[chosen]], self.last[own[chosen]]
             rows = _ranges(lo, hi)
-            rare = np.bincount(self.example[rows], self.weight[rows] * np.repeat(weight, hi - lo), n)
-            left = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            left = left[(left < n) & (left != skip)]
-            able = (rare[left] + length * self.length[left]) * (1 + 1e-12) + 1e-12
-            if len(found) >= k:
-                left, able = left[able >= sims[-1]], able[able >= sims[-1]]
-            # The best few first; what they leave in the race then, from the best bound down.
-            lead = np.argpartition(-able, FIRST)[:FIRST] if len(able) > FIRST else np.arange(len(able))
-            found, sims = self._best(found, sims, left[lead], rare, query, k)
-            rest = np.ones(len(left), bool)
-            rest[lead] = False
-            if len(found) >= k:
-                rest &= able >= sims[-1]
-            left, able = left[rest], able[rest]
-            falling = np.argsort(-able, kind="stable")
-            left, able = left[falling], able[falling]
-            for lo in range(0, len(left), 2 * FIRST):
-                if len(found) >= k and able[lo] < sims[-1]:
-                    break
-                found, sims = self._best(found, sims, left[lo : lo + 2 * FIRST], rare, query, k)
-        return found, sims
-
-    def _best(self, found: np.ndarray, sims: np.ndarray, part: np.ndarray, rare: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of what is found and of the examples `part`, whose common terms are added up here."""
-        spots = _ranges(self.edges[part], self.edges[part + 1])
-        owner = np.repeat(np.arange(len(part)), self.edges[part + 1] - self.edges[part])
-        scores = rare[part] + np.bincount(owner, self.common_weight[spots] * query[self.common[spots]], len(part))
-        hit = np.flatnonzero(scores > 0)
-        found, sims = np.append(found, part[hit]), np.append(sims, scores[hit])
-        best = np.lexsort((found, -np.round(sims, 12)))[:k]
-        return found[best], sims[best]
-
-    def vote_of(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float | None, np.ndarray, np.ndarray]:
-        """(weighted share of toxic neighbours, the neighbours, their cosines); no share without neighbours."""
-        found, sims = self.nearest(terms, weights, NEIGHBOURS, skip)
-        weight = sims * self.vote[found]
-        return (float((weight * self.labels[found]).sum() / weight.sum()) if len(found) else None), found, sims
-
-    def score(self, rates: Rates, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, list[tuple[int, float]]]:
-        share, found, sims = self.vote_of(terms, weights, skip)
-        if share is None:
-            return rates.none, []
-        return (float(np.interp(share, rates.at, rates.rate)) if len(rates.at) else share), list(zip(found.tolist(), sims.tolist(), strict=True))
+            places = np.repeat(owner[chosen] * width, hi - lo) + self.example[rows]
+            scores += np.bincount(places, self.weight[rows] * np.repeat(times[chosen], hi - lo), m * width).reshape(m, width)
+            visited |= now
+            seen = np.where(np.repeat(visited, BLOCK, 1), scores, -1.0)
+            least = np.partition(seen, -k, 1)[:, -k] if width >= k else np.full(m, -1.0)
+            now = ~visited & (bounds >= np.maximum(least, 2 * SLACK)[:, None])
+            if not now.any():
+                break
+        for i, skip in enumerate(skips):
+            able = np.flatnonzero(seen[i] >= max(least[i] - SLACK, 0))
+            yield self._exact(*queries[i], able, k)
+
+    def _exact(self, terms: np.ndarray, weights: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of the examples `able`, by cosines of full precision."""
+        self.scratch[terms] = weights
+        spots = _ranges(self.edges[able], self.edges[able + 1])
+        owner = np.repeat(np.arange(len(able)), self.edges[able + 1] - self.edges[able])
+        sims = np.bincount(owner, self.weights[spots] * self.scratch[self.terms[spots]], len(able))
+        self.scratch[terms] = 0
+        hit = sims > 0
+        able, sims = able[hit], sims[hit]
+        best = np.lexsort((able, -np.round(sims, 12)))[:k]
+        return able[best], sims[best]
+
+    def votes_of(self, queries: list[tuple[np.ndarray, np.ndarray]], skips: list[int]) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """(weighted share of toxic neighbours, the neighbours, their cosines) of each query; no share without neighbours."""
+        for lo in range(0, len(queries), TOGETHER):
+            for found, sims in self.nearest_of(queries[lo : lo + TOGETHER], NEIGHBOURS, skips[lo : lo + TOGETHER]):
+                weight = sims * self.vote[found]
+                yield (float((weight * self.labels[found]).sum() / weight.sum()) if len(found) else None), found, sims
 
 
 def _heaviest(terms: np.ndarray, weights: np.ndarray) -> int:
@@ -239,14 +240,20 @@ def _vectors(texts: DataFrame, terms: list[str], id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = {t: i for i, t in enumerate(zlib.decompress(known.value).decode().split("\n"))}
         for batch in batches:
-            found, counts, sizes = [], [], [0]
-            for text in batch.column(2):
-                pairs = sorted((names[w], n) for w, n in words_of(text.as_py()).items() if w in names)
-                found += [t for t, _ in pairs]
-                counts += [n for _, n in pairs]
-                sizes.append(len(found))
-            lists = [pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(x, pa.int32())) for x in (found, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["id", "tag", "terms", "counts"])
+            done, said, sizes, held = 0, [], [], 0
+            for i, text in enumerate(batch.column(2), 1):
+                own = [names.get(w, -1) for w in _WORD.findall((text.as_py() or "").lower())]
+                said.append(np.array(own, np.int64))
+                sizes.append(len(own))
+                held += len(own)
+                if i == batch.num_rows or held > WORDS:
+                    # Words of a text, by term: equal ones are counted.
+                    owner, term = np.repeat(np.arange(i - done), sizes[done:]), np.concatenate(said)
+                    cell, counts = np.unique((owner * (len(names) + 1) + term)[term >= 0], return_counts=True)
+                    edges = np.searchsorted(cell, np.arange(i - done + 1) * (len(names) + 1))
+                    lists = [pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (cell % (len(names) + 1), counts)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(done, i - done) for k in (0, 1)), *lists], ["id", "tag", "terms", "counts"])
+                    done, said, held = i, [], 0
 
     kind = texts.schema[id_col].dataType.simpleString()
     return texts.select(id_col, F.xxhash64(text_col).alias("tag"), text_col).mapInArrow(run, f"id {kind}, tag long, terms array<int>, counts array<int>")
@@ -326,7 +333,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         index, _ = _held(sent)
         for batch in batches:
             own = [index.place[x] for x in batch.column(0).to_pylist()]
-            got = [index.vote_of(*index.vectors[i], skip=i)[0] for i in own]
+            got = [share for share, _, _ in index.votes_of([index.vectors[i] for i in own], own)]
             yield pa.RecordBatch.from_arrays([pa.array(index.labels[own]), pa.array(index.vote[own]), pa.array(got, pa.float64())], ["label", "weight", "share"])
 
     pieces = 4 * spark.sparkContext.defaultParallelism
@@ -335,20 +342,17 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, importance = _held(sent)
-        memo: dict[tuple, tuple] = {}
         shape = pa.list_(pa.struct([("id", pa.string()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            out, evidence = [], []
-            for x, (t, n) in zip(batch.column(0).to_pylist(), _rows(batch, 3), strict=True):
-                own = index.place.get(x, -1)
-                key = (own, t.tobytes(), n.tobytes())
-                if key not in memo:
-                    if len(memo) >= 5000:
-                        memo.clear()
-                    memo[key] = index.score(rates, *weigh(t, n, importance), own)
-                score, near = memo[key]
-                out.append(score)
-                evidence.append([{"id": str(index.ids[i]), "similarity": s, "toxic": int(index.labels[i])} for i, s in near[:3]])
+            # Equal texts of a batch are looked up once.
+            keys = [(index.place.get(x, -1), t.tobytes(), n.tobytes()) for x, (t, n) in zip(batch.column(0).to_pylist(), _rows(batch, 3), strict=True)]
+            different = list(dict.fromkeys(keys))
+            queries = [weigh(np.frombuffer(t, np.int32), np.frombuffer(n, np.int32), importance) for _, t, n in different]
+            scored = {}
+            for key, (share, found, sims) in zip(different, index.votes_of(queries, [own for own, _, _ in different]), strict=True):
+                near = [{"id": str(index.ids[i]), "similarity": x, "toxic": int(index.labels[i])} for i, x in zip(found[:3].tolist(), sims[:3].tolist(), strict=True)]
+                scored[key] = rates.of(share), near
+            out, evidence = [scored[key][0] for key in keys], [scored[key][1] for key in keys]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64()), pa.array(evidence, shape)], ["id", "tag", "held_out", "score", "evidence"])
 
     rows = table.select("id", "tag", held_out("id").alias("held_out"), "terms", "counts")
