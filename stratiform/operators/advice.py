@@ -98,6 +98,7 @@ def fn_seasonal_lookup(spark, sf_dir):
     return spark.createDataFrame(CLIMATE, "month int, mean_temp int, mean_humidity int, rain_days int")
 
 
+# Fixed values.
 #: Phenomena: name, severity and condition; of conditions with the same name the first that holds counts.
 PHENOMENA = (
     ("nom_am", "high", "m IN (2, 3, 4) AND humidity >= 95 AND temp - dew_point <= 2"),
@@ -126,6 +127,7 @@ def fn_phenomena(spark, sf_dir):
     return hourly(spark, sf_dir).withColumn("m", F.month("ts_utc")).select("ward_id", shown("ts_utc").alias("ts_utc"), F.explode(hits).alias("hit")).select("ward_id", "ts_utc", "hit.kind", "hit.severity")
 
 
+# Alert and its condition.
 ALERTS = (("wind", "wind_gust > 20"), ("cold", "temp < 13"), ("heat", "temp > 39"), ("thunderstorm", "weather_main = 'Thunderstorm'"))
 _NEXT = f"ts_utc > TIMESTAMP '{AS_OF}' AND ts_utc < TIMESTAMP '{AS_OF}' + INTERVAL 24 HOURS"
 
@@ -169,13 +171,30 @@ _SCORE = """greatest(0, round_even(round(100 - CASE WHEN temp < low THEN least(3
 _SCORED_SQL = HOURLY_SQL + f", f AS (SELECT * FROM hourly WHERE ts_utc > TIMESTAMP '{AS_OF}' AND temp IS NOT NULL), scored AS (SELECT activity, ward_id, {TS}, {_SCORE}::DOUBLE AS score FROM f, {_ACTIVITY_SQL})\n"
 
 
-def activity_scores(spark, sf_dir) -> DataFrame:
-    """A score from 100 down for each activity in each forecast hour; the fifteen activities are an array on the row."""
+def scored(rows: DataFrame, keys: list[str], activities=None) -> DataFrame:
+    """A score from 100 down for each activity and row with a temperature; the activities are an array on the row.
+
+    An activity that the table does not have is judged as a run is.
+    """
+    known = {a[0]: a[1:] for a in ACTIVITIES}
     number = lambda v: F.lit(None if v is None else float(v)).cast("double")
-    rules = F.array(*[F.struct(F.lit(a[0]).alias("activity"), *[number(v).alias(k) for k, v in zip(("low", "high", "pop_max", "uv_max", "wind_max", "humidity_max"), a[1:], strict=True)]) for a in ACTIVITIES])
-    rows = hourly(spark, sf_dir, NEXT_HOUR).where("temp IS NOT NULL").withColumn("rule", F.explode(rules)).select("ward_id", "ts_utc", "temp", "pop", "uvi", "wind_speed", "humidity", "rule.*")
+    chosen = [(a, known.get(a, known["chay_bo"])) for a in (activities or known)]
+    rules = F.array(*[F.struct(F.lit(a).alias("activity"), *[number(v).alias(k) for k, v in zip(("low", "high", "pop_max", "uv_max", "wind_max", "humidity_max"), limits, strict=True)]) for a, limits in chosen])
+    spread = rows.where("temp IS NOT NULL").withColumn("rule", F.explode(rules)).select(*keys, "ts_utc", "temp", "pop", "uvi", "wind_speed", "humidity", "rule.*")
     score = F.expr(_SCORE.replace("round_even(", "bround(").replace("ELSE 0 END", "ELSE 0D END").replace("0.5", "0.5D"))
-    return rows.select("activity", "ward_id", shown("ts_utc").alias("ts_utc"), score.cast("double").alias("score"))
+    return spread.select("activity", *keys, "ts_utc", score.cast("double").alias("score"))
+
+
+def activity_scores(spark, sf_dir) -> DataFrame:
+    return scored(hourly(spark, sf_dir, NEXT_HOUR).withColumn("ts_utc", shown("ts_utc")), ["ward_id"])
+
+
+def best_and_worst(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """The five best rows of each activity, and the three worst where there are more than three."""
+    own = Window.partitionBy("activity", *keys)
+    ranked = scores.withColumn("nth", F.row_number().over(own.orderBy(F.desc("score"), "ts_utc"))).withColumn("n", F.count(F.lit(1)).over(own))
+    sides = F.array_compact(F.array(F.when(F.col("nth") <= 5, "best"), F.when((F.col("n") > 3) & (F.col("nth") > F.col("n") - 3), "worst")))
+    return ranked.select(*keys, "activity", F.explode(sides).alias("side"), "ts_utc", "score")
 
 
 @query(_SCORED_SQL + "SELECT * FROM scored")
@@ -187,33 +206,78 @@ def fn_activity_score(spark, sf_dir):
 FROM (SELECT *, row_number() OVER (PARTITION BY activity, ward_id ORDER BY score DESC, ts_utc) AS nth, count(*) OVER (PARTITION BY activity, ward_id) AS n FROM scored), (VALUES ('best'), ('worst')) AS v(side)
 WHERE (side = 'best' AND nth <= 5) OR (side = 'worst' AND n > 3 AND nth > n - 3)""")
 def top_best_hours(spark, sf_dir):
-    """The five best hours of each activity, and the three worst where there are more than three."""
-    own = Window.partitionBy("activity", "ward_id")
-    ranked = activity_scores(spark, sf_dir).withColumn("nth", F.row_number().over(own.orderBy(F.desc("score"), "ts_utc"))).withColumn("n", F.count(F.lit(1)).over(own))
-    sides = F.array_compact(F.array(F.when(F.col("nth") <= 5, "best"), F.when((F.col("n") > 3) & (F.col("nth") > F.col("n") - 3), "worst")))
-    return ranked.select("ward_id", "activity", F.explode(sides).alias("side"), "ts_utc", "score")
+    return best_and_worst(activity_scores(spark, sf_dir), ["ward_id"])
 
 
 #: The same query under a second name that earlier callers use.
 REGISTRY["top_best_worst_hours"] = REGISTRY["top_best_hours"]
 
-#: An activity profile: issue, severity (1 warning, 2 danger) and condition.
-RUNNING = (
-    ("heat", 2, "temp >= 32"), ("warm", 1, "temp >= 28 AND temp < 32"), ("uv_danger", 2, "uvi >= 8"), ("uv", 1, "uvi >= 5 AND uvi < 8"), ("humid", 1, "humidity >= 80"),
-    ("wind", 1, "greatest(wind_speed, wind_gust) >= 8"), ("rain", 1, "pop >= 0.4"), ("storm", 2, "weather_main = 'Thunderstorm'"),
+LIMITS = ("temp_danger", "temp_high", "temp_low", "uv_danger", "uv_high", "pop_danger", "pop_high", "wind_low", "wind_danger", "wind_high", "humidity_high", "clouds_low", "clouds_high")
+# Activity profile and its limits in that order (null: no limit); the last stands for all other activities.
+PROFILES = (
+    ("chay_bo", 32, 28, None, 8, 5, None, 0.4, None, None, 8, 80, None, None), ("chup_anh", None, None, None, None, 8, None, 0.5, None, None, 10, None, 30, 70),
+    ("picnic", None, 32, 15, None, 8, None, 0.3, None, None, 7, 85, None, None), ("di_dao", None, 33, 12, None, 8, None, 0.5, None, None, 11, 90, None, None),
+    ("dua_dieu", None, None, None, None, None, None, 0.3, 2, 14, 11, None, None, None), ("cau_ca", None, None, None, None, 9, None, 0.5, None, None, 8, None, None, None),
+    ("boi_loi", None, None, 22, None, 8, None, 0.3, None, None, 10, None, None, None), ("su_kien", None, 33, None, None, 8, 0.5, 0.2, None, 16, 10, None, None, None),
+    ("khac", None, 33, 12, None, 8, None, 0.5, None, None, 12, 90, None, None),
 )
-_ISSUES_SQL = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, _, c in RUNNING) + "], lambda x: x IS NOT NULL)"
-_RANK_SQL = "greatest(" + ", ".join(f"CASE WHEN {c} THEN {s} ELSE 0 END" for _, s, c in RUNNING) + ")"
-_VERDICT_SQL = f"CASE WHEN {_RANK_SQL} = 2 THEN 'khong_nen' WHEN {_RANK_SQL} = 1 AND len({_ISSUES_SQL}) >= 3 THEN 'han_che' WHEN {_RANK_SQL} = 1 THEN 'co_the' ELSE 'nen' END"
-def _issues() -> Column:
-    return F.array_compact(F.array(*[F.when(F.expr(c), n) for n, _, c in RUNNING]))
+#: Issue, severity (1 warning, 2 danger), condition on the readings and a profile's limits; missing readings of rain, UV and wind count as 0.
+ISSUES = (
+    ("heat", 2, "temp >= temp_danger"), ("hot", 1, "temp >= temp_high AND NOT coalesce(temp >= temp_danger, false)"), ("cold", 1, "temp <= temp_low"),
+    ("uv_danger", 2, "coalesce(uvi, 0) >= uv_danger"), ("uv", 1, "coalesce(uvi, 0) >= uv_high AND NOT coalesce(coalesce(uvi, 0) >= uv_danger, false)"),
+    ("rain_danger", 2, "coalesce(pop, 0) >= pop_danger"), ("rain", 1, "coalesce(pop, 0) >= pop_high AND NOT coalesce(coalesce(pop, 0) >= pop_danger, false)"),
+    ("calm", 1, "coalesce(wind_speed, 0) < wind_low"), ("gale", 2, "greatest(coalesce(wind_speed, 0), coalesce(wind_gust, 0)) >= wind_danger"),
+    ("wind", 1, "greatest(coalesce(wind_speed, 0), coalesce(wind_gust, 0)) >= wind_high AND NOT coalesce(greatest(coalesce(wind_speed, 0), coalesce(wind_gust, 0)) >= wind_danger, false)"),
+    ("humid", 1, "humidity >= humidity_high"), ("glare", 1, "clouds < clouds_low"), ("dull", 1, "clouds > clouds_high"), ("storm", 2, "weather_main = 'Thunderstorm'"),
+)
+
 
+def activity_advice(rows: DataFrame, activities=None) -> DataFrame:
+    """`rows` of readings with a row for each activity: its issues, their greatest severity and the verdict.
 
-def _severity() -> Column:
-    return F.greatest(*[F.when(F.expr(c), s).otherwise(0) for _, s, c in RUNNING])
-_rowwise("fn_activity_profile_eval", "Issues of a run, joined, and their greatest severity.", {"issues": (lambda: F.array_join(_issues(), ", "), f"array_to_string({_ISSUES_SQL}, ', ')"), "severity": (_severity, f"({_RANK_SQL})::INT")})
-_rowwise("fn_activity_verdict", "Whether to run.", {"verdict": (lambda: F.when(_severity() == 2, "khong_nen").when((_severity() == 1) & (F.size(_issues()) >= 3), "han_che").when(_severity() == 1, "co_the").otherwise("nen"), _VERDICT_SQL)})
+    An activity without a profile of its own gets the last one; the profiles are an array on the row.
+    """
+    known = {p[0]: p[1:] for p in PROFILES}
+    number = lambda v: F.lit(None if v is None else float(v)).cast("double")
+    chosen = [(a, known.get(a, known["khac"])) for a in (activities or known)]
+    rules = F.array(*[F.struct(F.lit(a).alias("activity"), *[number(v).alias(k) for k, v in zip(LIMITS, limits, strict=True)]) for a, limits in chosen])
+    found = F.array_compact(F.array(*[F.when(F.expr(c), n) for n, _, c in ISSUES]))
+    worst = F.greatest(*[F.when(F.expr(c), severity).otherwise(0) for _, severity, c in ISSUES])
+    out = rows.withColumn("__rule", F.explode(rules)).select("*", "__rule.*").withColumns({"__found": found, "severity": worst})
+    verdict = F.when(F.col("severity") == 2, "khong_nen").when((F.col("severity") == 1) & (F.size("__found") >= 3), "han_che").when(F.col("severity") == 1, "co_the").otherwise("nen")
+    return out.withColumns({"issues": F.array_join("__found", ", "), "verdict": verdict}).drop("__rule", "__found", *LIMITS)
 
+
+def advice_sql(source: str, columns: str) -> str:
+    """The same by a join with the table of limits and one condition after the other."""
+    values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in PROFILES)
+    tests = (
+        "CASE WHEN temp >= temp_danger THEN 'heat' WHEN temp >= temp_high THEN 'hot' END", "CASE WHEN temp <= temp_low THEN 'cold' END", "CASE WHEN coalesce(uvi, 0) >= uv_danger THEN 'uv_danger' WHEN coalesce(uvi, 0) >= uv_high THEN 'uv' END",
+        "CASE WHEN coalesce(pop, 0) >= pop_danger THEN 'rain_danger' WHEN coalesce(pop, 0) >= pop_high THEN 'rain' END", "CASE WHEN coalesce(wind_speed, 0) < wind_low THEN 'calm' END",
+        "CASE WHEN greatest(coalesce(wind_speed, 0), coalesce(wind_gust, 0)) >= wind_danger THEN 'gale' WHEN greatest(coalesce(wind_speed, 0), coalesce(wind_gust, 0)) >= wind_high THEN 'wind' END",
+        "CASE WHEN humidity >= humidity_high THEN 'humid' END", "CASE WHEN clouds < clouds_low THEN 'glare' WHEN clouds > clouds_high THEN 'dull' END", "CASE WHEN weather_main = 'Thunderstorm' THEN 'storm' END",
+    )
+    return f""", limits AS (SELECT activity, {', '.join(f'{k}::DOUBLE AS {k}' for k in LIMITS)} FROM (VALUES {values}) AS v(activity, {', '.join(LIMITS)})),
+tested AS (SELECT *, list_filter([{', '.join(tests)}], lambda x: x IS NOT NULL) AS found FROM {source}, limits),
+ranked AS (SELECT *, CASE WHEN list_has_any(found, ['heat', 'uv_danger', 'rain_danger', 'gale', 'storm']) THEN 2 WHEN len(found) > 0 THEN 1 ELSE 0 END AS severity FROM tested)
+SELECT {columns}, activity, array_to_string(found, ', ') AS issues, severity::INT AS severity, CASE severity WHEN 2 THEN 'khong_nen' WHEN 0 THEN 'nen' ELSE CASE WHEN len(found) >= 3 THEN 'han_che' ELSE 'co_the' END END AS verdict FROM ranked"""
+
+
+_NEXT_FACTS = HOURLY_SQL + f", next AS (SELECT * FROM hourly WHERE ts_utc > TIMESTAMP '{AS_OF}')"
+
+
+@query(f"SELECT ward_id, ts_utc, activity, issues, severity FROM (" + _NEXT_FACTS + advice_sql("next", f"ward_id, {TS}") + ")")
+def fn_activity_profile_eval(spark, sf_dir):
+    """Issues of each activity in each forecast hour and their greatest severity."""
+    return activity_advice(hourly(spark, sf_dir, NEXT_HOUR)).select("ward_id", shown("ts_utc").alias("ts_utc"), "activity", "issues", "severity")
+
+
+@query(f"SELECT ward_id, ts_utc, activity, verdict FROM (" + _NEXT_FACTS + advice_sql("next", f"ward_id, {TS}") + ")")
+def fn_activity_verdict(spark, sf_dir):
+    return activity_advice(hourly(spark, sf_dir, NEXT_HOUR)).select("ward_id", shown("ts_utc").alias("ts_utc"), "activity", "verdict")
+
+
+# Fixed values.
 #: Clothing: an item and its condition.
 CLOTHING = (
     ("Áo phao/áo khoác dày", "temp < 10"), ("Khăn quàng cổ", "temp < 10"), ("Áo khoác dày", "temp >= 10 AND temp < 15"), ("Áo len", "temp >= 10 AND temp < 15"), ("Áo khoác nhẹ", "temp >= 15 AND temp < 20"),
@@ -221,4 +285,8 @@ CLOTHING = (
     ("Áo mỏng thoáng mát nhất", "temp >= 32"), ("Kính râm", "temp >= 32 OR uvi >= 8"), ("Ô/áo mưa", f"pop > 0.5 OR weather_main IN {_WET}"), ("Ô gấp nhỏ", f"pop > 0.3 AND pop <= 0.5 AND weather_main NOT IN {_WET}"),
     ("Kem chống nắng SPF50+", "uvi >= 8"), ("Kem chống nắng SPF30+", "uvi >= 5 AND uvi < 8"),
 )
-_rowwise("fn_clothing", "What to wear, joined.", {"items": (lambda: F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in CLOTHING])), "; "), "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CLOTHING) + "], lambda x: x IS NOT NULL), '; ')")})
+def clothing() -> Column:
+    return F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in CLOTHING])), "; ")
+
+
+_rowwise("fn_clothing", "What to wear, joined.", {"items": (clothing, "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CLOTHING) + "], lambda x: x IS NOT NULL), '; ')")})

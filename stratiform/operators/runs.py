@@ -13,13 +13,17 @@ from stratiform.operators.rollup import _daily_sql, _hourly_sql, agg_city_daily,
 from stratiform.registry import query
 from stratiform.sources.roles import AS_OF, NEXT_HOUR, WET, rounded
 
+#: The key of a region's series.
+REGION = ["city_id"]
+
+
 SERIES_SQL = _hourly_sql("city_id").replace("\nSELECT city_id, strftime", "\n, series AS (SELECT city_id, strftime", 1) + ")\n"
 DAYS_SQL = _daily_sql("city_id").replace("\nSELECT city_id, date::VARCHAR", "\n, days AS (SELECT city_id, date::VARCHAR", 1) + ")\n"
 _WET = "('Rain', 'Drizzle', 'Thunderstorm')"
 
 
-def _order():
-    return Window.partitionBy("city_id").orderBy("ts_utc")
+def _order(keys: list[str] = REGION):
+    return Window.partitionBy(*keys).orderBy("ts_utc")
 
 
 def forecast_series(spark, sf_dir, hours: int = 48) -> DataFrame:
@@ -31,7 +35,7 @@ def forecast_series(spark, sf_dir, hours: int = 48) -> DataFrame:
 FORECAST_SQL = SERIES_SQL + f", f AS (SELECT * FROM series WHERE ts_utc > '{AS_OF}' QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY ts_utc) <= 48)\n"
 
 
-def runs(rows: DataFrame, holds: Column, key: str = "city_id", order: str = "ts_utc") -> DataFrame:
+def runs(rows: DataFrame, holds: Column, key: str | list[str] = "city_id", order: str = "ts_utc") -> DataFrame:
     """`rows` for which `holds`, with `run`: the number of their stretch of neighbouring rows for which it does."""
     window = Window.partitionBy(key).orderBy(order)
     marked = rows.withColumn("__holds", F.coalesce(holds, F.lit(False)))
@@ -46,8 +50,8 @@ numbered AS (SELECT *, sum(begins) OVER (PARTITION BY city_id ORDER BY ts_utc)::
 SELECT city_id, run, min(ts_utc) AS first_ts, max(ts_utc) AS last_ts, count(*) AS n_rows{columns} FROM numbered WHERE holds GROUP BY city_id, run"""
 
 
-def summary(found: DataFrame, *extra: Column) -> DataFrame:
-    return found.groupBy("city_id", "run").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), *extra)
+def summary(found: DataFrame, *extra: Column, keys: list[str] = REGION) -> DataFrame:
+    return found.groupBy(*keys, "run").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), *extra)
 
 
 _RAINS = f"coalesce(avg_pop, 0) >= 0.3 OR weather_main IN {_WET} OR coalesce(avg_rain_1h, 0) > 0"
@@ -59,13 +63,17 @@ def _rains() -> Column:
 
 @query(FORECAST_SQL + runs_sql("f", _RAINS, ", round(max(avg_pop) * 100 + 1e-9, 0) AS max_pop, round(max(avg_rain_1h) + 1e-9, 1) AS max_rain"))
 def win_rain_periods(spark, sf_dir):
-    return summary(runs(forecast_series(spark, sf_dir), _rains()), rounded(F.max("avg_pop") * 100, 0).alias("max_pop"), rounded(F.max("avg_rain_1h"), 1).alias("max_rain"))
+    return rain_periods(forecast_series(spark, sf_dir))
+
+
+def rain_periods(rows: DataFrame, keys: list[str] = REGION) -> DataFrame:
+    return summary(runs(rows, _rains(), keys), rounded(F.max("avg_pop") * 100, 0).alias("max_pop"), rounded(F.max("avg_rain_1h"), 1).alias("max_rain"), keys=keys)
 
 
 @query(SERIES_SQL + runs_sql("series", _RAINS, ", round(max(avg_pop) * 100 + 1e-9, 0) AS max_pop, round(max(avg_rain_1h) + 1e-9, 1) AS max_rain"))
 def win_rain_timeline(spark, sf_dir):
     """The runs of the whole series."""
-    return summary(runs(agg_city_hourly(spark, sf_dir), _rains()), rounded(F.max("avg_pop") * 100, 0).alias("max_pop"), rounded(F.max("avg_rain_1h"), 1).alias("max_rain"))
+    return rain_periods(agg_city_hourly(spark, sf_dir))
 
 
 @query(FORECAST_SQL + f""", wet AS (SELECT *, {_RAINS} AS rains FROM f), firsts AS (SELECT city_id, min(ts_utc) FILTER (WHERE rains) AS next_rain FROM wet GROUP BY city_id),
@@ -80,9 +88,9 @@ def win_next_rain_clear(spark, sf_dir):
     return rows.groupBy("city_id").agg(F.first("next_rain").alias("next_rain"), F.min(F.when(clear, F.col("ts_utc"))).alias("next_clear"))
 
 
-def kinds(rows: DataFrame, holds: Column, yes: str, no: str) -> DataFrame:
+def kinds(rows: DataFrame, holds: Column, yes: str, no: str, keys: list[str] = REGION) -> DataFrame:
     """`rows` in runs of those for which `holds` and of the others, with the run's `kind`."""
-    window = Window.partitionBy("city_id").orderBy("ts_utc")
+    window = _order(keys)
     marked = rows.withColumn("kind", F.when(F.coalesce(holds, F.lit(False)), yes).otherwise(no))
     begins = ~F.col("kind").eqNullSafe(F.lag("kind").over(window))
     return marked.withColumn("__begins", begins.cast("int")).withColumn("run", F.sum("__begins").over(window)).drop("__begins")
@@ -100,11 +108,11 @@ def win_uv_windows(spark, sf_dir):
     return uv_windows(forecast_series(spark, sf_dir))
 
 
-def uv_windows(rows: DataFrame, limit: float = 5) -> DataFrame:
+def uv_windows(rows: DataFrame, limit: float = 5, keys: list[str] = REGION) -> DataFrame:
     """Runs of hours with a UV index up to `limit` and above it, with the peak of the whole series and its first hour."""
-    found = kinds(rows.where("max_uvi IS NOT NULL"), F.col("max_uvi") <= limit, "safe", "danger")
-    own = found.groupBy("city_id", "run", "kind").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), F.min("max_uvi").alias("min_uvi"), F.max("max_uvi").alias("max_uvi"), F.min(F.struct((-F.col("max_uvi")).alias("k"), "ts_utc")).alias("__peak"))
-    peak = F.min("__peak").over(Window.partitionBy("city_id"))
+    found = kinds(rows.where("max_uvi IS NOT NULL"), F.col("max_uvi") <= limit, "safe", "danger", keys)
+    own = found.groupBy(*keys, "run", "kind").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), F.min("max_uvi").alias("min_uvi"), F.max("max_uvi").alias("max_uvi"), F.min(F.struct((-F.col("max_uvi")).alias("k"), "ts_utc")).alias("__peak"))
+    peak = F.min("__peak").over(Window.partitionBy(*keys))
     return own.withColumn("__peak", peak).withColumns({"peak_uvi": -F.col("__peak.k"), "peak_ts": F.when(F.col("__peak.k") < 0, F.col("__peak.ts_utc"))}).drop("__peak")
 
 
@@ -114,12 +122,12 @@ def win_sunny_windows(spark, sf_dir):
     return sunny_windows(forecast_series(spark, sf_dir))
 
 
-def sunny_windows(rows: DataFrame) -> DataFrame:
+def sunny_windows(rows: DataFrame, keys: list[str] = REGION) -> DataFrame:
     """Sunny and cloudy runs; the longest sunny one, the first of equal ones, is the best."""
     sunny = (F.col("avg_clouds") < 40) & (F.coalesce("avg_pop", F.lit(0.0)) < 0.3) & ~F.coalesce("weather_main", F.lit("")).isin(*WET)
-    found = kinds(rows.where("avg_clouds IS NOT NULL"), sunny, "sunny", "cloudy")
-    own = found.groupBy("city_id", "run", "kind").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), rounded(F.avg("avg_clouds"), 0).alias("mean_clouds"), F.max("max_uvi").alias("peak_uvi"))
-    nth = F.row_number().over(Window.partitionBy("city_id", "kind").orderBy(F.desc("n_rows"), "run"))
+    found = kinds(rows.where("avg_clouds IS NOT NULL"), sunny, "sunny", "cloudy", keys)
+    own = found.groupBy(*keys, "run", "kind").agg(F.min("ts_utc").alias("first_ts"), F.max("ts_utc").alias("last_ts"), F.count(F.lit(1)).alias("n_rows"), rounded(F.avg("avg_clouds"), 0).alias("mean_clouds"), F.max("max_uvi").alias("peak_uvi"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(F.desc("n_rows"), "run"))
     return own.withColumn("best", (F.col("kind") == "sunny") & (nth == 1))
 
 
@@ -133,11 +141,11 @@ def win_nom_am_periods(spark, sf_dir):
     return nom_am(agg_city_hourly(spark, sf_dir))
 
 
-def nom_am(rows: DataFrame) -> DataFrame:
+def nom_am(rows: DataFrame, keys: list[str] = REGION) -> DataFrame:
     """Damp stretches: in February to April, hours of 85 % humidity or more within two degrees of the dew point."""
     spread = F.col("avg_temp") - F.col("avg_dew_point")
     damp = F.month(F.col("ts_utc").cast("timestamp")).isin(2, 3, 4) & (F.col("avg_humidity") >= 85) & (spread <= 2)
-    return summary(runs(rows, damp), F.max("avg_humidity").alias("max_humidity"), rounded(F.min(spread), 2).alias("least_spread"))
+    return summary(runs(rows, damp, keys), F.max("avg_humidity").alias("max_humidity"), rounded(F.min(spread), 2).alias("least_spread"), keys=keys)
 
 
 @query(FORECAST_SQL + """, d AS (SELECT city_id, ts_utc, avg_pressure, lag(avg_pressure, 3) OVER (PARTITION BY city_id ORDER BY ts_utc) - avg_pressure AS fall FROM f WHERE avg_pressure IS NOT NULL),
@@ -147,13 +155,17 @@ SELECT city_id, any_value(coverage) AS coverage, any_value(coverage) >= 70 AS en
   round(greatest(coalesce(max(fall), 0), 0) + 1e-9, 1) AS max_fall, CASE WHEN max(fall) > 0 THEN arg_min(ts_utc, (-fall, ts_utc)) FILTER (WHERE fall IS NOT NULL) END AS fall_ts,
   CASE WHEN max(fall) >= 6 THEN 'storm' WHEN max(fall) >= 3 THEN 'front' END AS warning FROM d JOIN covered USING (city_id) GROUP BY city_id""")
 def win_pressure_drop_3h(spark, sf_dir):
+    return pressure_drop(forecast_series(spark, sf_dir))
+
+
+def pressure_drop(series: DataFrame, keys: list[str] = REGION) -> DataFrame:
     """Change and steepest three-hour fall; with readings in under 70 % of the hours it is not `enough` to warn by."""
-    by = Window.partitionBy("city_id")
+    by = Window.partitionBy(*keys)
     covered = rounded(F.count("avg_pressure").over(by) * 100.0 / F.count(F.lit(1)).over(by), 0)
-    rows = forecast_series(spark, sf_dir).withColumn("coverage", covered).where("avg_pressure IS NOT NULL").withColumn("fall", F.lag("avg_pressure", 3).over(_order()) - F.col("avg_pressure"))
+    rows = series.withColumn("coverage", covered).where("avg_pressure IS NOT NULL").withColumn("fall", F.lag("avg_pressure", 3).over(_order(keys)) - F.col("avg_pressure"))
     change, fall = F.max_by("avg_pressure", "ts_utc") - F.min_by("avg_pressure", "ts_utc"), F.max("fall")
     at = F.min_by("ts_utc", F.when(F.col("fall").isNotNull(), F.struct((-F.col("fall")).alias("f"), "ts_utc")))
-    return rows.groupBy("city_id").agg(
+    return rows.groupBy(*keys).agg(
         F.first("coverage").alias("coverage"), (F.first("coverage") >= 70).alias("enough"), rounded(change, 1).alias("total_change"), F.when(change > 3, "rising").when(change < -3, "falling").otherwise("stable").alias("trend"),
         rounded(F.greatest(F.coalesce(fall, F.lit(0.0)), F.lit(0.0)), 1).alias("max_fall"), F.when(fall > 0, at).alias("fall_ts"), F.when(fall >= 6, "storm").when(fall >= 3, "front").alias("warning"),
     )
@@ -164,11 +176,15 @@ SELECT city_id, round((arg_max(avg_temp, date) - arg_min(avg_temp, date)) / (cou
   CASE WHEN (arg_max(avg_temp, date) - arg_min(avg_temp, date)) / (count(*) - 1) > 0.5 THEN 'warming' WHEN (arg_max(avg_temp, date) - arg_min(avg_temp, date)) / (count(*) - 1) < -0.5 THEN 'cooling' ELSE 'stable' END AS trend,
   min(date) FILTER (WHERE (avg_temp - before) * (after - avg_temp) < 0) AS inflection, arg_min(date, (-temp_max, date)) AS hottest, arg_min(date, (temp_min, date)) AS coldest FROM d GROUP BY city_id""")
 def win_temp_trend(spark, sf_dir):
-    window = Window.partitionBy("city_id").orderBy("date")
-    rows = agg_city_daily(spark, sf_dir).where("avg_temp IS NOT NULL").withColumns({"before": F.lag("avg_temp").over(window), "after": F.lead("avg_temp").over(window)})
+    return temp_trend(agg_city_daily(spark, sf_dir))
+
+
+def temp_trend(days: DataFrame, keys: list[str] = REGION) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy("date")
+    rows = days.where("avg_temp IS NOT NULL").withColumns({"before": F.lag("avg_temp").over(window), "after": F.lead("avg_temp").over(window)})
     slope = (F.max_by("avg_temp", "date") - F.min_by("avg_temp", "date")) / (F.count(F.lit(1)) - 1)
     turn = (F.col("avg_temp") - F.col("before")) * (F.col("after") - F.col("avg_temp")) < 0
-    return rows.groupBy("city_id").agg(
+    return rows.groupBy(*keys).agg(
         rounded(slope, 2).alias("slope"), F.when(slope > 0.5, "warming").when(slope < -0.5, "cooling").otherwise("stable").alias("trend"), F.min(F.when(turn, F.col("date"))).alias("inflection"),
         F.min_by("date", F.struct((-F.col("temp_max")).alias("k"), "date")).alias("hottest"), F.min_by("date", F.struct("temp_min", "date")).alias("coldest"),
     )
@@ -178,9 +194,13 @@ def win_temp_trend(spark, sf_dir):
   CASE WHEN avg_temp - lag(avg_temp) OVER w >= 2 THEN 'warmer' WHEN avg_temp - lag(avg_temp) OVER w <= -2 THEN 'colder' ELSE 'same' END AS flag,
   CASE WHEN total_rain - lag(total_rain) OVER w >= 5 THEN 'wetter' WHEN total_rain - lag(total_rain) OVER w <= -5 THEN 'drier' ELSE 'same' END AS rain_flag FROM days WINDOW w AS (PARTITION BY city_id ORDER BY date)""")
 def win_day_over_day(spark, sf_dir):
-    window = Window.partitionBy("city_id").orderBy("date")
+    return day_over_day(agg_city_daily(spark, sf_dir))
+
+
+def day_over_day(days: DataFrame, keys: list[str] = REGION) -> DataFrame:
+    window = Window.partitionBy(*keys).orderBy("date")
     temp, rain = (F.col(c) - F.lag(c).over(window) for c in ("avg_temp", "total_rain"))
-    return agg_city_daily(spark, sf_dir).select("city_id", "date", rounded(temp, 2).alias("temp_delta"), rounded(rain, 2).alias("rain_delta"), F.when(temp >= 2, "warmer").when(temp <= -2, "colder").otherwise("same").alias("flag"), F.when(rain >= 5, "wetter").when(rain <= -5, "drier").otherwise("same").alias("rain_flag"))
+    return days.select(*keys, "date", rounded(temp, 2).alias("temp_delta"), rounded(rain, 2).alias("rain_delta"), F.when(temp >= 2, "warmer").when(temp <= -2, "colder").otherwise("same").alias("flag"), F.when(rain >= 5, "wetter").when(rain <= -5, "drier").otherwise("same").alias("rain_flag"))
 
 
 _CHANGES = (
@@ -197,19 +217,27 @@ c AS (SELECT f.*, now.* EXCLUDE (city_id) FROM f JOIN now USING (city_id) QUALIF
 
 
 def _against_now(spark, sf_dir) -> DataFrame:
-    series = agg_city_hourly(spark, sf_dir)
+    return against_now(agg_city_hourly(spark, sf_dir))
+
+
+def against_now(series: DataFrame, hours: int = 12, keys: list[str] = REGION) -> DataFrame:
+    """The first `hours` rows after the reference instant with the readings of the last row up to it."""
     past = F.col("ts_utc") <= AS_OF
-    by = Window.partitionBy("city_id")
+    by = Window.partitionBy(*keys)
     now = lambda c: F.max_by(c, F.when(past, F.col("ts_utc"))).over(by)
     rows = series.withColumns({"now_temp": now("avg_temp"), "now_pop": now("avg_pop"), "now_wind": now("avg_wind_speed"), "now_main": now("weather_main")}).where(~past)
-    return rows.withColumn("nth", F.row_number().over(_order())).where("nth <= 12")
+    return rows.withColumn("nth", F.row_number().over(_order(keys))).where(F.col("nth") <= hours)
 
 
 @query(_NOW_SQL + f"SELECT city_id, min(ts_utc) AS ts_utc, arg_min({_CHANGE}, ts_utc) AS change FROM c WHERE {_CHANGE} IS NOT NULL GROUP BY city_id")
 def win_change_detect_first(spark, sf_dir):
     """The first hour with any change against now, and its most important one."""
-    rows = _against_now(spark, sf_dir).withColumn("change", F.expr(_CHANGE)).where("change IS NOT NULL")
-    return rows.groupBy("city_id").agg(F.min("ts_utc").alias("ts_utc"), F.min_by("change", "ts_utc").alias("change"))
+    return first_change(_against_now(spark, sf_dir))
+
+
+def first_change(compared: DataFrame, keys: list[str] = REGION) -> DataFrame:
+    rows = compared.withColumn("change", F.expr(_CHANGE)).where("change IS NOT NULL")
+    return rows.groupBy(*keys).agg(F.min("ts_utc").alias("ts_utc"), F.min_by("change", "ts_utc").alias("change"))
 
 
 @query(_NOW_SQL + " UNION ALL ".join(f"SELECT city_id, '{t}' AS change, min(ts_utc) AS ts_utc FROM c WHERE {c} GROUP BY city_id" for t, c in _CHANGES))

@@ -152,11 +152,15 @@ _WARD_CTE = HOURLY_SQL + """, recent AS (SELECT ward_id, district_id, ts_utc, un
 @query(_WARD_CTE + """SELECT ward_id, district_id, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, metric, value, 'cao_nhat' AS "order", row_number() OVER (PARTITION BY district_id, metric ORDER BY value DESC, ward_id, recent.ts_utc)::INT AS rank FROM recent QUALIFY rank <= 10
 UNION ALL SELECT ward_id, district_id, strftime(ts_utc, '%Y-%m-%d %H:%M:%S'), metric, value, 'thap_nhat', row_number() OVER (PARTITION BY district_id, metric ORDER BY value, ward_id, recent.ts_utc)::INT AS rank FROM recent QUALIFY rank <= 10""")
 def top_ward_ranking(spark, sf_dir):
-    """The ten first leaves of each group by each metric, in both orders, among the readings of the last two hours."""
+    return ward_ranking(spark, sf_dir, 10)
+
+
+def ward_ranking(spark, sf_dir, limit: int) -> DataFrame:
+    """The `limit` first leaves of each group by each metric, in both orders, among the readings of the last two hours."""
     rows = placed(spark, sf_dir, TWO_HOURS_AGO, NEXT_HOUR).where(f"data_kind = 'current' AND ts_utc > TIMESTAMP '{TWO_HOURS_AGO}'")
     wide = rows.select("ward_id", "district_id", shown("ts_utc").alias("ts_utc"), *[F.col(c).cast("double").alias(m) for m, c in WARD_METRICS.items()])
     values = wide.unpivot(["ward_id", "district_id", "ts_utc"], list(WARD_METRICS), "metric", "value").withColumn("__name", F.struct("ward_id", "ts_utc"))
-    return _both_sides(values, ["district_id", "metric"], "__name", 10).drop("__name")
+    return _both_sides(values, ["district_id", "metric"], "__name", limit).drop("__name")
 
 
 @query(HOURLY_SQL + "SELECT city_id, date_trunc('day', ts_utc)::DATE::VARCHAR AS date, arg_max(data_kind, (CASE data_kind WHEN 'history' THEN 2 WHEN 'current' THEN 1 ELSE 0 END, ts_utc, ward_id)) AS data_kind, arg_max(temp, (CASE data_kind WHEN 'history' THEN 2 WHEN 'current' THEN 1 ELSE 0 END, ts_utc, ward_id)) AS temp FROM placed GROUP BY ALL")
