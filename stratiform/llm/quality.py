@@ -1,13 +1,14 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
 Every rule is a column that is true where a text fails it. On a bounded sample of `SAMPLE_ROWS` texts each rule's
-rejection rate is counted, and its cost is the characters that its expression looks at: their number for a scan,
-several times that for work on words. The rules are then put in order of rejections per cost and nested in one CASE,
-so that a text which fails one rule is not measured by the next. The order changes the work, never the verdict.
+rejection rate is counted and its cost is measured: the least time of `RUNS` runs over the sample, less that of a rule
+that does nothing. The rules are then put in order of rejections per cost and nested in one CASE, so that a text which
+fails one rule is not measured by the next. The order changes the work, never the verdict.
 
-Words are runs of characters that are not ASCII white space. Repeated windows are found inside a row: the hashes of
-its `WINDOW`-word windows are sorted with their places, equal neighbours give the places that repeat, and the words
-that these windows cover are counted in order of place.
+Words are runs of characters that are not ASCII white space. Repeated windows are found inside a row. The hash of a
+window of eight words is made of two hashes of four, and these of two each, so a word is hashed once. Only where two
+windows of a text agree are their hashes sorted with their places; equal neighbours then give the places that repeat,
+and the words that these windows cover are counted in order of place.
 
 Defined results: a null, empty or blank text has no words and fails the base rule; repeated rows get equal results;
 other columns are not read; an empty table gives an empty result.
@@ -15,25 +16,28 @@ other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD, SPACES = "[^\\x20\\x09-\\x0D]+", " \t\n\x0b\f\r"
+from stratiform.llm.common import written
+
+SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED_PERCENT = 20, 30
 #: Different texts on which the rules' rejection rates are estimated, those of least hash.
 SAMPLE_ROWS = 2000
+#: Runs of each rule over the sample, of which the shortest counts; least cost of a rule, in seconds.
+RUNS, LEAST_COST = 3, 1e-3
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
     fails: Column
-    #: Work per character, relative to one scan of the text.
-    cost: float
 
 
 def _text() -> Column:
@@ -55,35 +59,46 @@ def rules() -> list[Rule]:
     lines = F.regexp_count(_text(), F.lit("(?md)^.*[^\\x20\\x09-\\x0D]"))
     mean = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
     return [
-        Rule("symbols", F.col("n_symbols") * 10 > F.col("n_words"), 0.01),
-        Rule("word_length", ~mean.between(2.0, 15.0), 0.01),
-        Rule("repeated_lines", F.col("n_dup_lines") * 10 > lines * 3, 2.0),
-        Rule("letters", _share(letters) < 0.6, 3.0),
-        Rule("capitals", _share(upper) > 0.5, 3.0),
-        Rule("ellipses", F.regexp_count(_text(), F.lit("(?md)(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$")) * 10 > lines * 3, 4.0),
+        Rule("symbols", F.col("n_symbols") * 10 > F.col("n_words")),
+        Rule("word_length", ~mean.between(2.0, 15.0)),
+        Rule("repeated_lines", F.col("n_dup_lines") * 10 > lines * 3),
+        Rule("letters", _share(letters) < 0.6),
+        Rule("capitals", _share(upper) > 0.5),
+        Rule("ellipses", F.regexp_count(_text(), F.lit("(?md)(\\.\\.\\.|…)[\\x20\\x09\\x0D]*$")) * 10 > lines * 3),
     ]
 
 
+def window_hashes(df: DataFrame) -> DataFrame:
+    """`df` with the array `__h`: the hash of each WINDOW-word window of `__words`."""
+    out = df.withColumn("__h", F.transform("__words", lambda w: F.xxhash64(w)))
+    for step in (1, 2, 4):
+        # Past the end a hash meets null; those are no windows and go at last.
+        out = out.withColumn("__h", F.zip_with("__h", F.slice("__h", step + 1, F.greatest(F.size("__h"), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    return out.withColumn("__h", F.slice("__h", 1, F.greatest(F.size("__h") - (WINDOW - 1), F.lit(0))))
+
+
 def repeated_words() -> Column:
-    """Words in WINDOW-word windows that a text has twice or more."""
-    hashes = f"transform(sequence(1, size(words) - {WINDOW - 1}), i -> struct(xxhash64(slice(words, i, {WINDOW})) AS h, i))"
+    """Words in WINDOW-word windows that a text has twice or more, from `__h`."""
     # Each array(x) -> x binds a value once; without it the lambdas below would compute it for each element.
     again = "zip_with(sorted, concat(slice(sorted, 2, size(sorted)), array(CAST(NULL AS struct<h: bigint, i: int>))), (a, b) -> a.h <=> b.h)"
     places = f"""array_sort(flatten(transform(array({again}), again -> filter(zip_with(
         zip_with(again, concat(array(false), slice(again, 1, size(again) - 1)), (next, last) -> next OR last),
         sorted, (repeated, x) -> if(repeated, x.i, NULL)), i -> i IS NOT NULL))))"""
+    hashes = "transform(__h, (h, i) -> struct(h, i))"
     count = f"aggregate(flatten(transform(array(array_sort({hashes})), sorted -> {places})), struct(0 AS total, -{WINDOW} AS last), (acc, i) -> struct(acc.total + least({WINDOW}, i - acc.last) AS total, i AS last), acc -> acc.total)"
-    found = f"transform(array(filter(split(__text, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')), words -> if(size(words) <= {WINDOW}, 0, {count}))[0]"
-    return F.expr(found)
+    return F.expr(f"if(size(array_distinct(__h)) = size(__h), 0, {count})")
 
 
 def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
     """`df` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
     with_text = df.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    bare = F.btrim("__text", F.lit(SPACES))
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
+    with_words = window_hashes(with_text.withColumn("__words", words))
     lines = F.filter(F.split("__text", "\n", -1), lambda line: F.translate(line, SPACES, "") != "")
-    out = with_text.withColumns(
+    out = with_words.withColumns(
         {
-            "n_words": F.regexp_count("__text", F.lit(WORD)).cast("long"),
+            "n_words": F.size("__words").cast("long"),
             "word_chars": _without(SPACES).cast("long"),
             "n_symbols": (F.char_length("__text") - _without(SYMBOLS)).cast("long"),
             "n_dup_lines": F.element_at(F.transform(F.array(lines), lambda own: F.size(own) - F.size(F.array_distinct(own))), 1).cast("long"),
@@ -91,7 +106,7 @@ def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
         }
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    return out.withColumn("base_failed", failed).drop("__words", "__h")
 
 
 def ordered(df: DataFrame, text_col: str = "text") -> list[Rule]:
@@ -100,9 +115,20 @@ def ordered(df: DataFrame, text_col: str = "text") -> list[Rule]:
     # Only hashes meet in one task; the texts stay where they are until the sample is known.
     top = df.select(mark.alias("h")).distinct().orderBy("h").limit(SAMPLE_ROWS).agg(F.max("h")).first()[0]
     sample = df.where(mark <= (0 if top is None else top)).groupBy(mark.alias("h")).agg(F.first(text_col).alias(text_col))
-    found = measured(sample, text_col).where("not base_failed")
+    found = written(measured(sample, text_col).where("not base_failed").drop(text_col), "sample")
     rates = found.agg(*[F.avg(F.when(r.fails, 1.0).otherwise(0.0)).alias(r.name) for r in own]).first()
-    return sorted(own, key=lambda r: (-(rates[r.name] or 0.0) / r.cost, r.cost, r.name))
+    idle = _seconds(found, F.col("__text").isNull())
+    costs = {r.name: max(_seconds(found, r.fails) - idle, LEAST_COST) for r in own}
+    return sorted(own, key=lambda r: (-(rates[r.name] or 0.0) / costs[r.name], costs[r.name], r.name))
+
+
+def _seconds(sample: DataFrame, rule: Column) -> float:
+    took = []
+    for _ in range(RUNS):
+        began = time.perf_counter()
+        sample.agg(F.count_if(rule)).collect()
+        took.append(time.perf_counter() - began)
+    return min(took)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
