@@ -15,8 +15,8 @@ A phrase goes out once from each group of texts that a task parses, so copies an
 before they are dealt. A trigger with over `HOT_PHRASES` phrases in such a group is hot: its phrases are dealt by
 their content, a mark for the trigger is dealt as ever, and step 2 deals its windows one by one.
 
-Defined results: a null text is the empty text; rows with the same id are one document, among which nothing matches,
-and a null id is greater than all others; texts shorter than `SPAN` stay; a character that loses some of its bytes is
+Defined results: a null text is the empty text; rows with the same id are one document, among which nothing matches;
+ids are integers (other types raise a TypeError); a null id is greater than all others, but one document with 2^63 - 1; texts shorter than `SPAN` stay; a character that loses some of its bytes is
 dropped from the kept text; other columns are not touched; an empty table gives an empty result.
 """
 
@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from stratiform.llm.common import grouped, planes, starts_of, unplanes, utf8, written
 from stratiform.llm.parsing import gram_hash, mix, phrases, string_hash, words_at
@@ -282,9 +283,11 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the operator
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer, for its order is the order of documents: {df.schema[id_col].dataType.simpleString()}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
+    return df.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
 
 
 def _dealt(blobs: DataFrame) -> DataFrame:
@@ -340,9 +343,9 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 n, removed, runs, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _texts(df, id_col, text_col).join(found, ["doc", "tag"], "left").select("doc", "text", "spans")
-    out = joined.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.nullif("id", F.lit(_LAST_ID)).alias(id_col), *out.columns[1:])
+    joined = _texts(df, id_col, text_col, F.col(id_col).alias("id")).join(found, ["doc", "tag"], "left").select("id", "text", "spans")
+    kind = df.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
