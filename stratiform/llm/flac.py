@@ -4,7 +4,7 @@ Numpy code works on all frames of a batch of streams at once, one sample positio
 bit position of its next Rice code a number, and the prediction a dot product with its last samples. The decoder
 reads constant, verbatim, fixed and linear-prediction subframes, both Rice methods with partitions and escapes,
 wasted bits, one to eight channels and the three stereo modes; it verifies the CRC-8 of each frame header, the
-CRC-16 of each frame and the MD5 of the samples. The encoder writes mono streams of 8-bit samples, each block by the
+CRC-16 of each frame, the MD5 of the samples and the places of seek points. The encoder writes mono streams of 8-bit samples, each block by the
 best of the five fixed predictors and a linear predictor of order `LPC_ORDER`, with a seek table.
 
 Defined results: a null content is the empty one; a stream of no samples has no frames; a damaged stream gives no
@@ -35,6 +35,7 @@ BATCH_BYTES = 400_000
 # Fixed values of the format.
 FIXED_COEFFICIENTS = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 BLOCK_CODES = {1: 192, 2: 576, 3: 1152, 4: 2304, 5: 4608, 8: 256, 9: 512, 10: 1024, 11: 2048, 12: 4096, 13: 8192, 14: 16384, 15: 32768}
+PLACEHOLDER = 2**64 - 1
 DEPTH_CODES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 
 
@@ -207,6 +208,14 @@ class Damaged(ValueError):
     """A stream that breaks the format or fails a checksum."""
 
 
+class BrokenFrame(Damaged):
+    """A frame that fails its checksum or does not end where the next one begins, at byte `after` of the stream."""
+
+    def __init__(self, frame: int, after: int | None):
+        super().__init__("a frame fails its checksum")
+        self.frame, self.after = frame, after
+
+
 def _metadata(stream: bytes) -> tuple[int, dict]:
     """(where the frames begin, what the stream says of itself)."""
     if stream[:4] != b"fLaC":
@@ -251,7 +260,7 @@ class _Bits:
         return value - ((value & half) << 1)
 
 
-def _headers(data: np.ndarray, starts: list[int], ends: list[int], infos: list[dict]) -> list[list[tuple]]:
+def _headers(data: np.ndarray, starts: list[int], ends: list[int], infos: list[dict], skip: frozenset[int]) -> list[list[tuple]]:
     """For each stream the frames found: (start, number or first sample, block size, channel code, depth, body's first byte).
 
     Candidates are sync codes whose header passes its CRC-8; the number that a header carries must be the next.
@@ -260,7 +269,7 @@ def _headers(data: np.ndarray, starts: list[int], ends: list[int], infos: list[d
     owner = np.searchsorted(np.asarray(starts), sync, "right") - 1
     found: list[list[tuple]] = [[] for _ in starts]
     for p, i in zip(sync.tolist(), owner.tolist(), strict=True):
-        if i < 0 or p + 6 > ends[i]:
+        if i < 0 or p + 6 > ends[i] or p in skip:
             continue
         b = data[p : min(p + 16, ends[i])].tobytes()
         variable, size_code, rate_code, channel, depth_code = b[1] & 1, b[2] >> 4, b[2] & 15, b[3] >> 4, b[3] >> 1 & 7
@@ -339,6 +348,8 @@ def _subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, depth: np.ndarray) ->
             raise Damaged("a reserved residual code")
         a = a + 6
         parameter_bits, part = 4 + method, on_n >> parts
+        if ((part << parts != on_n) | (part < np.maximum(o, 1))).any():
+            raise Damaged("partitions that do not fit the block")
         k, escape, raw = np.zeros(len(a), np.int64), np.zeros(len(a), bool), np.zeros(len(a), np.int64)
         top = (1 << parameter_bits) - 1
         left = o.copy()  # samples until the next parameter
@@ -374,11 +385,38 @@ def _subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, depth: np.ndarray) ->
     return s[deep:] << wasted, at
 
 
-def decode(streams: list[bytes], strict: bool = True) -> list[dict | Damaged]:
+def decode(streams: list[bytes]) -> list[dict | Damaged]:
     """For each stream its information with `pcm` (samples by channel, int64) and `frames`; a damaged one gives its error.
 
-    `frames` holds (first sample, byte offset from the first frame, samples) of each frame.
+    `frames` holds (first sample, byte offset from the first frame, samples) of each frame. Streams are decoded
+    together; where that fails, each half for itself, so that damage stays with its stream.
     """
+    try:
+        out = _decode(streams)
+    except (Damaged, ArithmeticError, IndexError, MemoryError, ValueError) as why:
+        if len(streams) == 1:
+            return [why if isinstance(why, Damaged) else Damaged(f"the stream can't be read: {why}")]
+        half = len(streams) // 2
+        return decode(streams[:half]) + decode(streams[half:])
+    return [_again(stream, got) if isinstance(got, BrokenFrame) else got for stream, got in zip(streams, out, strict=True)]
+
+
+def _again(stream: bytes, why: BrokenFrame) -> dict | Damaged:
+    """A frame may hold bytes that look like the next frame's header: it is read again without them."""
+    skip: frozenset[int] = frozenset()
+    while why.after is not None:
+        skip |= {why.after}
+        try:
+            got = _decode([stream], skip)[0]
+        except (Damaged, ArithmeticError, IndexError, MemoryError, ValueError):
+            return why
+        if not isinstance(got, BrokenFrame) or got.frame <= why.frame:
+            return why if isinstance(got, BrokenFrame) else got
+        why = got
+    return why
+
+
+def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[dict | Damaged]:
     out: list[dict | Damaged] = []
     starts, infos = [], []
     base = np.concatenate([[0], np.cumsum([len(s) for s in streams])]).tolist()
@@ -390,7 +428,7 @@ def decode(streams: list[bytes], strict: bool = True) -> list[dict | Damaged]:
         starts.append(base[i] + at)
         infos.append(info)
     data = np.frombuffer(b"".join(streams), np.uint8)
-    found = _headers(data, starts, base[1:], infos)
+    found = _headers(data, starts, base[1:], infos, skip)
     flat = [(i, *f) for i, own in enumerate(found) for f in own]
     if flat:
         owner, begin, _, n, channel, depth, body = (np.array(c, np.int64) for c in zip(*flat, strict=True))
@@ -422,7 +460,8 @@ def decode(streams: list[bytes], strict: bool = True) -> list[dict | Damaged]:
             out.append(info["error"])
             continue
         if own and not whole[rows].all():
-            out.append(Damaged("a frame fails its checksum"))
+            bad = int(np.flatnonzero(~whole[rows])[0])
+            out.append(BrokenFrame(bad, own[bad + 1][0] - base[i] if bad + 1 < len(own) else None))
             continue
         if own:
             valid = (np.arange(samples[0].shape[0])[:, None] < n[rows]).T
@@ -439,6 +478,10 @@ def decode(streams: list[bytes], strict: bool = True) -> list[dict | Damaged]:
             continue
         sizes = [f[2] for f in own]
         firsts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        places = {(firsts[j], f[0] - starts[i], f[2]) for j, f in enumerate(own)}
+        if any(point[0] < PLACEHOLDER and point not in places for point in info["seek"]):
+            out.append(Damaged("a seek point is not at a frame"))
+            continue
         out.append(info | {"pcm": pcm, "frames": [(firsts[j], f[0] - starts[i], f[2]) for j, f in enumerate(own)]})
     return out
 

@@ -207,6 +207,38 @@ def test_flac_finds_damage():
     assert isinstance(flac.decode([b""])[0], flac.Damaged)
 
 
+def test_flac_damage_stays_with_its_stream():
+    """Any flipped bit, in the metadata too, gives an error or the same samples, and leaves the stream beside it alone."""
+    rng = np.random.default_rng(2)
+    data = np.concatenate([rng.integers(0, 256, 320), np.full(320, 65), rng.integers(60, 70, 640)]).astype(np.uint8)
+    stream = flac.encode(data, np.array([0, 1280]))[0]
+    good = flac.decode([stream])[0]["pcm"][0].tolist()
+    for bit in range(0, 8 * len(stream), 31):
+        bad = bytearray(stream)
+        bad[bit // 8] ^= 1 << bit % 8
+        first, second = flac.decode([bytes(bad), stream])
+        assert isinstance(first, flac.Damaged) or first["pcm"][0].tolist() == good, bit
+        assert second["pcm"][0].tolist() == good
+    for cut in range(0, len(stream), 50):
+        assert isinstance(flac.decode([stream[:cut]])[0], flac.Damaged)
+
+
+def test_flac_digests_match_their_texts_row_by_row(spark):
+    df = cases.table(spark).where("doc_id is not null and doc_id <> 6")
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    got = flac.digests(df).collect()
+    media = {r["doc_id"]: bytes(r["media"]) for r in flac.encode_column(df).collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        own = payload(texts[r["doc_id"]])
+        x = np.frombuffer(own, np.uint8).astype(int) - 128
+        signs = x < 0
+        feature = f"frames={-(-len(own) // flac.BLOCK)};sum={x.sum()};squares={(x * x).sum()};least={x.min()};most={x.max()};crossings={(signs[1:] != signs[:-1]).sum()}"
+        stored = media[r["doc_id"]]
+        want = (len((texts[r["doc_id"]] or "").encode()), len(own), hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+        assert tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) == want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = {r["doc_id"] for r in docs.collect()}
