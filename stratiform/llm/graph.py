@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.llm.common import written
@@ -30,3 +30,33 @@ def components(links: DataFrame) -> DataFrame:
             break
         state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def place(id_col: str, tag_col: str) -> Column:
+    """The order of documents: by id, null last, then by the text's hash."""
+    return F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col(tag_col).alias("tag"))
+
+
+def labelled(each: DataFrame, trees: DataFrame) -> DataFrame:
+    """(node, least): the least place of each node's component; `each` holds (node, place), `trees` comes from `components`.
+
+    Written, so that a join of documents with it has plain tables on both sides and a node of very many copies can be split.
+    """
+    in_tree = trees.join(each, "node")
+    least = in_tree.groupBy("root").agg(F.min("place").alias("least"))
+    named = in_tree.join(least, "root").select(F.col("node").alias("__node"), "least")
+    return written(each.join(named, F.col("node") == F.col("__node"), "left").select("node", F.coalesce("least", "place").alias("least")), "labels")
+
+
+def keep_one(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `df` at the least place of their component, and of rows equal in id and text any one.
+
+    `found` holds (id, tag, least) for each row, the tag being the text's xxhash64.
+    """
+    found = written(found.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("tag") == F.col("least.tag"))).alias("__stays")), "found")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tag"))
+    kept = df.join(found.where("not __stays").select("__id", "__tag").distinct(), same, "left_anti").select(df.columns)
+    again = written(found.where("__stays").groupBy("__id", "__tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id", "__tag"), "again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.llm.common import written
-from stratiform.llm.graph import components
+from stratiform.llm.graph import components, keep_one, labelled, place
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
 #: Groups of segments, and how many of them a cell fixes: 35 cells for each fingerprint.
@@ -58,15 +58,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long): the fingerprint's bits as a signed number."""
+    """(id, tag, fp long): the text's xxhash64, and the fingerprint's bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["id", "fp"])
+            values = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values)], ["id", "tag", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tag long, fp long")
 
 
 # ---------------------------------------------------------------- grid range join
@@ -177,21 +177,19 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     return fps.select("fp").mapInArrow(deal, "cell long, fp long").repartition("cell").mapInArrow(meet, "u long, v long")
 
 
+def _found(df: DataFrame, bits: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, fp, least): the least place of each row's component."""
+    docs = written(fingerprints(df, id_col, text_col), "fingerprints")
+    each = written(docs.groupBy(F.col("fp").alias("node")).agg(F.min(place("id", "tag")).alias("place")), "different")
+    labels = labelled(each, components(links(each.select(F.col("node").alias("fp")), bits)))
+    return docs.join(labels.withColumnRenamed("node", "fp"), "fp")
+
+
 def near_duplicates(df: DataFrame, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): component_id is the least id reachable over fingerprints that differ in at most `bits` bits."""
-    docs = written(fingerprints(df, id_col, text_col), "fingerprints")
-    each = written(docs.groupBy("fp").agg(F.min(id_col).alias("first")), "different")
-    trees = components(links(each, bits))
-    in_tree = trees.join(each, trees.node == each.fp).select("fp", "root", "first")
-    least = in_tree.groupBy("root").agg(F.min("first").alias("least"))
-    named = in_tree.join(least, "root").select(F.col("fp").alias("__fp"), "least")
-    # Written, so that the last join has plain tables on both sides and a fingerprint of very many copies can be split.
-    labels = written(each.join(named, F.col("fp") == F.col("__fp"), "left").select("fp", F.coalesce("least", "first").alias("component_id")), "labels")
-    return docs.join(labels, "fp").select(id_col, "fp", "component_id")
+    return _found(df, bits, id_col, text_col).select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
 
 
 def dedup(df: DataFrame, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `df` whose id is the least of their component; rows with a null id stay."""
-    found = near_duplicates(df, bits, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti").select(df.columns)
+    """One row of `df` for each component: the one of least id, null last, and of rows with that id one by its text."""
+    return keep_one(df, _found(df, bits, id_col, text_col), id_col, text_col)
