@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiform.functions import stats
@@ -49,10 +49,30 @@ def agg_eval_config(spark, sf_dir):
     )
 
 
-@query(_ROWS + "SELECT intent, difficulty, count(*) AS n, round(avg(ok::INT) + 1e-9, 4) AS accuracy FROM rows GROUP BY GROUPING SETS ((intent), (difficulty), ())")
+_GROUPED = _ROWS + ", g AS (SELECT unnest(['all', 'intent', 'difficulty']) AS dimension, unnest(['all', intent, difficulty]) AS value, * FROM rows)\n"
+
+
+@query(_GROUPED + f"""SELECT dimension, value, n, round(k * 100.0::DOUBLE / n + 1e-9, 1) AS accuracy, {_WILSON}, mean_latency, s[(floor(len(s) * 0.5) + 1)::INT] AS p50, s[(floor(len(s) * 0.9) + 1)::INT] AS p90, s[(floor(len(s) * 0.95) + 1)::INT] AS p95, faithfulness, n_judged
+FROM (SELECT dimension, value, count(*) AS n, count(*) FILTER (WHERE ok) AS k, round(avg(latency) + 1e-9, 0) AS mean_latency, list_sort(list(latency)) AS s, round(avg(score) FILTER (WHERE intent <> 'en') + 1e-9, 2) AS faithfulness, count(score) FILTER (WHERE intent <> 'en') AS n_judged FROM g GROUP BY dimension, value)""")
 def agg_eval_metrics(spark, sf_dir):
-    rows(spark, sf_dir).createOrReplaceTempView("stratiform_eval")
-    return spark.sql("SELECT intent, difficulty, count(*) AS n, round(avg(CAST(ok AS INT)) + 1e-9, 4) AS accuracy FROM stratiform_eval GROUP BY GROUPING SETS ((intent), (difficulty), ())")
+    """Accuracy with its interval, latency and its percentiles by index, and judged scores: of all rows, by intent and by difficulty.
+
+    Small talk, for which one language stands here, is not judged. Rows are counted by latency first; percentiles come from running counts.
+    """
+    pair = lambda name: F.struct(F.lit(name).alias("dimension"), F.col(name).alias("value"))
+    groups = F.explode(F.array(F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value")), pair("intent"), pair("difficulty"))).alias("g")
+    judged = F.when(F.col("intent") != "en", F.col("score"))
+    by = rows(spark, sf_dir).select("ok", "latency", judged.alias("judged"), groups).groupBy("g.dimension", "g.value", "latency").agg(F.count(F.lit(1)).alias("c"), F.count_if("ok").alias("h"), F.sum("judged").alias("s"), F.count("judged").alias("j"))
+    own = Window.partitionBy("dimension", "value")
+    seen = by.withColumns({"upto": F.sum("c").over(own.orderBy("latency")), "total": F.sum("c").over(own)})
+    at = lambda p: F.min(F.when(F.col("upto") > F.floor(F.col("total") * p), F.col("latency")))
+    n, k = F.sum("c"), F.sum("h")
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    sums = seen.groupBy("dimension", "value").agg(
+        n.alias("n"), k.alias("k"), rounded(F.sum(F.col("latency") * F.col("c")) / n, 0).alias("mean_latency"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"),
+        rounded(F.sum("s") / F.sum("j"), 2).alias("faithfulness"), F.sum("j").alias("n_judged"),
+    )
+    return sums.select("dimension", "value", "n", rounded(F.col("k") * 100.0 / F.col("n"), 1).alias("accuracy"), low.alias("low"), high.alias("high"), "mean_latency", "p50", "p90", "p95", "faithfulness", "n_judged")
 
 
 @query(_ROWS + "SELECT intent, s[(floor(len(s) * 0.5) + 1)::INT] AS p50, s[(floor(len(s) * 0.9) + 1)::INT] AS p90, s[(floor(len(s) * 0.95) + 1)::INT] AS p95 FROM (SELECT intent, list_sort(list(latency)) AS s FROM rows GROUP BY intent)")
@@ -103,9 +123,43 @@ def agg_intent_f1(spark, sf_dir):
     return sums.select("label", rounded(hit / said, 4).alias("precision"), rounded(hit / wanted, 4).alias("recall"), rounded(2.0 * hit / (said + wanted), 4).alias("f1"))
 
 
-@query(_ROWS + "SELECT config, round(sum(latency) * 0.15::DOUBLE / 1e6 + sum(score) * 0.6::DOUBLE / 1e6 + 1e-9, 6) AS cost FROM rows GROUP BY config")
+@query(_ROWS + """, t AS (SELECT intent AS label, count(*) AS wanted, count(*) FILTER (WHERE ok) AS hit FROM rows GROUP BY intent), s AS (SELECT predicted AS label, count(*) AS said FROM rows GROUP BY predicted)
+SELECT round(avg(coalesce(2.0::DOUBLE * hit / (coalesce(said, 0) + wanted), 0)) + 1e-9, 4) AS macro_f1, count(*) AS n_labels FROM t LEFT JOIN s USING (label)""")
+def agg_macro_f1(spark, sf_dir):
+    """The mean F1 of all wanted labels; one that is never said counts as 0."""
+    both = F.explode(F.array(F.struct(F.col("intent").alias("label"), F.lit(1).alias("w"), F.lit(0).alias("s")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("w"), F.lit(1).alias("s")))).alias("x")
+    sums = rows(spark, sf_dir).select("ok", both).groupBy("x.label").agg(F.sum("x.w").alias("wanted"), F.sum("x.s").alias("said"), F.sum(F.when(F.col("ok"), F.col("x.w")).otherwise(0)).alias("hit")).where("wanted > 0")
+    return sums.agg(rounded(F.avg(2.0 * F.col("hit") / (F.col("said") + F.col("wanted"))), 4).alias("macro_f1"), F.count(F.lit(1)).alias("n_labels"))
+
+
+# Model, dollars for a million tokens in and out.
+RATES = (("small", 0.15, 0.6), ("large", 2.5, 10.0), ("judge", 0.4, 1.6))
+#: Tokens in and out of a judge's call for each of the two scores, the share of questions that only get the second, and the model.
+JUDGED, SMALL_TALK, JUDGE = ((1200, 80), (800, 60)), 0.1, "judge"
+
+
+@query(_ROWS + """, u AS (SELECT config, CASE WHEN length(config) % 2 = 0 THEN 'small' ELSE 'large' END AS model, count(*) AS n, sum(latency) AS tokens_in, sum(score) AS tokens_out FROM rows GROUP BY ALL),
+c AS (SELECT config, model, n, (tokens_in * r_in + tokens_out * r_out) / 1e6 AS cost, (round_even(n * 0.9::DOUBLE, 0) * (1200 * 0.4::DOUBLE + 80 * 1.6::DOUBLE) + n * (800 * 0.4::DOUBLE + 60 * 1.6::DOUBLE)) / 1e6 AS judge_cost
+  FROM u JOIN (VALUES ('small', 0.15::DOUBLE, 0.6::DOUBLE), ('large', 2.5::DOUBLE, 10.0::DOUBLE)) AS r(model, r_in, r_out) USING (model))
+SELECT config, model, n, round(cost + 1e-9, 6) AS cost, round(judge_cost + 1e-9, 6) AS judge_cost, round(cost + judge_cost + 1e-9, 6) AS total FROM c""")
 def agg_cost(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy("config").agg(rounded(F.sum("latency") * 0.15 / 1e6 + F.sum("score") * 0.6 / 1e6, 6).alias("cost"))
+    """What each configuration costs by the rate of its model, and what judging it costs."""
+    model = F.when(F.length("config") % 2 == 0, "small").otherwise("large")
+    used = rows(spark, sf_dir).groupBy("config").agg(F.count(F.lit(1)).alias("n"), F.sum("latency").alias("tokens_in"), F.sum("score").alias("tokens_out")).withColumn("model", model)
+    return cost(used, spark.createDataFrame(RATES, "model string, rate_in double, rate_out double")).select("config", "model", "n", "cost", "judge_cost", "total")
+
+
+def cost(used: DataFrame, rates: DataFrame) -> DataFrame:
+    """`used` (model, n questions, tokens_in, tokens_out) with its cost by `rates`; a model without a rate has no row."""
+    (first_in, first_out), (second_in, second_out) = JUDGED
+    judge = rates.where(F.col("model") == JUDGE).select("rate_in", "rate_out").first()  # one row
+    if judge is None:
+        raise ValueError(f"no rate for {JUDGE}")
+    priced = used.join(F.broadcast(rates), "model")  # rates number a few dozen
+    own = (F.col("tokens_in") * F.col("rate_in") + F.col("tokens_out") * F.col("rate_out")) / 1e6
+    gated = F.bround(F.col("n") * (1 - SMALL_TALK))
+    judged = (gated * (first_in * judge["rate_in"] + first_out * judge["rate_out"]) + F.col("n") * (second_in * judge["rate_in"] + second_out * judge["rate_out"])) / 1e6
+    return priced.withColumns({"cost": rounded(own, 6), "judge_cost": rounded(judged, 6), "total": rounded(own + judged, 6)}).drop("rate_in", "rate_out")
 
 
 _ECE = _ROWS + ", b AS (SELECT least(floor(conf * 10 + 1e-9), 9)::INT AS bin, count(*) AS n, avg(ok::INT) AS acc, avg(conf) AS conf FROM rows GROUP BY ALL)\n"
@@ -188,10 +242,22 @@ def pairs(spark, sf_dir) -> DataFrame:
     return a.join(b, "k")
 
 
-@query(_PAIRS + "SELECT count(*) AS n, count(*) FILTER (WHERE a_ok AND NOT b_ok) AS b, count(*) FILTER (WHERE b_ok AND NOT a_ok) AS c FROM p")
+_ERFC = "(1 / (1 + {x} / 2)) * exp(-({x}) * ({x}) - 1.26551223::DOUBLE + (1 / (1 + {x} / 2)) * (1.00002368::DOUBLE + (1 / (1 + {x} / 2)) * (0.37409196::DOUBLE + (1 / (1 + {x} / 2)) * (0.09678418::DOUBLE + (1 / (1 + {x} / 2)) * (-0.18628806::DOUBLE + (1 / (1 + {x} / 2)) * (0.27886807::DOUBLE + (1 / (1 + {x} / 2)) * (-1.13520398::DOUBLE + (1 / (1 + {x} / 2)) * (1.48851587::DOUBLE + (1 / (1 + {x} / 2)) * (-0.82215223::DOUBLE + (1 / (1 + {x} / 2)) * 0.17087277::DOUBLE)))))))))"
+
+
+@query(_PAIRS + f"""SELECT n, b, c, round(chi2, 4) AS chi2, round({_ERFC.format(x="sqrt(chi2 / 2)")}, 6) AS p_value, {_ERFC.format(x="sqrt(chi2 / 2)")} < 0.05 AS significant
+FROM (SELECT *, CASE WHEN b + c = 0 THEN 0.0 ELSE (abs(b - c) - 1) * (abs(b - c) - 1) / (b + c)::DOUBLE END AS chi2 FROM (SELECT count(*) AS n, count(*) FILTER (WHERE a_ok AND NOT b_ok) AS b, count(*) FILTER (WHERE b_ok AND NOT a_ok) AS c FROM p))""")
 def fn_mcnemar(spark, sf_dir):
-    """The discordant counts; `stats.mcnemar` turns them into the statistic and its p."""
-    return pairs(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("a_ok AND NOT b_ok")).alias("b"), F.count_if(F.expr("b_ok AND NOT a_ok")).alias("c"))
+    return mcnemar(pairs(spark, sf_dir))
+
+
+def mcnemar(paired: DataFrame) -> DataFrame:
+    """The discordant counts, the statistic with continuity correction, and its p by the normal tail; without discordant pairs 0 and 1."""
+    counts = paired.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("a_ok AND NOT b_ok")).alias("b"), F.count_if(F.expr("b_ok AND NOT a_ok")).alias("c"))
+    b, c = F.col("b"), F.col("c")
+    chi2 = F.when(b + c == 0, 0.0).otherwise((F.abs(b - c) - 1) * (F.abs(b - c) - 1) / (b + c))
+    p = stats.erfc(F.sqrt(F.col("__chi2") / 2))
+    return counts.withColumn("__chi2", chi2).select("n", "b", "c", F.round("__chi2", 4).alias("chi2"), F.round(p, 6).alias("p_value"), (p < 0.05).alias("significant"))
 
 
 @query(_PAIRS + "SELECT count(*) AS n, round(avg(a_score - b_score) + 1e-9, 4) AS mean_delta FROM p")
@@ -199,16 +265,33 @@ def join_paired_intersect(spark, sf_dir):
     return pairs(spark, sf_dir).dropna().agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.col("a_score") - F.col("b_score")), 4).alias("mean_delta"))
 
 
-@query(_PAIRS + """, d AS (SELECT a_score - b_score AS d FROM p WHERE a_score <> b_score), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d)
-SELECT count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0.0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0.0)::DOUBLE AS w_minus FROM r""")
+@query(_PAIRS + f""", d AS (SELECT a_score - b_score AS d FROM p WHERE a_score <> b_score), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d),
+w AS (SELECT count(*)::DOUBLE AS m, coalesce(sum(r) FILTER (WHERE d > 0), 0.0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (WHERE d < 0), 0.0)::DOUBLE AS w_minus FROM r),
+t AS (SELECT coalesce(sum(k * k * k - k), 0)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS k FROM d GROUP BY abs(d))), a AS (SELECT count(*) AS n, round(avg(a_score) + 1e-9, 3) AS mean_a, round(avg(b_score) + 1e-9, 3) AS mean_b FROM p),
+z AS (SELECT *, CASE WHEN m = 0 THEN 0.0 ELSE abs(least(w_plus, w_minus) - m * (m + 1) / 4) / sqrt((m * (m + 1) * (2 * m + 1) - ties / 2) / 24) END AS z FROM w, t, a)
+SELECT n, m::BIGINT AS n_different, w_plus, w_minus, mean_a, mean_b, CASE WHEN n >= 20 THEN round({_ERFC.format(x="(z / sqrt(2.0::DOUBLE))")}, 6) END AS p_value FROM z""")
 def fn_wilcoxon(spark, sf_dir):
-    """Signed-rank sums with average ranks. Ranks come from counts of the few different magnitudes, not from sorting rows."""
+    return wilcoxon(pairs(spark, sf_dir))
+
+
+def wilcoxon(paired: DataFrame) -> DataFrame:
+    """Signed-rank sums with average ranks, and the two-sided p by the normal approximation with the correction for ties.
+
+    Pairs without a score do not count; equal scores give no rank; under 20 pairs there is no p, without differences it
+    is 1. Ranks come from counts of the few different magnitudes, not from sorting rows.
+    """
     d = F.col("a_score") - F.col("b_score")
-    by = pairs(spark, sf_dir).where(d != 0).groupBy(F.abs(d).alias("m")).agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"))
-    n = F.col("up") + F.col("down")
-    rank = F.sum(n).over(Window.partitionBy(F.lit(0)).orderBy("m")) - (n - 1) / 2  # at most as many rows as magnitudes
-    ranked = by.withColumn("rank", rank)
-    return ranked.agg(F.sum(n).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).cast("double").alias("w_plus"), F.coalesce(F.sum(F.col("rank") * F.col("down")), F.lit(0.0)).cast("double").alias("w_minus"))
+    by = paired.where(d.isNotNull()).groupBy(F.abs(d).alias("m")).agg(F.count_if(d > 0).alias("up"), F.count_if(d < 0).alias("down"), F.count(F.lit(1)).alias("c"), F.sum("a_score").alias("a"), F.sum("b_score").alias("b"))
+    k = F.when(F.col("m") > 0, F.col("c")).otherwise(0).cast("double")
+    rank = F.sum(k).over(Window.partitionBy(F.lit(0)).orderBy("m")) - (k - 1) / 2  # at most as many rows as magnitudes
+    ranked = by.withColumns({"k": k, "rank": rank})
+    sums = ranked.agg(
+        F.sum("c").alias("n"), F.sum("k").alias("k"), F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).cast("double").alias("w_plus"), F.coalesce(F.sum(F.col("rank") * F.col("down")), F.lit(0.0)).cast("double").alias("w_minus"),
+        F.coalesce(F.sum(F.col("k") * F.col("k") * F.col("k") - F.col("k")), F.lit(0.0)).alias("ties"), rounded(F.sum("a") / F.sum("c"), 3).alias("mean_a"), rounded(F.sum("b") / F.sum("c"), 3).alias("mean_b"),
+    )
+    m = F.col("k")
+    z = F.when(m == 0, 0.0).otherwise(F.abs(F.least("w_plus", "w_minus") - m * (m + 1) / 4) / F.sqrt((m * (m + 1) * (2 * m + 1) - F.col("ties") / 2) / 24))
+    return sums.withColumn("z", z).select(F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(m, F.lit(0.0)).cast("long").alias("n_different"), "w_plus", "w_minus", "mean_a", "mean_b", F.when(F.col("n") >= 20, F.round(stats.two_sided(F.col("z")), 6)).alias("p_value"))
 
 
 @query(_ROWS + "SELECT r.doc_id, r.intent, j.quality AS judged FROM rows r JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) j ON j.doc_id = r.doc_id")
@@ -217,21 +300,105 @@ def join_hash_qid(spark, sf_dir):
     return rows(spark, sf_dir).select("doc_id", "intent").join(judged, "doc_id")
 
 
-@query(_ROWS + "SELECT doc_id, CASE WHEN predicted = 'xx' THEN 0.0 ELSE 1.0 END::DOUBLE AS overlap FROM rows")
+#: Tools wanted by intent and scope; a scope that an intent does not name is asked for as the city, `poi` as the district.
+WANTED = {("en", "city"): ("t1", "t2"), ("en", "ward"): ("t2",), ("fr", "city"): ("t0", "t3"), ("fr", "district"): ("t3", "t4"), ("es", "city"): ("t5",)}
+#: The intent for which calling nothing is right, and the helper that is never wrong.
+SMALL, HELPER = "es", "resolve_location"
+_CALLED = _ROWS + """, called AS (SELECT doc_id, intent, ['city', 'district', 'ward', 'poi'][(latency % 4 + 1)::INT] AS scope,
+  list_transform(range(latency % 3), lambda i: 't' || ((latency + i * 7) % 6)::VARCHAR) || CASE WHEN latency % 5 = 0 THEN ['resolve_location'] ELSE [] END AS tools FROM rows),
+wanted AS (SELECT *, CASE WHEN intent = 'en' THEN CASE WHEN scope = 'ward' THEN ['t2'] ELSE ['t1', 't2'] END WHEN intent = 'fr' THEN CASE WHEN scope IN ('district', 'poi') THEN ['t3', 't4'] ELSE ['t0', 't3'] END WHEN intent = 'es' THEN ['t5'] ELSE []::VARCHAR[] END AS expected FROM called),
+relevant AS (SELECT *, list_filter(tools, lambda t: t <> 'resolve_location') AS own FROM wanted)
+"""
+
+
+def called(spark, sf_dir) -> DataFrame:
+    """A row for each answer: intent, scope and the tools that it called."""
+    n = F.col("latency")
+    scope = F.element_at(F.array(*map(F.lit, ("city", "district", "ward", "poi"))), (n % 4 + 1).cast("int"))
+    tools = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.when(i < n % 3, F.concat(F.lit("t"), ((n + i * 7) % 6).cast("string"))))
+    helper = F.when(n % 5 == 0, F.lit(HELPER))
+    return rows(spark, sf_dir).select("doc_id", "intent", scope.alias("scope"), F.array_compact(F.concat(tools, F.array(helper))).alias("tools"))
+
+
+def expected() -> Column:
+    """The tools wanted for `intent` and `scope`; none for an unknown intent."""
+    scope = F.when(F.col("scope") == "poi", "district").otherwise(F.col("scope"))
+    table = F.create_map(*[x for (intent, place), tools in WANTED.items() for x in (F.lit(f"{intent} {place}"), F.array(*map(F.lit, tools)))])
+    return F.coalesce(F.element_at(table, F.concat_ws(" ", F.col("intent"), scope)), F.element_at(table, F.concat_ws(" ", F.col("intent"), F.lit("city"))), F.array().cast("array<string>"))
+
+
+def tool_scores(answers: DataFrame) -> DataFrame:
+    """`answers` (intent, scope, tools) with accuracy (boolean), precision and recall.
+
+    An answer is accurate, and its recall 1, if any call is wanted: wanted tools are alternatives. With an unknown intent
+    both hold. Precision is the wanted share of calls, the helper left out, and 1 where only that was called. Small talk
+    that calls nothing has all three.
+    """
+    quiet = (F.col("intent") == SMALL) & (F.size("tools") == 0)
+    own = F.filter("tools", lambda t: t != HELPER)
+    hit = (F.size("__wanted") == 0) | quiet | F.arrays_overlap("tools", "__wanted")
+    share = F.size(F.filter(own, lambda t: F.array_contains(F.col("__wanted"), t))) / F.size(own)
+    precision = F.when(F.size("tools") == 0, F.when(F.col("intent") == SMALL, 1.0).otherwise(0.0)).when(F.size(own) == 0, 1.0).otherwise(F.bround(share, 2))
+    return answers.withColumn("__wanted", expected()).withColumns({"accurate": hit, "precision": precision, "recall": F.when(hit, 1.0).otherwise(0.0)}).drop("__wanted")
+
+
+_HIT = "len(expected) = 0 OR (intent = 'es' AND len(tools) = 0) OR list_has_any(tools, expected)"
+
+
+@query(_CALLED + f"SELECT doc_id, {_HIT} AS accurate FROM relevant")
 def fn_tool_accuracy(spark, sf_dir):
-    """Whether what was called overlaps what was wanted."""
-    hit = F.arrays_overlap(F.array("predicted"), F.array("intent", F.lit("any")))
-    return rows(spark, sf_dir).select("doc_id", F.when(hit, 1.0).otherwise(0.0).alias("overlap"))
+    return tool_scores(called(spark, sf_dir)).select("doc_id", "accurate")
+
+
+@query(_CALLED + "SELECT doc_id, CASE WHEN len(tools) = 0 THEN CASE WHEN intent = 'es' THEN 1.0 ELSE 0.0 END WHEN len(own) = 0 THEN 1.0 ELSE round_even(len(list_filter(own, lambda t: list_contains(expected, t))) / len(own)::DOUBLE, 2) END::DOUBLE AS precision FROM relevant")
+def precision(spark, sf_dir):
+    return tool_scores(called(spark, sf_dir)).select("doc_id", "precision")
+
+
+@query(_CALLED + f"SELECT doc_id, CASE WHEN {_HIT} THEN 1.0 ELSE 0.0 END::DOUBLE AS recall FROM relevant")
+def recall(spark, sf_dir):
+    return tool_scores(called(spark, sf_dir)).select("doc_id", "recall")
 
 
-@query("SELECT count(*) AS turns, count(DISTINCT conv_id) AS sessions, round(avg(length(text)) + 1e-9, 2) AS mean_length, round(avg((role = 'system')::INT) + 1e-9, 4) AS system_rate FROM conversations")
+@query("""SELECT count(*) AS turns, count(DISTINCT conv_id) AS sessions, round(avg(length(text)) + 1e-9, 2) AS mean_latency, round(avg((role = 'system')::INT) * 100 + 1e-9, 2) AS error_rate,
+  round(coalesce(avg((length(text) % 5 <> 0)::INT) FILTER (WHERE role = 'assistant'), 0) * 100 + 1e-9, 2) AS tool_success_rate, count(*) FILTER (WHERE role = 'assistant') AS tool_calls FROM conversations""")
 def agg_telemetry(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").agg(F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("sessions"), rounded(F.avg(F.length("text")), 2).alias("mean_length"), rounded(F.avg((F.col("role") == "system").cast("int")), 4).alias("system_rate"))
+    """Turns, threads, latency (the text's length stands for it), errors (system turns) and success of tool calls (assistant turns)."""
+    said, share = F.col("role") == "assistant", lambda c: rounded(F.coalesce(F.avg(c.cast("int")), F.lit(0.0)) * 100, 2)
+    return table(spark, sf_dir, "conversations").agg(
+        F.count(F.lit(1)).alias("turns"), F.count_distinct("conv_id").alias("sessions"), rounded(F.avg(F.length("text")), 2).alias("mean_latency"), share(F.col("role") == "system").alias("error_rate"),
+        share(F.when(said, F.length("text") % 5 != 0)).alias("tool_success_rate"), F.count_if(said).alias("tool_calls"),
+    )
+
 
+_TURNS = """WITH turns AS (SELECT conv_id, turn, length(text) % 5 <> 0 AS correct, turn > 0 AS in_context, length(text) % 3 <> 0 AS resolved, CASE WHEN conv_id % 3 = 0 THEN 'follow_up' WHEN conv_id % 3 = 1 THEN 'switch' ELSE 'refine' END AS pattern FROM conversations),
+threads AS (SELECT conv_id, pattern, bool_and(correct) AS success, count(*) AS n, count(*) FILTER (WHERE correct) AS k, coalesce(count(*) FILTER (WHERE turn < first_wrong), 0) AS kept, count(*) FILTER (WHERE in_context) AS c, count(*) FILTER (WHERE in_context AND resolved) AS r
+  FROM (SELECT *, coalesce(min(turn) FILTER (WHERE NOT correct) OVER (PARTITION BY conv_id), 9999999) AS first_wrong FROM turns) GROUP BY conv_id, pattern)
+"""
 
-@query("SELECT role, count(*) AS n, min(turn) AS first_turn, max(turn) AS last_turn, round(avg(turn) + 1e-9, 3) AS mean_turn FROM conversations GROUP BY role")
+
+@query(_TURNS + """SELECT coalesce(pattern, 'all') AS pattern, count(*) AS n_threads, round(avg(success::INT) * 100 + 1e-9, 1) AS csr, round(CASE WHEN sum(c) > 0 THEN sum(r) * 100.0::DOUBLE / sum(c) ELSE 0 END + 1e-9, 1) AS era,
+  round(avg(kept) + 1e-9, 2) AS mean_crr, round(sum(k) * 100.0::DOUBLE / sum(n) + 1e-9, 1) AS turn_accuracy FROM threads GROUP BY ROLLUP (pattern)""")
 def agg_multi_turn(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), rounded(F.avg("turn"), 3).alias("mean_turn"))
+    """By pattern and over all threads; what turn is correct, resolved or in context is read off the text's length and place."""
+    size, k = F.length("text"), F.col("conv_id") % 3
+    pattern = F.when(k == 0, "follow_up").when(k == 1, "switch").otherwise("refine")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (size % 5 != 0).alias("correct"), (F.col("turn") > 0).alias("in_context"), (size % 3 != 0).alias("resolved"), pattern.alias("pattern"))
+    return multi_turn(turns)
+
+
+def multi_turn(turns: DataFrame) -> DataFrame:
+    """Success of whole threads (CSR), entities resolved in turns that need their context (ERA), mean length of the
+    correct beginning (CRR) and correct turns, from (conv_id, turn, correct, in_context, resolved, pattern) rows."""
+    wrong = F.min(F.when(~F.col("correct"), F.col("turn"))).over(Window.partitionBy("conv_id"))
+    threads = turns.withColumn("wrong", wrong).groupBy("conv_id", "pattern").agg(
+        F.every("correct").alias("success"), F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"), F.count_if(F.col("wrong").isNull() | (F.col("turn") < F.col("wrong"))).alias("kept"),
+        F.count_if("in_context").alias("c"), F.count_if(F.col("in_context") & F.col("resolved")).alias("r"),
+    )
+    return threads.rollup("pattern").agg(
+        F.count(F.lit(1)).alias("n_threads"), rounded(F.avg(F.col("success").cast("int")) * 100, 1).alias("csr"), rounded(F.when(F.sum("c") > 0, F.sum("r") * 100.0 / F.sum("c")).otherwise(0.0), 1).alias("era"),
+        rounded(F.avg("kept"), 2).alias("mean_crr"), rounded(F.sum("k") * 100.0 / F.sum("n"), 1).alias("turn_accuracy"),
+    ).withColumn("pattern", F.coalesce("pattern", F.lit("all")))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -270,15 +437,18 @@ def dt_format_ict(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.date_format(local, "HH:mm "), F.element_at(days, F.weekday(local) + 1), F.date_format(local, " dd/MM/yyyy")).alias("shown"))
 
 
-@query("SELECT o_orderkey, (d + ((CASE WHEN isodow(d) <= 6 THEN 6 - isodow(d) ELSE 6 END)::INT))::VARCHAR AS saturday, (d - (isodow(d) - 1)::INT)::VARCHAR AS monday FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
+@query("SELECT o_orderkey, sat::VARCHAR AS saturday, (sat + 1)::VARCHAR AS sunday, (d - (isodow(d) - 1)::INT)::VARCHAR AS monday FROM (SELECT o_orderkey, d, d + (CASE isodow(d) WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 WHEN 6 THEN 0 ELSE 6 END)::INT AS sat FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders))")
 def dt_next_weekend(spark, sf_dir):
+    """The coming Saturday and Sunday: on a Saturday today and tomorrow, on a Sunday those six and seven days on."""
     d = F.to_date("o_orderdate")
     ahead = F.when(F.weekday(d) <= 5, 5 - F.weekday(d)).otherwise(6)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(d, ahead).cast("string").alias("saturday"), F.date_sub(d, F.weekday(d)).cast("string").alias("monday"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(d, ahead).cast("string").alias("saturday"), F.date_add(d, ahead + 1).cast("string").alias("sunday"), F.date_sub(d, F.weekday(d)).cast("string").alias("monday"))
 
 
-@query("SELECT o_orderkey, CASE datediff('day', DATE '1998-01-01', o_orderdate::DATE) WHEN 0 THEN 'hôm nay' WHEN 1 THEN 'ngày mai' WHEN -1 THEN 'hôm qua' ELSE 'khác' END AS day, floor(date_diff('second', TIMESTAMP '1998-01-01', o_orderdate) / 60)::BIGINT AS age_minutes FROM orders")
+@query("SELECT o_orderkey, CASE WHEN g = 0 THEN 'hôm nay' WHEN g = 1 THEN 'ngày mai' WHEN g = -1 THEN 'hôm qua' WHEN g = 2 THEN 'ngày kia' WHEN g = -2 THEN 'hôm kia' WHEN g > 0 THEN g || ' ngày tới' ELSE -g || ' ngày trước' END AS day, floor(date_diff('second', TIMESTAMP '1998-01-01', o_orderdate) / 60)::BIGINT AS age_minutes FROM (SELECT *, datediff('day', DATE '1998-01-01', o_orderdate::DATE) AS g FROM orders)")
 def dt_relative_day(spark, sf_dir):
     gap = F.datediff(F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date"))
     age = F.floor((F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) - F.unix_timestamp(F.lit("1998-01-01 00:00:00").cast("timestamp"))) / 60)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(gap == 0, "hôm nay").when(gap == 1, "ngày mai").when(gap == -1, "hôm qua").otherwise("khác").alias("day"), age.cast("long").alias("age_minutes"))
+    names = {0: "hôm nay", 1: "ngày mai", -1: "hôm qua", 2: "ngày kia", -2: "hôm kia"}
+    day = F.coalesce(*[F.when(gap == n, name) for n, name in names.items()], F.when(gap > 0, F.concat(gap.cast("string"), F.lit(" ngày tới"))), F.concat((-gap).cast("string"), F.lit(" ngày trước")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), age.cast("long").alias("age_minutes"))

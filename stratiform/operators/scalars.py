@@ -61,13 +61,17 @@ def fn_temp_spread(spark, sf_dir):
     return latest_groups(spark, sf_dir).select("district_id", rounded(spread, 1).alias("spread"), (spread > 2).alias("notable"))
 
 
-@query(_LATEST_CTE + "SELECT round(a.avg_temp - b.avg_temp + 1e-9, 1) AS temp_delta, round(a.avg_humidity - b.avg_humidity + 1e-9, 1) AS humidity_delta, CASE WHEN abs(a.avg_temp - b.avg_temp) < 2 THEN 'similar' WHEN a.avg_temp > b.avg_temp THEN 'warmer' ELSE 'colder' END AS verdict FROM latest a, latest b WHERE a.district_id = 0 AND b.district_id = 1")
+@query(_LATEST_CTE + """SELECT a.district_id AS first, b.district_id AS second, round(a.avg_temp - b.avg_temp + 1e-9, 1) AS temp_diff, round(a.avg_humidity - b.avg_humidity + 1e-9, 1) AS humidity_diff, round(a.avg_clouds - b.avg_clouds + 1e-9, 1) AS clouds_diff,
+  round(a.avg_rain_1h - b.avg_rain_1h + 1e-9, 1) AS rain_1h_diff, round(a.avg_wind_speed - b.avg_wind_speed + 1e-9, 1) AS wind_speed_diff, CASE WHEN abs(a.avg_temp - b.avg_temp) <= 2 THEN 'similar' WHEN a.avg_temp > b.avg_temp THEN 'warmer' ELSE 'colder' END AS verdict
+FROM latest a JOIN latest b ON b.district_id = a.district_id + 1""")
 def fn_compare_now(spark, sf_dir):
-    """Two places now: both rows in one aggregate instead of a self join."""
-    a, b = (lambda c: F.max(F.when(F.col("district_id") == 0, F.col(c)))), (lambda c: F.max(F.when(F.col("district_id") == 1, F.col(c))))
-    gap = a("avg_temp") - b("avg_temp")
-    rows = latest_groups(spark, sf_dir).where("district_id IN (0, 1)")
-    return rows.agg(rounded(gap, 1).alias("temp_delta"), rounded(a("avg_humidity") - b("avg_humidity"), 1).alias("humidity_delta"), F.when(F.abs(gap) < 2, "similar").when(gap > 0, "warmer").otherwise("colder").alias("verdict")).where("temp_delta IS NOT NULL")
+    """All five differences of each group and the next one, now; `compare_weather` takes any pairs."""
+    now = latest_groups(spark, sf_dir).select("district_id", "avg_temp", "avg_humidity", "avg_clouds", "avg_rain_1h", "avg_wind_speed")
+    a, b = now.alias("a"), now.alias("b")
+    gap = lambda c: F.col(f"a.{c}") - F.col(f"b.{c}")
+    verdict = F.when(F.abs(gap("avg_temp")) <= 2, "similar").when(gap("avg_temp") > 0, "warmer").otherwise("colder")
+    names = {"avg_temp": "temp_diff", "avg_humidity": "humidity_diff", "avg_clouds": "clouds_diff", "avg_rain_1h": "rain_1h_diff", "avg_wind_speed": "wind_speed_diff"}
+    return a.join(b, F.col("b.district_id") == F.col("a.district_id") + 1).select(F.col("a.district_id").alias("first"), F.col("b.district_id").alias("second"), *[rounded(gap(c), 1).alias(name) for c, name in names.items()], verdict.alias("verdict"))
 
 
 @query(SERIES_SQL + "SELECT city_id, ts_utc, CASE WHEN abs(avg_clouds - lag(avg_clouds) OVER w) >= 10 THEN 'clouds' WHEN abs(avg_rain_1h - lag(avg_rain_1h) OVER w) >= 0.1 THEN 'rain' WHEN abs(avg_wind_speed - lag(avg_wind_speed) OVER w) >= 1 THEN 'wind' ELSE 'none' END AS change FROM series WINDOW w AS (PARTITION BY city_id ORDER BY ts_utc)")
@@ -153,11 +157,11 @@ def flt_api_forecast(spark, sf_dir):
     return hourly(spark, sf_dir).where(f"ts_utc > TIMESTAMP '{AS_OF}'").select("ward_id", shown(civil("ts_utc")).alias("local_ts"), "temp", "humidity")
 
 
-@query("SELECT c_custkey AS ward_id, c_name AS ward_name, n_name AS district_name, row_number() OVER (ORDER BY n_name, c_name)::INT AS place FROM customer JOIN nation ON n_nationkey = c_nationkey QUALIFY place <= 50")
+@query("SELECT c_custkey AS ward_id, c_name AS ward_name, n_name AS district_name FROM customer JOIN nation ON n_nationkey = c_nationkey ORDER BY n_name, c_name")
 def sort_multi(spark, sf_dir):
-    rows = wards(spark, sf_dir).join(F.broadcast(districts(spark, sf_dir)), "district_id").select("ward_id", "ward_name", "district_name")
-    first = rows.orderBy("district_name", "ward_name").limit(50)
-    return first.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("district_name", "ward_name")))  # fifty rows
+    """All leaves by group and name: a range-partitioned sort."""
+    rows = wards(spark, sf_dir).join(F.broadcast(districts(spark, sf_dir)), "district_id").select("ward_id", "ward_name", "district_name")  # groups number a few dozen
+    return rows.orderBy("district_name", "ward_name")
 
 
 @query(_LATEST_CTE + "SELECT district_id, rank() OVER (ORDER BY avg_temp DESC)::INT AS rank, dense_rank() OVER (ORDER BY avg_temp DESC)::INT AS dense FROM latest")
