@@ -95,22 +95,20 @@ class Index:
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, class_weights: np.ndarray, n_terms: int, fresh: list[bool]):
         # Examples whose heaviest terms are the same share blocks, which keeps the bounds of other blocks low.
-        order = sorted(range(len(vectors)), key=lambda i: (_heaviest(*vectors[i]), len(vectors[i][0]), vectors[i][0].tolist(), vectors[i][1].tolist()))
+        order = sorted(range(len(vectors)), key=lambda i: (_heaviest(*vectors[i]), len(vectors[i][0]), i))
         self.labels = labels[order]
         self.ids = [ids[i] for i in order]
         self.place = {x: i for i, x in enumerate(self.ids)}
         self.vote = class_weights[self.labels]
         self.fresh = np.array([fresh[i] for i in order], bool)
-        vectors = [vectors[i] for i in order]
-        self.vectors = vectors
-        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(vectors[i][0]) for i in order])
         self.blocks = max(1, -(-len(vectors) // BLOCK))
         often = np.bincount(term, minlength=n_terms) * COMMON > len(vectors)
         # The whole vectors, for exact cosines, and the common terms' weights as a matrix of terms by examples.
         self.edges = np.searchsorted(example, np.arange(len(vectors) + 1))
-        self.terms, self.weights, self.scratch = term, weight, np.zeros(n_terms)
+        self.terms, self.weights, self.scratch = term.astype(np.int32), weight, np.zeros(n_terms)
         self.number = np.where(often, np.cumsum(often) - 1, -1)
         on = often[term]
         self.common = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
@@ -122,10 +120,14 @@ class Index:
         cell = term[by_term] * self.blocks + self.example // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.first, self.last = first, np.append(first[1:], len(cell)).astype(np.int64)
-        self.block = cell[first] % self.blocks
+        self.block = (cell[first] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.cells = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1))
 
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.terms[a:b].astype(np.int64), self.weights[a:b]) for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first; `skip` is left out."""
         return next(self.nearest_of([(terms, weights)], k, [skip]))
@@ -226,11 +228,12 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str) -> tuple[DataFrame,
     return written(parts[0].union(parts[1]), "sample"), weights
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [sorted(words_of(text.as_py()).items()) for text in batch.column(3)]
-        terms, counts = [[t for t, _ in pairs] for pairs in own], [[n for _, n in pairs] for pairs in own]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], ["id", "label", "fresh", "terms", "counts"])
+        found = set()
+        for text in batch.column(0):
+            found.update(_WORD.findall((text.as_py() or "").lower()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
 
 
 def _vectors(texts: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -278,10 +281,7 @@ def _held(sent: Broadcast) -> tuple[Index, np.ndarray]:
     """(the index, the importance of terms) that a broadcast stands for, made once for each worker."""
     if not hasattr(sent, "made"):
         edges, term, counts, label, ids, class_weights, importance, fresh = pickle.loads(zlib.decompress(sent.value))
-        vectors = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            order = a + np.argsort(term[a:b])
-            vectors.append(weigh(term[order], counts[order], importance))
+        vectors = [weigh(term[a:b], counts[a:b], importance) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         sent.made = Index(vectors, label, ids, class_weights, len(importance), fresh.tolist()), importance
     return sent.made
 
@@ -311,29 +311,32 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = sample.withColumnRenamed(id_col, "__id")
     named = docs.select(F.col(id_col).alias("id"), F.struct(F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")).alias("own"))
     texts = named.join(F.broadcast(chosen), F.col("id") == F.col("__id")).groupBy("id", "label").agg(F.min("own").alias("own"))  # bounded by PER_CLASS
+    texts = written(texts.select("id", "label", "own.tag", "own.text"), "examples")
     fresh = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS)) == 0
-    examples = texts.select("id", "label", fresh.alias("fresh"), "own.text").mapInArrow(_term_counts, f"id {kind}, label int, fresh boolean, terms array<string>, counts array<int>").toArrow()  # bounded by PER_CLASS
+    vocabulary = sorted(texts.select("text").mapInArrow(_terms, "term string").distinct().toArrow().column(0).to_pylist())  # bounded by the sample
+    table, n_terms = written(_vectors(docs, vocabulary, id_col, text_col), "vectors"), len(vocabulary)
+    del vocabulary
+    known = texts.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "label")
+    own = table.join(F.broadcast(known), (F.col("id") == F.col("__id")) & (F.col("tag") == F.col("__tag"))).dropDuplicates(["id"])  # bounded by PER_CLASS
+    examples = own.select("id", "label", fresh.alias("fresh"), "terms", "counts").toArrow()
     examples = examples.take(pa.array(np.argsort(np.array([str(x) for x in examples.column(0).to_pylist()]), kind="stable")))
-    words = pa.chunked_array([c.flatten() for c in examples.column(3).chunks], pa.string()).combine_chunks().dictionary_encode()
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
-    vocabulary, term = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
-    edges, _, counts = _lists(examples, 3)
+    edges, term, counts = _lists(examples, 3)
     label, new = examples.column(1).to_numpy().astype(np.int64), examples.column(2).to_numpy(zero_copy_only=False).astype(bool)
-    table = written(_vectors(docs, vocabulary, id_col, text_col), "vectors")
-    n_docs, seen = table.count(), np.zeros(len(vocabulary))
+    n_docs, seen = table.count(), np.zeros(n_terms)
     found = table.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow()  # bounded by the sample's terms
     seen[found.column(0).to_numpy()] = found.column(1).to_numpy()
     old = np.repeat(~new, np.diff(edges))
     sizes = np.bincount(label[~new], minlength=2)
-    importance = np.log((1 + n_docs) / (1 + seen)) * relevances(term[old], np.repeat(label, np.diff(edges))[old], len(vocabulary), sizes)
-    state = (edges, term.astype(np.int32), counts, label, examples.column(0).to_pylist(), class_weights, importance, new)
+    importance = np.log((1 + n_docs) / (1 + seen)) * relevances(term[old], np.repeat(label, np.diff(edges))[old], n_terms, sizes)
+    state = (edges, term, counts, label, examples.column(0).to_pylist(), class_weights, importance, new)
     sent = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(state), 1))  # bounded as the sample is
+    del state, examples, edges, term, counts, old
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, _ = _held(sent)
         for batch in batches:
-            own = [index.place[x] for x in batch.column(0).to_pylist()]
-            got = [share for share, _, _ in index.votes_of([index.vectors[i] for i in own], own)]
+            own, vectors = [index.place[x] for x in batch.column(0).to_pylist()], index.vectors
+            got = [share for share, _, _ in index.votes_of([vectors[i] for i in own], own)]
             yield pa.RecordBatch.from_arrays([pa.array(index.labels[own]), pa.array(index.vote[own]), pa.array(got, pa.float64())], ["label", "weight", "share"])
 
     pieces = 4 * spark.sparkContext.defaultParallelism
