@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratiform.operators import advice, dispatch, evaluation, rollup, runs, scalars, snapshot  # noqa: F401
+from stratiform.operators import advice, dispatch, evaluation, materialise, rollup, runs, scalars, snapshot  # noqa: F401
 from stratiform.plans import tools  # noqa: F401
 from stratiform.registry import REGISTRY
 

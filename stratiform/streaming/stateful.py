@@ -26,19 +26,26 @@ def stale(latest: DataFrame, as_of, hours: int = 2) -> DataFrame:
     return latest.withColumn("stale", F.col("ts") < as_of - F.expr(f"INTERVAL {hours} HOURS"))
 
 
-def priority_sink(path: str, keys: list[str], ranks: dict[str, int], arrival: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that merges each batch by priority into versions under `path`; a batch that is written again
-    after a failure gives the same version."""
+def priority_sink(path: str, keys: list[str], ranks: dict[str, int], arrival: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that merges each batch by priority into a table under `path`.
+
+    The table is partitioned by a hash of the keys, and only partitions that a batch has keys of are read and replaced.
+    What replaces them is written beside the table first. Merging is idempotent, so a batch that comes again after a
+    failure, wherever that was, changes nothing.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.dropDuplicates([*keys, *arrival])
-        out = f"{path}/version={number}"
-        if number > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/version={number - 1}")
-            batch = upsert(old, batch, keys, ranks, arrival).select(batch.columns)
-        else:
-            batch = upsert(batch.limit(0), batch, keys, ranks, arrival).select(batch.columns)
-        batch.write.mode("overwrite").parquet(out)
+        new = batch.dropDuplicates([*keys, *arrival]).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        table, staged = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}-staged"))
+        files = table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched)) if files.exists(table) else new.limit(0)
+        upsert(old, new, [*keys, "bucket"], ranks, arrival).select(new.columns).write.mode("overwrite").parquet(f"{path}-staged")
+        merged = spark.read.schema(new.schema).parquet(f"{path}-staged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        files.delete(staged, True)
 
     return merge

@@ -70,12 +70,97 @@ def test_streamed_rollup_equals_the_batch(spark, tmp_path):
 
 
 def test_priority_sink_takes_late_data_by_rank(spark, tmp_path):
-    sink = stateful.priority_sink(str(tmp_path / "out"), ["k"], {"history": 3, "forecast": 1}, ["n"])
+    out = str(tmp_path / "out")
+    sink = stateful.priority_sink(out, ["k"], {"history": 3, "forecast": 1}, ["n"], buckets=4)
     schema = "k int, data_kind string, n int"
-    sink(spark.createDataFrame([(1, "history", 1), (2, "forecast", 1)], schema), 0)
+    sink(spark.createDataFrame([(k, "history" if k == 1 else "forecast", 1) for k in range(20)], schema), 0)
+    untouched = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").glob("bucket=*/*.parquet")}
     for _ in range(2):  # a batch that is written again changes nothing
         sink(spark.createDataFrame([(1, "forecast", 2), (2, "forecast", 2)], schema), 1)
-    assert {tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / "version=1")).collect()} == {(1, "history", 1), (2, "forecast", 2)}
+    got = {(r["k"], r["data_kind"], r["n"]) for r in spark.read.schema(schema).parquet(out).collect()}
+    assert got == {(k, "history" if k == 1 else "forecast", 2 if k == 2 else 1) for k in range(20)}
+    assert sum(p.exists() and p.stat().st_mtime_ns == t for p, t in untouched.items()) >= 2  # of four buckets two at most have the keys
+    sink(spark.createDataFrame([], schema), 2)
+    assert spark.read.schema(schema).parquet(out).count() == 20
+
+
+def _streamed(spark, tmp_path, batches, make, name):
+    """The rows of a query in append mode, fed one file a batch."""
+    source = tmp_path / f"{name}-in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts timestamp, k int, value double").coalesce(1).write.mode("append").parquet(str(source / f"part={i}"))
+    stream = spark.readStream.schema("ts timestamp, k int, value double, part int").option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(source))
+    run = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+    run.awaitTermination(240)
+    return spark.table(name).collect()
+
+
+def test_hours_go_out_once_and_late_rows_are_dropped(spark, tmp_path):
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    batches = [[(at(0, 10), 1, 1.0), (at(0, 50), 1, 3.0)], [(at(2, 0), 1, 5.0)], [(at(2, 5), 1, 6.0)], [(at(0, 20), 1, 100.0), (at(2, 10), 1, 7.0)], [(at(5, 0), 1, 0.0)]]
+    got = {r["ts_utc"].hour: (r["n_rows"], r["max_value"]) for r in _streamed(spark, tmp_path, batches, lambda s: stateful.hourly_rollup(s, "k"), "hours")}
+    assert got == {0: (2, 3.0), 2: (3, 7.0)}  # the row of 0:20 came after its hour was over; hour 5 is still open
+
+
+def test_threads_end_after_their_gap(spark, tmp_path):
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    batches = [[(at(0, 0), 1, 0.0), (at(0, 40), 1, 0.0), (at(0, 30), 2, 0.0)], [(at(6, 0), 3, 0.0)], [(at(9, 0), 3, 0.0)]]
+    got = {(r["k"], r["first_ts"].hour): r["n_rows"] for r in _streamed(spark, tmp_path, batches, lambda s: stateful.sessions(s, "k"), "threads")}
+    assert got == {(1, 0): 2, (2, 0): 1, (3, 6): 1}
+
+
+def test_stale_rows(spark):
+    df = spark.createDataFrame([(1, datetime(2024, 1, 1, 10)), (2, datetime(2024, 1, 1, 7, 59)), (3, None)], "k int, ts timestamp")
+    assert [r["stale"] for r in stateful.stale(df, F.lit("2024-01-01 10:00:00").cast("timestamp")).orderBy("k").collect()] == [False, True, None]
+
+
+def test_stored_rollups_equal_the_queries_and_can_be_repeated(spark, tmp_path):
+    from stratiform import catalog
+    from stratiform.operators import materialise
+
+    sf, out = "/root/testdata/sf0.001", str(tmp_path / "store")
+    first = materialise.run_aggregation(spark, sf, out)
+    assert materialise.run_aggregation(spark, sf, out) == first and set(first) == {"district_hourly", "city_hourly", "district_daily", "city_daily"}
+    want = {(r["city_id"], r["ts_utc"]): (r["avg_temp"], r["weather_main"]) for r in catalog.queries()["agg_city_hourly_forecast"](spark, sf).collect()}
+    rows = materialise.stored(spark, out, "city_hourly", since="2024-01-20").where("data_kind = 'forecast'")
+    got = {(r["city_id"], r["ts_utc"].strftime("%Y-%m-%d %H:%M:%S")): (r["avg_temp"], r["weather_main"]) for r in rows.collect()}
+    assert got == want and "PartitionFilters: [isnotnull(day" in rows._jdf.queryExecution().toString()
+    tasks = {r["task"]: r["records"] for r in catalog.queries()["orch_run_aggregation"](spark, sf).collect()}
+    assert len(tasks) == 10 and first["city_hourly"] <= sum(n for t, n in tasks.items() if t.startswith("city_hourly"))
+
+
+def test_rollups_scan_once_with_their_bounds(spark):
+    from stratiform import catalog
+
+    for name, bound in (("agg_district_hourly", False), ("win_rain_periods", True), ("flt_future", True), ("fn_alert_rules", True), ("top_district_ranking", True)):
+        plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "events.parquet" in line]
+        assert len(scans) == 1, (name, len(scans))
+        assert ("GreaterThanOrEqual(ts" in scans[0]) == bound, (name, scans[0][-600:])
+
+
+def test_paired_statistics(spark):
+    from stratiform.operators import evaluation
+
+    rows = [(True, False, 5, 3)] * 10 + [(False, True, 2, 3)] * 2 + [(True, True, 4, 4)] * 9 + [(True, True, None, 4)]
+    df = spark.createDataFrame(rows, "a_ok boolean, b_ok boolean, a_score int, b_score int")
+    r = evaluation.mcnemar(df).first()
+    assert (r["b"], r["c"], r["chi2"]) == (10, 2, 4.0833) and r["p_value"] == pytest.approx(math.erfc(math.sqrt(49 / 24)), abs=2e-6) and r["significant"]
+    assert evaluation.mcnemar(df.where("a_ok AND b_ok")).first()["p_value"] == pytest.approx(1.0, abs=1e-6)
+    w = evaluation.wilcoxon(df).first()
+    # Ten differences of 2 and two of -1: ranks 7.5 and 1.5.
+    assert (w["n"], w["n_different"], w["w_plus"], w["w_minus"]) == (21, 12, 75.0, 3.0)
+    assert w["p_value"] == pytest.approx(stats.wilcoxon(75, 3, 12, 10**3 - 10 + 2**3 - 2), abs=2e-6)
+    assert evaluation.wilcoxon(df.limit(5)).first()["p_value"] is None
+    assert spark.range(1).select(stats.two_sided(F.lit(1.959964))).first()[0] == pytest.approx(0.05, abs=1e-6)
+
+
+def test_tool_scores(spark):
+    from stratiform.operators import evaluation
+
+    rows = [("en", "ward", ["t1", "t2", "resolve_location"]), ("en", "city", ["t9"]), ("es", "city", []), ("en", "city", []), ("xx", "city", ["t9"]), ("fr", "poi", ["t4", "t3", "t9"]), ("en", "city", ["resolve_location"])]
+    got = [(r["accurate"], r["precision"], r["recall"]) for r in evaluation.tool_scores(spark.createDataFrame(rows, "intent string, scope string, tools array<string>").coalesce(1)).collect()]
+    assert got == [(True, 0.5, 1.0), (False, 0.0, 0.0), (True, 1.0, 1.0), (False, 0.0, 0.0), (True, 0.0, 1.0), (True, 0.67, 1.0), (False, 1.0, 0.0)]
 
 
 def test_files(spark, tmp_path):
