@@ -1,8 +1,11 @@
 """A table of awkward rows, and brute-force versions of what the operators do to it."""
 
 import hashlib
+import math
 import re
+import zlib
 
+import numpy as np
 import xxhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tag string, fp string, bucket int, term string, label int, doc string, spans string, key string"
@@ -76,3 +79,74 @@ def components(prints, bits=4):
         if d is not None:
             least[root(i)] = min(least.get(root(i), d), d)
     return [(d, least.get(root(i))) for i, (d, _) in enumerate(prints)]
+
+
+def _words(text):
+    out = {}
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        out[w] = out.get(w, 0) + 1
+    return out
+
+
+def toxic_scores(rows, toxic, fresh):
+    """{id: (score, [(example, cosine)])} for (id, text) rows with different ids: all cosines, votes, and the isotonic fit.
+
+    `toxic` gives the labels by id, of which those held out are not learned from; `fresh` the ids kept from the relevances.
+    """
+    counts = {d: _words(t) for d, t in rows}
+    sample = sorted(d for d in toxic if zlib.crc32(str(d).encode()) % 5 and d in counts)
+    old = [d for d in sample if d not in fresh]
+    sizes = [sum(toxic[d] == k for d in old) for k in (0, 1)]
+
+    def importance(t):
+        seen = sum(t in own for own in counts.values())
+        a, c = (sum(t in counts[d] and toxic[d] == k for d in old) + 0.5 for k in (1, 0))
+        ratio = math.log(a / (sizes[1] + 1) / (c / (sizes[0] + 1)))
+        return math.log((1 + len(rows)) / (1 + seen)) * (1 + 2 * max(0.0, ratio - 2 * math.sqrt(1 / a + 1 / c)))
+
+    heavy = {t: importance(t) for t in {t for d in sample for t in counts[d]}}
+
+    def vector(own):
+        w = {t: (1 + math.log(n)) * heavy[t] for t, n in own.items() if t in heavy}
+        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / size for t, x in w.items()}
+
+    vectors = {d: vector(counts[d]) for d in sample}
+
+    def near(own, skip):
+        sims = {d: sum(w * vectors[d].get(t, 0) for t, w in own.items()) for d in sample if d != skip}
+        best = sorted((x for x in sims.items() if x[1] > 0), key=lambda x: -x[1])[:15]
+        return best, (sum(s * toxic[d] for d, s in best) / sum(s for _, s in best) if best else None)
+
+    tried = [(near(vectors[d], d)[1], toxic[d]) for d in sample if d in fresh]
+    alone = [y for x, y in tried if x is None]
+    known = sorted((x, y) for x, y in tried if x is not None)
+    pools = []
+    for x in sorted({x for x, _ in known}):
+        pools.append([[y for v, y in known if v == x], [x]])
+        while len(pools) > 1 and np.mean(pools[-2][0]) >= np.mean(pools[-1][0]):
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1]]
+    at, rate = [v for p in pools for v in (p[1][0], p[1][-1])], [np.mean(p[0]) for p in pools for _ in range(2)]
+    out = {}
+    for d, own in counts.items():
+        best, share = near(vector(own), d)
+        out[d] = (np.mean(alone) if alone else 0.0) if share is None else np.interp(share, at, rate) if at else share, best
+    return out
+
+
+def without_repeated_bytes(rows):
+    """{id: kept text} for (id, text) rows with different ids."""
+    seen, out = {}, {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            seen[b[i : i + 50]] = min(seen.get(b[i : i + 50], d), d)
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if seen[b[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        out[d] = t if not any(gone) else bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratiform.llm import bpe, common, flac, packing, sharding
-from tests.llm import cases
+from tests.llm import cases, test_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -248,6 +248,49 @@ def test_pipeline(spark):
     assert len(kept) == len(set(kept)) and set(kept) <= ids and len(kept) > 0.7 * len(ids)
 
 
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage's effect on every row, each from the definition, on what the one before it kept."""
+    rng = random.Random(11)
+    vocabulary = [a + b + c for a in "bdfg" for b in "aeo" for c in "lmnr"]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    shared, passage = [line(6) for _ in range(3)], line(30)
+    texts = []
+    for i in range(150):
+        lines = [line(rng.randint(3, 14)) for _ in range(rng.randint(1, 6))]
+        if i % 5 == 0:
+            lines.append(rng.choice(["scum", "moron"]) + " " + line(4) + " scum moron")
+        if i % 6 == 1:
+            lines[1:1] = shared
+        if i % 7 == 2:
+            lines[0] += " " + passage + " " + line(2)
+        texts.append("\n".join(lines))
+    texts[40:44] = [texts[3], texts[4].replace(" ", "  ", 1), texts[8] + " tail", None]
+    rows = list(enumerate(texts))
+    toxic = {i: int(i % 5 == 0) for i in range(100)}
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long")}).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d, 1, t) for d, t in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    fresh = {r[0] for r in spark.range(100).where("pmod(xxhash64(id, 'part'), 3) = 0").collect()}
+    scores = cases.toxic_scores(rows, toxic, fresh)
+    kept = [(d, t) for d, t in rows if scores[d][0] < 0.5]
+    assert 0 < len(kept) < len(rows)
+    cut = test_dedup._line_runs(kept)
+    kept = [(d, cut[d, t]) for d, t in kept]
+    groups = test_dedup._similar(kept)
+    kept = [(d, t) for d, t in kept if groups[d] == d]
+    cut = cases.without_repeated_bytes(kept)
+    lengths = {d: len((cut[d] or "").split()) for d, _ in kept}
+
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert {d: r["n_tokens"] for d, r in got.items()} == lengths
+    for k in {r["bucket"] for r in got.values()}:
+        own = [r for r in got.values() if r["bucket"] == k]
+        assert {r["padded_tokens"] for r in own} == {max(r["n_tokens"] for r in own)}
+    each = sorted(Counter(lengths.values()).items())
+    best = packing.boundaries([n for _, n in each], [x * n for x, n in each], [x for x, _ in each], packing.BUCKETS)
+    assert sorted({r["padded_tokens"] for r in got.values()}) == best
+
+
 def test_stages_take_awkward_rows(spark):
     narrow = cases.table(spark).select("doc_id", "text", "lang", "source", "n_chars")
     for table in (narrow, narrow.limit(0)):

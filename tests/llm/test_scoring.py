@@ -2,7 +2,6 @@
 
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -211,46 +210,11 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = toxicity.scores(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).select("doc_id", "score", "evidence").collect()
 
-    counts = {d: toxicity.words_of(t) for d, t in rows}
-    sample = [d for d, _, _ in labels if zlib.crc32(str(d).encode()) % 5]
-    toxic = {d: t for d, _, t in labels}
-    fresh = {r[0] for r in spark.createDataFrame([(d,) for d in sample], "id long").where("pmod(xxhash64(id, 'part'), 3) = 0").collect()}
-    known = {t for d in sample for t in counts[d]}
-    old = [d for d in sample if d not in fresh]
-
-    def importance(t):
-        seen = sum(t in toxicity.words_of(text) for _, text in rows)
-        a, c = (sum(t in counts[d] and toxic[d] == k for d in old) + 0.5 for k in (1, 0))
-        ratio = math.log(a / (sum(toxic[d] for d in old) + 1) / (c / (sum(1 - toxic[d] for d in old) + 1)))
-        return math.log((1 + len(rows)) / (1 + seen)) * (1 + 2 * max(0.0, ratio - 2 * math.sqrt(1 / a + 1 / c)))
-
-    heavy = {t: importance(t) for t in known}
-
-    def vector(own):
-        w = {t: (1 + math.log(n)) * heavy[t] for t, n in own.items() if t in known}
-        size = math.sqrt(sum(x * x for x in w.values()))
-        return {t: x / size for t, x in w.items()}
-
-    vectors = {d: vector(counts[d]) for d in sample}
-
-    def near(own, skip):
-        sims = {d: sum(w * vectors[d].get(t, 0) for t, w in own.items()) for d in sample if d != skip}
-        best = sorted((x for x in sims.items() if x[1] > 0), key=lambda x: -x[1])[:15]
-        return best, (sum(s * toxic[d] for d, s in best) / sum(s for _, s in best) if best else None)
-
-    pairs = sorted((near(vectors[d], d)[1], toxic[d]) for d in fresh)
-    pools = []
-    for x in sorted({x for x, _ in pairs}):
-        pools.append([[y for v, y in pairs if v == x], [x]])
-        while len(pools) > 1 and np.mean(pools[-2][0]) >= np.mean(pools[-1][0]):
-            last = pools.pop()
-            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1]]
-    at = [v for p in pools for v in (p[1][0], p[1][-1])]
-    rate = [np.mean(p[0]) for p in pools for _ in range(2)]
+    fresh = {r[0] for r in spark.createDataFrame([(d,) for d, _, _ in labels], "id long").where("pmod(xxhash64(id, 'part'), 3) = 0").collect()}
+    want = cases.toxic_scores(rows, {d: t for d, _, t in labels}, fresh)
     assert len(got) == len(rows)
     for r in got:
-        best, share = near(vector(toxicity.words_of(dict(rows)[r["doc_id"]])), r["doc_id"])
-        want = 0.0 if share is None else np.interp(share, at, rate)
-        assert abs(r["score"] - want) < 1e-9, (r, want)
+        score, best = want[r["doc_id"]]
+        assert abs(r["score"] - score) < 1e-9, (r, score)
         assert np.allclose([e["similarity"] for e in r["evidence"]], [s for _, s in best[:3]])
         assert str(r["doc_id"]) not in {e["id"] for e in r["evidence"]}
