@@ -348,7 +348,7 @@ def _subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, depth: np.ndarray) ->
             raise Damaged("a reserved residual code")
         a = a + 6
         parameter_bits, part = 4 + method, on_n >> parts
-        if ((part << parts != on_n) | (part < np.maximum(o, 1))).any():
+        if ((part << parts != on_n) | (part <= o)).any():
             raise Damaged("partitions that do not fit the block")
         k, escape, raw = np.zeros(len(a), np.int64), np.zeros(len(a), bool), np.zeros(len(a), np.int64)
         top = (1 << parameter_bits) - 1
@@ -416,6 +416,18 @@ def _again(stream: bytes, why: BrokenFrame) -> dict | Damaged:
     return why
 
 
+def _broken(data: np.ndarray, found: list[list[tuple]], ends: list[int]) -> dict[int, BrokenFrame]:
+    """The streams of which a frame fails its CRC-16, with the first that does."""
+    flat = [(i, j, f[0], own[j + 1][0] if j + 1 < len(own) else ends[i]) for i, own in enumerate(found) for j, f in enumerate(own)]
+    if not flat:
+        return {}
+    owner, frame, begin, until = (np.array(c, np.int64) for c in zip(*flat, strict=True))
+    start = np.concatenate([[0], ends])[owner]
+    whole = (_crc(data, begin, until - 2, CRC16, 16) == (data[until - 2].astype(np.int32) << 8 | data[until - 1])) & (until - begin > 8)
+    bad = np.flatnonzero(~whole)[::-1].tolist()
+    return {int(owner[k]): BrokenFrame(int(frame[k]), int(until[k] - start[k]) if until[k] < ends[owner[k]] else None) for k in bad}
+
+
 def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[dict | Damaged]:
     out: list[dict | Damaged] = []
     starts, infos = [], []
@@ -429,12 +441,13 @@ def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[di
         infos.append(info)
     data = np.frombuffer(b"".join(streams), np.uint8)
     found = _headers(data, starts, base[1:], infos, skip)
+    broken = _broken(data, found, base[1:])
+    found = [[] if i in broken else own for i, own in enumerate(found)]
     flat = [(i, *f) for i, own in enumerate(found) for f in own]
     if flat:
         owner, begin, _, n, channel, depth, body = (np.array(c, np.int64) for c in zip(*flat, strict=True))
         # A frame goes up to the next one of its stream.
         until = np.where(np.append(owner[1:], -1) == owner, np.append(begin[1:], 0), np.array(base[1:])[owner])
-        whole = (_crc(data, begin, until - 2, CRC16, 16) == (data[until - 2].astype(np.int32) << 8 | data[until - 1])) & (until - begin > 8)
         bits, at = _Bits(data), body * 8
         samples, channels = [], np.where(channel < 8, channel + 1, 2)
         for c in range(int(channels.max())):
@@ -451,7 +464,7 @@ def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[di
             middle = (left << 1 | right & 1) + right >> 1
             samples[0] = np.where(channel == 9, left + right, np.where(channel == 10, middle, left))
             samples[1] = np.where(channel == 8, left - right, np.where(channel == 10, middle - right, right))
-        whole &= (at + 7 >> 3) == until - 2
+        whole = (at + 7 >> 3) == until - 2
     k = 0
     for i, (info, own) in enumerate(zip(infos, found, strict=True)):
         rows = slice(k, k + len(own))
@@ -459,6 +472,9 @@ def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[di
         if "error" in info:
             out.append(info["error"])
             continue
+        if i in broken:
+            out.append(broken[i])
+            continue
         if own and not whole[rows].all():
             bad = int(np.flatnonzero(~whole[rows])[0])
             out.append(BrokenFrame(bad, own[bad + 1][0] - base[i] if bad + 1 < len(own) else None))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stratiform.llm import bpe, common, flac, packing, sharding
-from tests.llm import cases, test_dedup
+from tests.llm import cases, flac_writer, test_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -207,6 +207,57 @@ def test_flac_finds_damage():
     assert isinstance(flac.decode([b""])[0], flac.Damaged)
 
 
+def _tone(rng, n, depth):
+    top = (1 << depth - 1) - 1
+    return [max(-top, min(top, round(top * 0.4 * np.sin(i / 7) + rng.randint(-9, 9)))) for i in range(n)]
+
+
+def test_flac_reads_every_kind_of_subframe():
+    rng = random.Random(3)
+    steps = tuple(rng.randint(-900, 900) for _ in range(12))
+    kinds = [dict(kind="verbatim"), *[dict(kind="fixed", order=o) for o in range(5)], dict(kind="linear", order=1, coefficients=(900,), shift=10), dict(kind="linear", order=12, coefficients=steps, shift=9),
+             dict(kind="fixed", order=2, parts=2, escape=True), dict(kind="fixed", order=1, method=1, k=17), dict(kind="verbatim", wasted=3), dict(kind="fixed", order=1, wasted=2, parts=1), dict(kind="linear", order=2, coefficients=(1800, -900), shift=10, wasted=1, escape=True)]
+    streams, want = [], []
+    for depth in (8, 16, 24):
+        for i, how in enumerate(kinds):
+            x = [v >> how.get("wasted", 0) << how.get("wasted", 0) for v in _tone(rng, 208, depth)]
+            k = max(3, depth - 6)
+            streams.append(flac_writer.stream([x], depth, [64, 64, 64, 16], 0, lambda s, d, j, c, how=how, k=k: flac_writer.subframe(s, d, **({"k": k} | how if how.get("method") else {**how, "k": min(k, 14)}))))
+            want.append([x])
+        streams.append(flac_writer.stream([[-5] * 48], depth, [32, 16], 0, lambda s, d, j, c: flac_writer.subframe(s, d, "constant")))
+        want.append([[-5] * 48])
+    for stream, pcm in zip(streams, want, strict=True):
+        alone = flac.decode([stream])[0]
+        assert not isinstance(alone, flac.Damaged), alone
+    for got, pcm in zip(flac.decode(streams), want, strict=True):
+        assert [c.tolist() for c in got["pcm"]] == pcm
+
+
+@pytest.mark.parametrize("assignment", [1, 8, 9, 10])
+@pytest.mark.parametrize("variable", [False, True])
+def test_flac_reads_stereo_and_blocks_of_any_size(assignment, variable):
+    rng = random.Random(assignment)
+    left, right = _tone(rng, 500, 16), _tone(rng, 500, 16)
+    blocks = [100, 7, 193, 200] if variable else [200, 200, 100]
+    stream = flac_writer.stream([left, right], 16, blocks, assignment, lambda s, d, j, c: flac_writer.subframe(s, d, "fixed", order=(j + c) % 5, k=9), variable)
+    got = flac.decode([stream])[0]
+    assert not isinstance(got, flac.Damaged), got
+    assert [c.tolist() for c in got["pcm"]] == [left, right] and [f[2] for f in got["frames"]] == blocks
+    six = [_tone(rng, 64, 16) for _ in range(6)]
+    many = flac.decode([flac_writer.stream(six, 16, [64], 5, lambda s, d, j, c: flac_writer.subframe(s, d, "verbatim"))])[0]
+    assert [c.tolist() for c in many["pcm"]] == six
+
+
+def test_flac_passes_over_false_headers():
+    """Samples that look like the header of the next frame, its checksum included."""
+    fake = bytes([0xFF, 0xF8, 0x70, 0x00]) + flac_writer.number(1) + (31).to_bytes(2, "big")
+    fake += bytes([flac_writer.crc(fake, 0x07, 8)])
+    x = [3] * 20 + [b - 256 if b > 127 else b for b in fake] + [7] * (64 - 20 - len(fake))
+    stream = flac_writer.stream([x], 8, [32, 32], 0, lambda s, d, j, c: flac_writer.subframe(s, d, "verbatim"))
+    got = flac.decode([stream])[0]
+    assert not isinstance(got, flac.Damaged) and got["pcm"][0].tolist() == x
+
+
 def test_flac_damage_stays_with_its_stream():
     """Any flipped bit, in the metadata too, gives an error or the same samples, and leaves the stream beside it alone."""
     rng = np.random.default_rng(2)
