@@ -143,12 +143,19 @@ def js_extract_tool_calls(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", calls).where("call.name = 'assistant'").select("conv_id", "call.turn", "call.name")
 
 
-@query(HOURLY_SQL + "SELECT ward_id, CASE WHEN ward_id % 4 = 0 THEN 'chay_bo' WHEN ward_id % 4 = 1 THEN 'picnic' ELSE 'khac' END AS activity, CASE WHEN ward_id % 4 = 0 THEN '15-25' WHEN ward_id % 4 = 1 THEN '22-28' ELSE 'default' END AS good FROM hourly GROUP BY ward_id")
-def fn_activity_template(spark, sf_dir):
-    """Conditions by activity, with a default for unknown ones."""
-    activity = F.when(F.col("ward_id") % 4 == 0, "chay_bo").when(F.col("ward_id") % 4 == 1, "picnic").otherwise("khac")
-    known = F.create_map(*map(F.lit, ("chay_bo", "15-25", "picnic", "22-28")))
-    named = hourly(spark, sf_dir).select("ward_id").distinct().withColumn("activity", activity)
-    return named.withColumn("good", F.coalesce(known[F.col("activity")], F.lit("default")))
+# Activity and its good temperatures (null: none are named).
+TEMPLATES = (
+    ("chay_bo", 15, 25), ("dua_dieu", 20, 30), ("picnic", 22, 28), ("bike", 18, 28), ("chup_anh", None, None), ("tap_the_duc", 18, 25), ("du_lich", 20, 32), ("cam_trai", 18, 30),
+    ("cau_ca", 15, 35), ("lam_vuon", 18, 32), ("boi_loi", 28, 38), ("leo_nui", 15, 30), ("di_dao", 18, 32), ("su_kien", 20, 32),
+)
 
 
+@query(HOURLY_SQL + """SELECT ward_id, activity, CASE WHEN activity IN ('phoi_do', 'khac') THEN 'default' WHEN activity = 'chup_anh' THEN 'any' ELSE low || '-' || high END AS good
+FROM (SELECT DISTINCT ward_id FROM hourly), (VALUES ('chay_bo', 15, 25), ('dua_dieu', 20, 30), ('picnic', 22, 28), ('bike', 18, 28), ('chup_anh', 0, 0), ('tap_the_duc', 18, 25), ('du_lich', 20, 32), ('cam_trai', 18, 30),
+ ('cau_ca', 15, 35), ('lam_vuon', 18, 32), ('boi_loi', 28, 38), ('leo_nui', 15, 30), ('di_dao', 18, 32), ('su_kien', 20, 32), ('phoi_do', 0, 0), ('khac', 0, 0)) AS a(activity, low, high)""")
+def fn_activity_template(spark, sf_dir):
+    """Good temperatures by activity, with a default for activities that have no template."""
+    known = F.create_map(*[F.lit(x) for name, low, high in TEMPLATES for x in (name, "any" if low is None else f"{low}-{high}")])
+    asked = F.explode(F.array(*[F.lit(name) for name in (*[t[0] for t in TEMPLATES], "phoi_do", "khac")])).alias("activity")
+    places = table(spark, sf_dir, "events").select(F.col("user_id").alias("ward_id")).distinct()
+    return places.select("ward_id", asked).withColumn("good", F.coalesce(known[F.col("activity")], F.lit("default")))
