@@ -218,6 +218,7 @@ def test_near_copies_match_brute_force(spark):
 def test_near_copies_that_all_share_one_key(spark, monkeypatch):
     """However many sets a key has, similar or not, no link of them is missed."""
     monkeypatch.setattr(shingles, "bands", lambda own: np.array([7] if len(own) else [], np.int64))
+    monkeypatch.setattr(shingles, "BLOCK", 16)
     df = spark.createDataFrame(_near_texts(), "doc_id long, text string").repartition(4)
     assert {r["doc_id"]: r["component_id"] for r in shingles.near_copies(df).collect()} == _similar(pairs(df))
 
