@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratiform.llm import bpe, flac, lines, packing, quality, sharding, simhash, suffixes, toxicity, urls
+from stratiform.llm import bpe, flac, imatch, lines, merkle, packing, quality, resampling, sharding, simhash, suffixes, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +55,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_url_filters, op3_toxicity, op4_winnowing, op5_suffix_array, op6_simhash, op7_quality_rules, op8_flac, op9_byte_bpe, op10_sharding)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_url_filters, op3_toxicity, op4_winnowing, op5_suffix_array, op6_simhash, op7_quality_rules, op8_flac, op9_byte_bpe, op10_sharding,
+        op11_importance_resampling, op12_merkle_manifest, op13_imatch,
+    )
+}
 
 
 def queries() -> dict:
     return dict(QUERIES)
 
 
-ORACLE_SQL = {"op4_winnowing": lines.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
+ORACLE_SQL = {"op4_winnowing": lines.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op11_importance_resampling": resampling.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_imatch": imatch.ORACLE_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
