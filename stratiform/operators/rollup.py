@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,38 +29,68 @@ def mode_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias(value))
 
 
-def rolled(facts: DataFrame, keys: list[str], means: dict[str, tuple[str, int]], least: dict[str, str], most: dict[str, str], rainy: Column) -> DataFrame:
-    """Means, extremes, mode of the condition, mean direction and extent of each key, from one pass over `facts`.
+@dataclass(frozen=True)
+class Shape:
+    """What a roll-up holds: means (result: reading and digits), extremes (result: reading), and the rule of a rainy row.
 
-    `facts` has a row for each leaf and instant. Counts and sums are taken by key and condition first; the few rows
-    that a key then has give its means and, by `mode_of`'s rule, its mode. Both steps combine before they shuffle.
-    `means` maps a result to its reading and digits, `least` and `most` a result to its reading.
+    `state` are sums, counts and extremes of rows that share a condition. States of parts of the rows can be put together
+    by `merge`, in any order and number, and `result` makes the roll-up of them.
     """
-    angle, columns = F.radians("wind_deg"), sorted({c for c, _ in means.values()})
-    parts = facts.groupBy(*keys, "weather_main").agg(
-        F.count(F.lit(1)).alias("__n"), F.count("ward_id").alias("__wards"), F.count_if(rainy).alias("__rainy"),
-        F.sum(F.sin(angle)).alias("__sin"), F.sum(F.cos(angle)).alias("__cos"), F.count("wind_deg").alias("__angles"),
-        *[F.sum(c).alias(f"__sum_{c}") for c in columns], *[F.count(c).alias(f"__count_{c}") for c in columns],
-        *[F.min(c).alias(name) for name, c in least.items()], *[F.max(c).alias(name) for name, c in most.items()],
-    )
-    direction = F.degrees(F.atan2(F.sum("__sin") / F.sum("__angles"), F.sum("__cos") / F.sum("__angles")))
-    return parts.groupBy(*keys).agg(
-        *[rounded(F.sum(f"__sum_{c}") / F.sum(f"__count_{c}"), n).alias(name) for name, (c, n) in means.items()],
-        *[F.min(name).alias(name) for name in least], *[F.max(name).alias(name) for name in most],
-        F.sum("__rainy").alias("rainy_ward_count"), F.sum("__wards").alias("ward_count"), F.pmod(rounded(direction + 360, 1), F.lit(360.0)).alias("avg_wind_deg"),
-        F.min_by("weather_main", F.struct((-F.col("__n")).alias("n"), F.col("weather_main").alias("v"))).alias("weather_main"),
-    )
+
+    means: dict[str, tuple[str, int]]
+    least: dict[str, str]
+    most: dict[str, str]
+    rainy: str
+
+    @property
+    def readings(self) -> list[str]:
+        return sorted({c for c, _ in self.means.values()})
+
+    def state(self) -> list[Column]:
+        angle = F.radians("wind_deg")
+        return [
+            F.count(F.lit(1)).alias("n"), F.count("ward_id").alias("wards"), F.count_if(F.expr(self.rainy)).alias("rainy"),
+            F.sum(F.sin(angle)).alias("sin"), F.sum(F.cos(angle)).alias("cos"), F.count("wind_deg").alias("angles"),
+            *[F.sum(c).alias(f"sum_{c}") for c in self.readings], *[F.count(c).alias(f"count_{c}") for c in self.readings],
+            *[F.min(c).alias(name) for name, c in self.least.items()], *[F.max(c).alias(name) for name, c in self.most.items()],
+        ]
+
+    def merge(self) -> list[Column]:
+        sums = ["n", "wards", "rainy", "sin", "cos", "angles", *[f"{kind}_{c}" for kind in ("sum", "count") for c in self.readings]]
+        return [*[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in self.least], *[F.max(c).alias(c) for c in self.most]]
+
+    def result(self) -> list[Column]:
+        """Means, extremes, extent, mean direction, and the mode of the condition: the most frequent one, nulls included, of
+        equally frequent ones the smallest. There must be one state for each condition."""
+        direction = F.degrees(F.atan2(F.sum("sin") / F.sum("angles"), F.sum("cos") / F.sum("angles")))
+        return [
+            *[rounded(F.sum(f"sum_{c}") / F.sum(f"count_{c}"), n).alias(name) for name, (c, n) in self.means.items()],
+            *[F.min(name).alias(name) for name in self.least], *[F.max(name).alias(name) for name in self.most],
+            F.sum("rainy").alias("rainy_ward_count"), F.sum("wards").alias("ward_count"), F.pmod(rounded(direction + 360, 1), F.lit(360.0)).alias("avg_wind_deg"),
+            F.min_by("weather_main", F.struct((-F.col("n")).alias("n"), F.col("weather_main").alias("v"))).alias("weather_main"),
+        ]
+
+
+def rolled(facts: DataFrame, keys: list[str], shape: Shape) -> DataFrame:
+    """The roll-up of each key from one pass over `facts`, which has a row for each leaf and instant.
+
+    Counts and sums are taken by key and condition first; the few rows that a key then has give its means and its mode.
+    Both steps combine before they shuffle.
+    """
+    return facts.groupBy(*keys, "weather_main").agg(*shape.state()).groupBy(*keys).agg(*shape.result())
 
 
-HOURLY_MEANS = {
-    "avg_temp": ("temp", 2), "avg_humidity": ("humidity", 1), "avg_wind_speed": ("wind_speed", 2), "avg_dew_point": ("dew_point", 2), "avg_pressure": ("pressure", 1), "avg_clouds": ("clouds", 1),
-    "avg_visibility": ("visibility", 0), "avg_uvi": ("uvi", 2), "avg_pop": ("pop", 3), "avg_rain_1h": ("rain_1h", 2),
-}
+HOURLY = Shape(
+    {
+        "avg_temp": ("temp", 2), "avg_humidity": ("humidity", 1), "avg_wind_speed": ("wind_speed", 2), "avg_dew_point": ("dew_point", 2), "avg_pressure": ("pressure", 1), "avg_clouds": ("clouds", 1),
+        "avg_visibility": ("visibility", 0), "avg_uvi": ("uvi", 2), "avg_pop": ("pop", 3), "avg_rain_1h": ("rain_1h", 2),
+    },
+    {"min_temp": "temp"}, {"max_temp": "temp", "max_rain_1h": "rain_1h", "max_pop": "pop", "max_wind_gust": "wind_gust", "max_uvi": "uvi"}, f"rain_1h > {RAINY_HOUR}",
+)
 
 
 def hourly_rollup(facts: DataFrame, key: str) -> DataFrame:
-    most = {"max_temp": "temp", "max_rain_1h": "rain_1h", "max_pop": "pop", "max_wind_gust": "wind_gust", "max_uvi": "uvi"}
-    return rolled(facts, [key, "ts_utc"], HOURLY_MEANS, {"min_temp": "temp"}, most, F.col("rain_1h") > RAINY_HOUR)
+    return rolled(facts, [key, "ts_utc"], HOURLY)
 
 
 def _hourly_sql(key: str, where: str = "TRUE") -> str:
@@ -120,15 +152,17 @@ def agg_history_to_daily(spark, sf_dir):
     return daily(hourly(spark, sf_dir).where("data_kind = 'history'")).withColumn("date", F.col("date").cast("string"))
 
 
-DAILY_MEANS = {
-    "avg_temp": ("temp_avg", 2), "avg_humidity": ("humidity", 1), "avg_pop": ("pop", 2), "total_rain": ("rain_total", 2), "avg_dew_point": ("dew_point", 2), "avg_pressure": ("pressure", 1), "avg_clouds": ("clouds", 1),
-    "avg_wind_speed": ("wind_speed", 2),
-}
+DAILY = Shape(
+    {
+        "avg_temp": ("temp_avg", 2), "avg_humidity": ("humidity", 1), "avg_pop": ("pop", 2), "total_rain": ("rain_total", 2), "avg_dew_point": ("dew_point", 2), "avg_pressure": ("pressure", 1), "avg_clouds": ("clouds", 1),
+        "avg_wind_speed": ("wind_speed", 2),
+    },
+    {"temp_min": "temp_min"}, {"temp_max": "temp_max", "max_pop": "pop", "max_rain_total": "rain_total", "max_wind_gust": "wind_gust", "max_uvi": "uvi"}, f"rain_total > {RAINY_DAY}",
+)
 
 
 def daily_rollup(days: DataFrame, key: str) -> DataFrame:
-    most = {"temp_max": "temp_max", "max_pop": "pop", "max_rain_total": "rain_total", "max_wind_gust": "wind_gust", "max_uvi": "uvi"}
-    return rolled(days, [key, "date"], DAILY_MEANS, {"temp_min": "temp_min"}, most, F.col("rain_total") > RAINY_DAY)
+    return rolled(days, [key, "date"], DAILY)
 
 
 def days_of(spark, sf_dir, since: str | None = None, until: str | None = None) -> DataFrame:

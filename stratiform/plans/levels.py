@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratiform.operators.rollup import DAILY_SQL, _daily_sql, _hourly_sql, daily_rollup, days_of, hourly_rollup
-from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_HOUR, hourly, placed, shown
+from stratiform.operators import materialise
+from stratiform.operators.rollup import DAILY, DAILY_SQL, HOURLY, Shape, _daily_sql, _hourly_sql, days_of
+from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_HOUR, placed, shown
 
 LEVELS = ("ward", "district", "city")
 #: A place: its level and its id there.
 PLACE = ["level", "place_id"]
-_KEYS = {"district": "district_id", "city": "city_id"}
+_KEYS = {"ward": "ward_id", "district": "district_id", "city": "city_id"}
+_ROLLED = ("district", "city")
 #: Readings by their name in the roll-ups, and the leaf's reading that they stand for.
 HOURS = {
     "avg_temp": "temp", "avg_humidity": "humidity", "avg_dew_point": "dew_point", "avg_pressure": "pressure", "avg_clouds": "clouds", "avg_wind_speed": "wind_speed", "avg_wind_deg": "wind_deg",
@@ -22,32 +24,50 @@ HOURS = {
 DAYS = {"avg_temp": "temp_avg", "temp_min": "temp_min", "temp_max": "temp_max", "avg_humidity": "humidity", "avg_pop": "pop", "total_rain": "rain_total", "avg_wind_speed": "wind_speed", "avg_dew_point": "dew_point", "max_uvi": "uvi"}
 
 
-def _all(parts: dict[str, DataFrame], levels, place: int | None) -> DataFrame:
+def _asked(rows: DataFrame, levels, place: int | None) -> DataFrame:
+    """A row for each level that is asked for; the place, if one is given, is chosen before the rows are multiplied."""
     if unknown := set(levels) - set(LEVELS):
         raise ValueError(f"levels are {', '.join(LEVELS)}, not {', '.join(sorted(unknown))}")
-    rows = reduce(DataFrame.unionByName, (parts[level] for level in levels))
-    return rows if place is None else rows.where(F.col("place_id") == place)
+    ids = {level: F.col(_KEYS[level]).cast("long") for level in LEVELS if level in levels}
+    if place is not None:
+        rows = rows.where(reduce(Column.__or__, (own == place for own in ids.values())))
+    each = rows.withColumn("p", F.explode(F.array(*[F.struct(F.lit(level).alias("level"), own.alias("place_id")) for level, own in ids.items()])))
+    each = each.select("*", "p.level", "p.place_id").drop("p")
+    return each if place is None else each.where(F.col("place_id") == place)
 
 
-def _named(rows: DataFrame, level: str, key: str, columns: dict[str, str], time: str) -> DataFrame:
-    return rows.select(F.lit(level).alias("level"), F.col(key).cast("long").alias("place_id"), time, *[F.col(c).cast("double").alias(name) for name, c in columns.items()], "weather_main")
+def _rolled(rows: DataFrame, shape: Shape, columns: dict[str, str], time: str) -> DataFrame:
+    """All levels from one pass: a leaf has one row for each time, which it keeps as it is."""
+    states = rows.groupBy(*PLACE, time, "weather_main").agg(*shape.state(), *[F.max(c).alias(f"own_{name}") for name, c in columns.items()])
+    both = states.groupBy(*PLACE, time).agg(*shape.result(), *[F.max(f"own_{name}").alias(f"own_{name}") for name in columns])
+    leaf = F.col("level") == "ward"
+    return both.select(*PLACE, time, *[F.when(leaf, F.col(f"own_{name}").cast("double")).otherwise(F.col(name).cast("double")).alias(name) for name in columns], "weather_main")
 
 
 def series(spark, sf_dir, levels=LEVELS, place: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Hours of all places, or of the one given at each level; the bounds reach the scan."""
-    parts = {"ward": _named(hourly(spark, sf_dir, since, until), "ward", "ward_id", HOURS, "ts_utc")}
-    for level, key in _KEYS.items():
-        parts[level] = _named(hourly_rollup(placed(spark, sf_dir, since, until), key), level, key, {name: name for name in HOURS}, "ts_utc")
-    return _all(parts, levels, place).withColumn("ts_utc", shown("ts_utc"))
+    """Hours of all places, or of the one given at each level, from one scan that the bounds reach."""
+    return _rolled(_asked(placed(spark, sf_dir, since, until), levels, place), HOURLY, HOURS, "ts_utc").withColumn("ts_utc", shown("ts_utc"))
 
 
 def days(spark, sf_dir, levels=LEVELS, place: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Civil days of all places."""
-    leaves = days_of(spark, sf_dir, since, until)
-    parts = {"ward": _named(leaves, "ward", "ward_id", DAYS, "date")}
-    for level, key in _KEYS.items():
-        parts[level] = _named(daily_rollup(leaves, key), level, key, {name: name for name in DAYS}, "date")
-    return _all(parts, levels, place).withColumn("date", F.col("date").cast("string"))
+    """Civil days of all places, from one scan."""
+    return _rolled(_asked(days_of(spark, sf_dir, since, until), levels, place), DAILY, DAYS, "date").withColumn("date", F.col("date").cast("string"))
+
+
+def stored_series(spark, out: str, level: str, place: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Hours of groups or regions as `materialise.run_aggregation` stored them, dates pruned, in the form of `series`."""
+    rows = materialise.stored(spark, out, f"{level}_hourly", since and since[:10])
+    rows = rows.where(F.col("ts_utc") >= F.lit(since).cast("timestamp")) if since else rows
+    rows = rows.where(F.col("ts_utc") < F.lit(until).cast("timestamp")) if until else rows
+    rows = rows if place is None else rows.where(F.col(_KEYS[level]) == place)
+    return rows.select(F.lit(level).alias("level"), F.col(_KEYS[level]).cast("long").alias("place_id"), shown("ts_utc").alias("ts_utc"), *[F.col(c).cast("double").alias(c) for c in HOURS], "weather_main")
+
+
+def stored_days(spark, out: str, level: str, place: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Civil days as stored; the bounds are dates, the latter not included."""
+    rows = materialise.stored(spark, out, f"{level}_daily", since, until)
+    rows = rows if place is None else rows.where(F.col(_KEYS[level]) == place)
+    return rows.select(F.lit(level).alias("level"), F.col(_KEYS[level]).cast("long").alias("place_id"), F.col("date").cast("string").alias("date"), *[F.col(c).cast("double").alias(c) for c in DAYS], "weather_main")
 
 
 def forecast(spark, sf_dir, hours: int, levels=LEVELS, place: int | None = None) -> DataFrame:
@@ -73,7 +93,7 @@ def _rolled_sql(make, level: str) -> str:
 def _union_sql(source: str, columns: dict[str, str], time: str, leaf_time: str) -> str:
     leaf = ", ".join(f"{c}::DOUBLE AS {name}" for name, c in columns.items())
     parts = [f"SELECT 'ward' AS level, ward_id::BIGINT AS place_id, {leaf_time} AS {time}, {leaf}, weather_main FROM {source}"]
-    parts += [f"SELECT '{level}', {key}::BIGINT, {time}, " + ", ".join(f"{name}::DOUBLE" for name in columns) + f", weather_main FROM {level}_rolled" for level, key in _KEYS.items()]
+    parts += [f"SELECT '{level}', {key}::BIGINT, {time}, " + ", ".join(f"{name}::DOUBLE" for name in columns) + f", weather_main FROM {level}_rolled" for level, key in _KEYS.items() if level in _ROLLED]
     return " UNION ALL ".join(parts)
 
 
@@ -82,10 +102,10 @@ def _day_parts(level: str) -> str:
 
 
 def _days_sql() -> str:
-    return DAILY_SQL + "".join(map(_day_parts, _KEYS)) + ", days AS (" + _union_sql("daily", DAYS, "date", "date::VARCHAR") + ")\n"
+    return DAILY_SQL + "".join(map(_day_parts, _ROLLED)) + ", days AS (" + _union_sql("daily", DAYS, "date", "date::VARCHAR") + ")\n"
 
 
-SERIES_ALL = HOURLY_SQL + "".join(_rolled_sql(_hourly_sql, level) for level in _KEYS) + ", series AS (" + _union_sql("hourly", HOURS, "ts_utc", "strftime(ts_utc, '%Y-%m-%d %H:%M:%S')") + ")\n"
+SERIES_ALL = HOURLY_SQL + "".join(_rolled_sql(_hourly_sql, level) for level in _ROLLED) + ", series AS (" + _union_sql("hourly", HOURS, "ts_utc", "strftime(ts_utc, '%Y-%m-%d %H:%M:%S')") + ")\n"
 DAYS_ALL = _days_sql()
 RAW_SQL = ", ".join(f"{name} AS {c}" for name, c in HOURS.items())
 

@@ -114,25 +114,10 @@ def test_stale_rows(spark):
     assert [r["stale"] for r in stateful.stale(df, F.lit("2024-01-01 10:00:00").cast("timestamp")).orderBy("k").collect()] == [False, True, None]
 
 
-def test_stored_rollups_equal_the_queries_and_can_be_repeated(spark, tmp_path):
-    from stratiform import catalog
-    from stratiform.operators import materialise
-
-    sf, out = "/root/testdata/sf0.001", str(tmp_path / "store")
-    first = materialise.run_aggregation(spark, sf, out)
-    assert materialise.run_aggregation(spark, sf, out) == first and set(first) == {"district_hourly", "city_hourly", "district_daily", "city_daily"}
-    want = {(r["city_id"], r["ts_utc"]): (r["avg_temp"], r["weather_main"]) for r in catalog.queries()["agg_city_hourly_forecast"](spark, sf).collect()}
-    rows = materialise.stored(spark, out, "city_hourly", since="2024-01-20").where("data_kind = 'forecast'")
-    got = {(r["city_id"], r["ts_utc"].strftime("%Y-%m-%d %H:%M:%S")): (r["avg_temp"], r["weather_main"]) for r in rows.collect()}
-    assert got == want and "PartitionFilters: [isnotnull(day" in rows._jdf.queryExecution().toString()
-    tasks = {r["task"]: r["records"] for r in catalog.queries()["orch_run_aggregation"](spark, sf).collect()}
-    assert len(tasks) == 10 and first["city_hourly"] <= sum(n for t, n in tasks.items() if t.startswith("city_hourly"))
-
-
 def test_rollups_scan_once_with_their_bounds(spark):
     from stratiform import catalog
 
-    for name, bound in (("agg_district_hourly", False), ("win_rain_periods", True), ("flt_future", True), ("fn_alert_rules", True), ("top_district_ranking", True)):
+    for name, bound in (("agg_district_hourly", False), ("win_rain_periods", True), ("flt_future", True), ("fn_alert_rules", True), ("top_district_ranking", True), ("orch_run_aggregation", False), ("get_hourly_forecast", True), ("get_daily_forecast", True)):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         scans = [line for line in plan.splitlines() if "FileScan" in line and "events.parquet" in line]
         assert len(scans) == 1, (name, len(scans))
