@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,6 +166,18 @@ def daily_rollup(days: DataFrame, key: str) -> DataFrame:
     return rolled(days, [key, "date"], DAILY)
 
 
+def civil_bounds(first: str | None = None, last: str | None = None) -> tuple[str | None, str | None]:
+    """The instants of UTC from which and before which the civil dates from `first` to `last` lie."""
+    start = lambda day: str(datetime.fromisoformat(day) - timedelta(hours=CIVIL_HOURS))
+    return first and start(first), last and start(str(datetime.fromisoformat(last) + timedelta(days=1)))
+
+
+def group_days(spark, sf_dir, key: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The daily roll-up of the civil dates from `first` to `last`; the bounds reach the scan."""
+    rows = daily_rollup(days_of(spark, sf_dir, *civil_bounds(first, last)), key)
+    return rows.withColumn("date", F.col("date").cast("string"))
+
+
 def days_of(spark, sf_dir, since: str | None = None, until: str | None = None) -> DataFrame:
     return daily(placed(spark, sf_dir, since, until), ["ward_id", "district_id", "city_id"])
 
@@ -183,12 +196,12 @@ FROM daily d JOIN modes m USING ({key}, date) GROUP BY {key}, date"""
 
 @query(_daily_sql("district_id"))
 def agg_district_daily(spark, sf_dir):
-    return daily_rollup(days_of(spark, sf_dir), "district_id").withColumn("date", F.col("date").cast("string"))
+    return group_days(spark, sf_dir, "district_id")
 
 
 @query(_daily_sql("city_id"))
 def agg_city_daily(spark, sf_dir):
-    return daily_rollup(days_of(spark, sf_dir), "city_id").withColumn("date", F.col("date").cast("string"))
+    return group_days(spark, sf_dir, "city_id")
 
 
 @query(HOURLY_SQL + """SELECT data_kind, strftime(max(ts_utc), '%Y-%m-%d %H:%M:%S') AS latest, floor(date_diff('second', max(ts_utc), TIMESTAMP '2024-01-20 06:00:00') / 60)::BIGINT AS age_minutes, count(*) AS n_rows
@@ -223,7 +236,7 @@ SELECT city_id, arg_min(date, (-temp_max, date)) AS hottest, arg_min(date, (temp
 FROM days WHERE date BETWEEN '2024-01-07' AND '2024-01-20' GROUP BY city_id""")
 def agg_superlatives(spark, sf_dir):
     """Hottest, coolest, rainiest and driest day, with the period's means, of 14 days up to the reference day."""
-    days = agg_city_daily(spark, sf_dir).where("date BETWEEN '2024-01-07' AND '2024-01-20'")
+    days = group_days(spark, sf_dir, "city_id", "2024-01-07", "2024-01-20")
     by = lambda *keys: F.min_by("date", F.struct(*keys, "date"))
     return days.groupBy("city_id").agg(
         by((-F.col("temp_max")).alias("k")).alias("hottest"), by("temp_min").alias("coolest"), by((-F.col("total_rain")).alias("k")).alias("rainiest"), by("total_rain", "avg_pop").alias("driest"),

@@ -217,16 +217,16 @@ c AS (SELECT f.*, now.* EXCLUDE (city_id) FROM f JOIN now USING (city_id) QUALIF
 
 
 def _against_now(spark, sf_dir) -> DataFrame:
-    return against_now(agg_city_hourly(spark, sf_dir))
+    return against_now(group_hours(spark, sf_dir, "city_id", until=NEXT_HOUR), group_hours(spark, sf_dir, "city_id", since=NEXT_HOUR))
 
 
-def against_now(series: DataFrame, hours: int = 12, keys: list[str] = REGION) -> DataFrame:
-    """The first `hours` rows after the reference instant with the readings of the last row up to it."""
-    past = F.col("ts_utc") <= AS_OF
-    by = Window.partitionBy(*keys)
-    now = lambda c: F.max_by(c, F.when(past, F.col("ts_utc"))).over(by)
-    rows = series.withColumns({"now_temp": now("avg_temp"), "now_pop": now("avg_pop"), "now_wind": now("avg_wind_speed"), "now_main": now("weather_main")}).where(~past)
-    return rows.withColumn("nth", F.row_number().over(_order(keys))).where(F.col("nth") <= hours)
+def against_now(past: DataFrame, coming: DataFrame, hours: int = 12, keys: list[str] = REGION) -> DataFrame:
+    """The first `hours` rows of `coming` with the readings of the last row of `past`, which is a partial aggregate: no
+    place's past is sorted or gathered."""
+    readings = {"now_temp": "avg_temp", "now_pop": "avg_pop", "now_wind": "avg_wind_speed", "now_main": "weather_main"}
+    last = past.groupBy(*keys).agg(F.max(F.struct("ts_utc", *[F.col(c).alias(name) for name, c in readings.items()])).alias("now"))
+    rows = coming.withColumn("nth", F.row_number().over(_order(keys))).where(F.col("nth") <= hours)
+    return rows.join(last.select(*keys, *[F.col(f"now.{name}").alias(name) for name in readings]), keys)
 
 
 @query(_NOW_SQL + f"SELECT city_id, min(ts_utc) AS ts_utc, arg_min({_CHANGE}, ts_utc) AS change FROM c WHERE {_CHANGE} IS NOT NULL GROUP BY city_id")

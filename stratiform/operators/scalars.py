@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from stratiform.functions import bands, text
 from stratiform.operators.advice import _band, _rowwise
-from stratiform.operators.rollup import DAILY_SQL, _daily_sql, agg_city_daily, agg_city_hourly, circular_mean, days_of, mode_of
+from stratiform.operators.rollup import DAILY_SQL, _daily_sql, agg_city_hourly, circular_mean, days_of, group_days, mode_of
 from stratiform.operators.runs import FORECAST_SQL, SERIES_SQL, forecast_series
 from stratiform.operators.snapshot import _LATEST_CTE, latest_groups, scored_names
 from stratiform.operators.snapshot import _SCORED
 from stratiform.registry import query
-from stratiform.sources.roles import AS_OF, HOURLY_SQL, cities, civil, districts, hourly, placed, rounded, shown, table, wards
+from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_HOUR, cities, civil, districts, hourly, placed, rounded, shown, table, wards
 
 # Conditions and their names.
 CONDITION_NAMES = {"Clear": "Trời quang", "Clouds": "Có mây", "Rain": "Mưa", "Drizzle": "Mưa phùn", "Thunderstorm": "Dông", "Mist": "Sương mù nhẹ", "Fog": "Sương mù", "Haze": "Mù khô"}
@@ -120,7 +120,7 @@ _DAYS = _daily_sql("city_id").replace("\nSELECT city_id, date::VARCHAR", "\n, da
 
 @query(_DAYS + "SELECT city_id, round(avg(avg_temp) + 1e-9, 2) AS mean_temp, min(temp_min) AS min_temp, max(temp_max) AS max_temp, round(sum(total_rain) + 1e-9, 2) AS rain, count(*) FILTER (WHERE total_rain > 0.5) AS rain_days, count(*) AS n_days FROM days WHERE date BETWEEN '2024-01-10' AND '2024-01-16' GROUP BY city_id")
 def agg_period_stats(spark, sf_dir):
-    days = agg_city_daily(spark, sf_dir).where("date BETWEEN '2024-01-10' AND '2024-01-16'")
+    days = group_days(spark, sf_dir, "city_id", "2024-01-10", "2024-01-16")
     return days.groupBy("city_id").agg(rounded(F.avg("avg_temp"), 2).alias("mean_temp"), F.min("temp_min").alias("min_temp"), F.max("temp_max").alias("max_temp"), rounded(F.sum("total_rain"), 2).alias("rain"), F.count_if(F.col("total_rain") > 0.5).alias("rain_days"), F.count(F.lit(1)).alias("n_days"))
 
 
@@ -128,7 +128,7 @@ def agg_period_stats(spark, sf_dir):
 def flt_dynamic_date(spark, sf_dir):
     """Seven days from the start date, the reference day where none is given."""
     nth = F.row_number().over(Window.partitionBy("city_id").orderBy("date"))
-    return agg_city_daily(spark, sf_dir).where(F.col("date") >= AS_OF[:10]).select("city_id", "date", "avg_temp", nth.alias("nth")).where("nth <= 7").drop("nth")
+    return group_days(spark, sf_dir, "city_id", AS_OF[:10]).select("city_id", "date", "avg_temp", nth.alias("nth")).where("nth <= 7").drop("nth")
 
 
 @query(FORECAST_SQL + "SELECT city_id, ts_utc[1:10] AS date, count(*) AS n_rows, min(ts_utc)[12:16] AS first_time, max(ts_utc)[12:16] AS last_time FROM f GROUP BY city_id, ts_utc[1:10]")
@@ -154,7 +154,7 @@ def top_api_latest(spark, sf_dir):
 
 @query(HOURLY_SQL + f"SELECT ward_id, strftime(hourly.ts_utc + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS local_ts, temp, humidity FROM hourly WHERE hourly.ts_utc > TIMESTAMP '{AS_OF}'")
 def flt_api_forecast(spark, sf_dir):
-    return hourly(spark, sf_dir).where(f"ts_utc > TIMESTAMP '{AS_OF}'").select("ward_id", shown(civil("ts_utc")).alias("local_ts"), "temp", "humidity")
+    return hourly(spark, sf_dir, since=NEXT_HOUR).select("ward_id", shown(civil("ts_utc")).alias("local_ts"), "temp", "humidity")
 
 
 @query("SELECT c_custkey AS ward_id, c_name AS ward_name, n_name AS district_name FROM customer JOIN nation ON n_nationkey = c_nationkey ORDER BY n_name, c_name")

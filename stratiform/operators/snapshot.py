@@ -234,10 +234,11 @@ _TWO = _daily_sql("city_id").replace("\nSELECT city_id, date::VARCHAR", "\n, day
 
 @query(_TWO + "SELECT date, round(a.avg_temp - b.avg_temp + 1e-9, 2) AS temp_delta, round(a.avg_humidity - b.avg_humidity + 1e-9, 1) AS humidity_delta, round(a.total_rain - b.total_rain + 1e-9, 2) AS rain_delta FROM days a JOIN days b USING (date) WHERE a.city_id = 0 AND b.city_id = 1")
 def join_common_dates(spark, sf_dir):
-    days = agg_city_daily(spark, sf_dir)
-    a, b = days.where("city_id = 0").alias("a"), days.where("city_id = 1").alias("b")
-    delta = lambda c, n: rounded(F.col(f"a.{c}") - F.col(f"b.{c}"), n)
-    return a.join(b, "date").select("date", delta("avg_temp", 2).alias("temp_delta"), delta("avg_humidity", 1).alias("humidity_delta"), delta("total_rain", 2).alias("rain_delta"))
+    """Two regions' days side by side: both come from one aggregate of the days, so the roll-up is made once."""
+    days = agg_city_daily(spark, sf_dir).where("city_id IN (0, 1)")
+    side = lambda c, city: F.max(F.when(F.col("city_id") == city, F.col(c)))
+    both = days.groupBy("date").agg(F.count(F.lit(1)).alias("n"), *[rounded(side(c, 0) - side(c, 1), n).alias(name) for c, n, name in (("avg_temp", 2, "temp_delta"), ("avg_humidity", 1, "humidity_delta"), ("total_rain", 2, "rain_delta"))])
+    return both.where("n = 2").drop("n")
 
 
 REGISTRY["fn_daily_delta"] = (lambda spark, sf_dir: join_common_dates(spark, sf_dir).agg(F.min_by("date", F.struct((-F.abs("temp_delta")).alias("k"), "date")).alias("date"), F.max(F.abs("temp_delta")).alias("largest")), _TWO + "SELECT arg_min(date, (-abs(d), date)) AS date, max(abs(d)) AS largest FROM (SELECT date, round(a.avg_temp - b.avg_temp + 1e-9, 2) AS d FROM days a JOIN days b USING (date) WHERE a.city_id = 0 AND b.city_id = 1)")
@@ -245,8 +246,8 @@ REGISTRY["fn_daily_delta"] = (lambda spark, sf_dir: join_common_dates(spark, sf_
 
 @query(_TWO + "SELECT date FROM days WHERE city_id = 0 INTERSECT SELECT date FROM days WHERE city_id = 1")
 def set_intersect_dates(spark, sf_dir):
-    days = agg_city_daily(spark, sf_dir)
-    return days.where("city_id = 0").select("date").intersect(days.where("city_id = 1").select("date"))
+    days = agg_city_daily(spark, sf_dir).where("city_id IN (0, 1)")
+    return days.groupBy("date").agg(F.count_distinct("city_id").alias("n")).where("n = 2").select("date")
 
 
 @query("SELECT c_custkey AS ward_id FROM customer EXCEPT ALL SELECT DISTINCT user_id FROM events")

@@ -212,7 +212,7 @@ def get_best_time(spark, sf_dir, levels=LEVELS, place=None, hours: int = 24, act
 
 @query(f"SELECT level, place_id, ts_utc, change FROM (" + forecast_sql(6) + _everywhere(REGISTRY["win_change_detect_first"][1], runs.FORECAST_SQL).replace("<= 12", "<= 6") + ")")
 def get_weather_change_alert(spark, sf_dir, levels=LEVELS, place=None, hours: int = 6):
-    return runs.first_change(runs.against_now(series(spark, sf_dir, levels, place), hours, PLACE), PLACE)
+    return runs.first_change(runs.against_now(series(spark, sf_dir, levels, place, until=NEXT_HOUR), series(spark, sf_dir, levels, place, since=NEXT_HOUR), hours, PLACE), PLACE)
 
 
 @query(forecast_sql(24) + _everywhere(REGISTRY["win_uv_windows"][1], runs.FORECAST_SQL))
@@ -252,10 +252,13 @@ def get_humidity_timeline(spark, sf_dir, levels=LEVELS, place=None, hours: int =
 @query(advice.HOURLY_SQL + advice._ALERTS_SQL + f""", leaves AS ({' UNION ALL '.join(f"SELECT ward_id, strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, '{n}' AS alert FROM hourly WHERE data_kind = 'forecast' AND hourly.ts_utc > TIMESTAMP '{AS_OF}' AND hourly.ts_utc < TIMESTAMP '{NEXT_DAY}' AND {c}" for n, c in advice.ALERTS)})
 SELECT 'district' AS level, district_id::BIGINT AS place_id, ts_utc, alert FROM found UNION ALL SELECT 'ward', ward_id, ts_utc, alert FROM leaves""")
 def get_weather_alerts(spark, sf_dir, levels=("district", "ward"), place=None):
-    """Alerts of the next day: of each leaf, and of groups by their representative leaf."""
+    """Alerts of the next day: of each leaf, of groups by their representative leaf, and of regions by those of their groups."""
+    if unknown := set(levels) - set(LEVELS):
+        raise ValueError(f"levels are {', '.join(LEVELS)}, not {', '.join(sorted(unknown))}")
     groups = advice.alerts(advice.representative_facts(spark, sf_dir)).select(F.lit("district").alias("level"), F.col("district_id").cast("long").alias("place_id"), "ts_utc", "alert")
     leaves = advice.alerts(hourly(spark, sf_dir, NEXT_HOUR, NEXT_DAY).where("data_kind = 'forecast'").withColumn("district_id", F.lit(None))).select(F.lit("ward").alias("level"), F.col("ward_id").alias("place_id"), "ts_utc", "alert")
-    found = {"district": groups, "ward": leaves}
+    regions = groups.join(F.broadcast(districts(spark, sf_dir)), F.col("place_id") == F.col("district_id")).select(F.lit("city").alias("level"), F.col("city_id").cast("long").alias("place_id"), "ts_utc", "alert").distinct()  # groups number a few dozen
+    found = {"district": groups, "ward": leaves, "city": regions}
     out = found[levels[0]]
     for level in levels[1:]:
         out = out.union(found[level])

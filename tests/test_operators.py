@@ -117,7 +117,7 @@ def test_stale_rows(spark):
 def test_rollups_scan_once_with_their_bounds(spark):
     from stratiform import catalog
 
-    for name, bound in (("agg_district_hourly", False), ("win_rain_periods", True), ("flt_future", True), ("fn_alert_rules", True), ("top_district_ranking", True), ("orch_run_aggregation", False), ("get_hourly_forecast", True), ("get_daily_forecast", True)):
+    for name, bound in (("agg_district_hourly", False), ("win_rain_periods", True), ("flt_future", True), ("fn_alert_rules", True), ("top_district_ranking", True), ("orch_run_aggregation", False), ("get_hourly_forecast", True), ("get_daily_forecast", True), ("agg_period_stats", True), ("agg_superlatives", True), ("flt_dynamic_date", True), ("flt_api_forecast", True), ("join_common_dates", False)):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         scans = [line for line in plan.splitlines() if "FileScan" in line and "events.parquet" in line]
         assert len(scans) == 1, (name, len(scans))
