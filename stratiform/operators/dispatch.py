@@ -27,13 +27,6 @@ def disp_level_dispatch(spark, sf_dir):
     return at_level(spark, sf_dir, "ward", 7).union(at_level(spark, sf_dir, "district", 3))
 
 
-@query("SELECT c_custkey AS ward_id, coalesce(n_name, 'unknown') AS place FROM customer LEFT JOIN nation ON n_nationkey = c_custkey")
-def disp_auto_resolve(spark, sf_dir):
-    """A look-up by id first; what it does not find is left to the name cascade."""
-    names = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("ward_id"), "n_name"))  # a few dozen rows
-    return wards(spark, sf_dir).join(names, "ward_id", "left").select("ward_id", F.coalesce("n_name", F.lit("unknown")).alias("place"))
-
-
 @query("SELECT c_custkey AS ward_id, c_name AS ward_name FROM customer")
 def src_ward_list(spark, sf_dir):
     return wards(spark, sf_dir).select("ward_id", "ward_name")

@@ -196,12 +196,6 @@ def loc_get_ward(spark, sf_dir):
     return wards(spark, sf_dir).where("ward_id = 42").select("ward_id", "ward_name")
 
 
-@query(f"SELECT p_partkey, p_name, {text.similarity_sql(text.trigrams_sql('p_name'), text.trigrams_sql(chr(39) + 'red widgit' + chr(39))) } AS score FROM part WHERE {text.similarity_sql(text.trigrams_sql('p_name'), text.trigrams_sql(chr(39) + 'red widgit' + chr(39)))} >= 0.5")
-def str_search_wards(spark, sf_dir):
-    score = text.similarity(text.trigrams(F.col("p_name")), text.trigrams(F.lit("red widgit")))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", score.alias("score")).where("score >= 0.5")
-
-
 @query("SELECT p_partkey, regexp_extract(p_name, '(red|blue|hot|small) (\\w+)', 2) AS entity, contains(lower(p_name), 'bolt') AS has_bolt, CASE WHEN regexp_matches(lower(p_name), 'gear|ring') THEN 'round' WHEN regexp_matches(lower(p_name), 'bolt|nut') THEN 'threaded' ELSE 'other' END AS category FROM part")
 def str_regex_entity(spark, sf_dir):
     name = F.lower("p_name")

@@ -370,19 +370,6 @@ def top_fuzzy(spark, sf_dir):
     return scored_names(spark, sf_dir).withColumn("nth", nth).where("nth <= 3").drop("nth")
 
 
-@query(f"SELECT probe, CASE WHEN max(score) >= 1 THEN 'exact' WHEN count(*) FILTER (WHERE score >= 0.5) > 1 THEN 'multiple' WHEN max(score) >= 0.5 THEN 'fuzzy' ELSE 'not_found' END AS status, CASE WHEN max(score) >= 0.5 THEN arg_min(n_name, (-score, n_name)) END AS found FROM ({_SCORED}) GROUP BY probe")
-def str_resolve_location(spark, sf_dir):
-    """Exact match first, then similar names: a status and the best name."""
-    best, several = F.max("score"), F.count_if(F.col("score") >= 0.5)
-    status = F.when(best >= 1, "exact").when(several > 1, "multiple").when(best >= 0.5, "fuzzy").otherwise("not_found")
-    return scored_names(spark, sf_dir).groupBy("probe").agg(status.alias("status"), F.when(best >= 0.5, F.min_by("n_name", F.struct((-F.col("score")).alias("s"), "n_name"))).alias("found"))
-
-
-@query("SELECT c_custkey AS ward_id, regexp_replace(lower(c_name), '^(customer#|phuong |xa |quan |huyen )', '') AS core FROM customer")
-def str_prefix_strip(spark, sf_dir):
-    return wards(spark, sf_dir).select("ward_id", F.regexp_replace(F.lower("ward_name"), "^(customer#|phuong |xa |quan |huyen )", "").alias("core"))
-
-
 @query("SELECT conv_id, turn, sha256(concat_ws('|', conv_id::VARCHAR, turn::VARCHAR, left(sha256(text), 16), role, 'v1'))[1:32] AS key FROM conversations")
 def str_hash_key(spark, sf_dir):
     key = F.sha2(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.substring(F.sha2("text", 256), 1, 16), "role", F.lit("v1")), 256)

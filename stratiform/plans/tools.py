@@ -30,50 +30,6 @@ def _by_place(*order) -> Window:
     return Window.partitionBy(*PLACE).orderBy(*order)
 
 
-# ---------------------------------------------------------------- names
-
-
-def resolve(spark, sf_dir, hints: DataFrame, limit: float = 0.5) -> DataFrame:
-    """(hint, status, level, place_id, score) of each different hint: the place of that name, or of the most similar one.
-
-    Exact names count first, then similar ones from `limit` on; districts come before wards and cities. Several places
-    that are equally good give the status `multiple` and no place. Names meet by their trigrams, so no pair is formed
-    that shares none.
-    """
-    named = [(districts(spark, sf_dir).select(F.lit("district").alias("level"), F.col("district_id").cast("long").alias("place_id"), F.col("district_name").alias("name")), 0),
-             (wards(spark, sf_dir).select(F.lit("ward").alias("level"), "ward_id", "ward_name"), 1), (cities(spark, sf_dir).select(F.lit("city").alias("level"), F.col("city_id").cast("long"), "city_name"), 2)]
-    places = named[0][0].union(named[1][0]).union(named[2][0]).withColumn("grams", text.trigrams(F.col("name")))
-    asked = hints.select("hint").where("hint IS NOT NULL").distinct().withColumn("wanted", text.trigrams(F.col("hint")))
-    by_gram = places.select("level", "place_id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    shared = asked.select("hint", F.size("wanted").alias("m"), F.explode("wanted").alias("gram")).join(by_gram, "gram").groupBy("hint", "level", "place_id").agg(F.count(F.lit(1)).alias("both"), F.first("m").alias("m"), F.first("n").alias("n"))
-    scored = shared.withColumn("score", F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).where(F.col("score") >= limit)
-    rank = F.when(F.col("level") == "district", 0).when(F.col("level") == "ward", 1).otherwise(2)
-    best = F.struct((-F.col("score")).alias("s"), rank.alias("r"))
-    top = scored.groupBy("hint").agg(F.min(best).alias("top"))
-    first = scored.join(top, "hint").where((-F.col("score") == F.col("top.s")) & (rank == F.col("top.r"))).groupBy("hint").agg(F.count(F.lit(1)).alias("n"), F.min("level").alias("level"), F.min("place_id").alias("place_id"), F.max("score").alias("score"))
-    status = F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "multiple").when(F.col("score") >= 1, "exact").otherwise("fuzzy")
-    answer = asked.select("hint").join(first, "hint", "left").withColumn("status", status)
-    alone = F.col("status").isin("exact", "fuzzy")
-    return answer.select("hint", "status", F.when(alone, F.col("level")).alias("level"), F.when(alone, F.col("place_id")).alias("place_id"), F.round("score", 9).alias("score"))
-
-
-_NAMES_SQL = "(SELECT 'district' AS level, n_nationkey::BIGINT AS place_id, n_name AS name FROM nation UNION ALL SELECT 'ward', c_custkey, c_name FROM customer UNION ALL SELECT 'city', r_regionkey, r_name FROM region)"
-
-
-@query(f"""WITH asked AS (SELECT DISTINCT hint FROM (SELECT n_name AS hint FROM nation UNION ALL SELECT left(n_name, length(n_name) - 1) FROM nation UNION ALL SELECT r_name || 'x' FROM region UNION ALL SELECT 'nowhere at all')),
-scored AS (SELECT hint, level, place_id, {text.similarity_sql(text.trigrams_sql('hint'), text.trigrams_sql('name'))} AS score, CASE level WHEN 'district' THEN 0 WHEN 'ward' THEN 1 ELSE 2 END AS r FROM asked, {_NAMES_SQL}),
-best AS (SELECT * FROM scored WHERE score >= 0.5 QUALIFY rank() OVER (PARTITION BY hint ORDER BY score DESC, r) = 1),
-found AS (SELECT hint, count(*) AS n, min(level) AS level, min(place_id) AS place_id, max(score) AS score FROM best GROUP BY hint)
-SELECT hint, CASE WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'multiple' WHEN score >= 1 THEN 'exact' ELSE 'fuzzy' END AS status, CASE WHEN n = 1 THEN level END AS level, CASE WHEN n = 1 THEN place_id END AS place_id, round(score, 9) AS score
-FROM asked LEFT JOIN found USING (hint)""")
-def resolve_location(spark, sf_dir):
-    """All names of groups, the same cut short, misspelt names of regions and one of no place."""
-    names, regions = districts(spark, sf_dir).select(F.col("district_name").alias("hint")), cities(spark, sf_dir)
-    cut = names.select(F.expr("left(hint, length(hint) - 1)").alias("hint"))
-    wrong = regions.select(F.concat("city_name", F.lit("x")).alias("hint"))
-    return resolve(spark, sf_dir, names.union(cut).union(wrong).union(spark.range(1).select(F.lit("nowhere at all").alias("hint"))))
-
-
 # ---------------------------------------------------------------- now
 
 

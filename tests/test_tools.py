@@ -44,11 +44,14 @@ def test_a_place_is_not_compared_with_itself(spark):
     assert [r["second"] for r in tools.compare_weather(spark, SF, pairs).collect()] == [now["second"]]
 
 
-def test_names_resolve_by_level_and_similarity(spark):
-    hints = spark.createDataFrame([("NATION_3",), ("nation 3",), ("Customer#000000042",), ("NATION_",), ("",), (None,), ("qqq",)], "hint string")
-    got = {r["hint"]: (r["status"], r["level"], r["place_id"]) for r in tools.resolve(spark, SF, hints).collect()}
-    assert got["NATION_3"] == ("exact", "district", 3) and got["qqq"] == ("not_found", None, None) and None not in got
-    assert got["Customer#000000042"] == ("exact", "ward", 42) and got["NATION_"][0] in ("multiple", "fuzzy")
+def test_alerts_of_every_level(spark):
+    found = {r["level"] for r in tools.get_weather_alerts(spark, SF, ("city", "district", "ward")).collect()}
+    assert found == {"city", "district", "ward"}
+    regions = {(r["place_id"], r["ts_utc"], r["alert"]) for r in tools.get_weather_alerts(spark, SF, levels=("city",)).collect()}
+    of = {r["district_id"]: r["city_id"] for r in tools.districts(spark, SF).collect()}
+    assert regions == {(of[r["place_id"]], r["ts_utc"], r["alert"]) for r in tools.get_weather_alerts(spark, SF, levels=("district",)).collect()}
+    with pytest.raises(ValueError):
+        tools.get_weather_alerts(spark, SF, levels=("village",))
 
 
 def test_damp_spells_of_spring(spark):
