@@ -14,6 +14,7 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     spark = SparkSession.builder.master(master).appName("stratiform").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
