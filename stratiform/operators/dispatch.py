@@ -92,28 +92,6 @@ def dt_parse_multi(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.to_date(parsed).cast("string").alias("date"))
 
 
-@query(_ROWS + "SELECT doc_id, round(exp(conf) / (exp(conf) + exp(1 - conf) + exp(0.0)) + 1e-9, 6) AS p FROM rows")
-def fn_softmax_logits(spark, sf_dir):
-    logits = F.array(F.col("conf"), 1 - F.col("conf"), F.lit(0.0))
-    total = F.aggregate(F.transform(logits, F.exp), F.lit(0.0), lambda a, b: a + b)
-    return rows(spark, sf_dir).select("doc_id", rounded(F.exp("conf") / total, 6).alias("p"))
-
-
-_C = "greatest(least(conf, 0.99), 0.01)"
-_P = f"greatest(least(1 / (1 + exp(-ln({_C} / (1 - {_C})) / t)), 1 - 1e-12), 1e-12)"
-
-
-@query(_ROWS + f", g AS (SELECT t, avg(-CASE WHEN ok THEN ln({_P}) ELSE ln(1 - {_P}) END) AS nll FROM rows, (SELECT i / 10.0::DOUBLE AS t FROM range(1, 101) AS r(i)) GROUP BY t) SELECT arg_min(t, (round(nll, 9), t)) AS temperature, round(min(nll) + 1e-9, 5) AS nll FROM g")
-def fn_fit_temperature(spark, sf_dir):
-    """The temperature of least negative log likelihood on a grid of 100: rows are counted by confidence first."""
-    counts = rows(spark, sf_dir).groupBy("conf", "ok").agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: i / F.lit(10.0))).alias("t"))
-    c = F.greatest(F.least(F.col("conf"), F.lit(0.99)), F.lit(0.01))
-    p = F.greatest(F.least(1 / (1 + F.exp(-F.log(c / (1 - c)) / F.col("t"))), F.lit(1 - 1e-12)), F.lit(1e-12))
-    nll = grid.groupBy("t").agg((F.sum(-F.when(F.col("ok"), F.log(p)).otherwise(F.log(1 - p)) * F.col("n")) / F.sum("n")).alias("nll"))
-    return nll.agg(F.min_by("t", F.struct(F.round("nll", 9).alias("l"), "t")).alias("temperature"), rounded(F.min("nll"), 5).alias("nll"))
-
-
 @query(_ROWS + "SELECT doc_id, CASE WHEN intent = 'en' THEN NULL ELSE score END AS faithfulness, score AS relevance FROM rows")
 def fn_score_histogram_gate(spark, sf_dir):
     """Small talk, for which one language stands here, has no faithfulness."""

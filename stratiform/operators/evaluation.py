@@ -225,11 +225,6 @@ def fn_temperature_scale(spark, sf_dir):
     return rows(spark, sf_dir).groupBy("intent").agg(rounded(F.avg(stats.scaled(F.col("conf"), 1.5)), 4).alias("mean_scaled"))
 
 
-@query(_ROWS + "SELECT doc_id, CASE WHEN conf >= 0.74 THEN 'routed' WHEN conf >= 0.6 THEN 'low_confidence' ELSE 'fallback' END AS route FROM rows")
-def fn_route_gate(spark, sf_dir):
-    return rows(spark, sf_dir).select("doc_id", F.when(F.col("conf") >= 0.74, "routed").when(F.col("conf") >= 0.6, "low_confidence").otherwise("fallback").alias("route"))
-
-
 _PAIRS = _ROWS + """, p AS (SELECT a.doc_id // 2 AS k, a.ok AS a_ok, b.ok AS b_ok, a.score AS a_score, b.score AS b_score FROM rows a JOIN rows b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0)
 """
 
