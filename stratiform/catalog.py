@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratiform.operators import advice, calibration, dispatch, evaluation, location, materialise, rollup, runs, scalars, snapshot  # noqa: F401
+from stratiform.operators import advice, calibration, dispatch, evaluation, location, materialise, rollup, runs, scalars, snapshot, store, stored_json  # noqa: F401
 from stratiform.plans import tools  # noqa: F401
 from stratiform.registry import REGISTRY
 from stratiform.streaming import runs as streams  # noqa: F401

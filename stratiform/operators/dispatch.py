@@ -98,22 +98,6 @@ def fn_score_histogram_gate(spark, sf_dir):
     return rows(spark, sf_dir).select("doc_id", F.when(F.col("intent") != "en", F.col("score")).alias("faithfulness"), F.col("score").alias("relevance"))
 
 
-@query("SELECT c.conv_id, c.turn, p.role IS NOT NULL AS cached FROM conversations c LEFT JOIN (SELECT DISTINCT conv_id, role FROM conversations WHERE turn = 0) p ON p.conv_id = c.conv_id AND p.role = c.role")
-def join_cache_lookup(spark, sf_dir):
-    """Which rows a cache, keyed by two columns, already holds."""
-    all_rows = table(spark, sf_dir, "conversations")
-    cache = all_rows.where("turn = 0").select("conv_id", "role").distinct().withColumn("cached", F.lit(True))
-    return all_rows.join(cache, ["conv_id", "role"], "left").select("conv_id", "turn", F.coalesce("cached", F.lit(False)).alias("cached"))
-
-
-@query("SELECT conv_id, turn, role AS name FROM conversations WHERE role = 'assistant'")
-def js_extract_tool_calls(spark, sf_dir):
-    """Messages as JSON, exploded and filtered."""
-    packed = F.to_json(F.array(F.struct("turn", F.col("role").alias("name"))))
-    calls = F.explode(F.from_json(packed, "array<struct<turn:bigint,name:string>>")).alias("call")
-    return table(spark, sf_dir, "conversations").select("conv_id", calls).where("call.name = 'assistant'").select("conv_id", "call.turn", "call.name")
-
-
 # Activity and its good temperatures (null: none are named).
 TEMPLATES = (
     ("chay_bo", 15, 25), ("dua_dieu", 20, 30), ("picnic", 22, 28), ("bike", 18, 28), ("chup_anh", None, None), ("tap_the_duc", 18, 25), ("du_lich", 20, 32), ("cam_trai", 18, 30),

@@ -404,24 +404,6 @@ def arr_counter(spark, sf_dir):
     return packed.select(F.explode("m").alias("event_type", "n"))
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
-def js_parse_payload(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
-
-
-@query("SELECT event_id, greatest(least(json_extract(props, '$.k')::INT / 100.0::DOUBLE, 0.99), 0.01)::DOUBLE AS conf FROM events")
-def js_conf_from_raw(spark, sf_dir):
-    raw = F.get_json_object(F.regexp_extract(F.concat(F.lit("noise "), "props"), r"(\{[^{}]*\})", 1), "$.k").cast("double") / 100
-    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.least(F.coalesce(raw, F.lit(0.9)), F.lit(0.99)), F.lit(0.01)).alias("conf"))
-
-
-@query("SELECT conv_id, turn, role FROM conversations")
-def js_messages(spark, sf_dir):
-    """Messages to JSON and back."""
-    packed = F.to_json(F.array(F.struct("turn", "role")))
-    return table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.from_json(packed, "array<struct<turn:bigint,role:string>>")).alias("m")).select("conv_id", "m.turn", "m.role")
-
-
 # ---------------------------------------------------------------- dates
 
 

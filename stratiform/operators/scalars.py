@@ -208,15 +208,6 @@ def str_strip_think(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(wrapped, r"(?s)<think>.*?</think>\s*", "").alias("answer"))
 
 
-@query("SELECT p_partkey, (p_size % 5 + 1)::INT AS score, CASE WHEN p_size % 5 + 1 >= 4 THEN 'pass' ELSE 'fail' END AS verdict FROM part")
-def js_parse_judge(spark, sf_dir):
-    """A score from fenced JSON; other values than 1 to 5 give null."""
-    raw = F.concat(F.lit("```json\n{\"score\": "), (F.col("p_size") % 5 + 1).cast("string"), F.lit("}\n```"))
-    score = F.from_json(F.regexp_replace(raw, "```(json)?", ""), "score INT")["score"]
-    score = F.when(score.between(1, 5), score)
-    return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), F.when(score >= 4, "pass").otherwise("fail").alias("verdict"))
-
-
 @query("SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
 def js_parse_router(spark, sf_dir):
     """JSON as it is, else the first object in the text."""

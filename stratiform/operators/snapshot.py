@@ -317,12 +317,6 @@ def ups_do_nothing(spark, sf_dir):
     return old.union(new.join(old, "k", "left_anti").select("k", "name"))
 
 
-@query("SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS role, arg_max(left(text, 200), turn) AS text FROM conversations GROUP BY conv_id")
-def ups_conversation(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 200).alias("text"))
-    return latest_of(rows, ["conv_id"], ["turn"]).withColumnRenamed("turn", "last_turn")
-
-
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
 def win_last_k_turns(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))

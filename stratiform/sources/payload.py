@@ -5,44 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_READINGS = {
-    "dt": "BIGINT", "temp": "DOUBLE", "humidity": "INT", "dew_point": "DOUBLE", "pressure": "INT", "clouds": "INT", "wind_deg": "INT", "wind_speed": "DOUBLE", "wind_gust": "DOUBLE", "visibility": "INT", "pop": "DOUBLE", "uvi": "DOUBLE",
-    "rain": "STRUCT<`1h`: DOUBLE>", "weather": "ARRAY<STRUCT<main: STRING, description: STRING>>",
-}
-_HOUR_TYPE = "STRUCT<" + ", ".join(f"{name}: {kind}" for name, kind in _READINGS.items()) + ">"
+#: Readings of an hour in a forecast payload: name, path, type.
+_READINGS = (
+    ("temp", "$.temp", "double"), ("humidity", "$.humidity", "int"), ("dew_point", "$.dew_point", "double"), ("pressure", "$.pressure", "int"), ("clouds", "$.clouds", "int"), ("wind_deg", "$.wind_deg", "int"),
+    ("wind_speed", "$.wind_speed", "double"), ("wind_gust", "$.wind_gust", "double"), ("visibility", "$.visibility", "int"), ("pop", "$.pop", "double"), ("uvi", "$.uvi", "double"), ("rain_1h", "$.rain['1h']", "double"), ("weather_main", "$.weather[0].main", "string"),
+)
+
+
+def document(text: str | Column) -> Column:
+    """A text as a VARIANT, null where it is no JSON: fields are then taken by path and type, so a payload that gains, loses or
+    retypes fields needs no new schema."""
+    return F.try_parse_json(text)
+
+
+def shape(df: DataFrame, text_col: str) -> DataFrame:
+    """The one schema that all documents of a column fit, and how many texts are none: (schema, n, n_broken)."""
+    parsed = df.select(F.col(text_col).isNotNull().alias("there"), document(text_col).alias("v"))
+    return parsed.agg(F.schema_of_variant_agg("v").alias("schema"), F.count("v").alias("n"), F.count_if(F.col("there") & F.col("v").isNull()).alias("n_broken"))
 
 
 def hours(payloads: DataFrame, text_col: str = "payload", keep: tuple[str, ...] = ("ward_id",)) -> DataFrame:
     """(keep, data_kind, ts_utc, readings) of the current and hourly parts of each payload.
 
-    Absent parts and readings are null or missing, absent rain is 0, an empty list of conditions gives none, and a text that is
-    no JSON gives no rows.
+    Absent parts and readings, and values that do not fit, are null or missing, absent rain is 0, an empty list of conditions gives
+    none, and a text that is no JSON gives no rows.
     """
-    parsed = payloads.select(*keep, F.from_json(text_col, f"current {_HOUR_TYPE}, hourly ARRAY<{_HOUR_TYPE}>").alias("p"))
+    parsed = payloads.select(*keep, document(text_col).alias("v"))
+    part = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    current, hourly = part("v", "$.current", "variant"), part("v", "$.hourly", "array<variant>")
     tagged = F.concat(
-        F.when(F.col("p.current").isNotNull(), F.array(F.struct(F.lit("current").alias("kind"), F.col("p.current").alias("h")))).otherwise(F.array()),
-        F.transform(F.coalesce("p.hourly", F.array()), lambda h: F.struct(F.lit("forecast").alias("kind"), h.alias("h"))),
+        F.when(current.isNotNull(), F.array(F.struct(F.lit("current").alias("kind"), current.alias("h")))).otherwise(F.array()),
+        F.transform(F.coalesce(hourly, F.array().cast("array<variant>")), lambda h: F.struct(F.lit("forecast").alias("kind"), h.alias("h"))),
     )
-    rows = parsed.select(*keep, F.explode(tagged).alias("r")).where("r.h.dt IS NOT NULL")
-    plain = ("temp", "humidity", "dew_point", "pressure", "clouds", "wind_deg", "wind_speed", "wind_gust", "visibility", "pop", "uvi")
-    return rows.select(*keep, F.col("r.kind").alias("data_kind"), F.timestamp_seconds("r.h.dt").alias("ts_utc"), *[F.col(f"r.h.{c}").alias(c) for c in plain], F.coalesce(F.col("r.h.rain")["1h"], F.lit(0.0)).alias("rain_1h"), F.get("r.h.weather", F.lit(0))["main"].alias("weather_main"))
-
-
-_CALL = "STRUCT<id: STRING, name: STRING, args: MAP<STRING, STRING>>"
+    rows = parsed.select(*keep, F.explode(tagged).alias("r")).withColumn("dt", part("r.h", "$.dt", "bigint")).where("dt IS NOT NULL")
+    readings = {name: part("r.h", path, kind) for name, path, kind in _READINGS}
+    readings["rain_1h"] = F.coalesce(readings["rain_1h"], F.lit(0.0))
+    return rows.select(*keep, F.col("r.kind").alias("data_kind"), F.timestamp_seconds("dt").alias("ts_utc"), *[value.alias(name) for name, value in readings.items()])
 
 
 def tool_calls(answers: DataFrame, text_col: str = "messages", keep: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """(keep, place, id, name, args, output, success) of each call in stored messages, in order.
 
     A call is a part of an assistant's message; its output is the tool message with its id, and a call without one, or
-    whose output says `error`, has not succeeded.
+    whose output says `error`, has not succeeded. A text that is no list of messages has no calls.
     """
-    parsed = answers.select(*keep, F.from_json(text_col, f"ARRAY<STRUCT<role: STRING, content: STRING, tool_call_id: STRING, tool_calls: ARRAY<{_CALL}>>>").alias("m"))
-    calls = F.flatten(F.transform(F.filter("m", lambda m: m["tool_calls"].isNotNull()), lambda m: m["tool_calls"]))
-    outputs = F.map_from_entries(F.transform(F.filter("m", lambda m: (m["role"] == "tool") & m["tool_call_id"].isNotNull()), lambda m: F.struct(m["tool_call_id"], m["content"])))
+    part = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    parsed = answers.select(*keep, part(document(text_col), "$", "array<variant>").alias("m"))
+    calls = F.flatten(F.transform("m", lambda m: F.coalesce(part(m, "$.tool_calls", "array<variant>"), F.array().cast("array<variant>"))))
+    said = F.filter("m", lambda m: (part(m, "$.role") == "tool") & part(m, "$.tool_call_id").isNotNull())
+    outputs = F.map_from_entries(F.transform(said, lambda m: F.struct(part(m, "$.tool_call_id"), part(m, "$.content"))))
     rows = parsed.withColumn("o", outputs).select(*keep, "o", F.posexplode(calls).alias("place", "c"))
-    output = F.element_at("o", F.col("c.id"))
-    return rows.select(*keep, "place", "c.id", "c.name", "c.args", output.alias("output"), F.coalesce(~F.lower(output).contains("error"), F.lit(False)).alias("success"))
+    output = F.element_at("o", part("c", "$.id"))
+    return rows.select(*keep, "place", part("c", "$.id").alias("id"), part("c", "$.name").alias("name"), part("c", "$.args", "map<string,string>").alias("args"), output.alias("output"), F.coalesce(~F.lower(output).contains("error"), F.lit(False)).alias("success"))
 
 
 def first_object(text: Column) -> Column:
