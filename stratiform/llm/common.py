@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import inspect
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,34 @@ def release(spark: SparkSession) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def own_names(counts: bool = False) -> Callable:
+    """For a stage (df, ..., id_col, text_col) that gives back the columns of `df`: it gets them under plain names, so that no column of
+    the caller's can be taken for one of the stage's own, whatever it is called. With `counts` the column `n_chars`, if there is
+    one, counts the characters of the text that the stage leaves."""
+
+    def around(stage: Callable) -> Callable:
+        shape = inspect.signature(stage)
+
+        @functools.wraps(stage)
+        def run(*args, **named) -> DataFrame:
+            bound = shape.bind(*args, **named)
+            bound.apply_defaults()
+            given = bound.arguments
+            first = next(iter(given))
+            df = given[first]
+            plain = {name: f"own_{i}" for i, name in enumerate(df.columns)}
+            text = plain[given["text_col"]]
+            given |= {first: df.toDF(*plain.values()), "id_col": plain[given["id_col"]], "text_col": text}
+            out = stage(*bound.args, **bound.kwargs).select(*plain.values())
+            if counts and "n_chars" in plain:
+                out = out.withColumn(plain["n_chars"], F.length(text).cast(df.schema["n_chars"].dataType))
+            return out.toDF(*df.columns)
+
+        return run
+
+    return around
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying the text; a null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):

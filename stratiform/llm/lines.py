@@ -17,7 +17,7 @@ is below 10^-12. All joins are with partial aggregates (the count or the first p
 of the corpus shares is combined before it is dealt.
 
 Defined results: blank lines count as lines, but a window of blank lines only is no match; a null text stays null;
-ids may be of any type that has an order; rows with the same id are told apart by their text, and rows equal in both
+ids may be of any type that has an order; other columns may have any names; rows with the same id are told apart by their text, and rows equal in both
 are one place in the corpus order, so they stay or lose lines alike; a null id comes last; other columns are not
 touched; an empty table gives an empty result.
 """
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.common import utf8, written
+from stratiform.llm.common import own_names, utf8, written
 
 #: Lines of the shortest run that counts as repeated, and bytes from which fewer lines count too.
 RUN, LONG = 3, 50
@@ -113,6 +113,7 @@ def repeats(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
     return matches.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "size")).alias("matches"))
 
 
+@own_names(counts=True)
 def dedup(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` without the lines of repeated runs; `n_chars`, if it is there, counts the kept characters. All rows stay."""
     return _cut(df, run, id_col, text_col).drop("__n_lines", "__n_removed")
@@ -145,8 +146,6 @@ def _cut(df: DataFrame, run: int, id_col: str, text_col: str) -> DataFrame:
     others = [f for f in df.schema if f.name != text_col]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in others]
     out = both.select(*[f.name for f in others], text_col, "__matches").mapInArrow(cut, ", ".join([*fields, "__kept string, __n_lines long, __n_removed long"])).withColumnRenamed("__kept", text_col)
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns, "__n_lines", "__n_removed")
 
 

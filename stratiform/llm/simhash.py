@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.common import written
+from stratiform.llm.common import own_names, written
 from stratiform.llm.graph import components, keep_one, labelled, place
 
 SHINGLE_WORDS, SEED, MAX_BITS = 4, 42, 4
@@ -190,6 +190,7 @@ def near_duplicates(df: DataFrame, bits: int = MAX_BITS, id_col: str = "doc_id",
     return _found(df, bits, id_col, text_col).select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
 
 
+@own_names()
 def dedup(df: DataFrame, bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `df` for each component: the one of least id, null last, and of rows with that id one by its text."""
     return keep_one(df, _found(df, bits, id_col, text_col), id_col, text_col)

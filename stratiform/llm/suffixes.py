@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from stratiform.llm.common import grouped, planes, starts_of, unplanes, utf8, written
+from stratiform.llm.common import grouped, own_names, planes, starts_of, unplanes, utf8, written
 from stratiform.llm.parsing import gram_hash, mix, phrases, string_hash, words_at
 
 SPAN = 50
@@ -348,6 +348,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
+@own_names(counts=True)
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with the kept text; `n_chars`, if it is there, counts the kept characters. All rows stay."""
     found = spans(df, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
@@ -365,6 +366,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     others = [c for c in df.columns if c != text_col]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text_col]
     cut = both.select(*others, text_col, "__spans").mapInArrow(run, ", ".join([*fields, "__kept string"])).withColumnRenamed("__kept", text_col)
-    if "n_chars" in df.columns:
-        cut = cut.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
     return cut.select(df.columns)

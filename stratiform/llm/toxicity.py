@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.common import written
+from stratiform.llm.common import own_names, written
 
 PER_CLASS = (4000, 4000)
 #: Standard errors taken off a term's log rate ratio, and the relevance that each unit above 0 adds.
@@ -367,5 +367,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not predicted toxic."""
-    toxic = scores(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
-    return docs.join(toxic, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tag")), "left_anti")
+    toxic = scores(docs.select(id_col, text_col), labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
+    return _without(docs, toxic, id_col, text_col)
+
+
+@own_names()
+def _without(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose id and text are not in `found` (__id, __tag)."""
+    return df.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__tag")), "left_anti")
