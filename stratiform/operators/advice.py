@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -278,15 +279,43 @@ def fn_activity_verdict(spark, sf_dir):
 
 
 # Fixed values.
-#: Clothing: an item and its condition.
+#: Clothing: items and notes with their conditions, in the order in which they are told. `wind` is the wind that counts.
 CLOTHING = (
-    ("Áo phao/áo khoác dày", "temp < 10"), ("Khăn quàng cổ", "temp < 10"), ("Áo khoác dày", "temp >= 10 AND temp < 15"), ("Áo len", "temp >= 10 AND temp < 15"), ("Áo khoác nhẹ", "temp >= 15 AND temp < 20"),
-    ("Áo dài tay", "temp >= 15 AND temp < 20"), ("Áo thun dài tay hoặc ngắn tay", "temp >= 20 AND temp < 25"), ("Áo mỏng thoáng", "temp >= 25 AND temp < 32"), ("Mũ chống nắng", "temp >= 25 AND temp < 32"),
-    ("Áo mỏng thoáng mát nhất", "temp >= 32"), ("Kính râm", "temp >= 32 OR uvi >= 8"), ("Ô/áo mưa", f"pop > 0.5 OR weather_main IN {_WET}"), ("Ô gấp nhỏ", f"pop > 0.3 AND pop <= 0.5 AND weather_main NOT IN {_WET}"),
-    ("Kem chống nắng SPF50+", "uvi >= 8"), ("Kem chống nắng SPF30+", "uvi >= 5 AND uvi < 8"),
+    ("Áo phao/áo khoác dày", "temp < 10"), ("Khăn quàng cổ", "temp < 10"), ("Găng tay", "temp < 10"), ("Mũ len", "temp < 10"),
+    ("Áo khoác dày", "temp >= 10 AND temp < 15"), ("Áo len", "temp >= 10 AND temp < 15"), ("Quần dài", "temp >= 10 AND temp < 15"),
+    ("Áo khoác nhẹ", "temp >= 15 AND temp < 20"), ("Áo dài tay", "temp >= 15 AND temp < 20"),
+    ("Áo thun dài tay hoặc ngắn tay", "temp >= 20 AND temp < 25"), ("Quần dài hoặc short", "temp >= 20 AND temp < 25"),
+    ("Áo mỏng thoáng", "temp >= 25 AND temp < 32"), ("Quần short", "temp >= 25 AND temp < 32"), ("Mũ chống nắng", "temp >= 25 AND temp < 32"),
+    ("Áo mỏng thoáng mát nhất", "temp >= 32"), ("Mũ rộng vành", "temp >= 32"), ("Kính râm", "temp >= 32"),
+    ("Ô/áo mưa", "pop > 0.5 OR wet"), ("Ô gấp nhỏ", "pop > 0.3 AND NOT (pop > 0.5 OR wet)"),
+    ("Kem chống nắng SPF50+", "uvi >= 8"), ("Kính râm", "uvi >= 8 AND temp < 32"), ("Kem chống nắng SPF30+", "uvi >= 5 AND uvi < 8"),
 )
-def clothing() -> Column:
-    return F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in CLOTHING])), "; ")
+CLOTHING_NOTES = (
+    ("Rét đậm - mặc nhiều lớp, giữ ấm cổ và tay", "temp < 10"), ("Lạnh - nên mặc áo khoác dày", "temp >= 10 AND temp < 15"), ("Se lạnh - áo khoác nhẹ là đủ", "temp >= 15 AND temp < 20"),
+    ("Nóng - chọn vải thoáng mát", "temp >= 25 AND temp < 32"), ("Rất nóng - hạn chế ra ngoài, uống nhiều nước", "temp >= 32"),
+    ("Có mưa - nhớ mang ô", "pop > 0.5 OR wet"), ("Có thể mưa - mang ô phòng", "pop > 0.3 AND NOT (pop > 0.5 OR wet)"), ("Nồm ẩm - tránh vải cotton, chọn vải nhanh khô", "humidity > 90 AND temp > 20"),
+    ("UV rất cao - bảo vệ da", "uvi >= 8"), ("Gió mạnh - tránh áo rộng, chọn áo sát người", "wind > 8"),
+)
+#: What stands for a reading that is missing.
+_WORN = {"pop": "coalesce(pop, 0)", "uvi": "coalesce(uvi, 0)", "humidity": "coalesce(humidity, 50)", "wet": f"coalesce(weather_main IN {_WET}, false)"}
+
+
+def _told(rules, wind: str) -> list[tuple[str, str]]:
+    """Conditions by text, over the readings as they stand, missing ones replaced; `wind` is the wind that counts, as SQL."""
+    filled = _WORN | {"wind": wind}
+    return [(text, re.sub(r"\b(pop|uvi|humidity|wet|wind)\b", lambda m: filled[m[0]], rule)) for text, rule in rules]
+
+
+def clothing(rules=None, wind: str = "coalesce(wind_speed, 0)") -> Column:
+    """The items, or with CLOTHING_NOTES the notes, joined; null where there is no temperature."""
+    found = F.array_join(F.array_compact(F.array(*[F.when(F.expr(c), n) for n, c in _told(rules or CLOTHING, wind)])), "; ")
+    return F.when(F.col("temp").isNotNull(), found)
+
+
+def clothing_sql(rules=None, wind: str = "coalesce(wind_speed, 0)") -> str:
+    return "CASE WHEN temp IS NOT NULL THEN array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _told(rules or CLOTHING, wind)) + "], lambda x: x IS NOT NULL), '; ') END"
 
 
-_rowwise("fn_clothing", "What to wear, joined.", {"items": (clothing, "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in CLOTHING) + "], lambda x: x IS NOT NULL), '; ')")})
+#: Gusts count where there is no more than advice for a place.
+GUSTS = "greatest(coalesce(wind_speed, 0), coalesce(wind_gust, 0))"
+_rowwise("fn_clothing", "What to wear and what to mind, joined.", {"items": (clothing, clothing_sql()), "notes": (lambda: clothing(CLOTHING_NOTES), clothing_sql(CLOTHING_NOTES))})

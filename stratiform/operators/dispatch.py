@@ -6,27 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.operators.evaluation import _ROWS, rows
-from stratiform.operators.rollup import _hourly_sql, agg_city_hourly, agg_district_hourly
 from stratiform.registry import query
 from stratiform.sources.roles import AS_OF, HOURLY_SQL, hourly, rounded, shown, table, wards
 
 
-def at_level(spark, sf_dir, level: str, place: int) -> DataFrame:
-    """The hourly series of a leaf, group or region under common names."""
-    if level == "ward":
-        return hourly(spark, sf_dir).where(F.col("ward_id") == place).select(shown("ts_utc").alias("ts_utc"), rounded(F.col("temp"), 2).alias("temp"), "weather_main", F.lit(level).alias("level"))
-    source, key = (agg_district_hourly, "district_id") if level == "district" else (agg_city_hourly, "city_id")
-    return source(spark, sf_dir).where(F.col(key) == place).select("ts_utc", F.col("avg_temp").alias("temp"), "weather_main", F.lit(level).alias("level"))
-
-
-_DISTRICT = _hourly_sql("district_id").replace("\nSELECT district_id, strftime", "\n, r AS (SELECT district_id, strftime", 1) + ")\n"
-
-
-@query(_DISTRICT + "SELECT strftime(ts_utc, '%Y-%m-%d %H:%M:%S') AS ts_utc, round(temp + 1e-9, 2) AS temp, weather_main, 'ward' AS level FROM hourly WHERE ward_id = 7 UNION ALL SELECT ts_utc, avg_temp, weather_main, 'district' FROM r WHERE district_id = 3")
-def disp_level_dispatch(spark, sf_dir):
-    return at_level(spark, sf_dir, "ward", 7).union(at_level(spark, sf_dir, "district", 3))
-
-
 @query("SELECT c_custkey AS ward_id, c_name AS ward_name FROM customer")
 def src_ward_list(spark, sf_dir):
     return wards(spark, sf_dir).select("ward_id", "ward_name")
@@ -35,8 +18,7 @@ def src_ward_list(spark, sf_dir):
 @query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
 def src_table_scan(spark, sf_dir):
     """A parameterised SQL query over a scan."""
-    table(spark, sf_dir, "part").createOrReplaceTempView("stratiform_part")
-    return spark.sql("SELECT p_partkey, p_name, p_size FROM stratiform_part WHERE p_size > :least", args={"least": 10})
+    return spark.sql("SELECT p_partkey, p_name, p_size FROM {part} WHERE p_size > :least", args={"least": 10}, part=table(spark, sf_dir, "part"))
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1")
@@ -44,22 +26,6 @@ def src_query_one(spark, sf_dir):
     return table(spark, sf_dir, "part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(1).select("p_partkey", "p_name")
 
 
-@query("SELECT p_partkey, len(list_intersect(string_split(p_name, ' '), ['red', 'bolt', 'gear'])) > 0 AS hit FROM part")
-def set_intersect_tools(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.arrays_overlap(F.split("p_name", " "), F.array(*map(F.lit, ("red", "bolt", "gear")))).alias("hit"))
-
-
-@query("SELECT p_partkey, CASE WHEN lower(p_type) LIKE '%steel%' THEN 'steel' WHEN lower(p_type) LIKE '%brass%' THEN 'brass' ELSE 'other' END AS category, contains(lower(p_name), lower('RED')) AS has_red FROM part")
-def str_error_category(spark, sf_dir):
-    kind = F.lower("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(kind.contains("steel"), "steel").when(kind.contains("brass"), "brass").otherwise("other").alias("category"), F.lower("p_name").contains("red").alias("has_red"))
-
-
-@query("SELECT p_partkey, contains(lower(p_name), lower(split_part(p_type, ' ', 1))) AS inside FROM part")
-def str_entity_contains(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").contains(F.lower(F.split_part("p_type", F.lit(" "), F.lit(1)))).alias("inside"))
-
-
 @query("SELECT o_orderkey, strftime(o_orderdate - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS utc, (isodow(o_orderdate) - 1)::INT AS weekday, round(((o_orderkey % 5) * 3600 + 36000) / 3600.0::DOUBLE + 1e-9, 1) AS daylight FROM orders")
 def dt_to_utc(spark, sf_dir):
     ts = F.col("o_orderdate").cast("timestamp")

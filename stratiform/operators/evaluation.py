@@ -36,16 +36,22 @@ def fn_wilson_ci(spark, sf_dir):
     return counts.select("intent", "n", "k", low.alias("low"), high.alias("high"))
 
 
-@query(_ROWS + "SELECT config, count(*) AS n, round(avg(score) + 1e-9, 4) AS mean_score, list_sort(list(score))[count(*) // 2 + 1] AS median_score, count(*) FILTER (WHERE score = 5) AS n_five, round(avg(latency) + 1e-9, 1) AS mean_latency FROM rows GROUP BY config")
+@query(_ROWS + """, h AS (SELECT config, string_agg(score || ':' || n, ',' ORDER BY score) AS distribution FROM (SELECT config, score, count(*) AS n FROM rows GROUP BY ALL) GROUP BY config)
+SELECT config, count(*) AS n, round(avg(score) + 1e-9, 4) AS mean_score, list_sort(list(score))[count(*) // 2 + 1] AS median_score, count(*) FILTER (WHERE score = 5) AS n_five, any_value(distribution) AS distribution,
+  round(avg(latency % 4000) + 1e-9, 1) AS avg_input_tokens, round(avg(latency % 250) + 1e-9, 1) AS avg_output_tokens, round(avg(latency) + 1e-9, 1) AS mean_latency FROM rows JOIN h USING (config) GROUP BY config""")
 def agg_eval_config(spark, sf_dir):
-    """Scores have five values: their distribution is a counted map, and the upper median comes from running counts of it."""
-    by = rows(spark, sf_dir).groupBy("config", "score").agg(F.count(F.lit(1)).alias("c"), F.sum("latency").alias("l"))
+    """Scores have five values: their distribution is a counted map, and the upper median comes from running counts of it. Tokens,
+    which the tables do not have, are read off the length."""
+    by = rows(spark, sf_dir).groupBy("config", "score").agg(F.count(F.lit(1)).alias("c"), F.sum("latency").alias("l"), F.sum(F.col("latency") % 4000).alias("i"), F.sum(F.col("latency") % 250).alias("o"))
     running = F.sum("c").over(Window.partitionBy("config").orderBy("score"))
     total = F.sum("c").over(Window.partitionBy("config"))
     seen = by.withColumns({"upto": running, "total": total})
+    cell = F.struct("score", F.concat_ws(":", F.col("score").cast("string"), F.col("c").cast("string")).alias("cell"))
+    mean = lambda c: rounded(F.sum(c) / F.sum("c"), 1)
     return seen.groupBy("config").agg(
         F.sum("c").alias("n"), rounded(F.sum(F.col("score") * F.col("c")) / F.sum("c"), 4).alias("mean_score"), F.min(F.when(F.col("upto") > F.floor(F.col("total") / 2), F.col("score"))).alias("median_score"),
-        F.coalesce(F.sum(F.when(F.col("score") == 5, F.col("c"))), F.lit(0)).alias("n_five"), rounded(F.sum("l") / F.sum("c"), 1).alias("mean_latency"),
+        F.coalesce(F.sum(F.when(F.col("score") == 5, F.col("c"))), F.lit(0)).alias("n_five"), F.array_join(F.sort_array(F.collect_list(cell))["cell"], ",").alias("distribution"),
+        mean("i").alias("avg_input_tokens"), mean("o").alias("avg_output_tokens"), mean("l").alias("mean_latency"),
     )
 
 
@@ -114,6 +120,20 @@ def agg_confusion(spark, sf_dir):
     return rows(spark, sf_dir).where("intent <> predicted").groupBy("intent", "predicted").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "intent", "predicted").limit(10)
 
 
+_CONDITIONS = {"tier": ("conf", "conf::VARCHAR"), "turn": ("doc_id % 3 + 1", "(doc_id % 3 + 1)::VARCHAR"), "intent": ("intent", "intent"), "rewritten": ("score > 3", "(score > 3)::VARCHAR")}
+
+
+@query(_ROWS + f""", g AS (SELECT unnest([{', '.join(f"'{d}'" for d in _CONDITIONS)}]) AS condition, unnest([{', '.join(sql for _, sql in _CONDITIONS.values())}]) AS value, ok FROM rows)
+SELECT condition, value, n, k, round(k / n + 1e-9, 4) AS accuracy, {_WILSON} FROM (SELECT condition, value, count(*) AS n, count(*) FILTER (WHERE ok) AS k FROM g GROUP BY ALL)""")
+def agg_conditional_accuracy(spark, sf_dir):
+    """Accuracy with its interval by tier of confidence, by turn, by intent and by whether the question was rewritten, in one pass.
+    Turns and rewrites, which the tables do not have, are read off ids and scores."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("condition"), F.expr(c).cast("string").alias("value")) for d, (c, _) in _CONDITIONS.items()])).alias("x")
+    counts = rows(spark, sf_dir).select("ok", each).groupBy("x.condition", "x.value").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("k"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return counts.withColumns({"accuracy": rounded(F.col("k") / F.col("n"), 4), "low": low, "high": high})
+
+
 @query(_ROWS + """, t AS (SELECT intent AS label, count(*) AS wanted, count(*) FILTER (WHERE ok) AS hit FROM rows GROUP BY intent), s AS (SELECT predicted AS label, count(*) AS said FROM rows GROUP BY predicted)
 SELECT label, round(hit / said + 1e-9, 4) AS precision, round(hit / wanted + 1e-9, 4) AS recall, round(2.0::DOUBLE * hit / (said + wanted) + 1e-9, 4) AS f1 FROM t JOIN s USING (label)""")
 def agg_intent_f1(spark, sf_dir):
@@ -340,6 +360,13 @@ def tool_scores(answers: DataFrame) -> DataFrame:
 _HIT = "len(expected) = 0 OR (intent = 'es' AND len(tools) = 0) OR list_has_any(tools, expected)"
 
 
+@query(_CALLED + "SELECT doc_id, list_sort(list_intersect(tools, expected)) <> [] AS hit, array_to_string(list_sort(list_intersect(tools, expected)), ',') AS common FROM relevant")
+def set_intersect_tools(spark, sf_dir):
+    """The called tools that are wanted."""
+    common = F.array_sort(F.array_intersect("tools", "wanted"))
+    return called(spark, sf_dir).withColumn("wanted", expected()).select("doc_id", (F.size(common) > 0).alias("hit"), F.array_join(common, ",").alias("common"))
+
+
 @query(_CALLED + f"SELECT doc_id, {_HIT} AS accurate FROM relevant")
 def fn_tool_accuracy(spark, sf_dir):
     return tool_scores(called(spark, sf_dir)).select("doc_id", "accurate")

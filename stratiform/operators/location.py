@@ -300,3 +300,22 @@ def str_search_wards(spark, sf_dir):
     wards, districts, _ = gazetteer(spark, sf_dir)
     keywords = hints(spark, sf_dir).where("scope = 'ward'").select(F.col("hint").alias("keyword"))
     return search(keywords, wards, districts).withColumns({c: F.round(c, 9) for c in ("score", "district_score")})
+
+
+def candidates(norms: DataFrame, wards: DataFrame, most: int = MOST_WARDS) -> DataFrame:
+    """(norm, ward_id, score): the leaves most like a name in any of its spellings, each once with its best score."""
+    names = wards.select("ward_id", text.normalized(F.col("ward_name")).alias("ward_name"))
+    tried = F.when(_starts("norm", WARD_PREFIXES), F.array("norm")).otherwise(_with(WARD_PREFIXES, "norm"))
+    terms = norms.select("norm").distinct().select("norm", F.explode(tried).alias("term"))
+    alike = terms.join(similar(terms, names.select(F.col("ward_name").alias("name")), LIMIT), "term").join(_first(names, ["ward_name"], ["ward_id"], most), F.col("name") == F.col("ward_name"))
+    best = alike.groupBy("norm", "ward_id").agg(F.max("score").alias("score"))
+    return _first(best, ["norm"], [F.desc("score"), "ward_id"], most)
+
+
+@query(_GAZETTEER_SQL + f""", n AS (SELECT DISTINCT {text.normalized_sql('hint')} AS norm FROM hints WHERE scope = 'ward'), terms AS MATERIALIZED (SELECT norm, unnest(CASE WHEN {_PREFIXED('norm', WARD_PREFIXES)} THEN [norm] ELSE {_BEFORE('norm', WARD_PREFIXES)} END) AS term FROM n),
+{_all_pairs_sql('sw', 'terms', 'w', LIMIT)}, b AS (SELECT norm, id AS ward_id, max(score) AS score FROM terms JOIN sw USING (term) JOIN w USING (name) GROUP BY ALL)
+SELECT norm, ward_id, round(score, 9) AS score FROM b QUALIFY row_number() OVER (PARTITION BY norm ORDER BY score DESC, ward_id) <= {MOST_WARDS}""")
+def set_union_candidates(spark, sf_dir):
+    """Candidates of all spellings of each name."""
+    norms = hints(spark, sf_dir).where("scope = 'ward'").select(text.normalized(F.col("hint")).alias("norm"))
+    return candidates(norms, gazetteer(spark, sf_dir)[0]).withColumn("score", F.round("score", 9))

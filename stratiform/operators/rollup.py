@@ -255,8 +255,7 @@ def agg_rain_extent(spark, sf_dir):
 
 @query(HOURLY_SQL + "SELECT city_id, data_kind, weather_main, count(*) AS n_rows, grouping(city_id, data_kind, weather_main)::BIGINT AS level FROM placed GROUP BY GROUPING SETS ((city_id, data_kind), (city_id, weather_main), (city_id), ())")
 def agg_grouping_sets(spark, sf_dir):
-    placed(spark, sf_dir).createOrReplaceTempView("stratiform_placed")
-    return spark.sql("SELECT city_id, data_kind, weather_main, count(*) AS n_rows, grouping_id(city_id, data_kind, weather_main) AS level FROM stratiform_placed GROUP BY GROUPING SETS ((city_id, data_kind), (city_id, weather_main), (city_id), ())")
+    return spark.sql("SELECT city_id, data_kind, weather_main, count(*) AS n_rows, grouping_id(city_id, data_kind, weather_main) AS level FROM {placed} GROUP BY GROUPING SETS ((city_id, data_kind), (city_id, weather_main), (city_id), ())", placed=placed(spark, sf_dir))
 
 
 @query(HOURLY_SQL + "SELECT city_id, round(avg(humidity) + 1e-9, 1) AS avg_humidity, min(humidity) AS min_humidity, max(humidity) AS max_humidity, round(avg(dew_point) + 1e-9, 1) AS avg_dew_point FROM placed WHERE data_kind = 'forecast' GROUP BY city_id")

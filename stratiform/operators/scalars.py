@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from stratiform.functions import bands, text
@@ -170,12 +172,6 @@ def win_rank_enumerate(spark, sf_dir):
     return latest_groups(spark, sf_dir).select("district_id", F.rank().over(window).alias("rank"), F.dense_rank().over(window).alias("dense"))
 
 
-@query(f"SELECT n_name, max(score) AS score FROM ({_SCORED}) GROUP BY n_name ORDER BY score DESC, n_name LIMIT 5")
-def set_union_candidates(spark, sf_dir):
-    """Candidates of several spellings, each name once with its best score."""
-    return scored_names(spark, sf_dir).groupBy("n_name").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "n_name").limit(5)
-
-
 @query("SELECT r_name AS city_name, n_name AS district_name FROM nation JOIN region ON r_regionkey = n_regionkey")
 def loc_districts(spark, sf_dir):
     return districts(spark, sf_dir).join(F.broadcast(cities(spark, sf_dir)), "city_id").select("city_name", "district_name")
@@ -196,10 +192,52 @@ def loc_get_ward(spark, sf_dir):
     return wards(spark, sf_dir).where("ward_id = 42").select("ward_id", "ward_name")
 
 
-@query("SELECT p_partkey, regexp_extract(p_name, '(red|blue|hot|small) (\\w+)', 2) AS entity, contains(lower(p_name), 'bolt') AS has_bolt, CASE WHEN regexp_matches(lower(p_name), 'gear|ring') THEN 'round' WHEN regexp_matches(lower(p_name), 'bolt|nut') THEN 'threaded' ELSE 'other' END AS category FROM part")
+_ENTITY = r"(Phường|Xã|Quận|Huyện|Thị xã) (\p{Lu}\p{L}*( \p{Lu}\p{L}*)*)"
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, 'Trời ' || o_orderstatus || ' ở ' || CASE o_custkey % 6 WHEN 0 THEN 'Phường ' WHEN 1 THEN 'Xã ' WHEN 2 THEN 'Quận ' WHEN 3 THEN 'Huyện ' WHEN 4 THEN 'Thị xã ' ELSE 'phố ' END || upper(o_orderpriority[3]) || lower(o_orderpriority[4:]) || ' nhé' AS said FROM orders)
+SELECT o_orderkey, regexp_extract(said, '{_ENTITY}', 0) AS entity, regexp_extract(said, '{_ENTITY}', 1) AS kind FROM t""")
 def str_regex_entity(spark, sf_dir):
-    name = F.lower("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_extract("p_name", r"(red|blue|hot|small) (\w+)", 2).alias("entity"), name.contains("bolt").alias("has_bolt"), F.when(name.rlike("gear|ring"), "round").when(name.rlike("bolt|nut"), "threaded").otherwise("other").alias("category"))
+    """The first place named with its kind in a sentence; the sentences are made of the orders' columns."""
+    kinds = F.element_at(F.array(*map(F.lit, ("Phường ", "Xã ", "Quận ", "Huyện ", "Thị xã ", "phố "))), (F.col("o_custkey") % 6 + 1).cast("int"))
+    name = F.concat(F.upper(F.substring("o_orderpriority", 3, 1)), F.lower(F.substring("o_orderpriority", 4, 99)))
+    said = F.concat(F.lit("Trời "), "o_orderstatus", F.lit(" ở "), kinds, name, F.lit(" nhé"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return rows.select("o_orderkey", F.regexp_extract("said", _ENTITY, 0).alias("entity"), F.regexp_extract("said", _ENTITY, 1).alias("kind"))
+
+
+# The categories of an error and the words that tell them, in order.
+ERRORS = (
+    ("location_resolution", ("location", "not_found", "ambiguous")), ("data_unavailable", ("no_data", "database", "không có dữ liệu")), ("network", ("timeout", "connection", "refused")), ("llm_api", ("openai", "api", "rate_limit")),
+)
+
+
+def error_category(text: Column) -> Column:
+    """The first category with a word in the text, in any case."""
+    low, out = F.lower(text), F.lit("unknown")
+    for name, words in reversed(ERRORS):
+        out = F.when(reduce(Column.__or__, (low.contains(w) for w in words)), name).otherwise(out)
+    return out
+
+
+_ERROR_TEXT = "['Location NOT_FOUND', 'ambiguous place', 'NO_DATA', 'lost the Database', 'Không có dữ liệu', 'Read TIMEOUT', 'connection closed', 'refused', 'OpenAI down', 'API key', 'rate_limit', 'other', 'database connection', 'api location']"
+
+
+@query(f"SELECT event_id, {_ERROR_TEXT}[user_id % 14 + 1] || ' ' || event_type || ' ' || props AS error, " + "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({_ERROR_TEXT}[user_id % 14 + 1] || ' ' || event_type || ' ' || props), '{w}')" for w in words) + f" THEN '{name}'" for name, words in ERRORS) + " ELSE 'unknown' END AS category FROM events WHERE event_type = 'error'")
+def str_error_category(spark, sf_dir):
+    """The category of each error event; the message is made of the event's columns."""
+    texts = F.array(*[F.lit(t.strip().strip("'")) for t in _ERROR_TEXT.strip("[]").split(",")])
+    error = F.concat_ws(" ", F.element_at(texts, (F.col("user_id") % 14 + 1).cast("int")), "event_type", "props")
+    return table(spark, sf_dir, "events").where("event_type = 'error'").select("event_id", error.alias("error"), error_category(error).alias("category"))
+
+
+@query("SELECT doc_id, b.item_id, contains(lower(d.text), lower(left(b.text, 30))) AS inside FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)")
+def str_entity_contains(spark, sf_dir):
+    """Whether each document has the beginning of the passage that goes with its id, in any case."""
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(30)).alias("entity"))
+    n = F.lit(passages.count())
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod(F.col("doc_id"), n).alias("item_id"))
+    return rows.join(passages, "item_id").select("doc_id", "item_id", F.lower("text").contains(F.lower("entity")).alias("inside"))
 
 
 @query("SELECT p_partkey, p_name AS answer FROM part")

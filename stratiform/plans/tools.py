@@ -30,6 +30,12 @@ def _by_place(*order) -> Window:
     return Window.partitionBy(*PLACE).orderBy(*order)
 
 
+@query(SERIES_ALL + "SELECT level, place_id, ts_utc, round(avg_temp, 6) AS temp, weather_main FROM series")
+def disp_level_dispatch(spark, sf_dir):
+    """The hours of every leaf, group and region under common names, from one scan."""
+    return series(spark, sf_dir).select(*PLACE, "ts_utc", F.round("avg_temp", 6).alias("temp"), "weather_main")
+
+
 # ---------------------------------------------------------------- now
 
 
@@ -84,11 +90,11 @@ def get_comfort_index(spark, sf_dir, levels=LEVELS, place=None):
     return raw(latest(spark, sf_dir, levels, place)).select(*PLACE, "ts_utc", score.alias("score"), bands.banded(score, bands.COMFORT_LEVELS).alias("label"))
 
 
-@query(_LATEST + "SELECT level, place_id, ts_utc, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in advice.CLOTHING) + "], lambda x: x IS NOT NULL), '; ') AS items FROM raw")
+@query(_LATEST + f"SELECT level, place_id, ts_utc, {advice.clothing_sql(wind=advice.GUSTS)} AS items, {advice.clothing_sql(advice.CLOTHING_NOTES, advice.GUSTS)} AS notes FROM raw")
 def get_clothing_advice(spark, sf_dir, levels=LEVELS, place=None, hours_ahead: int = 0):
-    """What to wear now, or in the hour `hours_ahead` rows from now."""
+    """What to wear and what to mind now, or in the hour `hours_ahead` rows from now; gusts count as wind."""
     rows = forecast(spark, sf_dir, hours_ahead, levels, place).where(F.col("nth") == hours_ahead) if hours_ahead else latest(spark, sf_dir, levels, place)
-    return raw(rows).select(*PLACE, "ts_utc", advice.clothing().alias("items"))
+    return raw(rows).select(*PLACE, "ts_utc", advice.clothing(wind=advice.GUSTS).alias("items"), advice.clothing(advice.CLOTHING_NOTES, advice.GUSTS).alias("notes"))
 
 
 @query("SELECT level, place_id, ts_utc, activity, issues, severity, verdict FROM (" + _LATEST + advice.advice_sql("raw", "level, place_id, ts_utc") + ")")
