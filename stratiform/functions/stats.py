@@ -40,7 +40,10 @@ def wilcoxon(w_plus: float, w_minus: float, n: int, ties: float = 0.0) -> float:
     return 1.0 if spread <= 0 else math.erfc(abs(min(w_plus, w_minus) - n * (n + 1) / 4) / math.sqrt(2 * spread))
 
 
-def stars(p: float) -> str:
+def stars(p: float | Column) -> str | Column:
+    """The stars of a p value, or of a column of them."""
+    if isinstance(p, Column):
+        return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("n.s.")
     return "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "n.s."
 
 

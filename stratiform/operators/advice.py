@@ -94,9 +94,12 @@ def fn_seasonal_compare(spark, sf_dir):
     return rows.select("ward_id", shown("ts_utc").alias("ts_utc"), F.when(t > 3, "warmer").when(t < -3, "colder").otherwise("usual").alias("warmth"), F.when(h > 10, "damper").when(h < -10, "drier").otherwise("usual").alias("damp"))
 
 
-@query(f"SELECT month::INT AS month, mean_temp::INT AS mean_temp, mean_humidity::INT AS mean_humidity, rain_days::INT AS rain_days FROM {_CLIMATE_SQL}")
+@query(f"SELECT DISTINCT user_id AS ward_id, c.month::INT AS month, mean_temp::INT AS mean_temp, mean_humidity::INT AS mean_humidity, rain_days::INT AS rain_days FROM events JOIN {_CLIMATE_SQL} ON c.month = month(ts)")
 def fn_seasonal_lookup(spark, sf_dir):
-    return spark.createDataFrame(CLIMATE, "month int, mean_temp int, mean_humidity int, rain_days int")
+    """The usual values of each month in which a leaf has rows: a join with twelve literal rows."""
+    usual = spark.createDataFrame(CLIMATE, "month int, mean_temp int, mean_humidity int, rain_days int")
+    months = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("ward_id"), F.month("ts").alias("month")).distinct()
+    return months.join(F.broadcast(usual), "month").select("ward_id", "month", "mean_temp", "mean_humidity", "rain_days")
 
 
 # Fixed values.

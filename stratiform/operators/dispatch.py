@@ -32,21 +32,30 @@ def dt_to_utc(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", shown(ts - F.expr("INTERVAL 7 HOURS")).alias("utc"), F.weekday(ts).alias("weekday"), rounded(((F.col("o_orderkey") % 5) * 3600 + 36000) / F.lit(3600.0), 1).alias("daylight"))
 
 
-@query(f"SELECT k::INT AS shift, (DATE '{AS_OF[:10]}' + k::INT)::VARCHAR AS date FROM range(-2, 3) AS r(k)")
+@query("SELECT DISTINCT o_orderdate::DATE::VARCHAR AS today, k::INT AS shift, (o_orderdate::DATE + k::INT)::VARCHAR AS date, strftime(o_orderdate::DATE + k::INT, '%d/%m/%Y') AS shown FROM orders, range(-2, 3) AS r(k)")
 def dt_anchors(spark, sf_dir):
-    """The reference day and two days on either side."""
-    shift = F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("shift")
-    return spark.range(1).select(shift).select("shift", F.date_add(F.lit(AS_OF[:10]).cast("date"), F.col("shift")).cast("string").alias("date"))
+    """Each order's day and two days on either side, as they are stored and as they are shown."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("today")).distinct()
+    each = days.select("today", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("shift")).withColumn("date", F.date_add("today", F.col("shift")))
+    return each.select(F.col("today").cast("string").alias("today"), "shift", F.col("date").cast("string").alias("date"), F.date_format("date", "dd/MM/yyyy").alias("shown"))
 
 
-@query(f"SELECT k::INT AS day, (DATE '{AS_OF[:10]}' - (isodow(DATE '{AS_OF[:10]}') - 1)::INT + (k - 7)::INT)::VARCHAR AS date, CASE WHEN k < 7 THEN 'last' WHEN k < 14 THEN 'this' ELSE 'next' END AS week FROM range(0, 21) AS r(k) WHERE DATE '{AS_OF[:10]}' - (isodow(DATE '{AS_OF[:10]}') - 1)::INT + (k - 7)::INT <= DATE '{AS_OF[:10]}' + 7")
+@query("""SELECT today::VARCHAR AS today, k::INT AS day, (today - (isodow(today) - 1)::INT + (k - 7)::INT)::VARCHAR AS date, CASE WHEN k < 7 THEN 'last' WHEN k < 14 THEN 'this' ELSE 'next' END AS week
+FROM (SELECT DISTINCT o_orderdate::DATE AS today FROM orders), range(0, 21) AS r(k) WHERE today - (isodow(today) - 1)::INT + (k - 7)::INT <= today + 7""")
 def dt_week_tables(spark, sf_dir):
-    """Last, this and next week from Monday, up to a week ahead."""
-    today = F.lit(AS_OF[:10]).cast("date")
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(20))).alias("day"))
-    date = F.date_add(F.date_sub(today, F.weekday(today)), F.col("day") - 7)
+    """Last, this and next week of each order's day, from Monday, up to a week ahead."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("today")).distinct()
+    each = days.select("today", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("day"))
+    date = F.date_add(F.date_sub("today", F.weekday("today")), F.col("day") - 7)
     week = F.when(F.col("day") < 7, "last").when(F.col("day") < 14, "this").otherwise("next")
-    return days.where(date <= F.date_add(today, 7)).select("day", date.cast("string").alias("date"), week.alias("week"))
+    return each.where(date <= F.date_add("today", 7)).select(F.col("today").cast("string").alias("today"), "day", date.cast("string").alias("date"), week.alias("week"))
+
+
+@query("SELECT user_id AS ward_id, ts::DATE::VARCHAR AS date, round(date_diff('microsecond', min(ts), max(ts)) / 3600e6 + 1e-9, 1) AS hours FROM events GROUP BY user_id, ts::DATE")
+def dt_daylight_hours(spark, sf_dir):
+    """Hours between the first and the last instant of each leaf's day, which stand for sunrise and sunset."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("ward_id"), F.col("ts").cast("timestamp").alias("ts")).groupBy("ward_id", F.to_date("ts").alias("date")).agg(F.min("ts").alias("rise"), F.max("ts").alias("set"))
+    return rows.select("ward_id", F.col("date").cast("string").alias("date"), rounded((F.unix_micros("set") - F.unix_micros("rise")) / 3600e6, 1).alias("hours"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS date FROM orders")

@@ -360,6 +360,18 @@ def tool_scores(answers: DataFrame) -> DataFrame:
 _HIT = "len(expected) = 0 OR (intent = 'es' AND len(tools) = 0) OR list_has_any(tools, expected)"
 
 
+_STARS_Z = "abs(k - n / 2.0::DOUBLE) / sqrt(n / 4.0::DOUBLE)"
+
+
+@query(_ROWS + f"""SELECT intent, n, round(p, 6) AS p_value, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END AS stars
+FROM (SELECT intent, n, {_ERFC.format(x=f"({_STARS_Z} / sqrt(2::DOUBLE))")} AS p FROM (SELECT intent, count(*) AS n, count(*) FILTER (WHERE ok) AS k FROM rows GROUP BY intent))""")
+def fn_sig_stars(spark, sf_dir):
+    """Whether each intent's share of right answers differs from one half, as stars."""
+    counts = rows(spark, sf_dir).groupBy("intent").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("k"))
+    p = stats.two_sided((F.col("k") - F.col("n") / 2) / F.sqrt(F.col("n") / 4))
+    return counts.select("intent", "n", F.round(p, 6).alias("p_value"), stats.stars(p).alias("stars"))
+
+
 @query(_CALLED + "SELECT doc_id, list_sort(list_intersect(tools, expected)) <> [] AS hit, array_to_string(list_sort(list_intersect(tools, expected)), ',') AS common FROM relevant")
 def set_intersect_tools(spark, sf_dir):
     """The called tools that are wanted."""
@@ -434,6 +446,13 @@ def arr_counter(spark, sf_dir):
 # ---------------------------------------------------------------- dates
 
 
+@query("SELECT o_orderkey, ['Thứ Hai', 'Thứ Ba', 'Thứ Tư', 'Thứ Năm', 'Thứ Sáu', 'Thứ Bảy', 'Chủ Nhật'][isodow(o_orderdate)] AS weekday FROM orders")
+def dt_weekday_vi(spark, sf_dir):
+    """The weekday by name."""
+    names = F.array(*map(F.lit, ("Thứ Hai", "Thứ Ba", "Thứ Tư", "Thứ Năm", "Thứ Sáu", "Thứ Bảy", "Chủ Nhật")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(names, F.weekday("o_orderdate") + 1).alias("weekday"))
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 7 HOUR, '%H:%M ') || ['Thứ Hai', 'Thứ Ba', 'Thứ Tư', 'Thứ Năm', 'Thứ Sáu', 'Thứ Bảy', 'Chủ Nhật'][isodow(o_orderdate + INTERVAL 7 HOUR)] || strftime(o_orderdate + INTERVAL 7 HOUR, ' %d/%m/%Y') AS shown FROM orders")
 def dt_format_ict(spark, sf_dir):
     local = F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 7 HOURS")

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratiform.operators import evaluation
 from stratiform.registry import query
-from stratiform.sources import lines, payload
+from stratiform.sources import files, lines, payload
 from stratiform.sources.roles import shown, table
 from stratiform.streaming.runs import scratch
 
@@ -98,3 +99,23 @@ def src_telemetry_read(spark, sf_dir):
         events.where(where).select(line.alias("value")).write.text(f"{out}/{name}")
     logs = [lines.csv_lines(spark, f"{out}/{name}", schema) for name, schema in (("conversations", lines.CONVERSATION_LOG), ("tool_calls", lines.TOOL_LOG))]
     return _tally(dict(zip(("conversations", "tool_calls"), logs, strict=True)))
+
+
+@query(evaluation._ROWS + """, r AS (SELECT config, count(*) AS n, avg(score) AS mean_score FROM rows GROUP BY config)
+SELECT unnest(['# Scores', '', '| config | n | mean_score |', '|---|---|---|']) AS line UNION ALL SELECT '| ' || config || ' | ' || n || ' | ' || printf('%.4f', round(mean_score + 1e-9, 4)) || ' |' FROM r""")
+def sink_json_md_report(spark, sf_dir):
+    """The lines of a written report."""
+    scores = evaluation.agg_eval_config(spark, sf_dir).select("config", "n", "mean_score").orderBy("config")
+    out = f"{scratch(spark)}/report"
+    files.report(scores, out, "Scores")
+    return spark.read.text(f"{out}-markdown").withColumnRenamed("value", "line")
+
+
+@query("SELECT event_type AS model, count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS n_ok, round(avg(CASE WHEN event_id % 10 = 0 THEN 0 ELSE json_extract(props, '$.k')::INT / 100.0::DOUBLE END), 6) AS mean_conf FROM events GROUP BY event_type")
+def src_calib_csv(spark, sf_dir):
+    """A classifier's samples written from the events as CSV and read: an empty confidence is 0."""
+    out, n = f"{scratch(spark)}/samples", F.col("event_id")
+    conf = F.when(n % 10 == 0, "").otherwise((F.get_json_object("props", "$.k").cast("int") / 100).cast("string"))
+    line = F.concat_ws(",", "event_type", F.lit("a"), F.lit("b"), conf, F.when(n % 3 == 0, F.when(n % 2 == 0, "True").otherwise("true")).otherwise("False"))
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(out)
+    return lines.samples(spark, out).rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"), F.round(F.avg("conf"), 6).alias("mean_conf"))

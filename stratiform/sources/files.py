@@ -40,9 +40,20 @@ def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     return new
 
 
-def report(df: DataFrame, path: str) -> None:
-    """A small result as JSON, one file."""
+def report(df: DataFrame, path: str, title: str | None = None) -> None:
+    """A small result as JSON, one file, and with a `title` as a Markdown table beside it. Doubles have four digits."""
     df.coalesce(1).write.mode("overwrite").json(path)
+    if title is not None:
+        markdown(df, title).write.mode("overwrite").text(f"{path}-markdown")
+
+
+def markdown(df: DataFrame, title: str) -> DataFrame:
+    """(value): the lines of a small result as a Markdown table, in one partition, in the order of its rows."""
+    cells = [F.coalesce(F.format_string("%.4f", c) if kind == "double" else F.col(c).cast("string"), F.lit("–")) for c, kind in df.dtypes]
+    line = lambda parts: F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |"))
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    rows = df.select(line([F.regexp_replace(c, r"\|", r"\\|") for c in cells]).alias("value"))
+    return df.sparkSession.createDataFrame([(x,) for x in head], "value string").coalesce(1).union(rows.coalesce(1)).coalesce(1)
 
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
