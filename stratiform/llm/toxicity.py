@@ -94,39 +94,55 @@ class Index:
     """Block-max inverted index over unit vectors; the examples come as (terms, weights) with labels and ids."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: list, class_weights: np.ndarray, n_terms: int, fresh: list[bool]):
+        edges = np.append(0, np.cumsum([len(t) for t, _ in vectors], dtype=np.int64))
+        self._build(edges, *(np.concatenate([v[k] for v in vectors] or [np.zeros(0, np.int64)]) for k in (0, 1)), labels, ids, class_weights, n_terms, fresh)
+
+    @classmethod
+    def of(cls, edges: np.ndarray, term: np.ndarray, weight: np.ndarray, *rest) -> Index:
+        """The same from all vectors in a row, of which `edges` tells the beginnings and the end."""
+        own = cls.__new__(cls)
+        own._build(edges, term, weight, *rest)
+        return own
+
+    def _build(self, edges: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: list, class_weights: np.ndarray, n_terms: int, fresh) -> None:
         # Examples whose heaviest terms are the same share blocks, which keeps the bounds of other blocks low.
-        order = sorted(range(len(vectors)), key=lambda i: (_heaviest(*vectors[i]), len(vectors[i][0]), i))
+        sizes = np.diff(edges)
+        heaviest = np.array([_heaviest(term[a:b], weight[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], np.int64)
+        order = np.lexsort((sizes, heaviest))
         self.labels = labels[order]
-        self.ids = [ids[i] for i in order]
+        self.ids = [ids[i] for i in order.tolist()]
         self.place = {x: i for i, x in enumerate(self.ids)}
         self.vote = class_weights[self.labels]
-        self.fresh = np.array([fresh[i] for i in order], bool)
-        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(vectors[i][0]) for i in order])
-        self.blocks = max(1, -(-len(vectors) // BLOCK))
-        often = np.bincount(term, minlength=n_terms) * COMMON > len(vectors)
+        self.fresh = np.asarray(fresh, bool)[order]
+        self.blocks = max(1, -(-len(sizes) // BLOCK))
         # The whole vectors, for exact cosines, and the common terms' weights as a matrix of terms by examples.
-        self.edges = np.searchsorted(example, np.arange(len(vectors) + 1))
-        self.terms, self.weights, self.scratch = term.astype(np.int32), weight, np.zeros(n_terms)
-        self.number = np.where(often, np.cumsum(often) - 1, -1)
-        on = often[term]
+        spots = _ranges(edges[:-1][order], edges[1:][order])
+        self.terms, self.weights, self.scratch = term[spots].astype(np.int32), weight[spots], np.zeros(n_terms)
+        del spots, term, weight
+        self.edges = np.append(0, np.cumsum(sizes[order], dtype=np.int64))
+        example = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes[order])
+        often = np.bincount(self.terms, minlength=n_terms) * COMMON > len(sizes)
+        self.number = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        on = often[self.terms]
         self.common = np.zeros((int(often.sum()), self.blocks * BLOCK), np.float32)
-        self.common[self.number[term[on]], example[on]] = weight[on]
-        term, weight, example = term[~on], weight[~on], example[~on]
-        by_term = np.lexsort((example, term))
-        self.example, self.weight = example[by_term], weight[by_term]
-        # A cell is the part of a term's list that lies in one block.
-        cell = term[by_term] * self.blocks + self.example // BLOCK
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.first, self.last = first, np.append(first[1:], len(cell)).astype(np.int64)
+        self.common[self.number[self.terms[on]], example[on]] = self.weights[on]
+        # A cell is the part of a term's list that lies in one block; examples stand in order within it.
+        rare = np.flatnonzero(~on).astype(np.int32)
+        cell = self.terms[rare].astype(np.int64) * self.blocks + example[rare] // BLOCK
+        by_cell = np.argsort(cell, kind="stable")
+        cell, rare = cell[by_cell], rare[by_cell]
+        del by_cell, on
+        self.example, self.weight = example[rare], self.weights[rare]
+        first = np.flatnonzero(np.diff(cell, prepend=-1)).astype(np.int32)
+        self.first, self.last = first, np.append(first[1:], np.int32(len(cell))).astype(np.int32)
         self.block = (cell[first] % self.blocks).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1))
+        self.cells = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1)).astype(np.int32)
 
-    @property
-    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [(self.terms[a:b].astype(np.int64), self.weights[a:b]) for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist(), strict=True)]
+    def vector(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of an example."""
+        a, b = int(self.edges[i]), int(self.edges[i + 1])
+        return self.terms[a:b].astype(np.int64), self.weights[a:b]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, best first; `skip` is left out."""
@@ -281,8 +297,10 @@ def _held(sent: Broadcast) -> tuple[Index, np.ndarray]:
     """(the index, the importance of terms) that a broadcast stands for, made once for each worker."""
     if not hasattr(sent, "made"):
         edges, term, counts, label, ids, class_weights, importance, fresh = pickle.loads(zlib.decompress(sent.value))
-        vectors = [weigh(term[a:b], counts[a:b], importance) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        sent.made = Index(vectors, label, ids, class_weights, len(importance), fresh.tolist()), importance
+        weight = (1 + np.log(counts)) * importance[term]
+        sizes = np.sqrt(np.bincount(np.repeat(np.arange(len(label)), np.diff(edges)), weight * weight, len(label)))
+        weight /= np.repeat(np.where(sizes > 0, sizes, 1), np.diff(edges))
+        sent.made = Index.of(edges, term, weight, label, ids, class_weights, len(importance), fresh), importance
     return sent.made
 
 
@@ -335,8 +353,8 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, _ = _held(sent)
         for batch in batches:
-            own, vectors = [index.place[x] for x in batch.column(0).to_pylist()], index.vectors
-            got = [share for share, _, _ in index.votes_of([vectors[i] for i in own], own)]
+            own = [index.place[x] for x in batch.column(0).to_pylist()]
+            got = [share for share, _, _ in index.votes_of([index.vector(i) for i in own], own)]
             yield pa.RecordBatch.from_arrays([pa.array(index.labels[own]), pa.array(index.vote[own]), pa.array(got, pa.float64())], ["label", "weight", "share"])
 
     pieces = 4 * spark.sparkContext.defaultParallelism

@@ -23,7 +23,7 @@ def test_nearest_examples_equal_brute_force():
         vectors.append((t, w / np.sqrt((w * w).sum()) if len(t) else w))
     index = toxicity.Index(vectors, rng.integers(0, 2, 500), list(range(500)), np.ones(2), 40, [True] * 500)
     dense = np.zeros((500, 40))
-    for i, (t, w) in enumerate(index.vectors):
+    for i, (t, w) in enumerate(map(index.vector, range(len(index.labels)))):
         dense[i, t] = w
     for t, w in vectors[:100]:
         found, sims = index.nearest(t, w, 7)
@@ -44,7 +44,7 @@ def test_nearest_examples_by_rare_and_common_terms_equal_brute_force():
     index = toxicity.Index(vectors[:800], rng.integers(0, 2, 800), list(range(800)), np.ones(2), 3000, [True] * 800)
     assert len(index.weight) > 1000 and (index.common > 0).sum() > 1000
     dense = np.zeros((800, 3000))
-    for i, (t, w) in enumerate(index.vectors):
+    for i, (t, w) in enumerate(map(index.vector, range(len(index.labels)))):
         dense[i, t] = w
     for j, (t, w) in enumerate(vectors[700:]):
         skip = j % 3 * 5 - 1
