@@ -8,7 +8,8 @@ CRC-16 of each frame, the MD5 of the samples and the places of seek points. The
 best of the five fixed predictors and a linear predictor of order `LPC_ORDER`, with a seek table.
 
 Defined results: a null content is the empty one; a stream of no samples has no frames; a damaged stream gives no
-PCM blocks but one row with `error`; equal contents give equal streams; repeated rows give repeated results.
+PCM blocks but one row with `error`; equal contents give equal streams; repeated rows give repeated results. A very long
+content is worked on in blocks of frames, and takes about fifteen times its size in memory.
 """
 
 from __future__ import annotations
@@ -29,8 +30,10 @@ BLOCK = 256
 SEEK_FRAMES = 16
 LPC_ORDER, LPC_BITS = 4, 10
 RATE = 44_100
-#: Bytes of content that are encoded or decoded at a time.
+#: Bytes of content that are encoded or decoded at a time: texts together, and of a longer one blocks of frames after each other.
 BATCH_BYTES = 400_000
+#: Samples whose bytes are made at a time.
+PCM_SAMPLES = 1 << 20
 
 # Fixed values of the format.
 FIXED_COEFFICIENTS = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -185,8 +188,14 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     numbers = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
     starts = offsets[:-1][owner] + numbers * BLOCK
     n = np.minimum(BLOCK, offsets[1:][owner] - starts)
-    coded, at = _frames(data, starts, n, numbers) if len(owner) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    frame_sizes, raw, out, f = np.diff(at), coded.tobytes(), [], 0
+    # Frames do not depend on each other, so those of a long content are made in blocks.
+    step, coded, frame_sizes = BATCH_BYTES // BLOCK, [], [np.zeros(0, np.int64)]
+    for f in range(0, len(owner), step):
+        block, at = _frames(data, starts[f : f + step], n[f : f + step], numbers[f : f + step])
+        coded.append(block.tobytes())
+        frame_sizes.append(np.diff(at))
+    frame_sizes, raw, out, f = np.concatenate(frame_sizes), b"".join(coded), [], 0
+    at = np.append(0, np.cumsum(frame_sizes))
     signed = (data ^ 0x80).tobytes()
     for i, count in enumerate(per.tolist()):
         own, begin = frame_sizes[f : f + count], int(at[f])
@@ -386,7 +395,7 @@ def _subframes(bits: _Bits, at: np.ndarray, n: np.ndarray, depth: np.ndarray) ->
 
 
 def decode(streams: list[bytes]) -> list[dict | Damaged]:
-    """For each stream its information with `pcm` (samples by channel, int64) and `frames`; a damaged one gives its error.
+    """For each stream its information with `pcm` (samples by channel, whole numbers) and `frames`; a damaged one gives its error.
 
     `frames` holds (first sample, byte offset from the first frame, samples) of each frame. Streams are decoded
     together; where that fails, each half for itself, so that damage stays with its stream.
@@ -428,6 +437,37 @@ def _broken(data: np.ndarray, found: list[list[tuple]], ends: list[int]) -> dict
     return {int(owner[k]): BrokenFrame(int(frame[k]), int(until[k] - start[k]) if until[k] < ends[owner[k]] else None) for k in bad}
 
 
+def _samples(data, begin, until, n, channel, channels, depth, body, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(whether each frame ends where it must, the samples of each of `most` channels) of neighbouring frames, from their part of
+    the data alone."""
+    first = int(begin[0])
+    bits, at, samples = _Bits(data[first : int(until[-1])]), (body - first) * 8, []
+    for c in range(int(channels.max())):
+        on = channels > c
+        side = ((channel == 8) & (c == 1)) | ((channel == 9) & (c == 0)) | ((channel == 10) & (c == 1))
+        x, after = _subframes(bits, at[on], n[on], (depth + side)[on])
+        wide = np.zeros((int(n.max()), len(n)), np.int64)
+        wide[: len(x), on] = x
+        samples.append(wide)
+        at = at.copy()
+        at[on] = after
+    if len(samples) > 1:
+        left, right = samples[0], samples[1]
+        middle = (left << 1 | right & 1) + right >> 1
+        samples[0] = np.where(channel == 9, left + right, np.where(channel == 10, middle, left))
+        samples[1] = np.where(channel == 8, left - right, np.where(channel == 10, middle - right, right))
+    valid = (np.arange(int(n.max()))[:, None] < n).T
+    small = np.int16 if depth.max() < 16 else np.int32 if depth.max() < 32 else np.int64
+    flat = [x.T[valid].astype(small) for x in samples]
+    return (at + 7 >> 3) == until - 2 - first, flat + [np.zeros_like(flat[0])] * (most - len(flat))
+
+
+def pcm_bytes(pcm: list[np.ndarray], depth: int) -> Iterator[bytes]:
+    """Samples of all channels, interleaved and little-endian, some at a time."""
+    for lo in range(0, len(pcm[0]), PCM_SAMPLES):
+        yield np.stack([x[lo : lo + PCM_SAMPLES] for x in pcm], 1).astype("<i8").view(np.uint8).reshape(-1, 8)[:, : -(-depth // 8)].tobytes()
+
+
 def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[dict | Damaged]:
     out: list[dict | Damaged] = []
     starts, infos = [], []
@@ -448,23 +488,12 @@ def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[di
         owner, begin, _, n, channel, depth, body = (np.array(c, np.int64) for c in zip(*flat, strict=True))
         # A frame goes up to the next one of its stream.
         until = np.where(np.append(owner[1:], -1) == owner, np.append(begin[1:], 0), np.array(base[1:])[owner])
-        bits, at = _Bits(data), body * 8
-        samples, channels = [], np.where(channel < 8, channel + 1, 2)
-        for c in range(int(channels.max())):
-            on = channels > c
-            side = ((channel == 8) & (c == 1)) | ((channel == 9) & (c == 0)) | ((channel == 10) & (c == 1))
-            x, after = _subframes(bits, at[on], n[on], (depth + side)[on])
-            wide = np.zeros((int(n.max()), len(n)), np.int64)
-            wide[: len(x), on] = x
-            samples.append(wide)
-            at = at.copy()
-            at[on] = after
-        if len(samples) > 1:
-            left, right = samples[0], samples[1]
-            middle = (left << 1 | right & 1) + right >> 1
-            samples[0] = np.where(channel == 9, left + right, np.where(channel == 10, middle, left))
-            samples[1] = np.where(channel == 8, left - right, np.where(channel == 10, middle - right, right))
-        whole = (at + 7 >> 3) == until - 2
+        channels = np.where(channel < 8, channel + 1, 2)
+        parts = [_samples(data, *(c[lo:hi] for c in (begin, until, n, channel, channels, depth, body)), int(channels.max())) for lo, hi in slices(np.append(begin, until[-1]), BATCH_BYTES)]
+        whole = np.concatenate([w for w, _ in parts])
+        samples = [np.concatenate([x[c] for _, x in parts]) for c in range(int(channels.max()))]
+        firsts_of = np.append(0, np.cumsum(n))
+        del parts
     k = 0
     for i, (info, own) in enumerate(zip(infos, found, strict=True)):
         rows = slice(k, k + len(own))
@@ -479,19 +508,20 @@ def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[di
             bad = int(np.flatnonzero(~whole[rows])[0])
             out.append(BrokenFrame(bad, own[bad + 1][0] - base[i] if bad + 1 < len(own) else None))
             continue
-        if own:
-            valid = (np.arange(samples[0].shape[0])[:, None] < n[rows]).T
-            pcm = [samples[c][:, rows].T[valid] for c in range(info["channels"])]
-        else:
-            pcm = [np.zeros(0, np.int64)] * info["channels"]
+        if own and info["channels"] > len(samples):
+            out.append(Damaged("frames without some of the channels"))
+            continue
+        pcm = [x[firsts_of[rows.start] : firsts_of[rows.stop]] for x in samples[: info["channels"]]] if own else [np.zeros(0, np.int64)] * info["channels"]
         if len(pcm[0]) != info["samples"]:
             out.append(Damaged(f"{len(pcm[0])} samples of {info['samples']}"))
             continue
-        wide = -(-info["depth"] // 8)
-        raw = np.stack(pcm, 1).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes() if own else b""
-        if any(info["md5"]) and hashlib.md5(raw).digest() != info["md5"]:
-            out.append(Damaged("the samples fail their checksum"))
-            continue
+        if any(info["md5"]):
+            check = hashlib.md5()
+            for raw in pcm_bytes(pcm, info["depth"]):
+                check.update(raw)
+            if check.digest() != info["md5"]:
+                out.append(Damaged("the samples fail their checksum"))
+                continue
         sizes = [f[2] for f in own]
         firsts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
         places = {(firsts[j], f[0] - starts[i], f[2]) for j, f in enumerate(own)}
@@ -550,7 +580,7 @@ def decode_column(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
                         rows.append((None, None, None, None, None, None, None, str(got)))
                         continue
                     wide = -(-got["depth"] // 8)
-                    raw = np.stack(got["pcm"], 1).astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes() if got["frames"] else b""
+                    raw = b"".join(pcm_bytes(got["pcm"], got["depth"]))
                     step = wide * got["channels"]
                     for j, (first, offset, n) in enumerate(got["frames"]):
                         ids.append(i)
@@ -580,7 +610,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     x = got["pcm"][0]
                     payload = (x + 128).astype(np.uint8).tobytes()
                     signs = np.signbit(x)
-                    feature = f"frames={len(got['frames'])};sum={int(x.sum())};squares={int((x * x).sum())};least={int(x.min())};most={int(x.max())};crossings={int((signs[1:] != signs[:-1]).sum())}"
+                    feature = f"frames={len(got['frames'])};sum={int(x.sum())};squares={int(np.square(x, dtype=np.int32).sum())};least={int(x.min())};most={int(x.max())};crossings={int((signs[1:] != signs[:-1]).sum())}"
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), *columns], ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])

@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -350,3 +352,19 @@ def test_stages_take_awkward_rows(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == narrow.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_a_long_text_is_coded_in_blocks():
+    """Thirty million bytes through encoder and decoder, in a process of its own, in under 800 MB."""
+    code = """
+import resource
+import numpy as np
+from stratiform.llm import flac
+raw = np.tile(np.random.default_rng(1).integers(97, 123, 64 * 1000, dtype=np.uint8), 470)
+media = flac.encode(raw, np.array([0, len(raw)]))
+got = flac.decode(media)[0]
+assert all((got["pcm"][0][a : a + 10**6] + 128 == raw[a : a + 10**6]).all() for a in range(0, len(raw), 10**6)) and len(got["frames"]) == len(raw) // 256
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(done.stdout) < 800
