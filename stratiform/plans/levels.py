@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stratiform.operators import materialise
 from stratiform.operators.rollup import DAILY, DAILY_SQL, HOURLY, Shape, _daily_sql, _hourly_sql, days_of
-from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_HOUR, placed, shown
+from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_HOUR, latest_of, observations, placed, shown, table
 
 LEVELS = ("ward", "district", "city")
 #: A place: its level and its id there.
@@ -24,10 +24,14 @@ HOURS = {
 DAYS = {"avg_temp": "temp_avg", "temp_min": "temp_min", "temp_max": "temp_max", "avg_humidity": "humidity", "avg_pop": "pop", "total_rain": "rain_total", "avg_wind_speed": "wind_speed", "avg_dew_point": "dew_point", "max_uvi": "uvi"}
 
 
-def _asked(rows: DataFrame, levels, place: int | None) -> DataFrame:
-    """A row for each level that is asked for; the place, if one is given, is chosen before the rows are multiplied."""
+def known(levels) -> None:
     if unknown := set(levels) - set(LEVELS):
         raise ValueError(f"levels are {', '.join(LEVELS)}, not {', '.join(sorted(unknown))}")
+
+
+def _asked(rows: DataFrame, levels, place: int | None) -> DataFrame:
+    """A row for each level that is asked for; the place, if one is given, is chosen before the rows are multiplied."""
+    known(levels)
     ids = {level: F.col(_KEYS[level]).cast("long") for level in LEVELS if level in levels}
     if place is not None:
         rows = rows.where(reduce(Column.__or__, (own == place for own in ids.values())))
@@ -44,9 +48,34 @@ def _rolled(rows: DataFrame, shape: Shape, columns: dict[str, str], time: str) -
     return both.select(*PLACE, time, *[F.when(leaf, F.col(f"own_{name}").cast("double")).otherwise(F.col(name).cast("double")).alias(name) for name in columns], "weather_main")
 
 
-def series(spark, sf_dir, levels=LEVELS, place: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Hours of all places, or of the one given at each level, from one scan that the bounds reach."""
-    return _rolled(_asked(placed(spark, sf_dir, since, until), levels, place), HOURLY, HOURS, "ts_utc").withColumn("ts_utc", shown("ts_utc"))
+def series(spark, sf_dir, levels=LEVELS, place: int | None = None, since: str | None = None, until: str | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Hours of all places, or of the one given at each level, from one scan that the bounds reach; or from `facts`, if given."""
+    facts = placed(spark, sf_dir, since, until) if facts is None else facts
+    return _rolled(_asked(facts, levels, place), HOURLY, HOURS, "ts_utc").withColumn("ts_utc", shown("ts_utc"))
+
+
+def last_facts(spark, sf_dir, levels=LEVELS, place: int | None = None, until: str = NEXT_HOUR) -> DataFrame:
+    """The facts of the last hour before `until` of each leaf, group and region that is asked for.
+
+    The hours are found from two columns of all rows before `until`, by partial maxima; the facts themselves are read from the earliest
+    of these hours on, and only rows of such hours go on to the aggregates. A place that has been silent for long moves the bound
+    back to its own last hour.
+    """
+    times = table(spark, sf_dir, "events").select(F.col("user_id").alias("ward_id"), F.col("ts").cast("timestamp").alias("ts")).where(F.col("ts") < F.lit(until).cast("timestamp"))
+    leaves = placed(spark, sf_dir, facts=times.groupBy("ward_id").agg(F.date_trunc("hour", F.max("ts")).alias("last")))
+    known(levels)
+    each = leaves
+    for level in levels:
+        if level == "ward":
+            leaves = leaves.withColumn("last_ward", F.col("last"))
+        else:  # groups and regions number a few dozen
+            leaves = leaves.join(F.broadcast(each.groupBy(_KEYS[level]).agg(F.max("last").alias(f"last_{level}"))), _KEYS[level])
+    if place is not None:
+        leaves = leaves.where(reduce(Column.__or__, (F.col(_KEYS[level]) == place for level in levels)))
+    wanted = leaves.select(F.col("ward_id").alias("of"), F.explode(F.array_distinct(F.array(*[f"last_{level}" for level in levels]))).alias("hour"))
+    since = wanted.agg(F.min("hour").cast("string")).first()[0]  # one row
+    rows = observations(spark, sf_dir, since or until, until).join(wanted, (F.col("ward_id") == F.col("of")) & (F.col("ts_utc") == F.col("hour")), "left_semi")
+    return placed(spark, sf_dir, facts=latest_of(rows, ["ward_id", "ts_utc"], ["arrived", "event_id"]))
 
 
 def days(spark, sf_dir, levels=LEVELS, place: int | None = None, since: str | None = None, until: str | None = None) -> DataFrame:

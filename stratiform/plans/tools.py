@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratiform.functions import bands, text
 from stratiform.operators import advice, runs, snapshot
-from stratiform.plans.levels import DAYS_ALL, HOURS, LEVELS, PLACE, RAW_SQL, SERIES_ALL, days, forecast, forecast_sql, raw, series
+from stratiform.plans.levels import DAYS_ALL, HOURS, LEVELS, PLACE, RAW_SQL, SERIES_ALL, days, forecast, forecast_sql, known, last_facts, raw, series
 from stratiform.registry import REGISTRY, query
 from stratiform.sources.roles import AS_OF, NEXT_DAY, NEXT_HOUR, TWO_HOURS_AGO, cities, districts, hourly, rounded, wards
 
@@ -41,7 +41,7 @@ def disp_level_dispatch(spark, sf_dir):
 
 def latest(spark, sf_dir, levels=LEVELS, place: int | None = None) -> DataFrame:
     """The last row of each place up to the reference instant; `fresh` if it is of the last two hours."""
-    rows = series(spark, sf_dir, levels, place, until=NEXT_HOUR)
+    rows = series(spark, sf_dir, levels, place, facts=last_facts(spark, sf_dir, levels, place))
     row = F.max(F.struct("ts_utc", F.struct(*HOURS, "weather_main").alias("r"))).alias("best")
     return rows.groupBy(*PLACE).agg(row).select(*PLACE, "best.ts_utc", "best.r.*").withColumn("fresh", F.col("ts_utc") > TWO_HOURS_AGO)
 
@@ -215,8 +215,7 @@ def get_humidity_timeline(spark, sf_dir, levels=LEVELS, place=None, hours: int =
 SELECT 'district' AS level, district_id::BIGINT AS place_id, ts_utc, alert FROM found UNION ALL SELECT 'ward', ward_id, ts_utc, alert FROM leaves""")
 def get_weather_alerts(spark, sf_dir, levels=("district", "ward"), place=None):
     """Alerts of the next day: of each leaf, of groups by their representative leaf, and of regions by those of their groups."""
-    if unknown := set(levels) - set(LEVELS):
-        raise ValueError(f"levels are {', '.join(LEVELS)}, not {', '.join(sorted(unknown))}")
+    known(levels)
     groups = advice.alerts(advice.representative_facts(spark, sf_dir)).select(F.lit("district").alias("level"), F.col("district_id").cast("long").alias("place_id"), "ts_utc", "alert")
     leaves = advice.alerts(hourly(spark, sf_dir, NEXT_HOUR, NEXT_DAY).where("data_kind = 'forecast'").withColumn("district_id", F.lit(None))).select(F.lit("ward").alias("level"), F.col("ward_id").alias("place_id"), "ts_utc", "alert")
     regions = groups.join(F.broadcast(districts(spark, sf_dir)), F.col("place_id") == F.col("district_id")).select(F.lit("city").alias("level"), F.col("city_id").cast("long").alias("place_id"), "ts_utc", "alert").distinct()  # groups number a few dozen

@@ -79,3 +79,15 @@ def test_activity_profiles(spark):
     assert got["Rain", "su_kien"] == ("uv, rain_danger, wind", "khong_nen") and got["Rain", "chup_anh"] == ("uv, rain, wind, glare", "han_che")
     scores = advice.scored(rows.withColumn("ts_utc", F.lit("t")), [], ["xyz", "chay_bo"]).groupBy("activity").agg(F.sort_array(F.collect_list("score")).alias("s"))
     assert len({tuple(r["s"]) for r in scores.collect()}) == 1  # an unknown activity is judged as a run, hours without a temperature not at all
+
+
+def test_the_last_rows_are_read_from_their_hours_on(spark, tmp_path):
+    found = tools.latest(spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "FileScan" in line and "events.parquet" in line and "props" in line]
+    assert len(wide) == 1 and "GreaterThanOrEqual(ts" in wide[0] and plan.count("Window") == 0
+    own = {(r["level"], r["place_id"]): r["ts_utc"] for r in found.collect()}
+    rows = tools.series(spark, SF, until=tools.NEXT_HOUR).groupBy("level", "place_id").agg(F.max("ts_utc").alias("t")).collect()
+    assert own == {(r["level"], r["place_id"]): r["t"] for r in rows}
+    one = tools.latest(spark, SF, ("district", "city"), place=1).collect()
+    assert {(r["level"], r["ts_utc"]) for r in one} == {(level, t) for (level, place), t in own.items() if place == 1 and level != "ward"}
