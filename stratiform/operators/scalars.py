@@ -76,13 +76,6 @@ def fn_compare_now(spark, sf_dir):
     return a.join(b, F.col("b.district_id") == F.col("a.district_id") + 1).select(F.col("a.district_id").alias("first"), F.col("b.district_id").alias("second"), *[rounded(gap(c), 1).alias(name) for c, name in names.items()], verdict.alias("verdict"))
 
 
-@query(SERIES_SQL + "SELECT city_id, ts_utc, CASE WHEN abs(avg_clouds - lag(avg_clouds) OVER w) >= 10 THEN 'clouds' WHEN abs(avg_rain_1h - lag(avg_rain_1h) OVER w) >= 0.1 THEN 'rain' WHEN abs(avg_wind_speed - lag(avg_wind_speed) OVER w) >= 1 THEN 'wind' ELSE 'none' END AS change FROM series WINDOW w AS (PARTITION BY city_id ORDER BY ts_utc)")
-def fn_change_text(spark, sf_dir):
-    window = Window.partitionBy("city_id").orderBy("ts_utc")
-    moved = lambda c, least: F.abs(F.col(c) - F.lag(c).over(window)) >= least
-    return agg_city_hourly(spark, sf_dir).select("city_id", "ts_utc", F.when(moved("avg_clouds", 10), "clouds").when(moved("avg_rain_1h", 0.1), "rain").when(moved("avg_wind_speed", 1), "wind").otherwise("none").alias("change"))
-
-
 @query(HOURLY_SQL + "SELECT city_id, ts_utc::DATE::VARCHAR AS date, weather_main FROM placed GROUP BY city_id, ts_utc::DATE, weather_main QUALIFY row_number() OVER (PARTITION BY city_id, ts_utc::DATE ORDER BY count(*) DESC, weather_main) = 1")
 def agg_mode(spark, sf_dir):
     return mode_of(placed(spark, sf_dir).withColumn("date", F.to_date("ts_utc").cast("string")), ["city_id", "date"], "weather_main")

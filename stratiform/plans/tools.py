@@ -111,6 +111,26 @@ def compare_weather(spark, sf_dir, pairs: DataFrame | None = None):
     return _compared(now, pairs, {"temp": 1, "humidity": 1, "clouds": 1, "rain_1h": 1, "wind_speed": 1}, [])
 
 
+# What is told of two places' difference: its words, unit, digits, and the least difference that is told.
+CHANGES = (("temp", "chênh nhiệt độ", "°C", 1, 0), ("humidity", "chênh độ ẩm", "%", 0, 0), ("clouds", "chênh mây", "%", 0, 10), ("rain_1h", "chênh cường độ mưa", " mm/h", 2, 0.1), ("wind_speed", "chênh gió", " m/s", 1, 1))
+
+
+def _change_sql(name: str, words: str, unit: str, digits: int, least: float) -> str:
+    gap = f"(round(a.{name} - b.{name} + 1e-9, 1) + 0.0)"
+    return f"CASE WHEN abs({gap}) >= {least} THEN '{words} ' || printf('%+.{digits}f', round({gap}, {digits})) || '{unit}' END"
+
+
+@query(_LATEST + f"""SELECT a.level, a.place_id AS first, b.place_id AS second, array_to_string(list_filter([{', '.join(_change_sql(*c) for c in CHANGES)}], lambda x: x IS NOT NULL), '; ') AS text
+FROM raw a JOIN raw b ON a.level = b.level AND b.place_id = a.place_id + 1""")
+def fn_change_text(spark, sf_dir):
+    """The difference of two places now in words: temperature and humidity always, clouds, rain and wind from their least values on."""
+    said = []
+    for name, words, unit, digits, least in CHANGES:
+        gap = F.col(f"{name}_diff") + 0.0
+        said.append(F.when(F.abs(gap) >= least, F.concat(F.lit(f"{words} "), F.format_string(f"%+.{digits}f", F.round(gap, digits)), F.lit(unit))))
+    return compare_weather(spark, sf_dir).select("level", "first", "second", F.array_join(F.array_compact(F.array(*said)), "; ").alias("text"))
+
+
 def _compared(rows: DataFrame, pairs: DataFrame | None, columns: dict[str, int], also: list[str]) -> DataFrame:
     first = rows.select("level", F.col("place_id").alias("first"), *also, *[F.col(c).alias(f"__a_{c}") for c in columns])
     second = rows.select("level", F.col("place_id").alias("second"), *also, *[F.col(c).alias(f"__b_{c}") for c in columns])
