@@ -38,7 +38,8 @@ TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 60, 4, 0.15, 32, 10, 1.0
 #: Smoothing of suffix rates towards the overall rate, in hosts.
 SMOOTHING = 5.0
 #: The keys of the suffix statistics: the host's last label, its last two, the path's ending, and where the path begins.
-KEYS = ("last_label", "last_two_labels", "ending", "first_segment")
+#: Suffix keys, and what their values begin with.
+KEYS = {"last_label": "1:", "last_two_labels": "2:", "ending": "e:", "first_segment": "p:"}
 #: URLs whose features are computed together.
 STEP = 4096
 
@@ -73,10 +74,10 @@ def keys_of(host: Column, path: Column) -> dict[str, Column]:
     last = F.regexp_extract(path, "(?s)([^/]*)$", 1)
     ending = F.when(last == "", "/").when(F.contains(last, F.lit(".")), F.regexp_extract(last, "(?s)([^.]*)$", 1)).otherwise("")
     return {
-        "last_label": F.concat(F.lit("1:"), F.regexp_extract(host, "(?s)([^.]*)$", 1)),
-        "last_two_labels": F.concat(F.lit("2:"), F.regexp_extract(host, "(?s)((?:[^.]*\\.)?[^.]*)$", 1)),
-        "ending": F.concat(F.lit("e:"), ending),
-        "first_segment": F.concat(F.lit("p:"), F.regexp_extract(path, "^/*([^/]*)", 1)),
+        "last_label": F.concat(F.lit(KEYS["last_label"]), F.regexp_extract(host, "(?s)([^.]*)$", 1)),
+        "last_two_labels": F.concat(F.lit(KEYS["last_two_labels"]), F.regexp_extract(host, "(?s)((?:[^.]*\\.)?[^.]*)$", 1)),
+        "ending": F.concat(F.lit(KEYS["ending"]), ending),
+        "first_segment": F.concat(F.lit(KEYS["first_segment"]), F.regexp_extract(path, "^/*([^/]*)", 1)),
     }
 
 
@@ -231,17 +232,21 @@ def parsed(df: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "
 
 @dataclass
 class Model:
-    """Trees, if both classes are known; the overall block rate; (key, total, hosts): the suffix statistics."""
+    """Trees, if both classes are known; the overall block rate; by kind of key (key, total, hosts), the suffix statistics.
+
+    Each kind is a table of its own. So the few top-level domains, whose rows are the hottest keys of all, stay below the size up to
+    which Spark broadcasts a table, however many first segments there are.
+    """
 
     trees: Trees | None
     base: float
-    suffixes: DataFrame
+    suffixes: dict[str, DataFrame]
 
 
-def rated(urls: DataFrame, suffixes: DataFrame, base: float, own: DataFrame | None = None) -> DataFrame:
+def rated(urls: DataFrame, suffixes: dict[str, DataFrame], base: float, own: DataFrame | None = None) -> DataFrame:
     """`urls` with the rate of each suffix; `own` (key, host, rate) is what a URL's own host gives, and is left out."""
     for key in KEYS:
-        stats = suffixes.select(F.col("key").alias(key), F.col("total").alias("__total"), F.col("hosts").alias("__hosts"))
+        stats = suffixes[key].select(F.col("key").alias(key), F.col("total").alias("__total"), F.col("hosts").alias("__hosts"))
         urls = urls.join(stats, key, "left")
         total, hosts = F.coalesce("__total", F.lit(0.0)), F.coalesce("__hosts", F.lit(0))
         if own is not None:
@@ -256,7 +261,8 @@ def train(labelled: DataFrame) -> Model:
     urls = written(labelled.groupBy("url", "host", "path", "query", "blocked", *KEYS).agg(F.count(F.lit(1)).alias("n")), "labelled")
     by_host = urls.select("host", "n", "blocked", F.explode(F.array(*KEYS)).alias("key")).groupBy("key", "host")
     own = written(by_host.agg((F.sum(F.col("n") * F.col("blocked")) / F.sum("n")).alias("rate")), "own")
-    suffixes = written(own.groupBy("key").agg(F.sum("rate").alias("total"), F.count(F.lit(1)).alias("hosts")), "suffixes")
+    sums = own.groupBy("key").agg(F.sum("rate").alias("total"), F.count(F.lit(1)).alias("hosts"))
+    suffixes = {key: written(sums.where(F.col("key").startswith(start)), f"suffixes_{key}") for key, start in KEYS.items()}
     total = urls.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") * F.col("blocked")), F.lit(0)).alias("blocked")).first()
     if total["blocked"] in (0, total["n"]):
         return Model(None, float(total["blocked"] > 0), suffixes)

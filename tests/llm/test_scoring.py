@@ -137,7 +137,7 @@ def test_suffix_statistics_cover_all_and_leave_the_own_host_out(spark):
     rows = [(i, f"http://h{i % 7}.s{i}.t{i % 3}/p{i}.e{i % 5}") for i in range(60)]
     known = urls.parsed(spark.createDataFrame(rows, "page_id long, url string")).withColumn("blocked", (F.col("id") % 2).cast("int"))
     model = urls.train(known)
-    got = {r["key"]: (r["total"], r["hosts"]) for r in model.suffixes.collect()}
+    got = {r["key"]: (r["total"], r["hosts"]) for kind in model.suffixes.values() for r in kind.collect()}
     assert got["1:t0"] == (10, 20) and got["2:s5.t2"] == (1, 1) and got["e:e3"] == (6, 12) and len(got) == 3 + 60 + 5 + 60
     assert model.base == 0.5 and {r["blocked"] for r in known.collect()} == {0, 1}
 
