@@ -1,13 +1,12 @@
-"""Level dispatch, calendars, caches and calibration fits."""
+"""Scans, look-ups, calendars and activity templates."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratiform.operators.evaluation import _ROWS, rows
 from stratiform.registry import query
-from stratiform.sources.roles import AS_OF, HOURLY_SQL, hourly, rounded, shown, table, wards
+from stratiform.sources.roles import HOURLY_SQL, rounded, shown, table, wards
 
 
 @query("SELECT c_custkey AS ward_id, c_name AS ward_name FROM customer")

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from stratiform.functions import bands, text
 from stratiform.operators.advice import _band, _rowwise
-from stratiform.operators.rollup import DAILY_SQL, _daily_sql, agg_city_hourly, circular_mean, days_of, group_days, mode_of
-from stratiform.operators.runs import FORECAST_SQL, SERIES_SQL, forecast_series
-from stratiform.operators.snapshot import _LATEST_CTE, latest_groups, scored_names
-from stratiform.operators.snapshot import _SCORED
+from stratiform.operators.rollup import DAILY_SQL, _daily_sql, circular_mean, days_of, group_days, mode_of
+from stratiform.operators.runs import FORECAST_SQL, forecast_series
+from stratiform.operators.snapshot import _LATEST_CTE, latest_groups
 from stratiform.registry import query
 from stratiform.sources.roles import AS_OF, HOURLY_SQL, NEXT_HOUR, cities, civil, districts, hourly, placed, rounded, shown, table, wards
 

@@ -12,11 +12,11 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratiform.functions import bands, text
+from stratiform.functions import bands
 from stratiform.operators import advice, runs, snapshot
 from stratiform.plans.levels import DAYS_ALL, HOURS, LEVELS, PLACE, RAW_SQL, SERIES_ALL, days, forecast, forecast_sql, known, last_facts, raw, series
 from stratiform.registry import REGISTRY, query
-from stratiform.sources.roles import AS_OF, NEXT_DAY, NEXT_HOUR, TWO_HOURS_AGO, cities, districts, hourly, rounded, wards
+from stratiform.sources.roles import AS_OF, NEXT_DAY, NEXT_HOUR, TWO_HOURS_AGO, districts, hourly, rounded
 
 TODAY = AS_OF[:10]
 
