@@ -30,8 +30,9 @@ BLOCK = 256
 SEEK_FRAMES = 16
 LPC_ORDER, LPC_BITS = 4, 10
 RATE = 44_100
-#: Bytes of content that are encoded or decoded at a time: texts together, and of a longer one blocks of frames after each other.
-BATCH_BYTES = 400_000
+#: Bytes of texts that are encoded or decoded together, and bytes of a longer text whose frames are. The latter is larger, so that short
+#: texts together are one block, whatever their last frames add.
+BATCH_BYTES, FRAME_BYTES = 400_000, 1_600_000
 #: Samples whose bytes are made at a time.
 PCM_SAMPLES = 1 << 20
 
@@ -189,7 +190,7 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     starts = offsets[:-1][owner] + numbers * BLOCK
     n = np.minimum(BLOCK, offsets[1:][owner] - starts)
     # Frames do not depend on each other, so those of a long content are made in blocks.
-    step, coded, frame_sizes = BATCH_BYTES // BLOCK, [], [np.zeros(0, np.int64)]
+    step, coded, frame_sizes = FRAME_BYTES // BLOCK, [], [np.zeros(0, np.int64)]
     for f in range(0, len(owner), step):
         block, at = _frames(data, starts[f : f + step], n[f : f + step], numbers[f : f + step])
         coded.append(block.tobytes())
@@ -489,7 +490,7 @@ def _decode(streams: list[bytes], skip: frozenset[int] = frozenset()) -> list[di
         # A frame goes up to the next one of its stream.
         until = np.where(np.append(owner[1:], -1) == owner, np.append(begin[1:], 0), np.array(base[1:])[owner])
         channels = np.where(channel < 8, channel + 1, 2)
-        parts = [_samples(data, *(c[lo:hi] for c in (begin, until, n, channel, channels, depth, body)), int(channels.max())) for lo, hi in slices(np.append(begin, until[-1]), BATCH_BYTES)]
+        parts = [_samples(data, *(c[lo:hi] for c in (begin, until, n, channel, channels, depth, body)), int(channels.max())) for lo, hi in slices(np.append(begin, until[-1]), FRAME_BYTES)]
         whole = np.concatenate([w for w, _ in parts])
         samples = [np.concatenate([x[c] for _, x in parts]) for c in range(int(channels.max()))]
         firsts_of = np.append(0, np.cumsum(n))
