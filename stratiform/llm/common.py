@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ MIN_CHUNKS = 256
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Folders of the tables that `written` made.
+#: Folders of the tables that `written` made, and the folder of each that is still in use.
 _TABLES: list[str] = []
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,15 +58,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     if not _TABLES:
         atexit.register(release, spark)
-    _TABLES.append(path.rpartition("/")[0])
-    return spark.read.schema(df.schema).parquet(path)
+    folder = path.rpartition("/")[0]
+    _TABLES.append(folder)
+    table = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave and of which everything that is read from them is written by now."""
+    for table in tables:
+        folder = _FOLDERS.pop(table, None)
+        if folder in _TABLES:
+            _TABLES.remove(folder)
+            _delete(table.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables of all results so far, which can be read no more: a long session calls it between queries."""
     while _TABLES and spark.sparkContext._jsc is not None:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, _TABLES.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def own_names(counts: bool = False) -> Callable:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.common import own_names, utf8, written
+from stratiform.llm.common import discard, own_names, utf8, written
 
 #: Lines of the shortest run that counts as repeated, and bytes from which fewer lines count too.
 RUN, LONG = 3, 50
@@ -108,9 +108,13 @@ def repeats(df: DataFrame, run: int = RUN, id_col: str = "doc_id", text_col: str
     # Written, so that both joins have plain tables on both sides and a hot key can be split.
     several = written(found.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line"), "several")
     single = written(found.join(several, "line").select("doc", "tag", F.inline("windows")), "windows")
-    firsts = single.groupBy("a", "b").agg(F.min(F.expr(_PLACE)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
-    matches = single.join(written(firsts, "firsts"), ["a", "b"]).where(F.expr(f"{_PLACE} > first"))
-    return matches.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "size")).alias("matches"))
+    discard(found, several)
+    firsts = written(single.groupBy("a", "b").agg(F.min(F.expr(_PLACE)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first"), "firsts")
+    matches = single.join(firsts, ["a", "b"]).where(F.expr(f"{_PLACE} > first"))
+    # Written, so that the tables before it are gone when the texts are dealt.
+    out = written(matches.groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "size")).alias("matches")), "matches")
+    discard(single, firsts)
+    return out
 
 
 @own_names(counts=True)

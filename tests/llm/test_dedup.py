@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratiform.llm import graph, lines, registry, shingles, simhash, suffixes
+from stratiform.llm import common, graph, lines, registry, shingles, simhash, suffixes
 from tests import oracle
 from tests.llm import cases
 
@@ -122,6 +122,13 @@ def test_winnowing_never_misses_a_run():
             assert set(at[0]) == set(at[1])
 
 
+def test_line_dedup_leaves_only_the_matches_when_texts_are_dealt(spark):
+    """Of its scratch tables those that are read no more are gone before the texts move."""
+    before = set(common._TABLES)
+    lines.repeats(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert len(set(common._TABLES) - before) == 1
+
+
 def test_simhash_matches_brute_force(spark):
     for df in (cases.table(spark), spark.read.parquet(f"{SF}/documents.parquet")):
         prints = [(d, cases.fingerprint(t)) for d, t in pairs(df)]
