@@ -1,8 +1,12 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of `BANDS` keys, each made of `ROWS` min-wise hashes of the set; a pair at the least similarity
-shares none with a chance of (1 - 0.8^5)^20, about 0.0004. Fingerprints of 64 bits do not reach that far: such pairs
-differ by up to about 12 bits, for which a grid of segment groups needs thousands of cells for each fingerprint.
+SimHash comes first, by the operator's own steps (`simhash`): the sets' fingerprints, their segments' bit counts, the range join on
+the grid, and an exact check, here of the sets' similarity. The grid holds every pair at 4 bits or fewer. Its cells hold
+many that differ by more, up to `REACH`, and those are checked too: a pair at the least similarity differs by about 10 bits and by
+no more than 16 with a chance of 0.99, but only one in five such pairs shares a cell.
+
+The rest is found exactly by min-wise hashes, among sets that no link joins yet. Candidates share one of `BANDS` keys, each made of
+`ROWS` min-wise hashes of the set; a pair at the least similarity shares none with a chance of (1 - 0.8^5)^20, about 0.0004.
 
 Equal sets meet only once, and only sets that share a key with another are looked at. In two rounds some sets stand for
 their key, one at first and then four, and are compared, exactly, with those of the key's other sets that no component
@@ -27,13 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.common import own_names, written
+from stratiform.llm.common import discard, own_names, written
 from stratiform.llm.graph import components, keep_one, labelled, place
+from stratiform.llm.simhash import STEP as PRINT_STEP
+from stratiform.llm.simhash import links as grid_links
+from stratiform.llm.simhash import majority
 
 SHINGLE_WORDS, SEED = 5, 42
 #: Least Jaccard similarity, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 20, 5
+#: Bits in which the fingerprints of a cell may differ, to be compared.
+REACH = 16
 #: Shingles whose min-wise hashes are taken at a time.
 STEP = 4096
 #: Sets of a block.
@@ -65,17 +74,23 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least)], np.uint64).view(np.int64)
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The SimHash fingerprint of a set of shingles; that of an empty one is 0."""
+    return majority((own[at : at + PRINT_STEP].tobytes() for at in range(0, len(own), PRINT_STEP)), len(own))
+
+
 def _marks(docs: DataFrame) -> DataFrame:
-    """(id, tag, h, size, bands): `h` stands for the set of shingles."""
+    """(id, tag, h, size, fp, bands): `h` stands for the set of shingles, `fp` is its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             h = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "tag", "h", "size", "bands"])
+            fps = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(h), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["id", "tag", "h", "size", "fp", "bands"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, tag long, h long, size long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, tag long, h long, size long, fp long, bands array<long>")
 
 
 def _sets(docs: DataFrame, each: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -110,16 +125,36 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("u", "v", "cu", "cv", "a", "b").mapInArrow(compare, "u long, v long, cu long, cv long")
 
 
+def near_prints(each: DataFrame) -> DataFrame:
+    """(u, v): pairs of the sets `each` (h, size, fp) by SimHash: those of equal fingerprints, as a star, and those that span what
+    the grid joins of fingerprints within `REACH` bits, one set for each."""
+    top, bottom = SIMILAR
+    able = each.where("size > 0").select("h", "size", "fp")
+    first = written(able.groupBy("fp").agg(F.min(F.struct("h", "size")).alias("r")).select("fp", F.col("r.h").alias("rep"), F.col("r.size").alias("rep_size")), "prints")
+    met = written(grid_links(first, REACH), "grid").distinct()
+    one, two = (first.select(F.col("fp").alias(fp), F.col("rep").alias(h), F.col("rep_size").alias(size)) for fp, h, size in (("u", "a", "m"), ("v", "b", "n")))
+    near = met.join(one, "u").join(two, "v").select("a", "m", "b", "n")
+    equal = able.join(first, "fp").where("h <> rep").select(F.col("h").alias("a"), F.col("size").alias("m"), F.col("rep").alias("b"), F.col("rep_size").alias("n"))
+    found = near.union(equal).where(F.least("m", "n") * bottom >= F.greatest("m", "n") * top)
+    return written(found.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near")
+
+
 def trees(docs: DataFrame, each: DataFrame) -> DataFrame:
-    """(node, root): the component of each of the sets `each` (h, place, size, bands) of `docs` (id, tag, text) that shares a key."""
+    """(node, root): the component of each of the sets `each` (h, place, size, fp, bands) of `docs` (id, tag, text) that meets another."""
     top, bottom = SIMILAR
+    near = near_prints(each)
     keyed = each.select("h", "size", F.explode("bands").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     pairs = written(keyed.join(shared, "key").select("key", "h", "size", "n"), "pairs")
     known = written(pairs.groupBy("h").agg(F.sum("n").alias("met")), "met")
     left = written(pairs.drop("n").join(known, "h").select("key", "h", "size", "met", F.col("h").alias("c")), "left")
-    roots = known.select(F.col("h").alias("node"), F.col("h").alias("root"))
-    sets = _sets(docs, each, known.select("h"))
+    discard(shared, pairs)
+    nodes = written(known.select("h").union(near.select("u")).union(near.select("v")).distinct(), "nodes")
+    sets = _sets(docs, each, nodes)
+    alike = written(_similar(near.select("u", "v", F.col("u").alias("cu"), F.col("v").alias("cv")), sets), "links")
+    roots, left = _joined(nodes.select(F.col("h").alias("node"), F.col("h").alias("root")), left, alike.select("cu", "cv"))
+    if left.isEmpty():
+        return roots
     for turn in range(2):
         slot = F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(4**turn))
         stand = written(left.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("met", "h", "size", "c")).alias("r")).select("key", F.col("r.h").alias("rep"), F.col("r.size").alias("rep_size"), F.col("r.c").alias("rep_c")), "stand")
@@ -130,7 +165,9 @@ def trees(docs: DataFrame, each: DataFrame) -> DataFrame:
         roots, left = _joined(roots, left, found.select("cu", "cv"))
         if left.isEmpty():
             return roots
-    return _joined(roots, left, _met(left, sets))[0]
+    links = _met(left, sets)
+    discard(sets)
+    return _joined(roots, left, links)[0]
 
 
 def _joined(roots: DataFrame, left: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -191,7 +228,7 @@ def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tag, least): the least place of each row's component."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     marks = written(_marks(docs), "marks")
-    each = written(marks.groupBy("h").agg(F.min(place("id", "tag")).alias("place"), F.first("size").alias("size"), F.first("bands").alias("bands")), "different")
+    each = written(marks.groupBy("h").agg(F.min(place("id", "tag")).alias("place"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "different")
     labels = labelled(each.select(F.col("h").alias("node"), "place"), trees(docs, each))
     return marks.join(labels.withColumnRenamed("node", "h"), "h").select("id", "tag", "least")
 

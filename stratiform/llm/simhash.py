@@ -16,7 +16,7 @@ is then null; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -49,10 +49,15 @@ def fingerprint(text: str | None) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[: n - 1]]).tolist()
     stops = (ends[SHINGLE_WORDS - 1 :] - 1).tolist()
-    set_bits = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
-    for lo in range(0, n, STEP):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + STEP], stops[lo : lo + STEP], strict=True)])
+    parts = (b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[lo : lo + STEP], stops[lo : lo + STEP], strict=True)]) for lo in range(0, n, STEP))
+    return majority(parts, n)
+
+
+def majority(parts: Iterable[bytes], n: int) -> int:
+    """The number whose bits are those set in over half of the `n` 64-bit hashes that the parts hold."""
+    set_bits = np.zeros(64, np.int64)
+    for hashes in parts:
         set_bits += np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64).sum(0, dtype=np.uint32)
     return int.from_bytes(np.packbits(set_bits * 2 > n).tobytes(), "big")
 

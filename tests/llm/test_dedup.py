@@ -230,6 +230,21 @@ def test_near_copies_that_all_share_one_key(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in shingles.near_copies(df).collect()} == _similar(pairs(df))
 
 
+def test_pipeline_joins_near_copies_by_simhash(spark, monkeypatch):
+    """Without any min-wise key the grid of fingerprints still joins all within 4 bits, and only what is similar."""
+    monkeypatch.setattr(shingles, "bands", lambda own: np.zeros(0, np.int64))
+    texts = _near_texts()
+    prints = {d: shingles.fingerprint(shingles.shingles(t)) for d, t in texts}
+    whole = _similar(texts)
+    sets = {d: set(shingles.shingles(t).tolist()) for d, t in texts}
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 4 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert near
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(df).collect()}
+    assert all(got[a] == got[b] for a, b in near) and len(got) - len(set(got.values())) > len(near) and all(whole[d] == whole[c] for d, c in got.items())
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()} == set(got.values())
+
+
 def test_pipeline_drops_texts_that_share_four_fifths_of_their_shingles(spark):
     words = [f"w{i}" for i in range(204)]
     texts = [words, [*words[:50], "x", *words[51:120], "y", *words[121:]], [w if i % 20 else f"z{i}" for i, w in enumerate(words)]]
