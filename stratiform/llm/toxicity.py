@@ -29,6 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ PER_CLASS = (4000, 4000)
 CAUTION, RELEVANCE = 2.0, 2.0
 BLOCK, NEIGHBOURS, COMMON = 64, 15, 32
 #: Blocks that each query visits before the rest is held against its best so far, and queries that go together.
-LEAD, TOGETHER = 16, 64
+LEAD, TOGETHER = 16, 256
 #: Words that are counted together.
 WORDS = 1_000_000
 #: More than the error of the common terms' sums, which are in single precision; cosines are not.
@@ -157,44 +158,66 @@ class Index:
         on = number >= 0
         dense = np.zeros((m, len(self.common)), np.float32)
         dense[owner[on], number[on]] = weights[on]
-        scores = (dense @ self.common).astype(np.float64)
+        scores = dense @ self.common
         owner, terms, weights = owner[~on], terms[~on], weights[~on]
         a, z = self.cells[terms], self.cells[terms + 1]
         own, times, owner = _ranges(a, z), np.repeat(weights, z - a), np.repeat(owner, z - a)
         spot = owner * self.blocks + self.block[own]
         bounds = scores.reshape(m, self.blocks, BLOCK).max(2) + np.bincount(spot, times * self.most[own], m * self.blocks).reshape(m, self.blocks) + SLACK
-        visited = np.zeros((m, self.blocks), bool)
-        lead = np.argpartition(-bounds, LEAD, 1)[:, :LEAD] if self.blocks > LEAD else np.broadcast_to(np.arange(self.blocks), (m, self.blocks))
-        now = np.zeros_like(visited)
-        np.put_along_axis(now, lead, True, 1)
-        scores[:, len(self.labels) :] = -1
+        scores[:, len(self.labels) :] = -2
         for i, skip in enumerate(skips):
             if skip >= 0:
-                scores[i, skip] = -1
-        for last in (False, True):
-            # The rare terms of the blocks that are visited now.
-            chosen = np.flatnonzero(now.ravel()[spot])
+                scores[i, skip] = -2
+        cells = scores.reshape(-1, BLOCK)
+
+        def visit(pairs: np.ndarray) -> np.ndarray:
+            """The scores of the examples of the (query, block) pairs: the common terms' and now the rare ones' too."""
+            slot = np.full(m * self.blocks, -1, np.int32)
+            slot[pairs] = np.arange(len(pairs), dtype=np.int32)
+            at = slot[spot]
+            chosen = np.flatnonzero(at >= 0)
             lo, hi = self.first[own[chosen]], self.last[own[chosen]]
             rows = _ranges(lo, hi)
-            places = np.repeat(owner[chosen] * width, hi - lo) + self.example[rows]
-            scores += np.bincount(places, self.weight[rows] * np.repeat(times[chosen], hi - lo), m * width).reshape(m, width)
-            visited |= now
-            seen = np.where(np.repeat(visited, BLOCK, 1), scores, -1.0)
-            least = np.partition(seen, -k, 1)[:, -k] if width >= k else np.full(m, -1.0)
-            now = ~visited & (bounds >= np.maximum(least, 2 * SLACK)[:, None])
-            if not now.any():
-                break
-        for i, skip in enumerate(skips):
-            able = np.flatnonzero(seen[i] >= max(least[i] - SLACK, 0))
-            yield self._exact(*queries[i], able, k)
+            places = np.repeat(at[chosen] * BLOCK, hi - lo) + self.example[rows] % BLOCK
+            rare = np.bincount(places, self.weight[rows] * np.repeat(times[chosen], hi - lo), len(pairs) * BLOCK)
+            return cells[pairs] + rare.reshape(-1, BLOCK).astype(np.float32)
+
+        n = min(LEAD, self.blocks)
+        lead = np.argpartition(-bounds, n - 1, 1)[:, :n] + np.arange(m)[:, None] * self.blocks
+        seen = visit(lead.ravel()).reshape(m, -1)
+        least = np.partition(seen, -k, 1)[:, -k] if seen.shape[1] >= k else np.full(m, -1.0)
+        able = bounds >= np.maximum(least, 2 * SLACK)[:, None]
+        able.ravel()[lead.ravel()] = False
+        rest = np.flatnonzero(able)
+        # What may be among the best: of the first blocks, and of the others by query.
+        least = np.maximum(least - SLACK, 0)
+        owner, at = np.nonzero(seen >= least[:, None])
+        some, found = [seen[owner, at]], [(lead[owner, at // BLOCK] % self.blocks) * BLOCK + at % BLOCK]
+        owners = [owner]
+        if len(rest):
+            more = visit(rest)
+            pair, at = np.nonzero(more >= least[rest // self.blocks, None])
+            some, found, owners = [*some, more[pair, at]], [*found, rest[pair] % self.blocks * BLOCK + at], [*owners, rest[pair] // self.blocks]
+        some, found, owner = np.concatenate(some), np.concatenate(found), np.concatenate(owners)
+        order = np.lexsort((found, owner))
+        some, found, edges = some[order], found[order], np.searchsorted(owner[order], np.arange(m + 1)).tolist()
+        for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            top, among = some[lo:hi], found[lo:hi]
+            if len(top) > k:
+                among = among[top >= np.partition(top, -k)[-k] - SLACK]
+            yield self._exact(*queries[i], among, k)
 
     def _exact(self, terms: np.ndarray, weights: np.ndarray, able: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest of the examples `able`, by cosines of full precision."""
+        if not len(able):
+            return able, np.zeros(0)
+        a, z = self.edges[able], self.edges[able + 1]
+        parts = [slice(*ends) for ends in zip(a.tolist(), z.tolist(), strict=True)]
         self.scratch[terms] = weights
-        spots = _ranges(self.edges[able], self.edges[able + 1])
-        owner = np.repeat(np.arange(len(able)), self.edges[able + 1] - self.edges[able])
-        sims = np.bincount(owner, self.weights[spots] * self.scratch[self.terms[spots]], len(able))
+        each = self.scratch[np.concatenate([self.terms[part] for part in parts])]
         self.scratch[terms] = 0
+        each *= np.concatenate([self.weights[part] for part in parts])
+        sims = np.bincount(np.repeat(np.arange(len(able)), z - a), each, len(able))
         hit = sims > 0
         able, sims = able[hit], sims[hit]
         best = np.lexsort((able, -np.round(sims, 12)))[:k]
@@ -261,8 +284,8 @@ def _vectors(texts: DataFrame, terms: list[str], id_col: str, text_col: str) ->
         for batch in batches:
             done, said, sizes, held = 0, [], [], 0
             for i, text in enumerate(batch.column(2), 1):
-                own = [names.get(w, -1) for w in _WORD.findall((text.as_py() or "").lower())]
-                said.append(np.array(own, np.int64))
+                own = _WORD.findall((text.as_py() or "").lower())
+                said.append(np.fromiter(map(names.get, own, repeat(-1)), np.int64, len(own)))
                 sizes.append(len(own))
                 held += len(own)
                 if i == batch.num_rows or held > WORDS:

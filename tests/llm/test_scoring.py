@@ -57,6 +57,14 @@ def test_nearest_examples_by_rare_and_common_terms_equal_brute_force():
         assert found.tolist() == best.tolist() and np.allclose(sims, want[best])
 
 
+def test_an_example_of_words_that_no_other_has_is_not_its_own_neighbour():
+    vectors = [(np.array([i]), np.ones(1)) for i in range(100)]
+    index = toxicity.Index(vectors, np.arange(100) % 2, list(range(100)), np.ones(2), 100, [True] * 100)
+    for skip in range(100):
+        found, _ = index.nearest(*vectors[index.ids[skip]], 3, skip)
+        assert not len(found)
+
+
 def test_isotonic_rates_rise():
     x, rate = toxicity.isotonic(np.array([0.0, 0.1, 0.1, 0.5, 0.9]), np.array([0.0, 1.0, 0.0, 0.0, 1.0]), np.ones(5))
     assert (np.diff(rate) >= 0).all() and rate[0] == 0 and rate[-1] == 1 and len(x) == len(rate)
