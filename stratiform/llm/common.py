@@ -23,6 +23,8 @@ CHUNK_ROWS = 50_000
 MIN_CHUNKS = 256
 #: Shuffle files of a query go when it ends: what it made is in the table by then.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Whether the operators of a stage are compiled as one method.
+WHOLE_STAGE = "spark.sql.codegen.wholeStage"
 
 
 #: Folders of the tables that `written` made, and the folder of each that is still in use.
@@ -43,19 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, whole_stage: bool = True) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read again: cuts the lineage, and survives lost executors.
 
-    The table goes with `release`, or when the driver ends.
+    The table goes with `release`, or when the driver ends. Without `whole_stage` Spark generates a small method for each few
+    expressions instead of one for all: compiling a method of many long expressions can take far more memory than running it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stratiform-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true"} | ({} if whole_stage else {WHOLE_STAGE: "false"})
+    before = {key: spark.conf.get(key, None) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     if not _TABLES:
         atexit.register(release, spark)
     folder = path.rpartition("/")[0]
