@@ -4,8 +4,9 @@ Each text is parsed into phrases (`parsing`): every `SPAN`-byte window lies in o
 phrases with the same trigger string. The distinct phrases are the dictionary, the phrases of each document the parse.
 
 1. Parse. A phrase that also occurs in a document with a smaller id loses all its bytes. Phrases are dealt by
-   trigger; where a trigger has one phrase only, nothing more can match.
-2. Dictionary. Phrases whose trigger has others too send their bytes to the trigger's bucket. There the windows are
+   trigger. Of a window that two phrases share, the half before the trigger or the half after it reaches `REACH` bytes
+   beyond it, so a phrase that has neither of these stretches in common with another one can match nothing more.
+2. Dictionary. Phrases that do share a stretch send their bytes to the trigger's bucket. There the windows are
    the dictionary's suffixes, cut at `SPAN` bytes because only equality to that length counts. Sorted bytewise, with
    the documents of the parse as the second key, they are the bucket's share of the corpus order; neighbours that
    share `SPAN` bytes are the repeats, and all but those of the smallest document lose their bytes.
@@ -32,9 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from stratiform.llm.common import grouped, own_names, planes, starts_of, unplanes, utf8, written
-from stratiform.llm.parsing import gram_hash, mix, phrases, string_hash, words_at
+from stratiform.llm.parsing import GRAM, gram_hash, mix, phrases, string_hash, words_at
 
 SPAN = 50
+#: Bytes beside a trigger that each window has on one side of it at least.
+REACH = (SPAN - GRAM) // 2
 #: Bytes of text that are parsed together.
 GROUP_BYTES = 8 << 20
 #: Distinct phrases of a trigger in one group beyond which it is hot.
@@ -124,7 +127,7 @@ def _columns(held: list[tuple[int, memoryview, int]], kind: int, widths: tuple[i
 
 # ---------------------------------------------------------------- step 1: the parse
 
-_PHRASE = (6, 6, 8, 4, 4, 1)  # trigger, phrase, doc, tag, lo, windows
+_PHRASE = (6, 6, 8, 4, 4, 1, 3, 3)  # trigger, phrase, doc, tag, lo, windows, sides
 _LOCAL = (8, 4, 4, 4)  # doc, tag, lo, hi
 
 
@@ -141,6 +144,24 @@ def _first_here(order: np.ndarray, new: np.ndarray, doc: np.ndarray) -> np.ndarr
     return out
 
 
+def _sides(words: np.ndarray, lo: np.ndarray, last: np.ndarray, trigger: np.ndarray) -> list[np.ndarray]:
+    """24-bit hashes of each phrase's trigger with the `REACH` bytes before it, and with those after it; 0 where no window has them."""
+    out = []
+    for there, before, after in ((trigger - lo >= REACH, REACH, 0), (trigger - last <= SPAN - GRAM - REACH, 0, REACH)):
+        side, rows = np.zeros(len(lo), np.uint64), np.flatnonzero(there)
+        for a in range(0, len(rows), 1 << 16):
+            k = rows[a : a + (1 << 16)]
+            side[k] = np.maximum(string_hash(words, trigger[k] - before, trigger[k] + GRAM + after, GRAM + REACH) >> np.uint64(40), np.uint64(1))
+        out.append(side)
+    return out
+
+
+def _in_common(of: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """For different phrases, `of` being their triggers' numbers: whether another one of the trigger has the side too."""
+    _, at, n = np.unique(of.astype(np.uint64) << np.uint64(24) | side, return_inverse=True, return_counts=True)
+    return (n[at] > 1) & (side > 0)
+
+
 def _parse(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in grouped(batches, 2, GROUP_BYTES):
@@ -169,7 +190,7 @@ def _parse(buckets: int):
             hot = np.zeros(len(text), bool)
             hot[order] = several
             marked = np.unique(t[hot])
-            columns = [t, p, doc, tags[text], lo - offsets[text], windows]
+            columns = [t, p, doc, tags[text], lo - offsets[text], windows, *_sides(words, lo, last, trigger)]
             plain, special = np.flatnonzero(keep & ~hot), np.flatnonzero(keep & hot)
             yield from _blobs((t[plain] % np.uint64(buckets)).astype(np.int64), [(c[plain], w) for c, w in zip(columns, _PHRASE, strict=True)], 0)
             if len(special):
@@ -186,18 +207,18 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _span_rows(doc.view(np.int64), tag, lo, hi, _REMOVE, 0)
         marked = np.unique(_columns(held, 3, (6,))[0][0])
         for kind in (0, 2):
-            (t, p, doc, tag, lo, windows), _ = _columns(held, kind, _PHRASE)
+            (t, p, doc, tag, lo, windows, before, after), _ = _columns(held, kind, _PHRASE)
             if not len(t):
                 continue
             doc = doc.view(np.int64)
             order = np.lexsort((p, t))
-            t, p, doc, tag, lo, windows = (c[order] for c in (t, p, doc, tag, lo, windows))
+            t, p, doc, tag, lo, windows, before, after = (c[order] for c in (t, p, doc, tag, lo, windows, before, after))
             new_t = starts_of(t)
             new = new_t | starts_of(p)
             first = _first_here(np.arange(len(t)), new, doc)
             of = np.cumsum(new_t) - 1
             hot = np.full(len(t), kind == 2) | np.isin(t, marked)
-            shared = (np.bincount(of, new)[of] > 1) | hot
+            shared = (_in_common(of[new], before[new]) | _in_common(of[new], after[new]))[np.cumsum(new) - 1] | hot
             out = ~first | shared
             state = np.where(~first, _REMOVE, np.where(hot, _HOT, _SHARED))
             hi = lo + windows + np.uint64(SPAN - 1)
@@ -283,21 +304,36 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- the operator
 
 
-def _texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
+
+
+def _tag(text: Column, repeated: bool) -> Column:
+    """What tells rows of one id apart: the text's crc32. 0 where each id has one row, as random bytes beside each span take room."""
+    return F.crc32(text.cast("binary")) if repeated else F.lit(0).cast("long")
+
+
+def _sizes(df: DataFrame, id_col: str, text_col: str) -> tuple[int, bool]:
+    """Bytes of all texts, and whether an id has several rows."""
     if not isinstance(df.schema[id_col].dataType, IntegralType):
         raise TypeError(f"{id_col} must be an integer, for its order is the order of documents: {df.schema[id_col].dataType.simpleString()}")
+    docs = df.groupBy(_doc(id_col)).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_col)).alias("size"))
+    size, most = docs.agg(F.sum("size"), F.max("rows")).first()
+    return size or 0, (most or 0) > 1
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str, repeated: bool, *more: Column) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(*more, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
+    return df.select(*more, _doc(id_col).alias("doc"), _tag(text, repeated).alias("tag"), text.alias("text"))
 
 
 def _dealt(blobs: DataFrame) -> DataFrame:
     return blobs.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, spans array<struct<lo, hi>>): what each document loses, unsorted and overlapping; `tag` is the text's crc32."""
-    texts = _texts(df, id_col, text_col)
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def spans(df: DataFrame, size: int, repeated: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, tag, spans array<struct<lo, hi>>): what each document loses, unsorted and overlapping; `size` and `repeated` as `_sizes` gives them."""
+    texts = _texts(df, id_col, text_col, repeated)
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, size // BUCKET_BYTES))
     parsed = written(_dealt(texts.mapInArrow(_parse(buckets), _BLOBS)).mapInArrow(_resolve, _SPANS), "parse")
     open_ = parsed.where(F.col("kind") != _REMOVE).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi", "kind", "key")).alias("spots"))
@@ -334,7 +370,8 @@ def _kept(content: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row."""
-    found = spans(df, id_col, text_col)
+    size, repeated = _sizes(df, id_col, text_col)
+    found = spans(df, size, repeated, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,7 +380,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 n, removed, runs, kept = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _texts(df, id_col, text_col, F.col(id_col).alias("id")).join(found, ["doc", "tag"], "left").select("id", "text", "spans")
+    joined = _texts(df, id_col, text_col, repeated, F.col(id_col).alias("id")).join(found, ["doc", "tag"], "left").select("id", "text", "spans")
     kind = df.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
@@ -351,7 +388,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 @own_names(counts=True)
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with the kept text; `n_chars`, if it is there, counts the kept characters. All rows stay."""
-    found = spans(df, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
+    size, repeated = _sizes(df, id_col, text_col)
+    found = spans(df, size, repeated, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,9 +398,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             texts = [_kept(*row).decode("utf-8", "ignore") if len(row[1]) else before[i].as_py() for i, row in enumerate(_cut(batch, at))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string())], [*batch.schema.names[:at], "__kept"])
 
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    both = df.join(found, (doc == F.col("__doc")) & (F.crc32(text.cast("binary")) == F.col("__tag")), "left")
+    tag = _tag(F.coalesce(F.col(text_col), F.lit("")), repeated)
+    both = df.join(found, (_doc(id_col) == F.col("__doc")) & (tag == F.col("__tag")), "left")
     others = [c for c in df.columns if c != text_col]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text_col]
     cut = both.select(*others, text_col, "__spans").mapInArrow(run, ", ".join([*fields, "__kept string"])).withColumnRenamed("__kept", text_col)

@@ -47,6 +47,38 @@ def test_suffixes_of_a_long_text(spark):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in got} == {1: (201, 0, 0), 2: (3_000_000, 200, 1), 3: (2_000_000, 2_000_000, 1)}
 
 
+def _surrounded(rng, middles):
+    """The middles, each between random letters of its own."""
+    letters = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(40, 90)))
+    return "".join(letters() + x for x in middles) + letters()
+
+
+def test_suffixes_send_no_bytes_for_a_trigger_alone(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(suffixes, "written", lambda df, name: tables.setdefault(name, common.written(df, name)))
+    rng = random.Random(5)
+    grams = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=16)) for _ in range(40)]
+    df = spark.createDataFrame([(i, _surrounded(rng, grams)) for i in range(20)], "doc_id long, text string").repartition(4)
+    assert {r["n_removed"] for r in suffixes.digests(df).collect()} == {0}
+    assert tables["parse"].count() == 0
+    # Ids of one row each need no hash of the text beside every span.
+    twice = df.union(df.withColumn("doc_id", F.col("doc_id") + 20))
+    for both, several in ((twice, False), (twice.union(twice.where("doc_id = 25")), True)):
+        tables.clear()
+        assert Counter(map(tuple, suffixes.digests(both).collect())) == Counter(cases.kept_bytes(pairs(both)))
+        assert (tables["parse"].where("tag <> 0").count() > 0) == several
+
+
+def test_suffixes_meet_wherever_their_trigger_stands(spark):
+    rng = random.Random(11)
+    passages = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=50)) for _ in range(400)]
+    rows = [(i, _surrounded(rng, passages[i % 20 :: 20])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in suffixes.digests(df).collect()}
+    assert all(got[i]["n_spans"] == (20 if i >= 20 else 0) and got[i]["n_removed"] >= 50 * got[i]["n_spans"] for i in range(60))
+    assert Counter(tuple(r) for r in got.values()) == Counter(cases.kept_bytes(rows))
+
+
 def test_suffix_dedup_keeps_rows_and_columns(spark):
     df = cases.table(spark)
     out = suffixes.dedup(df)
