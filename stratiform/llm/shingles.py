@@ -153,7 +153,9 @@ def trees(docs: DataFrame, each: DataFrame) -> DataFrame:
     sets = _sets(docs, each, nodes)
     alike = written(_similar(near.select("u", "v", F.col("u").alias("cu"), F.col("v").alias("cv")), sets), "links")
     roots, left = _joined(nodes.select(F.col("h").alias("node"), F.col("h").alias("root")), left, alike.select("cu", "cv"))
+    discard(known, near)
     if left.isEmpty():
+        discard(sets)
         return roots
     for turn in range(2):
         slot = F.pmod(F.xxhash64("h", F.lit(turn)), F.lit(4**turn))
@@ -164,6 +166,7 @@ def trees(docs: DataFrame, each: DataFrame) -> DataFrame:
         left = left.join(stand.select("key", F.col("rep").alias("h")), ["key", "h"], "left_anti")
         roots, left = _joined(roots, left, found.select("cu", "cv"))
         if left.isEmpty():
+            discard(sets)
             return roots
     links = _met(left, sets)
     discard(sets)
@@ -224,21 +227,25 @@ def _links(cell: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["cu", "cv"])
 
 
-def _found(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tag, least): the least place of each row's component."""
+def _found(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, tag, least), the least place of each row's component, and the scratch tables that are read for it."""
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     marks = written(_marks(docs), "marks")
     each = written(marks.groupBy("h").agg(F.min(place("id", "tag")).alias("place"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "different")
     labels = labelled(each.select(F.col("h").alias("node"), "place"), trees(docs, each))
-    return marks.join(labels.withColumnRenamed("node", "h"), "h").select("id", "tag", "least")
+    discard(each)
+    return marks.join(labels.withColumnRenamed("node", "h"), "h").select("id", "tag", "least"), [marks, labels]
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, component_id): component_id is the least id reachable over similar texts; `tag` is the text's xxhash64."""
-    return _found(df, id_col, text_col).select(F.col("id").alias(id_col), "tag", F.col("least.id").alias("component_id"))
+    return _found(df, id_col, text_col)[0].select(F.col("id").alias(id_col), "tag", F.col("least.id").alias("component_id"))
 
 
 @own_names()
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of `df` for each component: the one of least id, null last, and of rows with that id one by its text."""
-    return keep_one(df, _found(df, id_col, text_col), id_col, text_col)
+    found, scratch = _found(df, id_col, text_col)
+    kept = keep_one(df, found, id_col, text_col)
+    discard(*scratch)  # keep_one has written what it needs of them
+    return kept

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratiform.llm.common import own_names, written
+from stratiform.llm.common import discard, own_names, written
 
 PER_CLASS = (4000, 4000)
 #: Standard errors taken off a term's log rate ratio, and the relevance that each unit above 0 adds.
@@ -346,6 +346,11 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     `evidence` holds the three nearest examples: id, similarity, label.
     """
+    return _scored(docs, labels, id_col, text_col)[0]
+
+
+def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(the scores, the scratch tables that are read for them)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     sample, class_weights = _sample(docs, labels, id_col)
@@ -403,12 +408,15 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if rows.rdd.getNumPartitions() < pieces:
         rows = rows.repartition(pieces, "id", "tag")
     scored = rows.mapInArrow(run, f"id {kind}, tag long, held_out boolean, score double, evidence array<struct<id:string,similarity:double,toxic:int>>")
-    return scored.select(F.col("id").alias(id_col), "tag", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+    return scored.select(F.col("id").alias(id_col), "tag", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence"), [table, texts, sample]
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are not predicted toxic."""
-    toxic = scores(docs.select(id_col, text_col), labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct()
+    found, scratch = _scored(docs.select(id_col, text_col), labels, id_col, text_col)
+    # Written, so that the vectors of all texts are gone before the rows move, and don't stay beside later stages.
+    toxic = written(found.where("predicted = 1").select(F.col(id_col).alias("__id"), F.col("tag").alias("__tag")).distinct(), "toxic")
+    discard(*scratch)
     return _without(docs, toxic, id_col, text_col)
 
 

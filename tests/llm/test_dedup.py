@@ -1,5 +1,6 @@
 """Line, suffix-array and SimHash dedup against brute force, on awkward rows and on real tables."""
 
+import os
 import random
 from collections import Counter
 
@@ -161,6 +162,16 @@ def test_line_dedup_leaves_only_the_matches_when_texts_are_dealt(spark):
     assert len(set(common._TABLES) - before) == 1
 
 
+def test_pipeline_stages_leave_no_table_of_all_texts_behind(spark):
+    """What a stage's result still reads is small: vectors, shingles and marks of all texts are gone before the next stage."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        before = set(common._TABLES)
+        rows = stage(spark, docs, SF).count()
+        left = {os.listdir(folder.removeprefix("file:"))[0] for folder in set(common._TABLES) - before}
+        assert rows and not left & {"vectors", "examples", "sets", "marks", "different", "fingerprints", "windows"}, (name, left)
+
+
 def test_simhash_matches_brute_force(spark):
     for df in (cases.table(spark), spark.read.parquet(f"{SF}/documents.parquet")):
         prints = [(d, cases.fingerprint(t)) for d, t in pairs(df)]
